@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup
+from tessera.llm import license_scan, line_dedup
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op8_license_scan": license_scan.op8_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
