@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scan, line_dedup
+from tessera.llm import decontaminate, license_scan, line_dedup
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op8_license_scan": license_scan.op8_license_scan}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op8_license_scan": license_scan.op8_license_scan,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
