@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, line_dedup, warc
+from tessera.llm import decontaminate, license_scan, line_dedup, vp_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op7_vp_search": vp_search.op7_vp_search,
         "op9_warc": warc.op9_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op9_warc": warc.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op7_vp_search": vp_search.SQL, "op9_warc": warc.SQL}
