@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, license_scan, line_dedup, vp_search, warc
+from tessera.llm import bpe, decontaminate, license_scan, line_dedup, vp_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op4_bpe": bpe.op4_bpe,
         "op7_vp_search": vp_search.op7_vp_search,
         "op9_warc": warc.op9_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
