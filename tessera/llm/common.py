@@ -74,3 +74,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
+    """docs joined with at most rows rows of labels, chosen by a hash of their id.
+
+    The chosen rows are narrow and at most rows many, so they are broadcast and the texts don't move.
+    """
+    chosen = labels.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return docs.join(F.broadcast(chosen), id_col)

@@ -2,13 +2,14 @@
 
 A text is a list of lines. A rolling hash over the hashes of the last two lines chooses the chunk boundaries, so an
 insertion moves no boundary beyond the next two lines; a line of at least ``long_words`` words is a chunk of its own.
-Chunks whose key occurs more than once anywhere are fetched and compared byte by byte. Of equal chunks the first, by
-(id, line number), stays; from each other one goes the chunk together with the line before and the line after it where
-these equal, byte by byte, those of the first. A removed region has two lines or more, or over ``min_words`` words.
+Of chunks with the same key the first, by (id, line number), stays; from each other one goes the chunk together with the
+line before and the line after it where these equal those of the first, if the whole region is, byte by byte, what stands
+in the first's text. A removed region has two lines or more, or over ``min_words`` words.
 Every removed line therefore equals a line at a smaller position, so one copy of everything stays.
 
 Null texts stay null, an empty text is one empty line, chunks without two non-blank lines or a long line are never
-removed, repeated ids are an error of the caller (positions would be ambiguous). Other columns pass through unchanged.
+removed. Rows without an id lose nothing and rows that share an id count as one place: equal chunks at the same line of
+them all stay. Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pin
+from tessera.llm.common import pin, stored
 
 LONG_WORDS = 25
 MIN_WORDS = 50
@@ -29,58 +30,66 @@ def _words(line: Column) -> Column:
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(id, start, end, key) for each chunk of the texts that may be removed; lines [start, end)."""
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.split(text_col, "\n", -1).alias("lines"))
-    d = pin(d, "_id", "lines", h=F.transform("lines", lambda x: F.md5(x)), big=F.transform("lines", lambda x: _words(x) >= long_words))
+    """(id, start, end, key, words, before, after) for each chunk of the texts that may be removed.
+
+    Lines [start, end); key, before and after are hashes of the chunk and of the lines beside it (null at an end).
+    """
+    d = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.split(text_col, "\n", -1).alias("lines"))
+    d = pin(d, "_id", "lines", h=F.transform("lines", lambda x: F.md5(x)), words=F.transform("lines", _words))
+
+    def big(i):
+        return F.get("words", i) >= long_words
 
     def cut(i):
         rolled = F.md5(F.concat(F.when(i >= 2, F.get("h", i - 2)).otherwise(""), F.get("h", i - 1)))
-        return (i == 0) | F.get("big", i) | F.get("big", i - 1) | F.substring(rolled, 32, 1).isin(*CUT_DIGITS)
+        return (i == 0) | big(i) | big(i - 1) | F.substring(rolled, 32, 1).isin(*CUT_DIGITS)
 
-    d = pin(d, "_id", "lines", "h", "big", cuts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut))
+    d = pin(d, "_id", "lines", "h", "words", cuts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut))
     spans = F.transform("cuts", lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get("cuts", k + 1), F.size("lines")).alias("end")))
-    d = pin(d, "_id", "lines", "h", "big", spans=spans)
+    d = pin(d, "_id", "lines", "h", "words", spans=spans)
 
     def worth(c):
         filled = F.size(F.filter(F.slice("lines", c["start"] + 1, c["end"] - c["start"]), lambda x: F.trim(x) != ""))
-        return F.get("big", c["start"]) | (filled >= 2)
+        return big(c["start"]) | (filled >= 2)
 
     keyed = F.transform(
         F.filter("spans", worth),
-        lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.md5(F.array_join(F.slice("h", c["start"] + 1, c["end"] - c["start"]), "")).alias("key")),
-    )
+        lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.slice("h", c["start"] + 1, c["end"] - c["start"])).alias("key"),
+            F.aggregate(F.slice("words", c["start"] + 1, c["end"] - c["start"]), F.lit(0), lambda a, x: a + x).alias("words"),
+            F.when(c["start"] > 0, F.xxhash64(F.get("h", c["start"] - 1))).alias("before"), F.when(c["end"] < F.size("h"), F.xxhash64(F.get("h", c["end"]))).alias("after"),
+        ),
+    )
     return d.select("_id", F.inline(keyed))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, removed): for each text that loses lines, the numbers of those lines in order."""
-    chunks = line_chunks(docs, id_col, text_col, long_words)
-    repeated = chunks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = chunks.join(repeated, "key").groupBy("_id").agg(F.collect_list(F.struct("start", "end", "key")).alias("found"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    near = texts.join(found, "_id")
-    near = pin(near, "_id", "found", lines=F.split("_text", "\n", -1))
-    near = near.select(
-        "_id",
-        F.inline(
-            F.transform(
-                "found",
-                lambda c: F.struct(
-                    c["key"].alias("key"), c["start"].alias("start"), c["end"].alias("end"),
-                    F.array_join(F.slice("lines", c["start"] + 1, c["end"] - c["start"]), "\n").alias("chunk"),
-                    F.when(c["start"] > 0, F.get("lines", c["start"] - 1)).alias("before"), F.get("lines", c["end"]).alias("after"),
-                ),
-            )
-        ),
-    )
-    first = near.groupBy("key", "chunk").agg(F.min(F.struct("_id", "start", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = near.join(first.drop("n"), ["key", "chunk"]).where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    begin = F.col("start") - F.coalesce(F.col("before") == F.col("first.before"), F.lit(False)).cast("int")
-    finish = F.col("end") + F.coalesce(F.col("after") == F.col("first.after"), F.lit(False)).cast("int")
-    region = pairs.select("_id", begin.alias("begin"), finish.alias("finish"), _words(F.translate("chunk", "\n", " ")).alias("words"))
-    region = region.where((F.col("finish") - F.col("begin") >= 2) | (F.col("words") > min_words))
-    every = F.flatten(F.collect_list(F.sequence("begin", F.col("finish") - 1)))
-    return region.groupBy("_id").agg(F.array_sort(F.array_distinct(every)).alias("removed"))
+def removed_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, regions): for each text the lines [begin, finish) that should go, each with the kept copy's bytes to compare with.
+
+    The candidates come from narrow rows of hashes; only the text of kept copies moves, once per removed region.
+    """
+    chunks = stored(line_chunks(docs, id_col, text_col, long_words), "line-chunks")
+    first = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start", "end", "before", "after")).alias("first")).where("n > 1").drop("n")
+    again = chunks.join(first, "key").where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
+    back = F.coalesce(F.col("before") == F.col("first.before"), F.lit(False)).cast("int")
+    on = F.coalesce(F.col("after") == F.col("first.after"), F.lit(False)).cast("int")
+    again = again.select("_id", "start", "end", back.alias("back"), on.alias("on"), "words", F.col("first._id").alias("from_id"), F.col("first.start").alias("from"), F.col("first.end").alias("to"))
+    again = again.where((F.col("end") + F.col("on") - F.col("start") + F.col("back") >= 2) | (F.col("words") > min_words)).drop("words")
+    wanted = again.groupBy("from_id", "from", "to").agg(F.max("back").alias("_back"), F.max("on").alias("_on"))
+    wanted = wanted.groupBy("from_id").agg(F.collect_list(F.struct("from", "to", "_back", "_on")).alias("wanted"))
+    # the same rows and columns that line_dedup joins later, so that one exchange of the texts serves both
+    kept = pin(docs.join(wanted, F.col(id_col) == F.col("from_id")), "from_id", "wanted", _lines=F.split(text_col, "\n", -1))
+
+    def piece(c):
+        line = lambda i: F.get("_lines", i)
+        chunk = F.array_join(F.slice("_lines", c["from"] + 1, c["to"] - c["from"]), "\n")
+        return F.struct(c["from"].alias("from"), chunk.alias("chunk"), F.when(c["_back"] == 1, line(c["from"] - 1)).alias("line_before"), F.when(c["_on"] == 1, line(c["to"])).alias("line_after"))
+
+    kept = kept.select("from_id", F.inline(F.transform("wanted", piece)))
+    found = again.join(kept, ["from_id", "from"])
+    copy = F.concat_ws("\n", F.when(F.col("back") == 1, F.col("line_before")), "chunk", F.when(F.col("on") == 1, F.col("line_after")))
+    region = F.struct((F.col("start") - F.col("back")).alias("begin"), (F.col("end") + F.col("on")).alias("finish"), copy.alias("copy"))
+    return found.groupBy("_id").agg(F.collect_list(region).alias("regions"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,13 +97,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_lines is 0 for a null text. Removing nothing leaves a text byte for byte as it was.
     """
-    gone = removed_lines(docs, id_col, text_col, long_words, min_words).withColumnsRenamed({"_id": "_gone_id", "removed": "_gone"})
-    out = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left")
+    named = docs.where(F.col(id_col).isNotNull())
+    gone = removed_regions(named, id_col, text_col, long_words, min_words).withColumnsRenamed({"_id": "_gone_id", "regions": "_regions"})
+    out = named.join(gone, F.col(id_col) == F.col("_gone_id"), "left")
+    out = out.unionByName(docs.where(F.col(id_col).isNull()), allowMissingColumns=True)
     out = pin(out, _lines=F.split(text_col, "\n", -1))
-    out = pin(out, _kept=F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    same = F.filter("_regions", lambda r: F.array_join(F.slice("_lines", r["begin"] + 1, r["finish"] - r["begin"]), "\n") == r["copy"])
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda r: F.sequence(r["begin"], r["finish"] - 1)))))
+    out = pin(out, *docs.columns, "_lines", removed=F.coalesce(gone, F.array().cast("array<int>")))
+    out = pin(out, _kept=F.when(F.size("removed") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")))
+    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
     rest = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), "removed")
 
 
 def op1_line_dedup(spark, sf_dir):
