@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, license_scan, line_dedup, vp_search, warc
+from tessera.llm import bpe, decontaminate, language_id, license_scan, line_dedup, quality, toxicity, vp_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op3_language_id": language_id.op3_language_id,
         "op4_bpe": bpe.op4_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_quality": quality.op6_quality,
         "op7_vp_search": vp_search.op7_vp_search,
         "op9_warc": warc.op9_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
