@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, language_id, license_scan, line_dedup, quality, toxicity, vp_search, warc
+from tessera.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, toxicity, vp_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_language_id": language_id.op3_language_id,
         "op4_bpe": bpe.op4_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
