@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import scoring
+from tessera.plans import catalog, scoring
 
-_MODULES = (scoring,)
+_MODULES = (scoring, catalog)
 
 
 def queries() -> dict:
