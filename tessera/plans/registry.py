@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog, scoring
+from tessera.plans import catalog, control, scoring, text
 
-_MODULES = (scoring, catalog)
+_MODULES = (scoring, catalog, control, text)
 
 
 def queries() -> dict:
