@@ -15,10 +15,11 @@ segments, all with e = 2, where that is cheaper. The choice changes the work, ne
 
 Verification. Equal sets are one node. Nodes that share a signature are compared by a parity sketch (bit i is the parity
 of the elements that hash to i; sketches differ in at most as many bits as the sets in elements, so this drops no link),
-and a bucket yields a forest over the pairs that pass, not all pairs. Forest edges are verified on the texts' own sets;
-buckets in which one failed are gone through again without it, until no unverified pair between different components is
-left. So no link between different components is missed, and no group of copies is expanded. A bucket of more than
-``BLOCK`` nodes is dealt out in pairs of blocks.
+and a bucket yields a forest over the pairs that pass, not all pairs. The few forest edges that join different components
+are verified on the texts' own sets. A bucket in which one fails is gone through again with the sets themselves, which
+decides every pair between different components there. So no link between different components is missed, and no group
+of copies is expanded. A bucket of more than ``BLOCK`` nodes, or of more than ``BLOCK_ELEMENTS`` elements in the second
+pass, is dealt out in pairs of blocks.
 
 Elements are 64-bit hashes of n-grams. Nodes are 64-bit hashes of sets, checked against a second hash; the salt changes
 if two sets ever meet. A text with fewer than n words has one element, the whole sequence; null, empty and blank texts
@@ -41,6 +42,7 @@ from tessera.llm.components import components
 
 RATIO = 1.5
 BLOCK = 2048
+BLOCK_ELEMENTS = 4_000_000
 #: Cost of comparing two sketches, in units of handling one signature.
 PAIR_COST = 0.03
 SIGNS = 8
@@ -85,6 +87,10 @@ class Bands:
     def largest_partner(self, a: int) -> int:
         return a * self.den // self.num
 
+    def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        return self.den * both >= self.num * (len(x) + len(y) - both)
+
     def of(self, size: int) -> int:
         return bisect_left(self.tops, size)
 
@@ -102,23 +108,45 @@ class Bands:
         return 64 if own < 1 else min(1 << 15, max(64, 1 << (8 * self.h(own) - 1).bit_length()))
 
 
+class Elements:
+    """A set's sorted elements, with the sums that the subsets' hashes are differences of."""
+
+    def __init__(self, elements: np.ndarray):
+        self.values = elements
+        self.high = elements >> _U(32)
+        self.mixed = mix64(elements ^ _U(0xA5A5A5A5A5A5A5A5))
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.mixed, dtype=_U)])
+
+    def __len__(self):
+        return len(self.values)
+
+
 class Segments:
-    """One set's subsets under m segments; elements are sorted, so that segments are slices."""
-
-    def __init__(self, elements: np.ndarray, instance: int, m: int, plan: int):
-        self.m = m
-        self.at = ((elements >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        mixed = mix64(elements ^ _U(0xA5A5A5A5A5A5A5A5))
-        ends = np.searchsorted(self.at, np.arange(m + 1))
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed, dtype=_U)])
-        self.sizes = np.diff(ends)
-        whole = sums[ends[1:]] - sums[ends[:-1]]
-        base = mix64((_U(instance * 4 + plan + 1) << _U(40)) + np.arange(m, dtype=_U))
-        self.full = mix64(whole + base)
-        self.less = mix64(whole[self.at] - mixed + base[self.at])
+    """One set's subsets under m segments; segments are ranges of elements, so subsets are slices."""
+
+    def __init__(self, elements: Elements, instance: int, m: int, plan: int):
+        self.of, self.m = elements, m
+        edges = ((np.arange(m + 1, dtype=_U) << _U(32)) + _U(m - 1)) // _U(m)
+        self.ends = np.searchsorted(elements.high, edges)
+        self.sizes = np.diff(self.ends)
+        self.whole = elements.sums[self.ends[1:]] - elements.sums[self.ends[:-1]]
+        self.base = mix64((_U(instance * 4 + plan + 1) << _U(40)) + np.arange(m, dtype=_U))
+        self.full = mix64(self.whole + self.base)
+
+    def less(self) -> np.ndarray:
+        """Signatures of the subsets without one element, by element."""
+        at = np.repeat(np.arange(self.m), self.sizes)
+        return mix64(self.whole[at] - self.of.mixed + self.base[at])
+
+    def one_less(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each subset that has elements the signature without its first one, and the segments of these."""
+        some = np.flatnonzero(self.sizes)
+        return mix64(self.whole[some] - self.of.mixed[self.ends[:-1][some]] + self.base[some]), some
 
     def signatures(self, e: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.full[e >= 1], self.less[(e == 2)[self.at]]])
+        if not (e == 2).any():
+            return self.full[e >= 1]
+        return np.concatenate([self.full[e >= 1], self.less()[np.repeat(e == 2, self.sizes)]])
 
 
 def _signs(keys: np.ndarray) -> np.ndarray:
@@ -127,12 +155,12 @@ def _signs(keys: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Sums per instance and segment: sets, elements, sign sums of subsets and of deletions, and those of the halved plan."""
+    """Sums per instance and segment: sets, elements, sign sums of subsets and of subsets less one, and those of the halved plan."""
 
     def __init__(self, bands: Bands):
         self.bands, self.of = bands, {}
 
-    def add(self, elements: np.ndarray) -> None:
+    def add(self, elements: Elements) -> None:
         for i in self.bands.instances(len(elements)):
             m = self.bands.h(i) + 1
             if m > COUNTED_SEGMENTS:
@@ -143,14 +171,14 @@ class Counts:
             table, halved = self.of[i]
             table[:, 0] += 1
             table[:, 1] += seg.sizes
-            full, less = _signs(seg.full), _signs(seg.less)
-            table[:, 2 : 2 + SIGNS] += full
-            sums = np.concatenate([np.zeros((1, SIGNS), np.int64), np.cumsum(less, axis=0)])
-            ends = np.cumsum(np.concatenate([[0], seg.sizes]))
-            table[:, 2 + SIGNS :] += full + sums[ends[1:]] - sums[ends[:-1]]
+            table[:, 2 : 2 + SIGNS] += _signs(seg.full)
+            keys, some = seg.one_less()
+            table[some, 2 + SIGNS :] += _signs(keys)
             half = Segments(elements, i, -(-m // 2), 1)
-            halved[0, 0] += half.m + len(elements)
-            halved[0, 2 : 2 + SIGNS] += _signs(half.full).sum(axis=0) + _signs(half.less).sum(axis=0)
+            halved[0, 0] += half.m
+            halved[0, 1] += len(elements)
+            halved[0, 2 : 2 + SIGNS] += _signs(half.full).sum(axis=0)
+            halved[0, 2 + SIGNS :] += _signs(half.one_less()[0]).sum(axis=0)
 
     def rows(self):
         for i, (table, halved) in sorted(self.of.items()):
@@ -159,11 +187,19 @@ class Counts:
 
 
 def allocate(counts: np.ndarray, halved: np.ndarray) -> tuple[int, np.ndarray]:
-    """(plan, e): counts has a row per segment, as Counts; halved is the row of the halved plan."""
-    n, size = counts[:, 0], counts[:, 1]
-    meet = lambda signs, rows: np.maximum(0, (signs.astype(float) ** 2).mean(axis=1) - rows) / 2
-    one = n + PAIR_COST * meet(counts[:, 2 : 2 + SIGNS], n)
-    two = n + size + PAIR_COST * meet(counts[:, 2 + SIGNS :], n + size)
+    """(plan, e): counts has a row per segment, as Counts; halved is the row of the halved plan.
+
+    The sign sums of subsets less one stand for one of a subset's deletions; all of them meet about size^2 times as often.
+    """
+
+    def costs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, size = t[:, 0].astype(float), t[:, 1].astype(float)
+        meet = lambda signs: np.maximum(0, (signs.astype(float) ** 2).mean(axis=1) - n) / 2
+        full = meet(t[:, 2 : 2 + SIGNS])
+        return n + PAIR_COST * full, n + size + PAIR_COST * (full + meet(t[:, 2 + SIGNS :]) * np.maximum(1, size / np.maximum(n, 1)) ** 2)
+
+    one, two = costs(counts)
+    n = counts[:, 0]
     e = np.ones(len(n), dtype=np.int64)
     heavy, cheap = np.argsort(-one, kind="stable"), np.argsort(two - one, kind="stable")
     i = j = 0
@@ -176,15 +212,14 @@ def allocate(counts: np.ndarray, halved: np.ndarray) -> tuple[int, np.ndarray]:
             break
         e[heavy[i]], e[cheap[j]] = 0, 2
     cost = one[e == 1].sum() + two[e == 2].sum()
-    rows = halved[:1]
-    if rows[0] + PAIR_COST * meet(halved[None, 2 : 2 + SIGNS], rows)[0] < cost:
+    if costs(halved[None])[1][0] < cost:
         return 1, np.full(-(-len(n) // 2), 2)
     return 0, e
 
 
-def set_hashes(elements: np.ndarray) -> tuple[int, int]:
-    a = mix64(np.array([mix64(elements + _U(0x51ED)).sum(dtype=_U) + _U(len(elements))], dtype=_U))
-    b = mix64(np.array([mix64(elements ^ _U(0x7F4A7C159E3779B9)).sum(dtype=_U)], dtype=_U))
+def set_hashes(elements: Elements) -> tuple[int, int]:
+    a = mix64(elements.sums[-1:] + _U(len(elements)))
+    b = mix64(mix64(elements.values + _U(0x7F4A7C159E3779B9)).sum(dtype=_U, keepdims=True))
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
@@ -203,12 +238,14 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def forest(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], bands: Bands, component: np.ndarray, failed: set[tuple[int, int]]):
-    """Pairs of positions that may be linked and join different components, one for each two components that meet."""
-    words = _folded(sketches)
+def forest(sizes: np.ndarray, words: np.ndarray, bands: Bands, component: np.ndarray, sets: list[np.ndarray] | None = None):
+    """Pairs of positions that join different components, one for each two components that meet.
+
+    A pair counts if its sketches allow a link and, with sets given, if it is linked.
+    """
     comp = component.copy()
     out = []
-    for i in range(len(nodes) - 1):
+    for i in range(len(sizes) - 1):
         rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         if not len(rest):
             continue
@@ -216,7 +253,7 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], bands: B
         a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         near = rest[(far <= bands.difference(a, b)) & (b * bands.num <= a * bands.den)]
         for j in near.tolist():
-            if comp[j] != comp[i] and (not failed or (min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) not in failed):
+            if comp[j] != comp[i] and (sets is None or bands.linked(sets[i], sets[j])):
                 out.append((i, j))
                 comp[comp == comp[j]] = comp[i]
     return out
@@ -233,9 +270,9 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands
         for batch in batches:
             rows = []
             for text in as_bytes(batch.column("t")):
-                s = shingles(text, n, salt)
+                s = Elements(shingles(text, n, salt))
                 h = set_hashes(s) if len(s) else (0, 0)
-                rows.append((len(s), *h, sketch(s, bands.sketch_bits(len(s))) if bands.of(len(s)) else None))
+                rows.append((len(s), *h, sketch(s.values, bands.sketch_bits(len(s))) if bands.of(len(s)) else None))
                 if h[0] not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -270,7 +307,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, salt: int,
         for batch in batches:
             sigs, nodes, size = [], [], 0
             for text in as_bytes(batch.column("t")):
-                s = shingles(text, n, salt)
+                s = Elements(shingles(text, n, salt))
                 if not bands.of(len(s)):
                     continue
                 h, _ = set_hashes(s)
@@ -303,43 +340,63 @@ def _buckets(signatures: DataFrame) -> DataFrame:
     return rows.join(one, "sig", "left_semi").select("sig", "node", "members")
 
 
-def _candidates(buckets: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(sig, part, a, b): forests of pairs that pass the sketches. buckets may carry component and failed."""
-    if "component" not in buckets.columns:
-        buckets = buckets.withColumn("component", F.lit(None).cast("long")).withColumn("failed", F.lit(None).cast("array<struct<a:long,b:long>>"))
-    rows = buckets.join(nodes.select("node", "id", "size", "sketch"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+def _by_bucket(rows: DataFrame, columns: list[str], close, schema: str, blocks) -> DataFrame:
+    """close(key, rows) for the rows of each bucket, or of each pair of its blocks; keys are (sig, part)."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("part", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def scan(batches):
-        waiting: list = []
-        key = None
-
-        def close(group):
-            if len(group) < 2:
-                return []
-            group = sorted(group, key=lambda r: r[0])
-            ids = np.array([r[0] for r in group], dtype=np.int64)
-            comp = np.array([r[0] if r[3] is None else r[3] for r in group], dtype=np.int64)
-            failed = {(f["a"], f["b"]) for f in group[0][4] or ()}
-            return [(*key, int(ids[i]), int(ids[j])) for i, j in forest(ids, np.array([r[1] for r in group], dtype=np.int64), [r[2] for r in group], bands, comp, failed)]
+        key, waiting = None, []
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
 
         for batch in batches:
             out = []
-            for sig, part, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "part", "id", "size", "sketch", "component", "failed")), strict=True):
+            for sig, part, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "part", *columns)), strict=True):
                 if (sig, part) != key:
-                    if waiting:
-                        out += close(waiting)
+                    out += close(key, waiting) if len(waiting) > 1 else []
                     key, waiting = (sig, part), []
                 waiting.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["sig", "part", "a", "b"])
-        out = close(waiting) if waiting else []
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["sig", "part", "a", "b"])
+            yield batch_of(out)
+        yield batch_of(close(key, waiting) if len(waiting) > 1 else [])
 
-    dealt = rows.select("sig", F.col("part").cast("long").alias("part"), "id", "size", "sketch", "component", "failed").repartition("sig", "part").sortWithinPartitions("sig", "part")
-    return dealt.mapInArrow(scan, "sig long, part long, a long, b long")
+    return rows.select("sig", "part", *columns).repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(scan, schema)
+
+
+def _candidates(buckets: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, a, b): forests of the pairs that pass the sketches."""
+
+    def close(key, rows):
+        rows.sort(key=lambda r: r[0])
+        pairs = forest(np.array([r[1] for r in rows], dtype=np.int64), _folded([r[2] for r in rows]), bands, np.arange(len(rows)))
+        return [(key[0], rows[i][0], rows[j][0]) for i, j in pairs]
+
+    rows = buckets.join(nodes.select("node", "id", "size", "sketch"), "node")
+    return _by_bucket(rows, ["id", "size", "sketch"], close, "sig long, a long, b long", F.ceil(F.col("members") / BLOCK))
+
+
+def _exact_links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, found: DataFrame, n: int, bands: Bands, salt: int) -> DataFrame:
+    """(a, b): links between different components of found within the buckets, decided on whole sets."""
+
+    def close(_, rows):
+        rows.sort(key=lambda r: r[0])
+        sets = [shingles((r[1] or "").encode(), n, salt) for r in rows]
+        number: dict[int, int] = {}
+        comp = np.array([number.setdefault(r[2] if r[2] is not None else r[0], len(number)) for r in rows])
+        if len(number) < 2:
+            return []
+        bits = min(1 << 16, 1 << (64 * bands.h(max(1, bands.of(max(map(len, sets))))) - 1).bit_length())
+        words = _folded([sketch(s, max(64, bits)) for s in sets])
+        return [(rows[i][0], rows[j][0]) for i, j in forest(np.array(list(map(len, sets))), words, bands, comp, sets)]
+
+    rows = buckets.join(nodes.select("node", "id", "size"), "node").join(found, "id", "left")
+    open_ = rows.groupBy("sig").agg(F.sum("size").alias("elements"), F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y")).where("x <> y").select("sig", "elements")
+    rows = rows.join(open_, "sig").join(texts, "id")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS))
+    return _by_bucket(rows, ["id", "text", "component"], close, "a long, b long", blocks)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, bands: Bands, salt: int) -> DataFrame:
@@ -352,8 +409,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, bands: Bands, salt: in
             linked = []
             for ta, tb in zip(as_bytes(batch.column("ta")), as_bytes(batch.column("tb")), strict=True):
                 x, y = known(ta), shingles(tb, n, salt)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(bands.den * both >= bands.num * (len(x) + len(y) - both))
+                linked.append(bands.linked(x, y))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, linked boolean")
@@ -375,33 +431,23 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     buckets = _buckets(_signatures(docs.where(F.col(text_col).isNotNull()), text_col, n, bands, salt, plans))
     buckets = stored(buckets, "buckets")
     edges = stored(_candidates(buckets, nodes, bands), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").join(ends, "id", "left_semi")
+    members = buckets.select("node").distinct().join(nodes, "node").select("id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").join(members, "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]), "texts")
-    checked = None  # all pairs verified so far
-    found = None
     # first the smallest partner of each node, then the pairs that still join different components
-    todo = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    while True:
-        new = stored(_verified(todo, texts, n, bands, salt), "checked")
-        checked = new if checked is None else checked.union(new)
-        found = stored(components(checked.where("linked").select("a", "b")), "components")
-        named = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))  # noqa: B023, E731
-        open_pairs = edges.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        open_pairs = open_pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
-        todo = stored(open_pairs, "open")
-        while todo.isEmpty():
-            failed = edges.join(checked.where("not linked").select("a", "b"), ["a", "b"])
-            again = failed.groupBy("sig").agg(F.collect_set(F.struct("a", "b")).alias("failed"))
-            again = buckets.join(again, "sig").join(nodes.select("node", "id"), "node").join(found, "id", "left").select("sig", "node", "members", "component", "failed")
-            fresh = stored(_candidates(again, nodes, bands), "candidates")
-            if fresh.isEmpty():
-                break
-            edges = edges.union(fresh)
-            todo = stored(fresh.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "open")
-        else:
-            continue
-        break
+    checked = stored(_verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, n, bands, salt), "checked")
+    found = components(checked.where("linked").select("a", "b"))
+    side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    rest = edges.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    rest = stored(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        checked = checked.union(stored(_verified(rest, texts, n, bands, salt), "checked"))
+    links = checked.where("linked").select("a", "b")
+    failed = stored(edges.join(checked.where("not linked").select("a", "b"), ["a", "b"]).select("sig").distinct(), "failed")
+    if not failed.isEmpty():
+        exact = _exact_links(buckets.join(failed, "sig", "left_semi"), nodes, texts, found, n, bands, salt)
+        links = links.union(stored(exact, "exact"))
+    found = components(links)
     rows = rows.select("id", "size", F.col("h0").alias("node"))
     copies = rows.join(nodes.select("node", F.col("id").alias("first")), "node", "left").join(found.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("size") > 0, F.coalesce("component", "first")).otherwise(F.col("id"))

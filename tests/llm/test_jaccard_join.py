@@ -41,6 +41,7 @@ def edited(rng, words, k):
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 60, 100)])
 def test_components_equal_brute_force(spark, n, num, den, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "BLOCK_ELEMENTS", 2000)
     rng = random.Random(n)
     rows, i = [], 0
     for size in (1, 2, 3, 4, 9, 10, 11, 30, 31, 90, 400):
@@ -92,7 +93,7 @@ def test_linked_sets_share_a_signature_under_any_allocation():
                 x, y = rng.choice(m, 2, replace=False)
                 e[x], e[y] = 0, 2
             for plan, own in ((0, e), (1, np.full(-(-m // 2), 2))):
-                s, t = (set(J.Segments(z, i, len(own), plan).signatures(own).tolist()) for z in (a, b))
+                s, t = (set(J.Segments(J.Elements(z), i, len(own), plan).signatures(own).tolist()) for z in (a, b))
                 hit |= bool(s & t)
                 assert i != min(bands.of(len(a)), bands.of(len(b))) or s & t
         assert hit
