@@ -49,7 +49,7 @@ def lease_states(events: DataFrame, seconds: int = 1800) -> DataFrame:
 
     def advance(key, frames, state):
         kind, generation, units, until = state.get if state.exists else ("none", 0, 0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
         for ts, what in zip(rows["ts"], rows["event_type"], strict=True):
             now = ts.timestamp()
             if kind == "active" and until <= now:
