@@ -18,6 +18,7 @@ import json
 from functools import cache
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import read_table
+from tessera.llm.common import batched, read_table
 
 CACHE_WORDS = 400_000
+CACHE_PAIRS = 500_000
 #: Characters of text whose words are put into one trie.
 GROUP_CHARS = 3_000_000
 CHUNK_WORDS = 500_000
@@ -57,11 +59,15 @@ class Coder:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in doc["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.token_of))
-        ends: dict[bytes, set[int]] = {}
-        for t in self.token_of:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths, longest first, of the tokens with these last two bytes.
-        self.ends = {e: tuple(sorted(s, reverse=True)) for e, s in ends.items()}
+        self.endings = ahocorasick.Automaton()
+        for t, i in self.token_of.items():
+            self.endings.add_word(t.decode("latin-1"), (len(t), i))
+        self.endings.make_automaton()
+        #: How each token is made: rank of the rule, left and right token.
+        self.made = {token: (rank, a, b) for (a, b), (rank, token) in self.merges.items()}
+        #: Rules only join what earlier rules make, so merges run in order of rank.
+        self.ordered = len(self.made) == len(self.merges) and all(self.made.get(x, (-1,))[0] < rank for (a, b), (rank, _) in self.merges.items() for x in (a, b))
+        self.spine_of: dict[int, list[tuple[int, int, float]]] = {}
         self.follows: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
@@ -78,39 +84,72 @@ class Coder:
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
         return ids
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int, float]]:
+        """(piece, rank that makes it, rank that uses it up) of the pieces that stand at one end of token while it is made."""
+        key = token << 1 | side
+        found = self.spine_of.get(key)
+        if found is None:
+            found, used = [], float("inf")
+            while True:
+                rank, *parts = self.made.get(token, (-1,))
+                found.append((token, rank, used))
+                if not parts:
+                    break
+                token, used = parts[side], rank
+            self.spine_of[key] = found
+        return found
+
+    def stay_apart(self, last: int, token: int) -> bool:
+        """Whether no rule joins pieces across the border of the two tokens while they are made.
+
+        Of two places for the same rule the left one is taken: a rule across the border loses to one within last, and
+        wins over one within token.
+        """
+        for x, made_x, used_x in self.spine(last, 1):
+            for y, made_y, used_y in self.spine(token, 0):
+                rank = self.merges.get((x, y), (None,))[0]
+                if rank is not None and made_x < rank < used_x and made_y < rank <= used_y:
+                    return False
+        return True
+
     def may_follow(self, last: int, token: int) -> bool:
         """Whether the bytes of both encode as these two; last -1: whether token's own bytes encode as token."""
         key = (last + 1) << 32 | token
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) >= 1_000_000:
+            if len(self.follows) >= CACHE_PAIRS:
                 self.follows.clear()
-            want = [token] if last < 0 else [last, token]
-            known = self.follows[key] = self.merged(b"".join(self.table[i] for i in want)) == want
+            if self.ordered and last >= 0 and self.may_follow(-1, token):
+                known = self.stay_apart(last, token)
+            else:
+                want = [token] if last < 0 else [last, token]
+                known = self.merged(b"".join(self.table[i] for i in want)) == want
+            self.follows[key] = known
         return known
 
     def encode_words(self, words) -> dict[str, bytes]:
         """The ids of each distinct word, as little-endian 32-bit integers."""
         out: dict[str, bytes] = {}
-        token_of, ends, may_follow = self.token_of.get, self.ends.get, self.may_follow
+        endings, follows, may_follow, longest = self.endings.iter, self.follows.get, self.may_follow, self.longest
         prefix = b""
         state = [-1]  # last token of each prefix of the path
-        for word, data in sorted(((w, w.encode("utf-8", "surrogatepass")) for w in words), key=lambda x: x[1]):
+        for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared = 0
             for a, b in zip(prefix, data):
                 if a != b:
                     break
                 shared += 1
             del state[shared + 1 :]
-            for n in range(shared + 1, len(data) + 1):
-                for size in ends(data[n - 2 : n] if n > 1 else data[:1], ()):
-                    if size <= n and (token := token_of(data[n - size : n])) is not None and may_follow(state[n - size], token) and may_follow(-1, token):
-                        break
-                else:
-                    token = token_of(data[n - 1 : n])  # a single byte, which has no two last bytes
-                    if not may_follow(state[n - 1], token):
-                        raise ValueError("the merge rules give no encoding")
-                state.append(token)
+            begin = max(0, shared - longest)
+            for end, (size, token) in endings(data.decode("latin-1"), begin):
+                # tokens that end here, the longest first; the state of this place is known once one fits
+                if end == len(state) - 1:
+                    last = state[end + 1 - size]
+                    fits = follows((last + 1) << 32 | token)
+                    if fits or (fits is None and may_follow(last, token)):
+                        state.append(token)
+            if len(state) <= len(data):
+                raise ValueError("the merge rules give no encoding")
             prefix = data
             ids, n = [], len(data)
             while n:
@@ -185,7 +224,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
         offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
-    return docs.withColumn(ids_col, encode(text_col))
+    return batched(docs).withColumn(ids_col, encode(text_col))
 
 
 def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -195,7 +234,7 @@ def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     def decode(ids: pa.Array) -> pa.Array:
         return pa.array([None if x is None else coder(path).decode(np.array(x, dtype="<u4").tobytes()) for x in ids.to_pylist()], type=pa.string())
 
-    return docs.withColumn(text_col, decode(ids_col))
+    return batched(docs).withColumn(text_col, decode(ids_col))
 
 
 def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -211,7 +250,7 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             decoded_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("_digest", digest(text_col)).select(*docs.columns, "_digest.*")
+    return batched(docs).withColumn("_digest", digest(text_col)).select(*docs.columns, "_digest.*")
 
 
 def default_path() -> str:

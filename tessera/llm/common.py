@@ -47,6 +47,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; Python functions on whole texts get at most rows of them at once, unless the session sets its own number."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
 def pin(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
     """Compute cols once per row; the optimizer can't repeat them inside later lambda functions."""
     one = F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])))

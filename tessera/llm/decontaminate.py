@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, mix64, read_table
+from tessera.llm.common import as_bytes, batched, mix64, read_table
 
 N = 10
 #: Windows that one broadcast may hold (about 200 bytes each).
@@ -138,7 +138,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     for block in _blocks(benchmark, item_col, item_text, block_windows):
         windows = Windows([(r["item"], bytes(r["text"])) for r in block.toLocalIterator() if r["item"] is not None], n)
         passes.append(_scan_udf(windows)(F.col(text_col)))
-    found = docs
+    found = batched(docs)
     for k, p in enumerate(passes):
         found = found.withColumn(f"_scan{k}", p)
     names = [f"_scan{k}" for k in range(len(passes))]

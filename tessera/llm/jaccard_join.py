@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, mix64, read_table, stored
+from tessera.llm.common import as_bytes, batched, mix64, read_table, stored
 from tessera.llm.components import components
 
 RATIO = 1.5
@@ -287,7 +287,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(found), pa.binary()), pa.array([i for i, _, _ in found], pa.int32()), pa.array([s for _, s, _ in found], pa.int32()), *(pa.array(table[:, k]) for k in range(2 + 2 * SIGNS))], names=names)
 
     names = [c.split()[0] for c in _DOCS.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(describe, _DOCS)
+    return batched(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(describe, _DOCS)
 
 
 def _plans(counted: DataFrame) -> dict[int, tuple[int, np.ndarray]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, bounded_sample, fold_of, mix64, read_table
+from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, read_table
 
 TABLE = 1 << 16
 CHAIN = 64
@@ -183,7 +183,7 @@ def splice(pieces: list[tuple[str, list[bytes]]], labels: list[str], seed: int =
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, windows: int = WINDOWS) -> Field | None:
     """A field from at most sample_rows rows with label and text, and evenly spread stretches of CHAIN words of each."""
     named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = bounded_sample(docs.select(id_col, F.col(text_col).alias("t")), named.select(id_col, F.col(label_col).cast("string").alias("y")), sample_rows, id_col)
+    rows = bounded_sample(batched(docs).select(id_col, F.col(text_col).alias("t")), named.select(id_col, F.col(label_col).cast("string").alias("y")), sample_rows, id_col)
 
     def stretches(batches):
         for batch in batches:
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, field: Field | None, text_col: str = "text") -> Da
             shares.append((np.bincount(post.argmax(axis=1), minlength=len(mean)) / len(words)).tolist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.list_(pa.float64()))], names=["lang_pred", "score", "word_shares"])
 
-    return docs.withColumn("_lang", predict(text_col)).select(*docs.columns, "_lang.*")
+    return batched(docs).withColumn("_lang", predict(text_col)).select(*docs.columns, "_lang.*")
 
 
 def op3_language_id(spark, sf_dir):

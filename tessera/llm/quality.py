@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, bounded_sample, fold_of, mix64, read_table
+from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, read_table
 
 BUCKETS, DIMS, NONZERO = 8192, 32, 4
 SAMPLE_ROWS = 20_000
@@ -80,7 +80,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         seen = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(rows[seen, i]) for i in range(DIMS))], names=["bucket", *columns])
 
-    parts = docs.select(F.coalesce(text_col, F.lit("")).alias("t")).mapInArrow(count, "bucket long, " + ", ".join(f"{c} double" for c in columns))
+    parts = batched(docs).select(F.coalesce(text_col, F.lit("")).alias("t")).mapInArrow(count, "bucket long, " + ", ".join(f"{c} double" for c in columns))
     # entries are whole numbers, so the sums don't depend on their order; at most BUCKETS rows come back
     summed = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     out = np.zeros((BUCKETS, DIMS))
@@ -179,7 +179,7 @@ def quality(docs: DataFrame, vectors: np.ndarray, net: Network, text_col: str =
     def score(text: pa.Array) -> pa.Array:
         return pa.array(net.probability(np.array([pooled(vectors, t) for t in as_bytes(text)]).reshape(-1, 2 * DIMS)))
 
-    return docs.withColumn("score", score(text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return batched(docs).withColumn("score", score(text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op6_quality(spark, sf_dir):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, bounded_sample, read_table
+from tessera.llm.common import as_bytes, batched, bounded_sample, read_table
 
 SAMPLE_ROWS = 20_000
 MAX_VOCABULARY = 4096
@@ -92,7 +92,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, n_
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, min_g: float = MIN_G, grades: int = GRADES) -> Model:
     """A model from at most sample_rows rows of 0/1 labels and their texts."""
     known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
-    rows = bounded_sample(docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t")), known, sample_rows, id_col)
+    rows = bounded_sample(batched(docs).where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t")), known, sample_rows, id_col)
     texts = rows.select("t", "y", F.xxhash64("t").alias("k")).dropDuplicates(["k"])
 
     def distinct_words(batches):
@@ -137,7 +137,7 @@ def severity(docs: DataFrame, model: Model, text_col: str = "text", reject: floa
         out = np.array([model.score(t) for t in as_bytes(text)]).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], names=["severity", "p_toxic", "grade"])
 
-    return docs.withColumn("_score", score(text_col)).select(*docs.columns, "_score.*", (F.col("_score.p_toxic") >= reject).alias("rejected"))
+    return batched(docs).withColumn("_score", score(text_col)).select(*docs.columns, "_score.*", (F.col("_score.p_toxic") >= reject).alias("rejected"))
 
 
 def op5_toxicity(spark, sf_dir):

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, read_table
+from tessera.llm.common import batched, new_path, read_table
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     jvm = spark.sparkContext._jvm
     jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/archives"))
     role = roles(pages, id_col, payload_col, min_revisit)
-    rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(F.coalesce(payload_col, F.lit("")), "utf-8").alias("body")).join(role, "_id", "left")
+    rows = batched(pages).select(F.col(id_col).alias("_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(F.coalesce(payload_col, F.lit("")), "utf-8").alias("body")).join(role, "_id", "left")
 
     def write(batches):
         files, folder = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
