@@ -47,10 +47,12 @@ def _step(meters: float) -> float:
 def _columns(row: Column, meters: float) -> Column:
     """How many columns a row has: by the parallel of its edge farther from the equator.
 
-    Beside a pole a chord of that length spans up to pi / 3 times the longitude that the arc does, hence the 1.05.
+    Beside a pole a chord of that length spans up to pi / 3 times the longitude that the arc does, hence the 1.05; a row
+    that comes within that length of the pole is one cell.
     """
     edge = F.least(F.lit(90.0), F.greatest(F.abs(row * _step(meters)), F.abs((row + 1) * _step(meters))))
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / (1.05 * _step(meters) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)))))
+    many = F.greatest(F.lit(1), F.floor(F.lit(360.0) / (1.05 * _step(meters) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)))))
+    return F.when(edge > 90.0 - _step(meters), F.lit(1).cast("long")).otherwise(many.cast("long"))
 
 
 def _column(lon: Column, row: Column, meters: float) -> Column:
