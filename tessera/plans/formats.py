@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import features as X
-from tessera.functions.text import job_id
+from tessera.functions.text import job_id, thumbnail_query
+from tessera.operators import bundles as B
 from tessera.operators.tables import new_path
 from tessera.plans import views as W
 from tessera.sources import records as S
@@ -91,3 +92,43 @@ def daily_counts_stream(spark, d):
 )
 def session_windows(spark, d):
     return T.sessions(W.table(spark, d, "events"))
+
+
+@query("restamp_lines", "SELECT c_custkey, 'a' || repeat(chr(9), 11) || (c_custkey + 4294967296) AS value FROM customer")
+def restamp_lines(spark, d):
+    line = F.concat(F.lit("a" + "\t" * 11), F.col("c_custkey").cast("string"))
+    return B.restamped(W.table(spark, d, "customer").select("c_custkey", line.alias("value")), 2**32)
+
+
+@query("global_id_records")
+def global_id_records(spark, d):
+    record = B.global_id_record(F.col("c_custkey") + 2**32)
+    return W.table(spark, d, "customer").select("c_custkey", F.hex(record).alias("record"), B.record_is_sound(record).alias("sound"))
+
+
+@query(
+    "file_audit",
+    """WITH p AS (SELECT page_id, strlen(html) AS bytes, page_id % 7 AS k FROM pages)
+    SELECT 'f' || page_id AS name, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'not listed' WHEN 2 THEN 'size' WHEN 3 THEN 'digest' END AS problem FROM p WHERE k < 4""",
+)
+def file_audit(spark, d):
+    k = F.col("page_id") % 7
+    p = W.table(spark, d, "pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("name"), F.octet_length("html").alias("bytes"), F.sha2("html", 256).alias("sha256"), k.alias("k"))
+    listed = p.where("k <> 1").withColumn("bytes", F.col("bytes") + (F.col("k") == 2).cast("int")).withColumn("sha256", F.when(F.col("k") == 3, "x").otherwise(F.col("sha256")))
+    return B.file_audit(listed, p.where("k <> 0"))
+
+
+@query("fixture_checks", f"WITH {W.VECTORS} SELECT count(*) AS rows, count(DISTINCT location_id) AS ids, count(DISTINCT pano_id) AS panos, count_if(camera_generation <> 'gen4') AS odd FROM vectors")
+def fixture_checks(spark, d):
+    return B.fixture_problems(W.vectors(spark, d))
+
+
+@query(
+    "thumbnail_query",
+    f"""WITH {W.LOCATIONS} SELECT location_id, 'cb_client=apiv3&output=thumbnail&panoid=' || asset_id || '&w=256&h=256&yaw=' || CAST(heading AS BIGINT) || '&pitch=' || CAST(-pitch AS BIGINT) || '&thumbfov='
+    || CAST(round_even(greatest(CAST(30 AS DOUBLE), least(CAST(120 AS DOUBLE), 2 * degrees(atan(0.75 * power(CAST(2 AS DOUBLE), 1 - zoom))))), 0) AS INTEGER) AS query FROM locations""",
+)
+def thumbnail_query_(spark, d):
+    from tessera.functions.geo import thumbnail_fov
+
+    return W.locations(spark, d).select("location_id", thumbnail_query(F.col("asset_id"), F.col("heading"), F.col("pitch"), thumbnail_fov(F.col("zoom"))).alias("query"))

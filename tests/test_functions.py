@@ -88,3 +88,14 @@ def test_scalars(spark):
     assert bytes(one(spark, V.as_bytes(F.array(F.lit(-1), F.lit(127), F.lit(-127), F.lit(0))))) == b"\xff\x7f\x81\x00"
     mixed = one(spark, V.mixed(F.array(F.lit(-7), F.lit(7)), F.array(F.lit(0), F.lit(0)), 50))
     assert list(mixed) == [-3, 3]
+
+
+def test_global_id_records(spark):
+    import zlib
+
+    from tessera.operators import bundles
+
+    record = bytes(one(spark, bundles.global_id_record(F.lit(2**32 + 5))))
+    raw = (2**32 + 5).to_bytes(8, "little")
+    assert record == raw + zlib.crc32(raw).to_bytes(4, "little")
+    assert one(spark, bundles.record_is_sound(F.lit(record))) and not one(spark, bundles.record_is_sound(F.lit(record[:-1] + b"?")))
