@@ -61,6 +61,11 @@ def pin(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
     return df.select(*(keep or df.columns), one)
 
 
+def others(df: DataFrame, *new: str) -> list[str]:
+    """The columns of df that keep their place beside new ones; those of the same name are replaced."""
+    return [c for c in df.columns if c not in new]
+
+
 def fold_of(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 4."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4

@@ -9,7 +9,7 @@ posteriors, its language the one with the largest score (ties: the first by name
 Training sequences are pieces of random length from several labelled texts put together, which is how transitions
 between languages are seen. They come from at most ``sample_rows`` labelled rows with ``windows`` stretches of each.
 Words are lower-cased runs of ASCII letters and of bytes beyond ASCII; a text that is null or has no letter is ``und``
-with score 0. Without labelled rows every text is ``und``. Prediction reads whole texts, in groups of bounded size.
+with score 0. Without labelled rows every text is ``und``. Other columns pass through, those named like a result are replaced. Prediction reads whole texts, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, read_table
+from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, others, read_table
 
 TABLE = 1 << 16
 CHAIN = 64
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, field: Field | None, text_col: str = "text") -> Da
             shares.append((np.bincount(post.argmax(axis=1), minlength=len(mean)) / len(words)).tolist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.list_(pa.float64()))], names=["lang_pred", "score", "word_shares"])
 
-    return batched(docs).withColumn("_lang", predict(text_col)).select(*docs.columns, "_lang.*")
+    return batched(docs).withColumn("_lang", predict(text_col)).select(*others(docs, "lang_pred", "score", "word_shares"), "_lang.*")
 
 
 def op3_language_id(spark, sf_dir):

@@ -7,7 +7,8 @@ identifiers occur in that order in the text's sequence, with other sentences all
 known one by its own full stop ("version 2.0") are not cut, as no white space follows the stop.
 
 Null and empty texts have no sentences and match nothing. The work is per row: no shuffle, no Python, and texts of any
-length are read whole. Other columns pass through.
+length are read whole. Other columns pass through, those named like a result are replaced, and names that begin with an
+underscore are kept for the work.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pin
+from tessera.llm.common import others, pin
 
 #: Identifier -> normalised sentences that state it.
 SENTENCES = {
@@ -66,12 +67,12 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFr
     permissive is null if nothing matches, else whether every matching licence allows use.
     """
     out = pin(docs, _parts=F.filter(F.split(F.coalesce(text_col, F.lit("")), _SPLIT, -1), lambda s: F.trim(s) != ""))
-    out = pin(out, sentence_ids=_sentence_ids(F.col("_parts")), n_sentences=F.size("_parts").cast("long"))
-    line = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
+    out = pin(out, _ids=_sentence_ids(F.col("_parts")), _n=F.size("_parts").cast("long"))
+    line = F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(","))
     hits = [F.when(line.rlike(".*?".join(f",{i}," for i in ids)), F.struct(F.lit(name).alias("name"), F.lit(free).alias("free"))) for name, ids, free in rules]
     out = pin(out.drop("_parts"), _hits=F.filter(F.array(*hits), lambda x: x.isNotNull()))
     return out.select(
-        *docs.columns, "n_sentences", "sentence_ids", F.array_sort(F.col("_hits.name")).alias("licenses"),
+        *others(docs, "n_sentences", "sentence_ids", "licenses", "permissive"), F.col("_n").alias("n_sentences"), F.col("_ids").alias("sentence_ids"), F.array_sort(F.col("_hits.name")).alias("licenses"),
         F.when(F.size("_hits") > 0, F.forall("_hits.free", lambda x: x)).alias("permissive"),
     )
 

@@ -9,7 +9,8 @@ Every removed line therefore equals a line at a smaller position, so one copy of
 
 Null texts stay null, an empty text is one empty line, chunks without two non-blank lines or a long line are never
 removed. Rows without an id lose nothing and rows that share an id count as one place: equal chunks at the same line of
-them all stay. Other columns pass through unchanged.
+them all stay. Other columns pass through unchanged; n_lines and removed replace columns of the same name, and names
+that begin with an underscore are kept for the work.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pin, stored
+from tessera.llm.common import others, pin, stored
 
 LONG_WORDS = 25
 MIN_WORDS = 50
@@ -78,7 +79,8 @@ def removed_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = again.groupBy("from_id", "from", "to").agg(F.max("back").alias("_back"), F.max("on").alias("_on"))
     wanted = wanted.groupBy("from_id").agg(F.collect_list(F.struct("from", "to", "_back", "_on")).alias("wanted"))
     # the same rows and columns that line_dedup joins later, so that one exchange of the texts serves both
-    kept = pin(docs.join(wanted, F.col(id_col) == F.col("from_id")), "from_id", "wanted", _lines=F.split(text_col, "\n", -1))
+    texts = docs.select(id_col, text_col)
+    kept = pin(texts.join(wanted, F.col(id_col) == F.col("from_id")), "from_id", "wanted", _lines=F.split(text_col, "\n", -1))
 
     def piece(c):
         line = lambda i: F.get("_lines", i)
@@ -104,11 +106,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = pin(out, _lines=F.split(text_col, "\n", -1))
     same = F.filter("_regions", lambda r: F.array_join(F.slice("_lines", r["begin"] + 1, r["finish"] - r["begin"]), "\n") == r["copy"])
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda r: F.sequence(r["begin"], r["finish"] - 1)))))
-    out = pin(out, *docs.columns, "_lines", removed=F.coalesce(gone, F.array().cast("array<int>")))
-    out = pin(out, _kept=F.when(F.size("removed") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")))
+    out = pin(out, *docs.columns, "_lines", _removed=F.coalesce(gone, F.array().cast("array<int>")))
+    out = pin(out, _kept=F.when(F.size("_removed") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")))
     text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    rest = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), "removed")
+    rest = [text.alias(c) if c == text_col else F.col(c) for c in others(docs, "n_lines", "removed")]
+    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), F.col("_removed").alias("removed"))
 
 
 def op1_line_dedup(spark, sf_dir):

@@ -8,7 +8,7 @@ the spread of its tokens' normalised vectors. A two-layer network (tanh, logisti
 ``sample_rows`` labelled rows; a temperature, chosen on a fifth of them that the fit leaves out, calibrates it.
 
 Null and empty texts pool to zeros and get the network's score of that. With labels of one kind or none, every score is
-the smoothed share of ones. Texts of any length are read whole; other columns pass through.
+the smoothed share of ones. Texts of any length are read whole; other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations

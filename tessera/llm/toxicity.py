@@ -9,7 +9,8 @@ P(grade > j), and the probability of any toxicity, P(grade > 0).
 
 The fit takes at most ``sample_rows`` labelled rows, chosen by a hash of their id; copies of a text count once among
 them. The counts that choose the vocabulary are Spark aggregates over these rows. Scoring reads every text whole. Null and empty
-texts and texts without vocabulary words have no features; an empty label table gives severity 0 throughout.
+texts and texts without vocabulary words have no features; an empty label table gives severity 0 throughout. Other
+columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, batched, bounded_sample, read_table
+from tessera.llm.common import as_bytes, batched, bounded_sample, others, read_table
 
 SAMPLE_ROWS = 20_000
 MAX_VOCABULARY = 4096
@@ -137,7 +138,7 @@ def severity(docs: DataFrame, model: Model, text_col: str = "text", reject: floa
         out = np.array([model.score(t) for t in as_bytes(text)]).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], names=["severity", "p_toxic", "grade"])
 
-    return batched(docs).withColumn("_score", score(text_col)).select(*docs.columns, "_score.*", (F.col("_score.p_toxic") >= reject).alias("rejected"))
+    return batched(docs).withColumn("_score", score(text_col)).select(*others(docs, "severity", "p_toxic", "grade", "rejected"), "_score.*", (F.col("_score.p_toxic") >= reject).alias("rejected"))
 
 
 def op5_toxicity(spark, sf_dir):
