@@ -30,7 +30,7 @@ MAX_VOCABULARY = 4096
 MIN_G = 22.0
 GRADES = 4
 #: Rows of at least this probability of toxicity are rejected.
-REJECT = 0.6
+REJECT = 0.5
 
 #: ASCII letters (lower-cased) and bytes beyond ASCII make words.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
