@@ -206,3 +206,43 @@ def map_batches(spark, d):
 @query("storage_cost", "SELECT s_suppkey, round(greatest(CAST(0 AS DOUBLE), s_acctbal / CAST(100 AS DOUBLE) - 10) * CAST(0.015 AS DOUBLE), 4) AS cost FROM supplier")
 def storage_cost(spark, d):
     return W.table(spark, d, "supplier").select("s_suppkey", F.round(F.greatest(F.lit(0.0), F.col("s_acctbal") / 100 - 10) * 0.015, 4).alias("cost"))
+
+
+@query(
+    "rights_gate",
+    """WITH s AS (SELECT s_suppkey AS k, ['synthetic', 'wikimedia', 'google', 'other'][s_suppkey % 4 + 1] AS source FROM supplier)
+    SELECT k AS s_suppkey, CASE source WHEN 'google' THEN 'google_source_forbidden' WHEN 'other' THEN 'unknown_source' WHEN 'synthetic' THEN CASE WHEN k % 3 = 0 THEN 'synthetic_rights_marker_missing' END
+        ELSE CASE WHEN k % 5 = 1 THEN 'rights_source_mismatch' WHEN k % 3 = 1 THEN 'rights_incomplete' WHEN k % 7 = 0 THEN 'written_rights_evidence_required' END END AS problem FROM s""",
+)
+def rights_gate(spark, d):
+    from tessera.sources.catalogs import PERMITS, rights_problem
+
+    k = F.col("s_suppkey")
+    source = F.element_at(F.array(*map(F.lit, ("synthetic", "wikimedia", "google", "other"))), (k % 4 + 1).cast("int"))
+    permits = F.array(*map(F.lit, PERMITS))
+    grant = F.struct(
+        F.when(k % 3 != 0, "synthetic-test-data").alias("rights"), F.when(k % 5 != 1, "wikimedia").otherwise("x").alias("source"),
+        F.when(k % 3 == 1, F.slice(permits, 1, 4)).otherwise(permits).alias("permits"), (k % 7 != 0).alias("written_evidence"), F.lit("by someone").alias("attribution"),
+    )
+    return W.table(spark, d, "supplier").select("s_suppkey", rights_problem(source, grant).alias("problem"))
+
+
+@query("import_idempotence", "SELECT sha256(text) AS sha256, min('f' || doc_id) AS name FROM documents GROUP BY 1 HAVING bool_and(doc_id % 3 <> 0)")
+def import_idempotence(spark, d):
+    from tessera.sources.catalogs import unseen_files
+
+    files = W.table(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), F.col("doc_id"))
+    return unseen_files(files.select("sha256", "name"), files.where("doc_id % 3 = 0").select("sha256").distinct())
+
+
+@query("median_throughput", "SELECT event_type, round(median(value), 6) AS median_value, count(*) AS n FROM events GROUP BY event_type")
+def median_throughput(spark, d):
+    return W.table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("n"))
+
+
+@query("reservation_check", f"WITH {W.SHARDS}, t AS (SELECT lane, max(next_row) AS cursor FROM shards GROUP BY lane) SELECT shard_id, row_count - 50 >= cursor AS reserved FROM shards JOIN t USING (lane)")
+def reservation_check(spark, d):
+    """Whether a shard's last fifty rows start after the local cursor of its lane."""
+    shards = W.shards(spark, d)
+    cursor = shards.groupBy("lane").agg(F.max("next_row").alias("cursor"))
+    return shards.join(cursor, "lane").select("shard_id", (F.col("row_count") - 50 >= F.col("cursor")).alias("reserved"))

@@ -132,3 +132,37 @@ def thumbnail_query_(spark, d):
     from tessera.functions.geo import thumbnail_fov
 
     return W.locations(spark, d).select("location_id", thumbnail_query(F.col("asset_id"), F.col("heading"), F.col("pitch"), thumbnail_fov(F.col("zoom"))).alias("query"))
+
+
+@query("seal_and_search")
+def seal_and_search(spark, d):
+    """Extract, publish as segments, read back and rank against the first row: a location finds itself first."""
+    from tessera.functions import vectors as V
+
+    root = new_path(spark, "sealed")
+    rows = _poses(spark, d, "scene").drop("embedding").join(W.locations(spark, d).select("location_id", X.vector_of(_key(), F.col("lane")).alias("embedding")), "location_id")
+    S.publish_segments(rows, root, "scene", 96)
+    hexed = F.hex("embedding")
+    byte = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: V.signed(F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int")).cast("double"))
+    index = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").load().select("location_id", byte.alias("vector"))
+    first = index.orderBy("location_id").first()
+    hits = index.select("location_id", V.best_view(F.array(*map(F.lit, first.vector)), F.col("vector"))["score"].alias("score"))
+    return hits.orderBy(F.desc("score"), "location_id").limit(25).withColumn("score", F.round("score", 6))
+
+
+@query("four_view_difference", "SELECT 3 AS locations, 3 AS views, 0 AS scales, 3 AS bytes")
+def four_view_difference(spark, d):
+    """Two files of records that differ in one byte of three records."""
+    import numpy as np
+
+    S.register(spark)
+    raw = np.random.default_rng(1).integers(0, 255, (64, 4, 770), dtype=np.uint8)
+    raw[:, :, :2] = np.frombuffer(np.float16(0.25).tobytes(), np.uint8)
+    changed = raw.copy()
+    changed[[3, 20, 63], [0, 1, 3], [2, 300, 769]] ^= 1
+    frames = []
+    for data in (raw, changed):
+        path = new_path(spark, "views") + "/shard.i8"
+        S.write_bytes(path, data.tobytes())
+        frames.append(spark.read.format("four_view").option("path", path).option("rowsPerPartition", "16").load())
+    return S.byte_difference(*frames)

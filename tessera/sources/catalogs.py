@@ -67,3 +67,37 @@ def export_rows(docs: DataFrame, column: str = "value") -> DataFrame:
     inner = F.flatten(F.transform(listed, lambda x: F.coalesce(F.from_json(F.get_json_object(x, "$.results"), "array<string>"), F.array(x))))
     one = F.from_json(F.get_json_object(text, "$.results"), "array<string>")
     return docs.select(F.explode(F.when(F.substring(F.ltrim(text), 1, 1) == "[", inner).otherwise(one)).alias("row"))
+
+
+#: What a grant has to permit.
+PERMITS = ("fetch", "transform", "redistribute_to_workers", "retain_derived_index", "display_search_results")
+PREFIX_OF = {"synthetic": "synthetic:", "wikimedia": "wikimedia:"}
+
+
+def rights_problem(source: Column, grant: Column) -> Column:
+    """Why a source may not be read, or null; grant has rights, source, permits, written_evidence and attribution."""
+    lacking = F.size(F.array_except(F.array(*map(F.lit, PERMITS)), F.coalesce(grant["permits"], F.array().cast("array<string>")))) > 0
+    invented = source.isin("synthetic", "synthetic-test-data")
+    return (
+        F.when(source.isin("google", "streetview"), "google_source_forbidden")
+        .when(invented, F.when(F.coalesce(grant["rights"], F.lit("")) != "synthetic-test-data", "synthetic_rights_marker_missing"))
+        .when(F.coalesce(source, F.lit("")) != "wikimedia", "unknown_source")
+        .when(grant.isNull(), "rights_grant_required")
+        .when(~grant["source"].eqNullSafe(source), "rights_source_mismatch")
+        .when(lacking, "rights_incomplete")
+        .when(~F.coalesce(grant["written_evidence"], F.lit(False)), "written_rights_evidence_required")
+        .when(F.trim(F.coalesce(grant["attribution"], F.lit(""))) == "", "attribution_required")
+    )
+
+
+def asset_problem(source: Column, asset: Column) -> Column:
+    """Why a record of a gated source is refused, or null."""
+    low = F.lower(asset)
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for kv in PREFIX_OF.items() for x in kv]), source)
+    return F.when(low.contains("maps.googleapis.com") | low.contains("streetview") | low.startswith("google"), "google_source_forbidden").when(wanted.isNotNull() & ~asset.startswith(wanted), F.concat(source, F.lit("_prefix_required")))
+
+
+def unseen_files(listing: DataFrame, done: DataFrame) -> DataFrame:
+    """Files (sha256) that no earlier import has recorded; of equal ones the first by name."""
+    first = listing.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in listing.columns if c != "sha256"]), "name").alias("f"))
+    return first.join(done.select("sha256"), "sha256", "left_anti").select("sha256", "f.*")
