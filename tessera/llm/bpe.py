@@ -6,9 +6,10 @@ node has a last-token state: the only token that ends the encoding of the node's
 suffix of the prefix, whose own bytes encode as t, and before which the last token p of the shorter prefix stands such
 that p + t encodes as [p, t]; this is so because any part of a merge-ordered encoding is itself the encoding of its
 bytes. The states of the current path are a stack, so an encoding is read off backwards from the node of its last byte.
-Encoded words are kept in a bounded cache per worker, emptied when full; that repeats work and changes nothing.
+Encoded words are kept in a bounded cache per worker, which keeps the words of the present part when it is
+full; that repeats some work and changes nothing.
 
-Null text encodes as no tokens. Texts of any length are encoded whole, in parts of bounded size. Other columns stay.
+Null text encodes as no tokens. Texts of any length are encoded whole, in parts of bounded size. Other columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batched, read_table
+from tessera.llm.common import batched, others, read_table
 
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 500_000
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 200_000
 #: Characters of text whose words are put into one trie.
-GROUP_CHARS = 3_000_000
-CHUNK_WORDS = 500_000
+GROUP_CHARS = 2_000_000
+CHUNK_WORDS = 300_000
 
 #: Fixed value: the byte-level pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,8 +54,8 @@ class Coder:
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = doc["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in doc["added_tokens"]}
-        self.bytes_of: dict[int, bytes] = {i: raw(s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        bytes_of = {i: raw(s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
         self.token_of = {raw(s): i for s, i in vocab.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in doc["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
@@ -159,9 +160,10 @@ class Coder:
         return out
 
     def _learn(self, words) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        fresh = set(words).difference(self.words)
+        own = set(words)
+        fresh = own.difference(self.words)
+        if len(self.words) + len(fresh) > CACHE_WORDS:  # common words are among those of this part and stay
+            self.words = {w: self.words[w] for w in own.difference(fresh)}
         if fresh:
             self.words |= self.encode_words(fresh)
 
@@ -250,7 +252,7 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             decoded_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return batched(docs).withColumn("_digest", digest(text_col)).select(*docs.columns, "_digest.*")
+    return batched(docs).withColumn("_digest", digest(text_col)).select(*others(docs, "n_tokens", "ids_sha256", "decoded_sha256"), "_digest.*")
 
 
 def default_path() -> str:

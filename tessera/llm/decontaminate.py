@@ -10,7 +10,8 @@ The broadcast holds at most ``block_windows`` windows. A larger benchmark is dea
 each block is scanned in its own pass and the passes meet per document, so size never drops a window.
 
 Null texts and texts without words have no words and no hits. Items with null or empty text match nothing. Repeated
-items each count. Other columns pass through the annotating and removing functions.
+items each count. Other columns pass through the annotating and removing functions; those named like a result are
+replaced, and names that begin with an underscore are kept for the work.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, batched, mix64, read_table
+from tessera.llm.common import as_bytes, batched, mix64, others, read_table
 
 N = 10
 #: Windows that one broadcast may hold (about 200 bytes each).
@@ -163,11 +164,11 @@ def _n_hit(spans):
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with n_words, n_hit, items (sorted names), contaminated."""
     out = scanned(docs, benchmark, text_col, **options)
-    return out.select(*docs.columns, F.col("_scan.n_words").alias("n_words"), _n_hit(F.col("_scan.spans")).alias("n_hit"), F.col("_scan.items").alias("items"), (F.size("_scan.spans") > 0).alias("contaminated"))
+    return out.select(*others(docs, "n_words", "n_hit", "items", "contaminated"), F.col("_scan.n_words").alias("n_words"), _n_hit(F.col("_scan.spans")).alias("n_hit"), F.col("_scan.items").alias("items"), (F.size("_scan.spans") > 0).alias("contaminated"))
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """text without the bytes from the first to the last word of each span."""
+    """text without the bytes from the first to the last word of each span; spans may overlap."""
     folded = np.frombuffer(text.translate(_FOLD), dtype=np.uint8) != 0x20
     edge = np.flatnonzero(np.diff(np.concatenate([[False], folded, [False]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
@@ -178,17 +179,32 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without the hit spans; with drop_share, documents whose share of hit words reaches it go as a whole."""
+    blocks = _blocks(benchmark, item_col, item_text, block_windows)
+    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator() if r["item"] is not None], n) for b in blocks[:1]]
+
+    @F.arrow_udf("n_words long, n_hit long, text string")
+    def clean(text: pa.Array) -> pa.Array:
+        rows = []
+        for t in text.cast(pa.binary()).to_pylist():
+            count, spans, _ = scan_text(every[0], t or b"")
+            rows.append((count, sum(b - a for a, b in spans), None if t is None else (cut_spans(t, spans) if spans else t).decode()))
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["n_words", "n_hit", "text"])
 
     @F.arrow_udf(T.StringType())
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([None if t is None else cut_spans(t, [(s["start"], s["end"]) for s in at]).decode() for t, at in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)], type=pa.string())
 
-    out = scanned(docs, benchmark, text_col, **options)
+    if len(blocks) == 1:  # one function scans and cuts
+        out = batched(docs).withColumn("_clean", clean(text_col))
+        n_words, n_hit, text = (F.col(f"_clean.{c}") for c in ("n_words", "n_hit", "text"))
+    else:
+        out = scanned(docs, benchmark, text_col, item_col, item_text, n, block_windows)
+        n_words, n_hit = F.col("_scan.n_words"), _n_hit(F.col("_scan.spans"))
+        text = F.when(F.size("_scan.spans") > 0, cut(text_col, F.col("_scan.spans"))).otherwise(F.col(text_col))
     if drop_share is not None:
-        out = out.where((F.size("_scan.spans") == 0) | (_n_hit(F.col("_scan.spans")) < drop_share * F.col("_scan.n_words")))
-    text = F.when(F.size("_scan.spans") > 0, cut(text_col, F.col("_scan.spans"))).otherwise(F.col(text_col))
+        out = out.where((n_hit == 0) | (n_hit < drop_share * n_words))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

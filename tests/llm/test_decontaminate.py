@@ -46,6 +46,7 @@ def test_random_texts_match_brute_force(spark):
 def test_spans_and_documents_go(spark):
     docs, bench = frames(spark)
     cut = {(r.doc_id, r.extra): r.text for r in D.decontaminate(docs, bench).collect()}
+    assert cut == {(r.doc_id, r.extra): r.text for r in D.decontaminate(docs, bench, block_windows=8).collect()}
     assert cut[1, 1] == "so ! end" and cut[3, 3] is None and cut[5, 6] == "clean text here" and cut[7, 7] == ""
     kept = {r.extra for r in D.decontaminate(docs, bench, drop_share=0.9).collect()}
     assert kept == {1, 3, 4, 5, 6, 8}
