@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 
@@ -159,6 +160,9 @@ class Coder:
             out[word] = np.array(ids[::-1], dtype="<u4").tobytes()
         return out
 
+    def forget(self) -> None:
+        self.words, self.follows, self.spine_of = {}, {}, {}
+
     def _learn(self, words) -> None:
         own = set(words)
         fresh = own.difference(self.words)
@@ -221,10 +225,13 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     """docs with ids_col, an array of token ids."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(text: pa.Array) -> pa.Array:
-        ids = list(coder(path).encode_all(_texts(text)))
-        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = coder(path)
+        for text in texts:
+            ids = list(own.encode_all(_texts(text)))
+            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+        own.forget()  # the worker may go on with other stages
 
     return batched(docs).withColumn(ids_col, encode(text_col))
 

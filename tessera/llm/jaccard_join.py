@@ -42,14 +42,14 @@ from tessera.llm.components import components
 
 RATIO = 1.5
 BLOCK = 2048
-BLOCK_ELEMENTS = 4_000_000
+BLOCK_ELEMENTS = 2_000_000
 #: Cost of comparing two sketches, in units of handling one signature.
 PAIR_COST = 0.03
 SIGNS = 8
 #: Instances with more segments than this keep the plain allocation, which bounds the table of counts.
 COUNTED_SEGMENTS = 4096
 #: Copies that a task remembers, so as not to index them again.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _U = np.uint64
 
