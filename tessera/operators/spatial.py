@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import DUPLICATE_M, EARTH_RADIUS_M, MAX_EXCLUDED, PRUNE_M, USED_M
@@ -15,11 +15,10 @@ def within(left: DataFrame, right: DataFrame, meters: float, on: tuple[str, ...]
     """left joined with right (columns renamed r_...) where on agrees and the points (lat, lon) lie within meters.
 
     right's points are put into their cell and left's look into at most nine; the rest is an equi-join with a residual
-    condition, so no pair of far cells is ever formed. kind is left_semi, left_anti or inner.
+    condition, so no pair of far cells is ever formed. kind is left_semi (distinct rows of left) or inner.
     """
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], own_cell(F.col("lat"), F.col("lon"), meters).alias("r_cell"))
-    probe = left.withColumn("_row", F.monotonically_increasing_id()) if kind != "inner" else left
-    looked = probe.withColumn("_cell", F.explode(near_cells(F.col("lat"), F.col("lon"), meters)))
+    looked = left.withColumn("_cell", F.explode(near_cells(F.col("lat"), F.col("lon"), meters)))
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     near = distance <= meters if inclusive else distance < meters
     condition = (F.col("_cell") == F.col("r_cell")) & near
@@ -29,8 +28,7 @@ def within(left: DataFrame, right: DataFrame, meters: float, on: tuple[str, ...]
         condition &= extra
     if kind == "inner":
         return looked.join(r, condition, "inner").drop("_cell", "r_cell")
-    hit = looked.join(r, condition, "left_semi").select(*left.columns).distinct()
-    return hit
+    return looked.join(r, condition, "left_semi").select(*left.columns).distinct()
 
 
 def duplicate_flags(locations: DataFrame, meters: float = DUPLICATE_M) -> DataFrame:

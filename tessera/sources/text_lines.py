@@ -50,7 +50,7 @@ def read_any(spark: SparkSession, path: str, lane: str, model: str) -> DataFrame
     return rows.select(F.col("pano_id").alias("asset_id"), F.lit("unknown").alias("capture"), F.lit(lane).alias("lane"), F.lit(model).alias("model"), "lat", "lng", "heading", "pitch", "zoom", "country", "camera_generation")
 
 
-def as_lines(rows: DataFrame, numbers: str = "number_15g") -> DataFrame:
+def as_lines(rows: DataFrame) -> DataFrame:
     """One column of 11-column lines, ids as they are; a field with a tab or line break is an error."""
     from tessera.functions.text import number_15g
 
