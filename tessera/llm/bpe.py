@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import batched, others, read_table
 
 CACHE_WORDS = 300_000
-CACHE_PAIRS = 200_000
+#: Where a task does nothing else and the worker isn't shared with other stages.
+LARGE_CACHE = 900_000
 #: Characters of text whose words are put into one trie.
 GROUP_CHARS = 2_000_000
 CHUNK_WORDS = 300_000
@@ -48,7 +49,8 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Coder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         with open(path, encoding="utf-8") as f:
             doc = json.load(f)
         to_byte = byte_of_symbol()
@@ -119,7 +121,7 @@ class Coder:
         key = (last + 1) << 32 | token
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) >= CACHE_PAIRS:
+            if len(self.follows) >= self.cache_words:
                 self.follows.clear()
             if self.ordered and last >= 0 and self.may_follow(-1, token):
                 known = self.stay_apart(last, token)
@@ -166,7 +168,7 @@ class Coder:
     def _learn(self, words) -> None:
         own = set(words)
         fresh = own.difference(self.words)
-        if len(self.words) + len(fresh) > CACHE_WORDS:  # common words are among those of this part and stay
+        if len(self.words) + len(fresh) > self.cache_words:  # common words are among those of this part and stay
             self.words = {w: self.words[w] for w in own.difference(fresh)}
         if fresh:
             self.words |= self.encode_words(fresh)
@@ -213,8 +215,8 @@ class Coder:
 
 
 @cache
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, cache_words: int = CACHE_WORDS) -> Coder:
+    return Coder(path, cache_words)
 
 
 def _texts(column) -> list[str | None]:
@@ -252,7 +254,7 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
     @F.arrow_udf(kind)
     def digest(text: pa.Array) -> pa.Array:
-        own, n, ids_sha, decoded_sha = coder(path), [], [], []
+        own, n, ids_sha, decoded_sha = coder(path, LARGE_CACHE), [], [], []
         for ids in own.encode_all(_texts(text)):
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())

@@ -27,10 +27,9 @@ def test_equals_the_library_on_edges_and_random_texts(library):
 def test_long_texts_and_a_full_cache_change_nothing(monkeypatch, library):
     monkeypatch.setattr(B, "GROUP_CHARS", 50)
     monkeypatch.setattr(B, "CHUNK_WORDS", 7)
-    monkeypatch.setattr(B, "CACHE_WORDS", 20)
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("abcde'") for _ in range(rng.randint(1, 9))) for _ in range(3000))
-    assert np.frombuffer(B.Coder(B.default_path()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(B.Coder(B.default_path(), 20).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_frames(spark):
