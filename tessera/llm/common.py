@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 import zlib
@@ -11,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words for the shingle operators.
-WORD_BREAKS = b" \t\n\x0b\x0c\r"
+
+#: SQL: a text with A-Z lower-cased, null as empty.
+LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, batched, mix64, others, read_table
+from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, others, read_table
 
 N = 10
 #: Windows that one broadcast may hold (about 200 bytes each).
@@ -182,7 +182,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without the hit spans; with drop_share, documents whose share of hit words reaches it go as a whole."""
     blocks = _blocks(benchmark, item_col, item_text, block_windows)
-    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator() if r["item"] is not None], n) for b in blocks[:1]]
+    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator() if r["item"] is not None], n) for b in blocks] if len(blocks) == 1 else []
 
     @F.arrow_udf("n_words long, n_hit long, text string")
     def clean(text: pa.Array) -> pa.Array:
@@ -214,6 +214,24 @@ def op10_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+_WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({N}, len(w)) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
+g AS (SELECT DISTINCT item, n, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) AS gram FROM i),
+s AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, n, range(len(w) - n + 1) AS ks, list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' ')) AS grams FROM d JOIN s ON len(w) >= n),
+q AS (SELECT doc_id, n, unnest(ks) AS k, unnest(grams) AS gram FROM p),
+h AS (SELECT doc_id, n, k, item FROM q JOIN g USING (n, gram)),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""  # noqa: S608
+
+
 def brute(text: str | None, items: list[tuple[str, str | None]], n: int = N) -> tuple[int, int, str, bool]:
     """The same by plain search, for tests."""
     words = words_of((text or "").encode())

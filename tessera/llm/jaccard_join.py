@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, batched, mix64, read_table, stored
+from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, read_table, stored
 from tessera.llm.components import components
 
 RATIO = 1.5
@@ -456,3 +456,20 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
 def op2_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+k AS (SELECT doc_id, g, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS node FROM s),
+r AS (SELECT node, min(doc_id) AS id, any_value(n) AS n, any_value(g) AS g FROM k WHERE n > 0 GROUP BY node),
+e AS (SELECT id, n, unnest(g) AS x FROM r),
+l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+        GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+t AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(id, to_id) AS (SELECT id, id FROM r UNION SELECT c.id, t.b FROM c JOIN t ON c.to_id = t.a),
+o AS (SELECT id, min(to_id) AS component FROM c GROUP BY id)
+SELECT doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM k LEFT JOIN r ON r.node = k.node AND k.n > 0 LEFT JOIN o USING (id)
+"""  # noqa: S608

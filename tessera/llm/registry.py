@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL, "op7_vp_search": vp_search.SQL, "op9_warc": warc.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op8_license_scan": license_scan.SQL,
+        "op2_jaccard_join": jaccard_join.SQL,
+        "op7_vp_search": vp_search.SQL,
+        "op9_warc": warc.SQL,
+        "op10_decontaminate": decontaminate.SQL,
+    }
