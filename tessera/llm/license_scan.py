@@ -6,6 +6,11 @@ known licence sentences, which gives a short identifier. A rule is an ordered li
 identifiers occur in that order in the text's sequence, with other sentences allowed between. Sentences split off a
 known one by its own full stop ("version 2.0") are not cut, as no white space follows the stop.
 
+A known sentence may also be wrapped: it is found in every run of whole lines with one line end, and any comment or list
+marks, between two of them, as long as neither a blank line, a semicolon nor a full stop cuts the run. SENTENCES and
+RULES are what the SQL states; WHOLE_SENTENCES and WHOLE_RULES add the wording of the standard notices, which the SQL
+doesn't know, and wrapped sentences are outside it too. n_sentences counts the unjoined sentences.
+
 Null and empty texts have no sentences and match nothing. The work is per row: no shuffle, no Python, and texts of any
 length are read whole. Other columns pass through, those named like a result are replaced, and names that begin with an
 underscore are kept for the work.
@@ -51,28 +56,78 @@ RULES = [
     ("proprietary", ["all-rights"], False),
 ]
 
+#: Whole sentences of the standard notices; * stands for one to twelve words.
+WHOLE_SENTENCES = {
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit-notice": ["the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"],
+    "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement"],
+    "apache2-name": ["licensed under the apache license version 2 0 the license", "this project is licensed under the apache license version 2 0"],
+    "apache2-terms": ["you may not use this file except in compliance with the license", "you may obtain a copy of the license at", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
+    "apache2-warranty": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "gpl3-free": [f"{who} is free software you can redistribute it and or modify it under the terms of the gnu general public license {what}" for who in ("this program", "*") for what in ("as published by the free software foundation either version 3 of the license or at your option any later version", "as published by the free software foundation version 3", "as published by the free software foundation version 3 of the license", "version 3 as published by the free software foundation")],
+    "gpl-free": ["* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl3-version": ["either version 3 of the license or at your option any later version"],
+    "gpl-warranty": ["* is distributed in the hope that it will be useful but without any warranty", "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "cc-by4": ["this work is licensed under a creative commons attribution 4 0 international license", "this work is licensed under the creative commons attribution 4 0 international license"],
+    "cc-by-nc4": ["this work is licensed under the creative commons attribution noncommercial 4 0 international license"],
+    "bsd-endorse": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-as-is": ["this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+}
+
+#: Rules over the sentences that only WHOLE_SENTENCES knows, like RULES.
+WHOLE_RULES = [
+    ("GPL-3.0", ["gpl3-free", "gpl-warranty"], False),
+    ("GPL-3.0", ["gpl-free", "gpl3-version", "gpl-warranty"], False),
+    ("GPL-notice", ["gpl3-free", "gpl-warranty"], False),
+]
+
 _SPLIT = r"[\n\r;]+|(?<=[.!?])\s+"
 
 
-def _sentence_ids(sentences: Column) -> Column:
-    """Identifiers of the recognised sentences, in order."""
-    known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
-    norm = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " ")))
-    return F.filter(F.transform(norm, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+_STOP = "\x01"
+_GAP = r"(?: ?\n ?| )"
+
+
+def _pattern(sentence: str, gap: str = _GAP) -> str:
+    """A regular expression for a known sentence whose words are gap apart."""
+    words = [w if w != "*" else rf"[\p{{L}}\p{{N}}]+(?:{gap}[\p{{L}}\p{{N}}]+){{0,11}}?" for w in sentence.split()]
+    return gap.join(words)
+
+
+def _known() -> list[tuple[str, str]]:
+    """(sentence, identifier), longer sentences first."""
+    pairs = {t: name for part in (WHOLE_SENTENCES, SENTENCES) for name, texts in part.items() for t in texts}
+    return sorted(pairs.items(), key=lambda x: (-len(x[0]), x[0]))
+
+
+def _sentence_ids(text: Column) -> Column:
+    """Identifiers of the recognised sentences, in order; a sentence begins and ends with a line or at a stop."""
+    lines = F.replace(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    norm = F.regexp_replace(F.regexp_replace(lines, r";+|(?<=[.!?])\s+", _STOP), rf"[^\p{{L}}\p{{N}}\n{_STOP}]+", " ")
+    known = _known()
+    # a list number of its own ("1) ...") may stand before a sentence
+    every = rf"(?:^|[\n{_STOP}]) ?(?:\p{{N}}{{1,2}} )?({'|'.join(_pattern(t) for t, _ in known)})(?= ?(?:[\n{_STOP}]|$))"
+    found = F.transform(F.regexp_extract_all(norm, F.lit(every), F.lit(1)), lambda m: F.regexp_replace(m, r"\s+", " "))
+
+    def name(m):
+        plain = F.create_map(*[F.lit(x) for t, i in known if "*" not in t for x in (t, i)])
+        return F.coalesce(F.try_element_at(plain, m), *[F.when(m.rlike(f"^{_pattern(t, ' ')}$"), i) for t, i in known if "*" in t])
+
+    return F.transform(found, name)
 
 
-def license_scan(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+def license_scan(docs: DataFrame, text_col: str = "text", rules=(*RULES, *WHOLE_RULES)) -> DataFrame:
     """docs with n_sentences, sentence_ids (ordered), licenses (sorted names of matching rules) and permissive.
 
     permissive is null if nothing matches, else whether every matching licence allows use.
     """
     out = pin(docs, _parts=F.filter(F.split(F.coalesce(text_col, F.lit("")), _SPLIT, -1), lambda s: F.trim(s) != ""))
-    out = pin(out, _ids=_sentence_ids(F.col("_parts")), _n=F.size("_parts").cast("long"))
+    out = pin(out, _ids=_sentence_ids(F.coalesce(text_col, F.lit(""))), _n=F.size("_parts").cast("long"))
     line = F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(","))
     hits = [F.when(line.rlike(".*?".join(f",{i}," for i in ids)), F.struct(F.lit(name).alias("name"), F.lit(free).alias("free"))) for name, ids, free in rules]
     out = pin(out.drop("_parts"), _hits=F.filter(F.array(*hits), lambda x: x.isNotNull()))
     return out.select(
-        *others(docs, "n_sentences", "sentence_ids", "licenses", "permissive"), F.col("_n").alias("n_sentences"), F.col("_ids").alias("sentence_ids"), F.array_sort(F.col("_hits.name")).alias("licenses"),
+        *others(docs, "n_sentences", "sentence_ids", "licenses", "permissive"), F.col("_n").alias("n_sentences"), F.col("_ids").alias("sentence_ids"), F.array_sort(F.array_distinct(F.col("_hits.name"))).alias("licenses"),
         F.when(F.size("_hits") > 0, F.forall("_hits.free", lambda x: x)).alias("permissive"),
     )
 

@@ -21,3 +21,68 @@ def test_sentences_in_running_text_and_edges(spark):
 
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+APACHE_TITLE = "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"
+GPL_TITLE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"
+GPL = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Body Ltd nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_standard_notices_as_they_are_wrapped(spark):
+    texts = [MIT, APACHE, APACHE_TITLE, GPL_TITLE, GPL.format(":", ",", 3), GPL.format(";", ";", 3), GPL.format(";", ";", 2), BSD3, BSD3.split("3. ")[0], BSD3.replace("1.", "1)"), MIT.replace("\n", "\r\n"), "A title\n" + MIT[MIT.index("Perm") :]]
+    want = [["MIT"], ["Apache-2.0"], ["Apache-2.0"], ["GPL-3.0"], ["GPL-3.0", "GPL-notice"], ["GPL-3.0", "GPL-notice"], ["GPL-notice"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-2-Clause", "BSD-3-Clause"], ["MIT"], ["MIT"]]
+    assert [licenses for licenses, _ in scan(spark, *texts)] == want
+
+
+def test_runs_end_at_blank_lines_and_stops(spark):
+    assert scan(spark, "Released under\n\nthe MIT license", "Released under; the MIT license", "Not\nreleased under the MIT\nlicense", "We are not released under the MIT\nlicense", "Released under the MIT license or not") == [([], None), ([], None), (["MIT"], True), ([], None), ([], None)]
