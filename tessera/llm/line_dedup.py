@@ -11,6 +11,10 @@ Null texts stay null, an empty text is one empty line, chunks without two non-bl
 removed. Rows without an id lose nothing and rows that share an id count as one place: equal chunks at the same line of
 them all stay. Other columns pass through unchanged; n_lines and removed replace columns of the same name, and names
 that begin with an underscore are kept for the work.
+
+Chunks find only the passages that hold two boundaries. ``passage_dedup``, which the pipeline uses, finds every repeated
+passage: each pair of neighbouring non-blank lines (with the blank lines between) is looked up, so a passage goes whole,
+whatever its length and its hosts. ``op1_line_dedup`` keeps to chunks, as its SQL states them.
 """
 
 from __future__ import annotations
@@ -94,6 +98,15 @@ def removed_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.groupBy("_id").agg(F.collect_list(region).alias("regions"))
 
 
+def _without(docs: DataFrame, out: DataFrame, text_col: str, gone: Column) -> DataFrame:
+    """out, which has _lines, with the lines numbered in gone taken out of text_col, and n_lines and removed."""
+    out = pin(out, *docs.columns, "_lines", _removed=F.coalesce(gone, F.array().cast("array<int>")))
+    out = pin(out, _kept=F.when(F.size("_removed") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")))
+    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    rest = [text.alias(c) if c == text_col else F.col(c) for c in others(docs, "n_lines", "removed")]
+    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), F.col("_removed").alias("removed"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated chunks taken out of text_col, and the columns n_lines and removed (their numbers).
 
@@ -106,11 +119,46 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = pin(out, _lines=F.split(text_col, "\n", -1))
     same = F.filter("_regions", lambda r: F.array_join(F.slice("_lines", r["begin"] + 1, r["finish"] - r["begin"]), "\n") == r["copy"])
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda r: F.sequence(r["begin"], r["finish"] - 1)))))
-    out = pin(out, *docs.columns, "_lines", _removed=F.coalesce(gone, F.array().cast("array<int>")))
-    out = pin(out, _kept=F.when(F.size("_removed") > 0, F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")))
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    rest = [text.alias(c) if c == text_col else F.col(c) for c in others(docs, "n_lines", "removed")]
-    return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), F.col("_removed").alias("removed"))
+    return _without(docs, out, text_col, gone)
+
+
+def line_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, t, start, end, key): the lines [start, end) of every anchor of the texts; t is a hash of the text.
+
+    Anchors are two neighbouring non-blank lines with the blank ones between, a line of at least long_words words with the
+    blank line beside it, and a line of over min_words words. Keys are 128 bits of SHA-256, so equal keys are equal lines.
+    """
+    d = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.split(text_col, "\n", -1).alias("lines"))
+    d = pin(d, "_id", "_t", h=F.transform("lines", lambda x: F.sha2(x, 256)), words=F.transform("lines", _words), filled=F.transform("lines", lambda x: x.rlike(r"\S")))
+    every = F.sequence(F.lit(0), F.size("h") - 1)
+    d = pin(d, "_id", "_t", "h", "words", "filled", full=F.filter(every, lambda i: F.get("filled", i)))
+
+    def span(start, end):
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    pairs = F.filter(F.transform("full", lambda i, k: span(i, F.coalesce(F.get("full", k + 1), F.lit(-1)) + 1)), lambda c: c["end"] > 0)
+    long_line = lambda i: F.get("filled", i) & (F.get("words", i) >= long_words)
+    beside = F.filter(every, lambda i: (long_line(i) & ~F.get("filled", i + 1)) | (~F.get("filled", i) & long_line(i + 1)))
+    alone = F.filter("full", lambda i: F.get("words", i) > min_words)
+    d = pin(d, "_id", "_t", "h", spans=F.concat(pairs, F.transform(beside, lambda i: span(i, i + 2)), F.transform(alone, lambda i: span(i, i + 1))))
+    digest = lambda c: F.unhex(F.substring(F.sha2(F.array_join(F.slice("h", c["start"] + 1, c["end"] - c["start"]), ""), 256), 1, 32))
+    return d.select("_id", "_t", F.inline(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), digest(c).alias("key")))))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """Like line_dedup, for every repeated passage of two non-blank lines or more, or over min_words words in a line.
+
+    Of equal anchors the first, by (id, line number), stays; the lines of the others go. Each of them therefore equals a
+    line at a smaller position, so one copy of every line stays.
+    """
+    anchors = stored(line_anchors(docs, id_col, text_col, long_words, min_words), "line-anchors")
+    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start")).alias("first")).where("n > 1").drop("n")
+    again = anchors.join(first, "key").where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
+    gone = again.groupBy("_id", "_t").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnsRenamed({"_id": "_gone_id", "_t": "_gone_t"})
+    # rows that share an id are told apart by the hash of their text
+    out = docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_t")), "left")
+    out = pin(out, _lines=F.split(text_col, "\n", -1))
+    return _without(docs, out, text_col, F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda c: F.sequence(c["start"], c["end"] - 1))))))
 
 
 def op1_line_dedup(spark, sf_dir):

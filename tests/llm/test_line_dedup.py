@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import line_dedup as L
 
 LONG = " ".join(f"w{i}" for i in range(60))
@@ -34,3 +36,35 @@ def test_every_removed_line_has_a_kept_copy(spark, sf):
         lines = before[r.doc_id].split("\n")
         assert "\n".join(x for i, x in enumerate(lines) if i not in set(r.removed)) == r.text
         assert all(lines[i] in kept for i in r.removed)
+
+
+def test_short_repeated_passages_go_whole(spark):
+    rng, rows, want = random.Random(5), [], {}
+    text = lambda tag, lines, words: [" ".join(f"{tag}{rng.randrange(10**9)}" for _ in range(words)) for _ in range(lines)]
+    for k, (lines, words) in enumerate([(2, 6), (3, 20), (4, 24), (6, 10), (8, 24), (12, 12)] * 5):
+        passage = text("p", lines, words)
+        passage[1:1] = [""] * (k % 3)
+        for i in (2 * k, 2 * k + 1):
+            head = text("h", rng.randrange(4), 10)
+            rows.append((i, "\n".join([*head, *passage, *text("e", rng.randrange(4), 10)])))
+            want[i] = list(range(len(head), len(head) + len(passage))) if i % 2 else []
+    rows += [(None, rows[0][1]), (100, None), (101, ""), (102, "\n\n\n"), (103, "\n\n\n"), (104, "one short line"), (105, "one short line\n")]
+    # two texts share the id 3: only the one that repeats loses lines
+    rows.append((3, "\n".join(text("o", 20, 8))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = L.passage_dedup(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = want.get(r.doc_id, []) if r.text is None or not r.text.startswith("o") else []
+        assert list(r.removed) == ([] if r.doc_id is None else mine), r.doc_id
+
+
+def test_passages_cover_what_chunks_find(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    chunks = {r.doc_id: (r.removed, r.text) for r in L.line_dedup(docs).collect()}
+    before = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    out = L.passage_dedup(docs).collect()
+    kept = {x for r in out for x in (r.text or "").split("\n")}
+    for r in out:
+        assert all(before[r.doc_id][i] in kept for i in r.removed)
+        assert {i for i in chunks[r.doc_id][0] if before[r.doc_id][i].strip()} <= set(r.removed)
