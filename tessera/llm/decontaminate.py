@@ -10,7 +10,8 @@ The broadcast holds at most ``block_windows`` windows. A larger benchmark is dea
 each block is scanned in its own pass and the passes meet per document, so size never drops a window.
 
 Null texts and texts without words have no words and no hits. Items with null or empty text match nothing. Repeated
-items each count. Other columns pass through the annotating and removing functions; those named like a result are
+items each count. Items without an id count for nothing in contamination(), which names items (its SQL leaves them out),
+but decontaminate() removes their passages too. Other columns pass through the annotating and removing functions; those named like a result are
 replaced, and names that begin with an underscore are kept for the work.
 """
 
@@ -133,11 +134,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_windows: i
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with _scan: n_words, the hit spans of words (each pass' own, not merged across passes) and the items that occur."""
+def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS, unnamed: bool = False) -> DataFrame:
+    """docs with _scan: n_words, the hit spans of words (each pass' own, not merged across passes) and the items that occur; items without an id are searched if unnamed."""
     passes = []
     for block in _blocks(benchmark, item_col, item_text, block_windows):
-        windows = Windows([(r["item"], bytes(r["text"])) for r in block.toLocalIterator() if r["item"] is not None], n)
+        windows = Windows([(r["item"], bytes(r["text"])) for r in block.toLocalIterator() if unnamed or r["item"] is not None], n)
         passes.append(_scan_udf(windows)(F.col(text_col)))
     found = batched(docs)
     for k, p in enumerate(passes):
@@ -182,7 +183,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without the hit spans; with drop_share, documents whose share of hit words reaches it go as a whole."""
     blocks = _blocks(benchmark, item_col, item_text, block_windows)
-    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator() if r["item"] is not None], n) for b in blocks] if len(blocks) == 1 else []
+    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator()], n) for b in blocks] if len(blocks) == 1 else []
 
     @F.arrow_udf("n_words long, n_hit long, text string")
     def clean(text: pa.Array) -> pa.Array:
@@ -200,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         out = batched(docs).withColumn("_clean", clean(text_col))
         n_words, n_hit, text = (F.col(f"_clean.{c}") for c in ("n_words", "n_hit", "text"))
     else:
-        out = scanned(docs, benchmark, text_col, item_col, item_text, n, block_windows)
+        out = scanned(docs, benchmark, text_col, item_col, item_text, n, block_windows, unnamed=True)
         n_words, n_hit = F.col("_scan.n_words"), _n_hit(F.col("_scan.spans"))
         text = F.when(F.size("_scan.spans") > 0, cut(text_col, F.col("_scan.spans"))).otherwise(F.col(text_col))
     if drop_share is not None:

@@ -23,7 +23,8 @@ pass, is dealt out in pairs of blocks.
 
 Elements are 64-bit hashes of n-grams. Nodes are 64-bit hashes of sets, checked against a second hash; the salt changes
 if two sets ever meet. A text with fewer than n words has one element, the whole sequence; null, empty and blank texts
-have none and link with nothing. Rows without an id get a null component; rows that share an id count as one document.
+have none and link with nothing. Rows without an id get a null component; rows that share an id
+count as one document that has the links of all its texts.
 """
 
 from __future__ import annotations
@@ -259,7 +260,7 @@ def forest(sizes: np.ndarray, words: np.ndarray, bands: Bands, component: np.nda
     return out
 
 
-_DOCS = "id long, size long, h0 long, h1 long, sketch binary, instance int, segment int, " + ", ".join(f"c{i} long" for i in range(2 + 2 * SIGNS))
+_DOCS = "id long, t long, size long, h0 long, h1 long, sketch binary, instance int, segment int, " + ", ".join(f"c{i} long" for i in range(2 + 2 * SIGNS))
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands, salt: int) -> DataFrame:
@@ -280,14 +281,14 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands
                     counts.add(s)
             none = pa.nulls(len(rows), pa.int64())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()), *[none] * (2 + 2 * SIGNS)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("x"), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()), *[none] * (2 + 2 * SIGNS)], names=names)
         found = list(counts.rows())
         none = pa.nulls(len(found), pa.int64())
         table = np.array([r for _, _, r in found], dtype=np.int64).reshape(-1, 2 + 2 * SIGNS)
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(found), pa.binary()), pa.array([i for i, _, _ in found], pa.int32()), pa.array([s for _, s, _ in found], pa.int32()), *(pa.array(table[:, k]) for k in range(2 + 2 * SIGNS))], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(found), pa.binary()), pa.array([i for i, _, _ in found], pa.int32()), pa.array([s for _, s, _ in found], pa.int32()), *(pa.array(table[:, k]) for k in range(2 + 2 * SIGNS))], names=names)
 
     names = [c.split()[0] for c in _DOCS.split(", ")]
-    return batched(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(describe, _DOCS)
+    return batched(docs).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t")).mapInArrow(describe, _DOCS)
 
 
 def _plans(counted: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
@@ -415,25 +416,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, bands: Bands, salt: in
     return rows.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): component_id is the smallest id that links reach, the own id included."""
+def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = False) -> DataFrame:
+    """(id, t, size, first) per row; t is xxhash64 of the text, first the smallest (id, t) that links reach from the row.
+
+    The vertices of the links are sets, so each text of a shared id has its own links; with one_per_id all texts of an id
+    are linked besides. Rows without an id have a null first.
+    """
     bands, salt = Bands(num, den), 0
     while True:
         described = stored(_described(docs, id_col, text_col, n, bands, salt), "described")
         rows = described.where("instance is null")
-        nodes = rows.where("size > 0").groupBy("h0").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.min("size").alias("least"), F.max("sketch").alias("sketch"), F.max("h1").alias("h1"), F.min("h1").alias("other"))
+        nodes = rows.where("size > 0").groupBy("h0").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("first"), F.max("size").alias("size"), F.min("size").alias("least"), F.max("sketch").alias("sketch"), F.max("h1").alias("h1"), F.min("h1").alias("other"))
         nodes = stored(nodes.withColumnRenamed("h0", "node"), "nodes")
         if nodes.where("h1 <> other or size <> least").isEmpty():
             break
         salt += 1
-    nodes = nodes.where("id is not null").select("node", "id", "size", "sketch")
+    nodes = nodes.where("first is not null").select("node", "first", F.col("node").alias("id"), "size", "sketch")
     plans = _plans(described.where("instance is not null"))
     buckets = _buckets(_signatures(docs.where(F.col(text_col).isNotNull()), text_col, n, bands, salt, plans))
     buckets = stored(buckets, "buckets")
     edges = stored(_candidates(buckets, nodes, bands), "candidates")
-    members = buckets.select("node").distinct().join(nodes, "node").select("id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").join(members, "id", "left_semi")
-    texts = stored(texts.dropDuplicates(["id"]), "texts")
+    members = buckets.select("node").distinct().join(nodes, "node").select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("id is not null").join(members, ["id", "t"])
+    texts = stored(texts.dropDuplicates(["node"]).select(F.col("node").alias("id"), "text"), "texts")
     # first the smallest partner of each node, then the pairs that still join different components
     checked = stored(_verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, n, bands, salt), "checked")
     found = components(checked.where("linked").select("a", "b"))
@@ -447,11 +452,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     if not failed.isEmpty():
         exact = _exact_links(buckets.join(failed, "sig", "left_semi"), nodes, texts, found, n, bands, salt)
         links = links.union(stored(exact, "exact"))
-    found = components(links)
-    rows = rows.select("id", "size", F.col("h0").alias("node"))
-    copies = rows.join(nodes.select("node", F.col("id").alias("first")), "node", "left").join(found.withColumnRenamed("id", "first"), "first", "left")
-    component = F.when(F.col("size") > 0, F.coalesce("component", "first")).otherwise(F.col("id"))
-    return copies.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    rows = rows.select("id", "t", "size", F.col("h0").alias("node"))
+    if one_per_id:
+        shared = rows.where("size > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+        links = links.union(stored(rows.where("size > 0").join(shared, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "shared"))
+    found = components(links).withColumnRenamed("id", "node")
+    linked = nodes.select("node", "first").join(found, "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    copies = rows.join(nodes.select("node", F.col("first").alias("own")), "node", "left").join(found.join(least, "component").select("node", "least"), "node", "left")
+    first = F.when(F.col("size") > 0, F.coalesce("least", "own")).otherwise(F.struct("id", "t"))
+    return copies.select("id", "t", "size", F.when(F.col("id").isNotNull(), first).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): component_id is the smallest id that links reach, the own id included."""
+    out = near_groups(docs, n, num, den, id_col, text_col, one_per_id=True)
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
 def op2_jaccard_join(spark, sf_dir):

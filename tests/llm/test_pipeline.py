@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as C
-from tessera.llm import bpe, decontaminate
+from tessera.llm import bpe, decontaminate, jaccard_join
 from tests.llm.test_jaccard_join import brute
 
 
@@ -44,3 +44,18 @@ def test_null_and_empty_rows_pass(spark, tmp_path):
         for _, stage in C.STAGES:
             data = stage(spark, data, str(tmp_path))
         assert sorted(r.doc_id for r in data.collect()) == ids
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(20))
+    rows = [(None, words("n")), (None, words("a")), (1, words("a")), (5, words("a") + " more"), (5, words("b")), (7, words("b")), (8, words("c")), (8, words("d")), (9, words("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.keep_one_of_near_copies(spark, docs, str(tmp_path)).collect()
+    want = [(None, words("n")), (None, words("a")), (1, words("a")), (5, words("b")), (8, words("c")), (8, words("d"))]
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, t) for i, t in want)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, C.NGRAM, *C.THRESHOLD).collect()}
+    assert {(i, c) for i, _, c in got} == {(None, None), (1, 1), (5, 1), (7, 1), (8, 8), (9, 8)}
+    spark.createDataFrame([(None, words("c")), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert words("c") not in [r.text for r in C.remove_benchmarks(spark, docs, str(tmp_path)).collect()]
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert words("c") not in [r.text for r in decontaminate.decontaminate(docs, bench, block_windows=5).collect()]
