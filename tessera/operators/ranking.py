@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,52 @@ def best_by_query(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Queries of a block and rows of a shard: one task scores a block against a shard.
+QUERY_BLOCK, SHARD_ROWS = 256, 4096
+
+
+def _matrix(vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows (filled up with zeros), their sizes (-1 for null) and norms, summed from left to right."""
+    sizes = np.array([-1 if v is None else len(v) for v in vectors])
+    rows = np.zeros((len(sizes), max(0, sizes.max(initial=0))))
+    for row, v in zip(rows, vectors, strict=True):
+        if v is not None:
+            row[: len(v)] = v
+    squares = np.zeros(len(rows))
+    for column in rows.T:
+        squares += column * column
+    return rows, sizes, np.sqrt(squares)
+
+
+def search_all(queries: DataFrame, index: DataFrame, k: int, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The k best index rows (location_id, vector) of every row of queries (query_id, query), by cosine, with rank.
+
+    Bounded blocks of queries meet bounded shards of the index by an equi-join, so any number of either is searched. Sums
+    go from left to right as in cosine(), so copies of a vector tie and the smaller location_id is first.
+    """
+    blocks, shards = 1 + queries.count() // query_block, 1 + index.count() // shard_rows
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(shards))
+    rows = index.select("location_id", "vector", F.pmod(F.xxhash64("location_id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", each(blocks))
+
+    def score(q, v):
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "location_id": [], "score": []})
+        v = v.sort_values("location_id")
+        (a, a_size, a_norm), (b, b_size, b_norm) = _matrix(q["query"]), _matrix(v["vector"])
+        total = np.zeros((len(a), len(b)))
+        for d in range(min(a.shape[1], b.shape[1])):
+            total += np.multiply.outer(a[:, d], b[:, d])
+        norms = np.multiply.outer(a_norm, b_norm)
+        fit = (a_size[:, None] == b_size[None, :]) & (norms > 0)
+        total = np.where(fit, total / np.where(fit, norms, 1.0), -1.0)
+        top = np.argsort(-total, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), top.shape[1]), "location_id": v["location_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(total, top, axis=1).ravel()})
+
+    hits = asked.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInPandas(score, "query_id long, location_id long, score double")
+    return best_by_query(hits, k)
+
+
 def cap_by_country(hits: DataFrame, count: int, per_country: int, by: tuple[str, ...] = ()) -> DataFrame:
     """In order of rank at most per_country hits of a country, count in all; ranks are numbered anew."""
     capped = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "country").orderBy("rank"))).where(F.col("_n") <= per_country).drop("_n")

@@ -251,6 +251,14 @@ def multi_query_search(spark, d):
     return R.best_by_query(hits, 10).select("query_id", "location_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("multi_query_search_whole")
+def multi_query_search_whole(spark, d):
+    """multi_query_search for every row whose id is divisible by 50, whatever the table's size; a brute-force test replaces SQL."""
+    v = W.vectors(spark, d).select("location_id", "vector")
+    asked = v.where("location_id % 50 = 0").select(F.col("location_id").alias("query_id"), F.col("vector").alias("query"))
+    return R.search_all(asked, v, 10).select("query_id", "location_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("evenly_sample", f"WITH {W.LOCATIONS}, n AS (SELECT count(*) AS n FROM locations) SELECT location_id FROM locations, n WHERE location_id IN (SELECT CAST(round_even(i * CAST(n.n - 1 AS DOUBLE) / 99, 0) AS BIGINT) FROM n, range(0, 100) t(i))")
 def evenly_sample(spark, d):
     return R.evenly_sampled(W.locations(spark, d).select("location_id"), 100, "location_id")

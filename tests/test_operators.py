@@ -95,3 +95,23 @@ def test_renewal_revives_only_held_leases(spark):
     leases = spark.createDataFrame([(1, "expired", 5), (2, "expired", 5), (3, "submitted", 5), (4, "active", 5)], "lease_id long, state string, expires_at long")
     held = spark.createDataFrame([(1,), (3,), (4,), (4,)], "lease_id long")
     assert {r.lease_id: (r.state, r.expires_at) for r in Q.renewed(leases, held, 100, 50).collect()} == {1: ("active", 150), 2: ("expired", 5), 3: ("submitted", 5), 4: ("active", 150)}
+
+
+def test_every_query_is_searched_in_blocks(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import vectors as V
+    from tessera.operators import ranking as R
+    from tessera.plans import registry
+    from tessera.plans import views as W
+
+    v = W.vectors(spark, sf).select("location_id", "vector")
+    copy = v.where("location_id < 30").withColumn("location_id", F.col("location_id") + 100000)
+    v = v.union(copy).union(spark.createDataFrame([(200000, None), (200050, [0.0] * 64), (200100, [1.0])], v.schema))
+    asked = v.where("location_id % 50 = 0").select(F.col("location_id").alias("query_id"), F.col("vector").alias("query"))
+    brute = asked.crossJoin(v).select("query_id", "location_id", V.cosine(F.col("query"), F.col("vector")).alias("score"))
+    want = sorted(map(tuple, R.best_by_query(brute, 10).select("query_id", "location_id", "score", "rank").collect()))
+    got = sorted(map(tuple, R.search_all(asked, v, 10, query_block=4, shard_rows=100).select("query_id", "location_id", "score", "rank").collect()))
+    assert got == want
+    ids = {r.query_id for r in registry.queries()["multi_query_search_whole"](spark, sf).collect()}
+    assert ids == {r.location_id for r in W.vectors(spark, sf).where("location_id % 50 = 0").collect()}
