@@ -2,12 +2,14 @@
 
 Both sides are normalised to words: runs of ASCII letters and digits and of any character beyond ASCII, with A-Z lower-
 cased. A benchmark item gives all its windows of ``n`` words; a shorter one with words gives one window of all of them.
-The set of window hashes is broadcast. Training texts are scanned once: the words that no item has get number 0, a
-rolling sum over the numbers is looked up in the set, and a hit is verified word by word (the numbers stand for words
-one to one). Every word inside an occurrence is hit.
+The distinct pairs of item and window are a table. A set of them is broadcast and the training texts are scanned: the
+words that no window has get number 0, a rolling sum over the numbers is looked up in the set, and a hit is verified word
+by word (the numbers stand for words one to one). Every word inside an occurrence is hit.
 
-The broadcast holds at most ``block_windows`` windows. A larger benchmark is dealt into blocks of whole items by a hash;
-each block is scanned in its own pass and the passes meet per document, so size never drops a window.
+A broadcast holds at most ``block_windows`` pairs, whatever the benchmark's size or an item's length: pairs are dealt into
+blocks by a hash, and the blocks' sizes are counted before any is sent. Each block but the last is a job of its own that
+writes what it hits, by the texts' SHA-256; the last is scanned in the final plan, where the earlier hits join. So the
+driver, a plan and a task hold one block, and size never drops a window.
 
 Null texts and texts without words have no words and no hits. Items with null or empty text match nothing. Repeated
 items each count. Items without an id count for nothing in contamination(), which names items (its SQL leaves them out),
@@ -18,6 +20,7 @@ replaced, and names that begin with an underscore are kept for the work.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, others, read_table
+from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, others, read_table, stored
 
 N = 10
-#: Windows that one broadcast may hold (about 200 bytes each).
+#: Pairs of item and window that one broadcast may hold (about 200 bytes each).
 BLOCK_WINDOWS = 500_000
 
 #: Each byte that is no word byte becomes a space, A-Z become a-z.
@@ -39,19 +42,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def item_windows(words: list[bytes], n: int = N) -> list[bytes]:
+    """The windows of an item, their words joined by spaces."""
+    size = min(n, len(words))
+    return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1 if size else 0)]
+
+
 class Windows:
-    """Numbered words and the windows of items, by length; find() gives the verified occurrences in a word list."""
+    """Numbered words and windows, by length, with their items; find() gives the verified occurrences in a word list."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = N):
+    def __init__(self, pairs: list[tuple[str | None, bytes]]):
         self.number: dict[bytes, int] = {}
         rows: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        self.names = [name for name, _ in items]
-        for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                rows.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(k)
+        place: dict[str | None, int] = {}
+        for name, gram in pairs:
+            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in gram.split(b" "))
+            rows.setdefault(len(ids), {}).setdefault(ids, set()).add(place.setdefault(name, len(place)))
+        self.names = list(place)
         self.tables = []
         for size, found in sorted(rows.items()):
             grams = np.array(list(found), dtype=np.uint64).reshape(-1, size)
@@ -97,116 +104,127 @@ class Windows:
                     a += 1
 
 
-def scan_text(windows: Windows, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, merged word spans [start, end) that are hit, names of the items that occur."""
-    words = words_of(text)
-    spans: list[tuple[int, int]] = []
-    items: set[int] = set()
-    for s, size, owners in sorted(windows.find(words)):
-        items.update(owners)
-        if spans and s <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], s + size))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [start, end) in order, touching and overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
-            spans.append((s, s + size))
-    return len(words), spans, [windows.names[i] for i in items]
+            out.append((s, e))
+    return out
+
+
+def scan_text(windows: Windows, text: bytes) -> tuple[int, list[tuple[int, int]], list[str | None]]:
+    """Number of words, merged word spans that are hit, names of the items that occur."""
+    words = words_of(text)
+    found = list(windows.find(words))
+    return len(words), merged([(s, s + size) for s, size, _ in found]), [windows.names[i] for i in {i for _, _, owners in found for i in owners}]
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_SCANNED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+_HITS = T.StructType([T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _scan_udf(windows: Windows):
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+def _hits_udf(windows: Windows):
+    kind = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-    @F.arrow_udf(_SCANNED)
-    def scan(text: pa.Array) -> pa.Array:
+    @F.arrow_udf(_HITS)
+    def hits(text: pa.Array) -> pa.Array:
         rows = (scan_text(windows, t) for t in as_bytes(text))
-        return pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": items} for n, spans, items in rows], type=kind)
-
-    return scan
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_windows: int) -> list[DataFrame]:
-    """The benchmark in blocks of at most about block_windows windows each; the size is checked before anything is broadcast."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2  # a word has a byte and a space at least
-    n = 1 + total // block_windows
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
-
-
-def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS, unnamed: bool = False) -> DataFrame:
-    """docs with _scan: n_words, the hit spans of words (each pass' own, not merged across passes) and the items that occur; items without an id are searched if unnamed."""
-    passes = []
-    for block in _blocks(benchmark, item_col, item_text, block_windows):
-        windows = Windows([(r["item"], bytes(r["text"])) for r in block.toLocalIterator() if unnamed or r["item"] is not None], n)
-        passes.append(_scan_udf(windows)(F.col(text_col)))
-    found = batched(docs)
-    for k, p in enumerate(passes):
-        found = found.withColumn(f"_scan{k}", p)
-    names = [f"_scan{k}" for k in range(len(passes))]
-    scan = F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"),
-        (F.col(f"{names[0]}.spans") if len(names) == 1 else F.flatten(F.array(*[F.col(f"{c}.spans") for c in names]))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in names])))).alias("items"),
-    )
-    return found.select(*docs.columns, scan.alias("_scan"))
-
-
-def _n_hit(spans):
-    """Words in the union of spans."""
-    state = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("to")),
-        lambda a, s: F.struct((a["hit"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("hit"), F.greatest(a["to"], s["end"]).alias("to")),
-    )
-    return state["hit"]
+        return pa.array([{"spans": [{"start": a, "end": b} for a, b in spans], "items": items} for _, spans, items in rows], type=kind)
+
+    return hits
+
+
+def _final_udf(windows: Windows, cut: bool):
+    """(n_words, n_hit, items, text) from a text and the hits of earlier blocks; text is null unless spans are to be cut."""
+
+    @F.arrow_udf("n_words long, n_hit long, items array<string>, text string")
+    def final(text: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
+        counts, hits, names, texts = [], [], [], []
+        for t, before, known in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist(), items.to_pylist(), strict=True):
+            n, own, found = scan_text(windows, t or b"")
+            own = merged([*own, *((s["start"], s["end"]) for s in before)]) if before else own
+            counts.append(n)
+            hits.append(sum(b - a for a, b in own))
+            names.append(sorted({x for x in (*found, *(known or ())) if x is not None}))
+            texts.append((cut_spans(t, own) if own else t).decode() if cut and t is not None else None)
+        columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.string())]
+        return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "items", "text"])
+
+    return final
+
+
+def window_pairs(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
+    """(item, gram, slot): the distinct windows of each item and a hash that deals them into blocks."""
+
+    def windows(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                grams = item_windows(words_of(text), n)
+                for i in range(0, len(grams), 10_000):
+                    part = grams[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.binary())], names=["item", "gram"])
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(windows, "item string, gram binary")
+    return rows.distinct().withColumn("slot", F.xxhash64("item", "gram"))
+
+
+def _blocks(pairs: DataFrame, block_windows: int) -> list[DataFrame]:
+    """pairs in blocks of at most block_windows rows, whose sizes are counted first."""
+    total = pairs.count()
+    n = 1 if total <= block_windows else 1 + total * 5 // (4 * block_windows)
+    while n > 1 and pairs.groupBy(F.pmod("slot", F.lit(n))).count().agg(F.max("count")).first()[0] > block_windows:
+        n += 1 + n // 8
+    return [pairs.where(F.pmod("slot", F.lit(n)) == k) for k in range(n)]
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS, unnamed: bool = False, cut: bool = False) -> DataFrame:
+    """docs with _scan: n_words, n_hit, items (sorted names) and, with cut, the text without its hit spans.
+
+    Items without an id are searched if unnamed.
+    """
+    named = benchmark if unnamed else benchmark.where(F.col(item_col).isNotNull())
+    *early, last = _blocks(stored(window_pairs(named, item_col, item_text, n), "benchmark-windows"), block_windows)
+    held = lambda block: Windows([(r.item, bytes(r.gram)) for r in block.select("item", "gram").toLocalIterator()])
+    key = F.unhex(F.sha2(text_col, 256))
+    texts = batched(docs)
+    parts = []
+    for block in early:
+        found = texts.where(F.col(text_col).isNotNull()).select(key.alias("_key"), _hits_udf(held(block))(F.col(text_col)).alias("h"))
+        parts.append(stored(found.where(F.size("h.spans") > 0).dropDuplicates(["_key"]).select("_key", "h.spans", "h.items"), "benchmark-hits"))
+    spans, items = F.lit(None).cast(_SPANS), F.lit(None).cast("array<string>")
+    if parts:  # at most one row per block and text meets here
+        hits = reduce(DataFrame.union, parts).groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+        texts, spans, items = texts.join(hits, key == F.col("_key"), "left"), F.col("_spans"), F.col("_items")
+    return texts.withColumn("_scan", _final_udf(held(last), cut)(F.col(text_col), spans, items)).select(*docs.columns, "_scan")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with n_words, n_hit, items (sorted names), contaminated."""
     out = scanned(docs, benchmark, text_col, **options)
-    return out.select(*others(docs, "n_words", "n_hit", "items", "contaminated"), F.col("_scan.n_words").alias("n_words"), _n_hit(F.col("_scan.spans")).alias("n_hit"), F.col("_scan.items").alias("items"), (F.size("_scan.spans") > 0).alias("contaminated"))
+    return out.select(*others(docs, "n_words", "n_hit", "items", "contaminated"), "_scan.n_words", "_scan.n_hit", "_scan.items", (F.col("_scan.n_hit") > 0).alias("contaminated"))
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """text without the bytes from the first to the last word of each span; spans may overlap."""
+    """text without the bytes from the first to the last word of each of the ordered, separate spans."""
     folded = np.frombuffer(text.translate(_FOLD), dtype=np.uint8) != 0x20
     edge = np.flatnonzero(np.diff(np.concatenate([[False], folded, [False]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
     out, at = [], 0
-    for s, e in sorted(spans):
-        out.append(text[at : max(at, begin[s])])
-        at = max(at, int(end[e - 1]))
+    for s, e in spans:
+        out.append(text[at : begin[s]])
+        at = int(end[e - 1])
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, item_col: str = "item_id", item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float | None = None, **options) -> DataFrame:
     """docs without the hit spans; with drop_share, documents whose share of hit words reaches it go as a whole."""
-    blocks = _blocks(benchmark, item_col, item_text, block_windows)
-    every = [Windows([(r["item"], bytes(r["text"])) for r in b.toLocalIterator()], n) for b in blocks] if len(blocks) == 1 else []
-
-    @F.arrow_udf("n_words long, n_hit long, text string")
-    def clean(text: pa.Array) -> pa.Array:
-        rows = []
-        for t in text.cast(pa.binary()).to_pylist():
-            count, spans, _ = scan_text(every[0], t or b"")
-            rows.append((count, sum(b - a for a, b in spans), None if t is None else (cut_spans(t, spans) if spans else t).decode()))
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["n_words", "n_hit", "text"])
-
-    @F.arrow_udf(T.StringType())
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else cut_spans(t, [(s["start"], s["end"]) for s in at]).decode() for t, at in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)], type=pa.string())
-
-    if len(blocks) == 1:  # one function scans and cuts
-        out = batched(docs).withColumn("_clean", clean(text_col))
-        n_words, n_hit, text = (F.col(f"_clean.{c}") for c in ("n_words", "n_hit", "text"))
-    else:
-        out = scanned(docs, benchmark, text_col, item_col, item_text, n, block_windows, unnamed=True)
-        n_words, n_hit = F.col("_scan.n_words"), _n_hit(F.col("_scan.spans"))
-        text = F.when(F.size("_scan.spans") > 0, cut(text_col, F.col("_scan.spans"))).otherwise(F.col(text_col))
+    out = scanned(docs, benchmark, text_col, unnamed=True, cut=True, **options)
     if drop_share is not None:
-        out = out.where((n_hit == 0) | (n_hit < drop_share * n_words))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        out = out.where((F.col("_scan.n_hit") == 0) | (F.col("_scan.n_hit") < drop_share * F.col("_scan.n_words")))
+    return out.select(*[F.col("_scan.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op10_decontaminate(spark, sf_dir):

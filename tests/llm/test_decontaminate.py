@@ -43,6 +43,23 @@ def test_random_texts_match_brute_force(spark):
         assert (r.n_words, r.n_hit, r.contaminated) == (lambda x: (x[0], x[1], x[3]))(D.brute(r.text, [(str(i), t) for i, t in items], 5))
 
 
+def test_a_plan_holds_one_bounded_block(spark, monkeypatch):
+    docs, bench = frames(spark)
+    sizes, build = [], D.Windows.__init__
+
+    def noted(self, pairs):
+        sizes.append(len(pairs))
+        build(self, pairs)
+
+    monkeypatch.setattr(D.Windows, "__init__", noted)
+    long = bench.union(spark.createDataFrame([(9, " ".join(f"w{i}" for i in range(100)))], "item_id long, text string"))
+    pairs = D.window_pairs(long.where("item_id is not null")).count()
+    out = D.contamination(docs, long, block_windows=20)
+    assert len(sizes) > 4 and max(sizes) <= 20 and sum(sizes) == pairs  # the item of 91 windows is spread too
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    check(out.collect())
+
+
 def test_spans_and_documents_go(spark):
     docs, bench = frames(spark)
     cut = {(r.doc_id, r.extra): r.text for r in D.decontaminate(docs, bench).collect()}
@@ -64,5 +81,5 @@ def test_query_matches_brute_force(spark, sf):
     rows = D.op10_decontaminate(spark, sf).collect()
     assert len(rows) == len(texts) and any(r.contaminated for r in rows)
     for r in rows:
-        if r.contaminated or r.doc_id % 40 == 0:
+        if r.contaminated or r.doc_id % 4 == 0:
             assert (r.n_words, r.n_hit, r.items_sha256, r.contaminated) == D.brute(texts[r.doc_id], bench)
