@@ -10,7 +10,9 @@ prune more. Queries are a stated subset; their blocks meet every shard by an equ
 merged per query. A task holds one shard and one block, whatever the table's size.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, and neither do null ids; vectors of
-unlike lengths are never compared. Ids are unique. Ties go to the smaller id. Empty tables give no rows.
+unlike lengths are never compared. Ids may be negative; of rows that share an id and a length the one with the smallest
+vector (component by component) counts. Ties go to the smaller id. Empty tables give no rows. Trees hold vectors scaled by
+a power of two, which is exact, so that no square over- or underflows; a score is scaled back.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ class VPTree:
     """A balanced tree in preorder: rows are permuted so that every subtree is a slice."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS):
+        vectors, self.shift = _scaled(vectors)
         norm2 = (vectors * vectors).sum(axis=1)
         self.top = float(np.sqrt(norm2.max()))
         extra = np.sqrt(np.maximum(self.top**2 - norm2, 0.0))
@@ -71,11 +74,12 @@ class VPTree:
         return np.sqrt((diff * diff).sum(axis=1) + (extra[rows] - extra[p]) ** 2)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR):
-        """(ids, scores, visited): the k best rows of each query, padded with id -1, and how many pairs were scored."""
+        """(ids, scores, real, visited): the k best rows of each query, which of them are no padding, how many pairs were scored."""
         n = len(queries)
+        queries, shift = _scaled(queries, by_row=True)
         scale = self.top / np.sqrt((queries * queries).sum(axis=1))
         best = np.full((n, k), -np.inf)
-        found = np.full((n, k), -1, dtype=np.int64)
+        found = np.zeros((n, k), dtype=np.int64)
         tau = np.full(n, np.inf)
         visited = 0
 
@@ -89,7 +93,7 @@ class VPTree:
             at, s = at[fresh], s[fresh]
             if len(at):
                 every = np.concatenate([best[at], s], axis=1)
-                names = np.concatenate([found[at], np.where(np.isfinite(s), np.broadcast_to(ids, s.shape), -1)], axis=1)
+                names = np.concatenate([found[at], np.broadcast_to(ids, s.shape)], axis=1)
                 order = np.lexsort((names, -every), axis=1)[:, :k]
                 best[at] = np.take_along_axis(every, order, axis=1)
                 found[at] = np.take_along_axis(names, order, axis=1)
@@ -109,7 +113,8 @@ class VPTree:
                 continue
             near = to(vantage, at) <= radius
             todo += [(c, at[m]) for c, m in ((here + 1, near), (outer, ~near)) if m.any()]
-        slack = 1e-9 * self.top
+        # distances come from differences of nearly equal squares, so those near 0 are off by up to the root of the rounding error
+        slack = 2e-7 * self.top
         todo = [(0, np.arange(n))]
         while todo:
             here, at = todo.pop()
@@ -123,17 +128,17 @@ class VPTree:
             inner = factor * (d - radius) <= tau[at] + slack
             outside = factor * (radius - d) <= tau[at] + slack
             todo += [(c, at[m]) for c, m in ((outer, outside), (here + 1, inner)) if m.any()]
-        return found, best, visited
+        return found, np.ldexp(best, (self.shift + shift)[:, None]), np.isfinite(best), visited
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=self.vectors, nodes=np.array(self.nodes, dtype=np.float64).reshape(-1, 5), top=self.top)
+        np.savez(out, ids=self.ids, vectors=self.vectors, nodes=np.array(self.nodes, dtype=np.float64).reshape(-1, 5), top=self.top, shift=self.shift)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> VPTree:
         tree, z = cls.__new__(cls), np.load(io.BytesIO(data))
-        tree.ids, tree.vectors, tree.top = z["ids"], z["vectors"], float(z["top"])
+        tree.ids, tree.vectors, tree.top, tree.shift = z["ids"], z["vectors"], float(z["top"]), int(z["shift"])
         tree.nodes = [(int(b), int(e), int(v), int(o), float(r)) for b, e, v, o, r in z["nodes"]]
         return tree
 
@@ -145,6 +150,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
 
 
+def _scaled(vectors: np.ndarray, by_row: bool = False):
+    """vectors with a largest component of about 1 (of all, or of each row), and the power of two that was taken out."""
+    largest = np.abs(vectors).max(axis=1) if by_row else np.abs(vectors).max()
+    shift = np.frexp(largest)[1]
+    return np.ldexp(vectors, -shift[:, None] if by_row else -shift), shift
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column]).reshape(-1, dim)
 
@@ -157,7 +169,10 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     def build(pdf):
         dim = int(pdf["dim"].iloc[0])
-        tree = VPTree(pdf["id"].to_numpy(), _matrix(pdf["v"], dim))
+        ids, vectors = pdf["id"].to_numpy(), _matrix(pdf["v"], dim)
+        order = np.lexsort((*vectors.T[::-1], ids))
+        first = order[np.concatenate([[True], np.diff(ids[order]) != 0])]
+        tree = VPTree(ids[first], vectors[first])
         return pdf[["dim", "shard"]].head(1).assign(shards=shards, tree=[tree.dump()])
 
     return rows.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, tree binary")
@@ -165,7 +180,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 def query_blocks(queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
     """(dim, ids, vectors): queries in blocks of about block rows."""
-    rows = usable(queries, id_col, vector_col)
+    rows = usable(queries, id_col, vector_col).groupBy("id", "dim").agg(F.min("v").alias("v"))
     blocks = -(-max(1, rows.count()) // block)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
     return rows.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("dim", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vectors"))
@@ -180,8 +195,7 @@ def search(index: DataFrame, blocks: DataFrame, k: int, factor: float = FACTOR)
         for batch in batches:
             for dim, ids, flat, tree in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors", "tree")), strict=True):
                 q = np.array(ids, dtype=np.int64)
-                found, best, _ = VPTree.load(tree).search(q, np.array(flat, dtype=np.float64).reshape(-1, dim), k, factor)
-                keep = found >= 0 if not np.isneginf(best).any() else ~np.isneginf(best)
+                found, best, keep, _ = VPTree.load(tree).search(q, np.array(flat, dtype=np.float64).reshape(-1, dim), k, factor)
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, k)[keep.ravel()], "vec_id": found[keep], "score": best[keep]})
 
     spark = index.sparkSession
