@@ -8,7 +8,8 @@ so that a reader can seek to any record. A file is written under a name of its a
 finished files is stored beside them, and the reader takes only what the manifest names, so retried and lost tasks leave
 nothing behind that would be read.
 
-Null payloads are empty, null urls an empty target. Page ids are unique and not null. Other columns are not archived.
+Null payloads are empty, null urls an empty target. A page without an id is a response whose record id is empty and reads
+back as null; a page that stands twice is archived twice, in the role of its id. Other columns are not archived.
 """
 
 from __future__ import annotations
@@ -35,24 +36,30 @@ DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 DICT_MAGIC = 0x184D2A5D
 LEVEL = 5
+#: Parts that the copies of a payload are dealt into.
+SALTS = 32
 
 _MANIFEST = "path string, records long, bytes long"
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(id, refers_to): the page whose record a revisit points to, else null."""
+    """Distinct (id, digest, refers_to): the page whose record the pages of that id and payload revisit. Others have no row.
+
+    A payload's copies are dealt out by their ids, so that one that a third of all pages share fills no single task.
+    """
     body = F.encode(F.coalesce(payload_col, F.lit("")), "utf-8")
-    narrow = pages.select(F.col(id_col).alias("_id"), F.length(body).alias("_n"), F.sha2(body, 256).alias("_sha"))
-    long = narrow.where(F.col("_n") >= min_revisit)
-    first = long.groupBy("_sha", "_n").agg(F.min("_id").alias("_first"), F.count("*").alias("_k")).where("_k > 1")
-    return long.join(first, ["_sha", "_n"]).where(F.col("_id") != F.col("_first")).select("_id", F.col("_first").alias("refers_to"))
+    narrow = pages.select(F.col(id_col).alias("_id"), F.length(body).alias("_n"), F.sha2(body, 256).alias("_sha"), F.pmod(F.xxhash64(id_col), F.lit(SALTS).cast("long")).alias("_salt"))
+    long = narrow.where(F.col("_n") >= min_revisit).drop("_n")
+    first = long.groupBy("_sha").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return long.join(first, ["_sha", "_salt"]).where(F.col("_id") != F.col("_first")).select("_id", "_sha", F.col("_first").alias("refers_to")).distinct()
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     body = b"" if refers_to is not None else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&()*+,;=%~')}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}", f"WARC-Payload-Length: {len(payload)}",
         *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
@@ -121,7 +128,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     jvm = spark.sparkContext._jvm
     jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/archives"))
     role = roles(pages, id_col, payload_col, min_revisit)
-    rows = batched(pages).select(F.col(id_col).alias("_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(F.coalesce(payload_col, F.lit("")), "utf-8").alias("body")).join(role, "_id", "left")
+    rows = batched(pages).select(F.col(id_col).alias("_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(F.coalesce(payload_col, F.lit("")), "utf-8").alias("body"))
+    rows = rows.join(role, (rows["_id"] == role["_id"]) & (F.sha2("body", 256) == F.col("_sha")), "left").select(rows["_id"], "url", "body", "refers_to")
 
     def write(batches):
         files, folder = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
@@ -163,7 +171,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     if kind == "response" and (len(body) != n or hashlib.sha256(body).hexdigest() != digest):
                         raise ValueError(f"{head['WARC-Record-ID']}: the payload doesn't fit its digest")
                     ref = head.get("WARC-Refers-To")
-                    values = (int(head["WARC-Record-ID"][10:-1]), urllib.parse.unquote(head["WARC-Target-URI"]), kind, ref and int(ref[10:-1]), n, digest, body if payloads else None)
+                    number = head["WARC-Record-ID"][10:-1]
+                    values = (int(number) if number else None, urllib.parse.unquote(head["WARC-Target-URI"]), kind, ref and int(ref[10:-1]), n, digest, body if payloads else None)
                     for c, v in zip(rows, values, strict=True):
                         rows[c].append(v)
                 if len(rows["page_id"]) != records:

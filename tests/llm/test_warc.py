@@ -51,3 +51,22 @@ def test_empty_table_and_orphan_files(spark):
     with open(path.removeprefix("file:") + "/archives/part-orphan.warc.zst", "wb") as f:
         f.write(b"left by a lost task")
     assert W.read_archives(spark, path).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a", BIG), (None, "b", BIG), (2, "c", BIG), (2, "d", BIG), (5, "e", BIG), (5, "f", BIG), (5, "g", "x" * 200), (5, "g", "x" * 200), (7, "h", "x" * 200), (-3, "i", None)]
+    path = new_path(spark, "warc")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = sorted((r.url, r.page_id, r.record_type, r.refers_to) for r in W.read_archives(spark, path).collect())
+    assert got == [
+        ("a", None, "response", None), ("b", None, "response", None), ("c", 2, "response", None), ("d", 2, "response", None), ("e", 5, "revisit", 2), ("f", 5, "revisit", 2),
+        ("g", 5, "response", None), ("g", 5, "response", None), ("h", 7, "revisit", 5), ("i", -3, "response", None),
+    ]
+
+
+def test_one_payload_of_most_pages(spark):
+    pages = spark.range(2000).selectExpr("id as page_id", "'u' as url", f"if(id % 3 = 0, concat('own ', id, repeat('x', 100)), '{BIG}') as html").repartition(5)
+    path = new_path(spark, "warc")
+    W.write_archives(pages, path)
+    rows = W.read_archives(spark, path).collect()
+    assert len(rows) == 2000 and {r.refers_to for r in rows} == {None, 1} and sum(r.record_type == "response" for r in rows) == 668
