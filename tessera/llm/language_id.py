@@ -2,14 +2,20 @@
 
 A word's features are its byte n-grams of two to four bytes with the word's ends marked (so that prefixes and suffixes
 are among them) and the whole word, as a lexicon; each hashes to one of ``TABLE`` rows of weights, one weight per
-language. Transition weights are learned with them. The chain runs over ``CHAIN`` consecutive words, so code-switched
-text gets its own label per word by forward-backward; a document's score of a language is the mean of its words'
-posteriors, its language the one with the largest score (ties: the first by name).
-
-Training sequences are pieces of random length from several labelled texts put together, which is how transitions
-between languages are seen. They come from at most ``sample_rows`` labelled rows with ``windows`` stretches of each.
-Words are lower-cased runs of ASCII letters and of bytes beyond ASCII; a text that is null or has no letter is ``und``
-with score 0. Without labelled rows every text is ``und``. Other columns pass through, those named like a result are replaced. Prediction reads whole texts, in groups of bounded size.
+language. Transition weights are learned with them. A text is one chain, whatever its length, so code-switched text gets
+its own label per word by forward-backward; a document's score of a language is the mean of its words' posteriors, its
+language the one with the largest score (ties: the first by name).
+
+Forward-backward over a chain goes by blocks of ``BLOCK`` words. The product of a block's transition matrices carries the
+forward message from its first word to the next block's and the backward message the other way, so the blocks of all
+texts are worked on together and the result is that of the unbroken chain.
+
+Training takes at most ``sample_rows`` labelled rows, chosen by a hash of their id, and all words of them, in sequences of
+``BLOCK`` words; as many again are pieces of random length from several of these texts put together, which is how
+transitions between languages are seen. Words are lower-cased runs of ASCII letters and of bytes beyond ASCII; a text that
+is null or has no letter is ``und`` with score 0. Without labelled rows every text is ``und``. Rows that share an id are
+each predicted; the sample is of distinct pairs of id and label, and takes all texts of such an id. Other columns pass
+through, those named like a result are replaced. Prediction reads whole texts, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -25,9 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, others, read_table
 
 TABLE = 1 << 16
-CHAIN = 64
-SAMPLE_ROWS = 1500
-WINDOWS = 2
+BLOCK = 64
+SAMPLE_ROWS = 600
 ORDERS = (2, 3, 4)
 HELD_OUT = 2
 UNKNOWN = "und"
@@ -108,29 +113,50 @@ def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray):
     return post, pair
 
 
-def _label_only(score: np.ndarray, move: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """forward_backward's label posteriors alone, laid out for long batches."""
+def chain_posteriors(score: np.ndarray, move: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Label posteriors (blocks x steps x labels) of chains that are cut into blocks.
+
+    score and length are those of blocks, first tells which of them begin a chain; only the last block of a chain may be
+    short. Messages cross the cuts.
+    """
     n, steps, k = score.shape
     e = np.exp(score - score.max(axis=2, keepdims=True)).astype(np.float64).transpose(1, 0, 2).copy()
     inside = np.arange(steps)[:, None] < length[None, :]
     e[~inside] = 1.0
     a = np.exp(move - move.max())
+    into, behind = np.ones((n, k)), np.ones((n, k))  # what a block's first word hears from before, its last one from behind
+    cut = np.flatnonzero(~first)
+    if len(cut):
+        both = np.union1d(cut - 1, cut)  # the blocks of chains of several blocks
+        product = e[0][both][:, None, :] * np.eye(k)
+        for t in range(1, steps):
+            x = (product.reshape(-1, k) @ a).reshape(-1, k, k) * e[t][both][:, None, :]
+            product = np.where(inside[t][both][:, None, None], x / x.sum(axis=(1, 2), keepdims=True), product)
+        place = np.full(n, -1)
+        place[both] = np.arange(len(both))
+        for i in cut:
+            x = into[i - 1] @ product[place[i - 1]] @ a
+            into[i] = x / x.sum()
+        for i in cut[::-1]:
+            x = a @ (product[place[i]] @ behind[i])
+            behind[i - 1] = x / x.sum()
     alpha = np.empty_like(e)
-    alpha[0] = e[0]
+    alpha[0] = e[0] * into
+    alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
     for t in range(1, steps):
         x = (alpha[t - 1] @ a) * e[t]
         alpha[t] = x / x.sum(axis=1, keepdims=True)
-    beta = np.ones((n, k))
+    beta = behind
     for t in range(steps - 1, -1, -1):
         post = alpha[t] * beta
         alpha[t] = post / post.sum(axis=1, keepdims=True)
         if t:
             x = (e[t] * beta) @ a.T
-            beta = np.where(inside[t][:, None], x / x.sum(axis=1, keepdims=True), 1.0)
+            beta = np.where(inside[t][:, None], x / x.sum(axis=1, keepdims=True), behind)
     return alpha.transpose(1, 0, 2)
 
 
-def fit(sequences: list[tuple[list[bytes], np.ndarray]], labels: list[str], epochs: int = 3, rate: float = 0.15, l2: float = 1e-6, batch: int = 128) -> Field:
+def fit(sequences: list[tuple[list[bytes], np.ndarray]], labels: list[str], epochs: int = 2, rate: float = 0.15, l2: float = 1e-6, batch: int = 128) -> Field:
     """Weights by Adagrad on the conditional likelihood; sequences are words and label numbers."""
     k = len(labels)
     emit, move = np.zeros((TABLE, k)), np.zeros((k, k))
@@ -142,7 +168,7 @@ def fit(sequences: list[tuple[list[bytes], np.ndarray]], labels: list[str], epoc
             length = np.array([len(s) for s, _ in part])
             owner, row = features(words)
             seq, at = np.repeat(np.arange(len(part)), length), np.concatenate([np.arange(n) for n in length])
-            scores = np.zeros((len(part), CHAIN, k))
+            scores = np.zeros((len(part), BLOCK, k))
             scores[seq, at] = np.add.reduceat(emit[row], np.searchsorted(owner, np.arange(len(words))), axis=0)
             post, pair = forward_backward(scores, move, length)
             gold = np.concatenate([y for _, y in part])
@@ -159,48 +185,35 @@ def fit(sequences: list[tuple[list[bytes], np.ndarray]], labels: list[str], epoc
     return Field(labels, emit.astype(np.float32), move)
 
 
-def splice(pieces: list[tuple[str, list[bytes]]], labels: list[str], seed: int = 11) -> list[tuple[list[bytes], np.ndarray]]:
-    """Chains of up to CHAIN words, half of them spliced from several pieces."""
+def sequences_of(texts: list[tuple[str, list[bytes]]], labels: list[str], seed: int = 11) -> list[tuple[list[bytes], np.ndarray]]:
+    """All words of the texts in sequences of up to BLOCK words, and as many sequences spliced from several of them."""
     rng, number = np.random.default_rng(seed), {x: i for i, x in enumerate(labels)}
-    out = [(w[:CHAIN], np.full(min(len(w), CHAIN), number[lang])) for lang, w in pieces if w]
+    pieces = [(lang, words[i : i + BLOCK]) for lang, words in texts for i in range(0, len(words), BLOCK)]
+    out = [(w, np.full(len(w), number[lang])) for lang, w in pieces]
     for _ in range(len(out)):
         words, gold = [], []
-        while len(words) < CHAIN:
+        while len(words) < BLOCK:
             lang, w = pieces[rng.integers(len(pieces))]
             n = int(rng.integers(4, 33))
             start = int(rng.integers(max(1, len(w) - n + 1)))
             got = w[start : start + n]
-            if not got:
-                break
             words += got
             gold += [number[lang]] * len(got)
-        if words:
-            out.append((words[:CHAIN], np.array(gold[:CHAIN])))
+        out.append((words[:BLOCK], np.array(gold[:BLOCK])))
     rng.shuffle(out)
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, windows: int = WINDOWS) -> Field | None:
-    """A field from at most sample_rows rows with label and text, and evenly spread stretches of CHAIN words of each."""
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Field | None:
+    """A field from the whole texts of at most sample_rows rows with label and text."""
     named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = bounded_sample(batched(docs).select(id_col, F.col(text_col).alias("t")), named.select(id_col, F.col(label_col).cast("string").alias("y")), sample_rows, id_col)
-
-    def stretches(batches):
-        for batch in batches:
-            ys, ts = [], []
-            for y, text in zip(batch.column("y").to_pylist(), as_bytes(batch.column("t")), strict=True):
-                words = words_of(text)
-                for i in range(windows):
-                    start = i * max(0, len(words) - CHAIN) // max(1, windows - 1)
-                    ys.append(y)
-                    ts.append(b" ".join(words[start : start + CHAIN]))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.string()), pa.array(ts, pa.binary())], names=["y", "t"])
-
-    got = sorted({(r.y, bytes(r.t)) for r in rows.select("y", "t").mapInArrow(stretches, "y string, t binary").collect() if r.t})
-    if not got:
+    rows = bounded_sample(batched(docs).select(id_col, F.col(text_col).alias("t")), named.select(id_col, F.col(label_col).cast("string").alias("y")).distinct(), sample_rows, id_col)
+    got = sorted({(r.y, r.t) for r in rows.where("t is not null").select("y", "t").toLocalIterator()})
+    texts = [(y, words) for y, words in ((y, words_of(t.encode())) for y, t in got) if words]
+    if not texts:
         return None
-    labels = sorted({y for y, _ in got})
-    return fit(splice([(y, t.split()) for y, t in got], labels), labels)
+    labels = sorted({y for y, _ in texts})
+    return fit(sequences_of(texts, labels), labels)
 
 
 def label_words(field: Field, texts: list[bytes]):
@@ -214,21 +227,21 @@ def label_words(field: Field, texts: list[bytes]):
         docs = [words_of(t) for t in texts[begin:end]]
         number: dict[bytes, int] = {}
         ids = [np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in docs]
+        full = [-(-len(i) // BLOCK) for i in ids]
+        starts = np.cumsum([0, *full])
+        post = np.zeros((0, len(field.labels)))
         if number:
             score = field.potentials(list(number))
-            full = [-(-len(i) // CHAIN) for i in ids]
-            padded = np.zeros((sum(full) * CHAIN, score.shape[1]), dtype=np.float32)
-            length = np.zeros(sum(full), dtype=np.int64)
-            starts = np.cumsum([0, *full])
-            for i, s in zip(ids, starts, strict=False):
-                padded[s * CHAIN : s * CHAIN + len(i)] = score[i]
-                n = -(-len(i) // CHAIN)
+            padded = np.zeros((starts[-1] * BLOCK, score.shape[1]), dtype=np.float32)
+            length, first = np.full(starts[-1], BLOCK), np.zeros(starts[-1], dtype=bool)
+            for i, s, n in zip(ids, starts, full, strict=False):
+                padded[s * BLOCK : s * BLOCK + len(i)] = score[i]
                 if n:
-                    length[s : s + n] = CHAIN
-                    length[s + n - 1] = len(i) - CHAIN * (n - 1)
-            post = _label_only(padded.reshape(-1, CHAIN, score.shape[1]), field.move, length).reshape(-1, score.shape[1])
-        for words, s in zip(docs, starts if number else np.zeros(len(docs) + 1, int), strict=False):
-            yield words, post[s * CHAIN : s * CHAIN + len(words)] if number else np.zeros((0, len(field.labels)))
+                    length[s + n - 1] = len(i) - BLOCK * (n - 1)
+                    first[s] = True
+            post = chain_posteriors(padded.reshape(-1, BLOCK, score.shape[1]), field.move, length, first).reshape(-1, score.shape[1])
+        for words, s in zip(docs, starts, strict=False):
+            yield words, post[s * BLOCK : s * BLOCK + len(words)]
         begin = end
 
 

@@ -11,7 +11,7 @@ def test_forward_backward_equals_enumeration():
     score, move = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
     length = np.array([4, 2])
     post, pair = X.forward_backward(score, move, length)
-    alone = X._label_only(score, move, length)
+    alone = X.chain_posteriors(score, move, length, np.array([True, True]))
     want_pair = np.zeros((3, 3))
     for i, n in enumerate(length):
         total, by, pairs = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
@@ -27,6 +27,26 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(pair, want_pair)
 
 
+def test_blocks_of_a_chain_equal_the_unbroken_chain():
+    rng = np.random.default_rng(2)
+    move = rng.normal(size=(4, 4))
+    for sizes in ([1], [5, 17, 3, 40], [8, 9, 16, 1, 0, 33]):
+        chains = [rng.normal(size=(n, 4)) * 2 for n in sizes]
+        blocks, length, first = [], [], []
+        for c in chains:
+            for i in range(0, len(c), 8):
+                part = c[i : i + 8]
+                blocks.append(np.concatenate([part, np.zeros((8 - len(part), 4))]))
+                length.append(len(part))
+                first.append(i == 0)
+        got = X.chain_posteriors(np.array(blocks), move, np.array(length), np.array(first)).reshape(-1, 4)
+        at = 0
+        for c in chains:
+            want, _ = X.forward_backward(c[None], move, np.array([len(c)])) if len(c) else (np.zeros((1, 0, 4)), None)
+            assert np.allclose(got[at : at + len(c)], want[0])
+            at += -(-len(c) // 8) * 8
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return X.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("crc32(cast(doc_id as string)) % 4 <> 2"))
@@ -45,6 +65,17 @@ def test_code_switched_text_gets_its_shares(spark, field):
     assert (post[:180].argmax(axis=1) == field.labels.index("de")).mean() > 0.9 and (post[220:].argmax(axis=1) == field.labels.index("fr")).mean() > 0.9
 
 
+def test_repeated_ids_and_ties(spark):
+    rows = [(1, "der die das und", "de"), (1, "le la les des", "de"), (1, "le la les des", "fr"), (2, "der die das und", "de"), (None, "the and of", "en"), (3, "zz", None), (4, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = X.train(docs)
+    assert field.labels == ["de", "fr"]
+    got = X.identify(docs, field).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == ("und" if r.text is None else r.lang_pred) and 0 <= r.score <= 1 for r in got)
+    flat = X.Field(["a", "b"], np.zeros((X.TABLE, 2), dtype=np.float32), np.zeros((2, 2)))
+    assert [(r.lang_pred, r.score) for r in X.identify(docs.where("doc_id = 2"), flat).collect()] == [("a", 0.5)]
+
+
 def test_edges_and_rounds(spark, field, monkeypatch):
     texts = [None, "", "123 !?", "—…", "Ü", "the " * 50000, "the and of"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").drop("score").withColumnRenamed("text", "body")
