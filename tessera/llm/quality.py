@@ -1,11 +1,16 @@
 """Text quality from random-indexing word vectors and a small calibrated network.
 
-Tokens are runs of letters, of digits and of other characters; each has one of ``BUCKETS`` numbers by a hash. A bucket's
-index vector is sparse (``NONZERO`` entries of +1 or -1, fixed by the bucket); its word vector is the sum of the index
-vectors of the tokens within two places of it, over all texts of the corpus: every task adds up its own matrix, Spark
-sums these per bucket, and the result has a fixed size however large the corpus is. A document is pooled as the mean and
-the spread of its tokens' normalised vectors. A two-layer network (tanh, logistic output) is fitted in numpy on at most
-``sample_rows`` labelled rows; a temperature, chosen on a fifth of them that the fit leaves out, calibrates it.
+Tokens are runs of letters, of digits and of other characters. Each distinct token has a sparse index vector (``NONZERO``
+entries of +1 or -1, fixed by its hash); its word vector is the sum of the index vectors of the tokens within two places
+of it, over all texts of the corpus. The vectors of all words, of which there is no bound, are kept as a count sketch of
+fixed size: a word's vector is added, with a sign, to ``COPIES`` of ``BUCKETS`` rows, and read as the mean of these with
+their signs. No two words share their rows and signs, but by a chance of one in 2^34, so a frequent word reads as itself
+and what other words add cancels out on average. Every task adds up its own sketch and Spark sums these per row.
+
+A document is pooled as the mean and the spread of its tokens' normalised vectors. A two-layer network (tanh, logistic
+output) is fitted in numpy on at most ``sample_rows`` distinct labelled rows, in at least ``EPOCHS`` epochs and ``STEPS``
+steps; a temperature, chosen on a fifth of them that the fit leaves out, calibrates it. An id with both labels enters with
+both, and all texts of a shared id enter.
 
 Null and empty texts pool to zeros and get the network's score of that. With labels of one kind or none, every score is
 the smoothed share of ones. Texts of any length are read whole; other columns pass through, those named like a result are replaced.
@@ -14,92 +19,124 @@ the smoothed share of ones. Texts of any length are read whole; other columns pa
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, batched, bounded_sample, fold_of, mix64, read_table
 
-BUCKETS, DIMS, NONZERO = 8192, 32, 4
+BUCKETS, COPIES, DIMS, NONZERO = 1 << 16, 2, 32, 4
 SAMPLE_ROWS = 20_000
 HIDDEN = 24
+EPOCHS, STEPS = 60, 12_000
 THRESHOLD = 0.7
 HELD_OUT = 2
-#: Tokens that are put into one round of counting.
-ROUND = 500_000
+#: Tokens that are put into one round of counting, and distinct ones that are pooled at once.
+ROUND, POOL = 500_000, 100_000
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 
 
-def buckets_of(text: bytes) -> np.ndarray:
-    crc = zlib.crc32
-    return np.array([crc(t) & (BUCKETS - 1) for t in _TOKEN.findall(text)], dtype=np.int64)
+def hashes_of(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the entries of each bucket's index vector."""
-    at = np.arange(BUCKETS * NONZERO, dtype=np.uint64)
-    bits = mix64(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return (bits % np.uint64(DIMS)).astype(np.int64).reshape(-1, NONZERO), (1.0 - 2.0 * ((bits >> np.uint64(40)) & np.uint64(1))).reshape(-1, NONZERO)
+def _bits(h: np.ndarray, seed: int, width: int, count: int) -> np.ndarray:
+    """count numbers of width bits for each hash."""
+    return (mix64(h + np.uint64(seed))[:, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(width))[None, :] & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
-def add_contexts(total: np.ndarray, texts: list[np.ndarray], places: np.ndarray, signs: np.ndarray) -> None:
-    """Add the contexts of token sequences to the flat matrix total; windows don't cross texts."""
-    gap = np.full(2, -1, dtype=np.int64)
-    ids = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of each word's index vector."""
+    return _bits(h, 1, 5, NONZERO), 1.0 - 2.0 * _bits(h, 2, 1, NONZERO)
+
+
+def sketch_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and signs of each word in the sketch."""
+    return _bits(h, 3, 16, COPIES), 1.0 - 2.0 * _bits(h, 4, 1, COPIES)
+
+
+def add_contexts(sketch: np.ndarray, ids: np.ndarray, words: list[bytes]) -> None:
+    """Add the contexts of numbered words to the sketch; ids has -1 between texts, which windows don't cross."""
+    if not words:
+        return
+    h = hashes_of(words)
+    places, signs = index_vectors(h)
+    total = np.zeros(len(words) * DIMS)
     for k in (1, 2):
         a, b = ids[:-k], ids[k:]
         fine = (a >= 0) & (b >= 0)
         a, b = a[fine], b[fine]
-        for left, right in ((a, b), (b, a)):
-            for j in range(NONZERO):
-                total += np.bincount(left * DIMS + places[right, j], weights=signs[right, j], minlength=len(total))
+        for i in range(0, len(a), ROUND):
+            for left, right in ((a[i : i + ROUND], b[i : i + ROUND]), (b[i : i + ROUND], a[i : i + ROUND])):
+                total += np.bincount((left[:, None] * DIMS + places[right]).ravel(), weights=signs[right].ravel(), minlength=len(total))
+    total = total.reshape(-1, DIMS)
+    rows, signs = sketch_rows(h)
+    for j in range(COPIES):
+        at = rows[:, j, None] * DIMS + np.arange(DIMS)
+        sketch += np.bincount(at.ravel(), weights=(signs[:, j, None] * total).ravel(), minlength=sketch.size).reshape(sketch.shape)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The normalised word vector of each bucket, from all texts."""
+    """The sketch of the word vectors of all texts."""
     columns = [f"d{i}" for i in range(DIMS)]
+    gap = np.full(2, -1, dtype=np.int64)
 
     def count(batches):
-        places, signs = index_vectors()
-        total = np.zeros(BUCKETS * DIMS)
+        sketch = np.zeros((BUCKETS, DIMS))
+        number: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            nonlocal number, parts, size
+            if parts:
+                add_contexts(sketch, np.concatenate(parts), list(number))
+            number, parts, size = {}, [], 0
+
         for batch in batches:
-            waiting, size = [], 0
             for text in as_bytes(batch.column(0)):
-                waiting.append(buckets_of(text))
-                size += len(waiting[-1])
-                if size > ROUND:
-                    add_contexts(total, waiting, places, signs)
-                    waiting, size = [], 0
-            add_contexts(total, waiting, places, signs)
-        rows = total.reshape(BUCKETS, DIMS)
-        seen = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(rows[seen, i]) for i in range(DIMS))], names=["bucket", *columns])
+                parts += [np.array([number.setdefault(w, len(number)) for w in _TOKEN.findall(text)], dtype=np.int64), gap]
+                size += len(parts[-2])
+                if size >= ROUND:
+                    flush()
+        flush()
+        seen = np.flatnonzero(sketch.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(sketch[seen, i]) for i in range(DIMS))], names=["bucket", *columns])
 
     parts = batched(docs).select(F.coalesce(text_col, F.lit("")).alias("t")).mapInArrow(count, "bucket long, " + ", ".join(f"{c} double" for c in columns))
     # entries are whole numbers, so the sums don't depend on their order; at most BUCKETS rows come back
     summed = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((BUCKETS, DIMS))
+    out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
     if len(summed):
         out[summed["bucket"].to_numpy()] = summed[columns].to_numpy()
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return out
+
+
+def vectors_of(sketch: np.ndarray, words) -> np.ndarray:
+    """The normalised word vectors."""
+    rows, signs = sketch_rows(hashes_of(words))
+    out = np.einsum("nj,njd->nd", signs.astype(np.float32), sketch[rows])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def pooled(vectors: np.ndarray, text: bytes) -> np.ndarray:
-    ids = buckets_of(text)
-    if not len(ids):
+def pooled(sketch: np.ndarray, text: bytes) -> np.ndarray:
+    counts = Counter(_TOKEN.findall(text))
+    if not counts:
         return np.zeros(2 * DIMS)
+    words, n = list(counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
     first, second = np.zeros(DIMS), np.zeros(DIMS)
-    for i in range(0, len(ids), ROUND):
-        v = vectors[ids[i : i + ROUND]]
-        first += v.sum(axis=0, dtype=np.float64)
-        second += np.einsum("ij,ij->j", v, v, dtype=np.float64)
-    mean = first / len(ids)
-    return np.concatenate([mean, np.sqrt(np.maximum(second / len(ids) - mean**2, 0))])
+    for i in range(0, len(words), POOL):
+        v = vectors_of(sketch, words[i : i + POOL]).astype(np.float64)
+        first += n[i : i + POOL] @ v
+        second += n[i : i + POOL] @ (v * v)
+    mean = first / n.sum()
+    return np.concatenate([mean, np.sqrt(np.maximum(second / n.sum() - mean**2, 0))])
 
 
 @dataclass
@@ -119,7 +156,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60, l2: float = 1e-4, seed: int = 7) -> Network:
+def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, l2: float = 1e-4, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 1) / (len(y) + 2)
@@ -134,7 +171,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60, l2
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     step = 0
-    for _ in range(max(epochs, 12_000 // max(1, len(ty) // 64 + 1) if len(ty) < 4000 else 0)):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-len(ty) // 64)))):
         order = rng.permutation(len(ty))
         for i in range(0, len(order), 64):
             at = order[i : i + 64]
@@ -158,7 +195,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60, l2
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Vectors from all of docs, a network from at most sample_rows rows of 0/1 labels and their texts."""
     vectors = word_vectors(docs, text_col)
-    known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")).distinct()
     rows = bounded_sample(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")), known, sample_rows, id_col)
 
     def pool(batches):
