@@ -1,16 +1,17 @@
 """Severity of toxic text by cumulative-link ordinal regression over sparse word features.
 
-Labels say toxic or not; grades come from the labelled rows themselves: 0 for not toxic, and 1 to ``grades`` - 1 for
-toxic rows by the quantile of their sum of log(1 + count) over marker words. Markers are the words whose presence tells toxic rows from
-the others with a likelihood ratio (G statistic) of at least ``min_g``; they are also the vocabulary. A row's features are
-log(1 + count) per vocabulary word. One weight vector is shared by all thresholds: P(grade <= j) = sigmoid(t_j - w x)
-with ordered t; fitted by gradient steps with an L2 penalty. The output is the expected severity, sum over j of
-P(grade > j), and the probability of any toxicity, P(grade > 0).
+Labels say toxic or not. Grades come from them: 0 for not toxic, and 1 to ``grades`` - 1 for toxic rows by the quantile of
+their evidence, the sum over their words of log(1 + count) times the word's log odds of toxicity. The rows fall into two
+halves by a hash of the text, and a row's evidence uses the odds that the other half gives, so no row grades itself. The
+vocabulary is every word whose presence tells toxic rows from the others, either way, with a likelihood ratio (G
+statistic) of at least ``min_g``. A row's features are log(1 + count) per vocabulary word. One weight vector is shared by
+all thresholds: P(grade <= j) = sigmoid(t_j - w x) with ordered t; fitted by gradient steps with an L2 penalty. The output
+is the expected severity, sum over j of P(grade > j), and the probability of any toxicity, P(grade > 0).
 
 The fit takes at most ``sample_rows`` labelled rows, chosen by a hash of their id; copies of a text count once among
-them. The counts that choose the vocabulary are Spark aggregates over these rows. Scoring reads every text whole. Null and empty
-texts and texts without vocabulary words have no features; an empty label table gives severity 0 throughout. Other
-columns pass through, those named like a result are replaced.
+them, as toxic if one is. The counts that choose the vocabulary are Spark aggregates over these rows. Scoring reads every
+text whole. Null and empty texts and texts without vocabulary words have no features; an empty label table gives severity
+0 throughout. Other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes, batched, bounded_sample, others, read_table
 
 SAMPLE_ROWS = 20_000
-MAX_VOCABULARY = 4096
 #: Present by chance in five toxic rows and no other, at one toxic row in nine, a word reaches 22.
 MIN_G = 22.0
 GRADES = 4
@@ -94,23 +94,27 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     """A model from at most sample_rows rows of 0/1 labels and their texts."""
     known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
     rows = bounded_sample(batched(docs).where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t")), known, sample_rows, id_col)
-    texts = rows.select("t", "y", F.xxhash64("t").alias("k")).dropDuplicates(["k"])
+    texts = rows.groupBy(F.xxhash64("t").alias("k")).agg(F.max("y").alias("y"), F.any_value("t").alias("t"))
 
     def distinct_words(batches):
         for batch in batches:
-            ys, words = [], []
-            for text, y in zip(as_bytes(batch.column("t")), batch.column("y").to_pylist(), strict=True):
+            ys, halves, words = [], [], []
+            for text, y, k in zip(as_bytes(batch.column("t")), batch.column("y").to_pylist(), batch.column("k").to_pylist(), strict=True):
                 own = {w.decode("utf-8", "ignore") for w in words_of(text)}
                 words += own
                 ys += [y] * len(own)
-            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "word": pa.array(words, pa.string())})
-
-    totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    counts = texts.mapInArrow(distinct_words, "y int, word string").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+                halves += [k & 1] * len(own)
+            yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "half": pa.array(halves, pa.int32()), "word": pa.array(words, pa.string())})
+
+    totals = {(r.y, r.half): r.n for r in texts.groupBy("y", F.col("k").bitwiseAND(1).alias("half")).agg(F.count("*").alias("n")).collect()}
+    n1, n0 = (sum(totals.get((y, half), 0) for half in (0, 1)) for y in (1, 0))
+    of = lambda y, half: F.when((F.col("y") == y) & (F.col("half") == half), 1).otherwise(0)
+    counts = texts.mapInArrow(distinct_words, "y int, half int, word string").groupBy("word").agg(*[F.sum(of(y, half)).alias(f"c{y}{half}") for y in (1, 0) for half in (0, 1)])
+    counts = counts.withColumn("a", F.col("c10") + F.col("c11")).withColumn("b", F.col("c00") + F.col("c01"))
     p, q = F.lit(n1 / max(1, n1 + n0)), F.col("a") / (F.col("a") + F.col("b"))
-    g = 2 * (F.col("a") * F.log(q / p) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - q) / (1 - p))).otherwise(0.0))
-    markers = counts.where((q > p) & (F.col("a") >= 4)).withColumn("g", g).where(F.col("g") >= min_g).orderBy(F.desc("g"), "word").limit(MAX_VOCABULARY).collect() if n1 and n0 else []
+    part = lambda n, x: F.when(n > 0, n * F.log(x)).otherwise(0.0)
+    g = 2 * (part(F.col("a"), q / p) + part(F.col("b"), (1 - q) / (1 - p)))
+    markers = counts.where(g >= min_g).orderBy("word").collect() if n1 and n0 else []  # words of sample_rows rows, those that tell them apart
     empty = Model({r.word.encode(): i for i, r in enumerate(markers)}, np.zeros(len(markers)), np.full(grades - 1, 50.0))
     if not markers:
         return empty
@@ -118,14 +122,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     def featurize(batches):
         for batch in batches:
             out = [empty.features(t) for t in as_bytes(batch.column("t"))]
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "at": [o[0].tolist() for o in out], "x": [o[1].tolist() for o in out]})
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "k": batch.column("k"), "at": [o[0].tolist() for o in out], "x": [o[1].tolist() for o in out]})
 
-    fetched = texts.select("t", "y", "k").mapInArrow(featurize, "y int, at array<long>, x array<double>").toPandas()
+    fetched = texts.mapInArrow(featurize, "y int, k long, at array<long>, x array<double>").toPandas().sort_values("k")
     rows = [(np.asarray(a, dtype=np.int64), np.asarray(x, dtype=np.float64)) for a, x in zip(fetched["at"], fetched["x"], strict=True)]
-    y = fetched["y"].to_numpy()
-    amount = np.array([x.sum() for _, x in rows])
-    edges = np.quantile(amount[y == 1], np.linspace(0, 1, grades)[1:-1])
-    grade = np.where(y == 1, 1 + np.searchsorted(edges, amount), 0)
+    y, half = fetched["y"].to_numpy(), fetched["k"].to_numpy() & 1
+    odds = np.array([[np.log((m[f"c1{h}"] + 0.5) / (totals.get((1, h), 0) + 1)) - np.log((m[f"c0{h}"] + 0.5) / (totals.get((0, h), 0) + 1)) for m in markers] for h in (0, 1)])
+    evidence = np.array([odds[1 - h, a] @ x for (a, x), h in zip(rows, half, strict=True)])
+    edges = np.quantile(evidence[y == 1], np.linspace(0, 1, grades)[1:-1])
+    grade = np.where(y == 1, 1 + np.searchsorted(edges, evidence), 0)
     weights, cuts = fit_ordinal(rows, grade, len(markers), grades)
     return Model(empty.vocabulary, weights, cuts)
 

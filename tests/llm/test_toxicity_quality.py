@@ -52,18 +52,47 @@ def test_quality_held_out(spark):
 
 
 def test_word_vectors_equal_a_plain_count(spark):
-    texts = ["a b c a", None, "", "b b 7 !!"]
+    texts = ["a b c a", None, "", "b b 7 !!", "é a b"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    places, signs = Q.index_vectors()
-    want = np.zeros((Q.BUCKETS, Q.DIMS))
+    words = sorted({w for t in texts for w in Q._TOKEN.findall((t or "").encode())})
+    h = Q.hashes_of(words)
+    (places, signs), (rows, turns) = Q.index_vectors(h), Q.sketch_rows(h)
+    want = np.zeros((len(words), Q.DIMS))
     for t in texts:
-        ids = Q.buckets_of((t or "").encode())
+        ids = [words.index(w) for w in Q._TOKEN.findall((t or "").encode())]
         for i, a in enumerate(ids):
             for j in range(max(0, i - 2), min(len(ids), i + 3)):
                 if j != i:
                     np.add.at(want[a], places[ids[j]], signs[ids[j]])
+    sketch = np.zeros((Q.BUCKETS, Q.DIMS))
+    for j in range(Q.COPIES):
+        np.add.at(sketch, rows[:, j], turns[:, j, None] * want)
+    got = Q.word_vectors(docs)
+    assert np.array_equal(got, sketch)
+    assert len({*map(tuple, rows.tolist())}) == len(words)
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
-    assert np.allclose(Q.word_vectors(docs), want, atol=1e-6)
+    assert np.allclose(Q.vectors_of(got, words), want, atol=1e-6)
+
+
+def test_pooling_equals_a_plain_mean(monkeypatch):
+    sketch = np.random.default_rng(3).normal(size=(Q.BUCKETS, Q.DIMS)).astype(np.float32)
+    text = b"a b c a a 7 !! long word list " * 3
+    v = np.array([Q.vectors_of(sketch, [w])[0] for w in Q._TOKEN.findall(text)], dtype=np.float64)
+    want = np.concatenate([v.mean(axis=0), v.std(axis=0)])
+    assert np.allclose(Q.pooled(sketch, text), want, atol=1e-6)
+    monkeypatch.setattr(Q, "POOL", 2)
+    assert np.allclose(Q.pooled(sketch, text), want, atol=1e-6)
+
+
+def test_repeated_labels_and_ids(spark):
+    docs = spark.createDataFrame([(i, f"good fine text {i} {'nice ' * (i % 3)}" if i % 2 else f"bad 0x{i} !!! {'$ ' * (i % 4)}") for i in range(400)] + [(1, "another text of one"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    again = labels.union(labels).union(spark.createDataFrame([(None, 1)], "doc_id long, quality int"))
+    scores = [{(r.doc_id, r.text): r.score for r in Q.quality(docs, *Q.train(docs, x)).collect()} for x in (labels, again)]
+    assert scores[0] == scores[1] and len(scores[0]) == 402 and scores[0][3, docs.where("doc_id = 3").first().text] > 0.5
+    toxic = labels.withColumnRenamed("quality", "toxic")
+    a, b = X.train(docs, toxic), X.train(docs, toxic.union(toxic))
+    assert a.vocabulary == b.vocabulary and np.array_equal(a.weights, b.weights) and b"good" in a.vocabulary and b"bad" in a.vocabulary
 
 
 def test_quality_edges(spark):
