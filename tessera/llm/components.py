@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of edges (a, b): the smallest id that it reaches.
 
     Each round points every vertex to smaller neighbours, which halves chains; rounds end when nothing changes. Edges are
-    written to the shared folder between rounds. The star of a vertex is spread by its smallest neighbour only, never
-    gathered in one task.
+    written to the shared folder between rounds. A hub's smallest neighbour is a map-side-combined minimum; its edges
+    meet that one row in a sort-merge join, whose larger side adaptive execution splits where a hub is hot.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None

@@ -24,7 +24,7 @@ pass, is dealt out in pairs of blocks.
 Elements are 64-bit hashes of n-grams. Nodes are 64-bit hashes of sets, checked against a second hash; the salt changes
 if two sets ever meet. A text with fewer than n words has one element, the whole sequence; null, empty and blank texts
 have none and link with nothing. Rows without an id get a null component; rows that share an id
-count as one document that has the links of all its texts.
+count as one document that has the links of all its texts. Which of several rows of an id comes first plays no part.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ PAIR_COST = 0.03
 SIGNS = 8
 #: Instances with more segments than this keep the plain allocation, which bounds the table of counts.
 COUNTED_SEGMENTS = 4096
+#: Parts that the holders of a signature are dealt into.
+SALTS = 16
 #: Copies that a task remembers, so as not to index them again.
 REMEMBERED = 100_000
 
@@ -331,14 +333,21 @@ def _signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, salt: int,
     return docs.select(F.col(text_col).alias("t")).mapInArrow(index, "sig long, node long")
 
 
+def _with_salts(keys: DataFrame) -> DataFrame:
+    """keys by signature, once for each salt that rows of a signature have."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """(sig, node, members) of the signatures that several nodes share; of buckets with the same members one stays."""
-    rows = signatures.repartition("sig").dropDuplicates(["sig", "node"])
-    w = Window.partitionBy("sig")
-    rows = rows.select("sig", "node", F.count("*").over(w).alias("members"), F.bit_xor(F.xxhash64("node")).over(w).alias("x0"), F.bit_xor(F.xxhash64("node", F.lit(7))).over(w).alias("x1")).where("members > 1")
-    rows = stored(rows, "buckets")
-    one = rows.groupBy("members", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig")
-    return rows.join(one, "sig", "left_semi").select("sig", "node", "members")
+    """(sig, salt, node, members) of the signatures that several nodes share; of buckets with the same members one stays.
+
+    The holders of a signature are dealt out by a salt; only counts and hash sums of their parts meet.
+    """
+    rows = signatures.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("long"))).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+    parts = rows.groupBy("sig", "salt").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x0"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x1"))
+    whole = parts.groupBy("sig").agg(F.sum("members").alias("members"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")).where("members > 1")
+    one = whole.groupBy("members", "x0", "x1").agg(F.min("sig").alias("sig"))
+    return rows.join(_with_salts(one.select("sig", "members")), ["sig", "salt"]).select("sig", "salt", "node", "members")
 
 
 def _by_bucket(rows: DataFrame, columns: list[str], close, schema: str, blocks) -> DataFrame:
@@ -395,7 +404,7 @@ def _exact_links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, found:
 
     rows = buckets.join(nodes.select("node", "id", "size"), "node").join(found, "id", "left")
     open_ = rows.groupBy("sig").agg(F.sum("size").alias("elements"), F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y")).where("x <> y").select("sig", "elements")
-    rows = rows.join(open_, "sig").join(texts, "id")
+    rows = rows.join(_with_salts(open_), ["sig", "salt"]).join(texts, "id")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS))
     return _by_bucket(rows, ["id", "text", "component"], close, "a long, b long", blocks)
 
@@ -416,6 +425,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, bands: Bands, salt: in
     return rows.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, linked boolean")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component) after more links (a, b): only the components that these join are gone through again."""
+    side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    between = stored(between.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return found
+    over = components(between)
+    up = found.join(over.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return stored(up.union(over.join(found.select("id"), "id", "left_anti").select("id", "component")), "components")
+
+
 def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = False) -> DataFrame:
     """(id, t, size, first) per row; t is xxhash64 of the text, first the smallest (id, t) that links reach from the row.
 
@@ -446,17 +467,16 @@ def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_c
     rest = edges.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
     rest = stored(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        checked = checked.union(stored(_verified(rest, texts, n, bands, salt), "checked"))
-    links = checked.where("linked").select("a", "b")
+        also = stored(_verified(rest, texts, n, bands, salt), "checked")
+        found, checked = _joined(found, also.where("linked").select("a", "b")), checked.union(also)
     failed = stored(edges.join(checked.where("not linked").select("a", "b"), ["a", "b"]).select("sig").distinct(), "failed")
     if not failed.isEmpty():
-        exact = _exact_links(buckets.join(failed, "sig", "left_semi"), nodes, texts, found, n, bands, salt)
-        links = links.union(stored(exact, "exact"))
+        found = _joined(found, _exact_links(buckets.join(_with_salts(failed), ["sig", "salt"], "left_semi"), nodes, texts, found, n, bands, salt))
     rows = rows.select("id", "t", "size", F.col("h0").alias("node"))
     if one_per_id:
         shared = rows.where("size > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
-        links = links.union(stored(rows.where("size > 0").join(shared, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "shared"))
-    found = components(links).withColumnRenamed("id", "node")
+        found = _joined(found, rows.where("size > 0").join(shared, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    found = found.withColumnRenamed("id", "node")
     linked = nodes.select("node", "first").join(found, "node")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     copies = rows.join(nodes.select("node", F.col("first").alias("own")), "node", "left").join(found.join(least, "component").select("node", "least"), "node", "left")
