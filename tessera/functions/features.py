@@ -11,10 +11,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.constants import BRIGHT_WORDS, DARK_WORDS, FACE, FACES, PALETTE
+from tessera.functions.constants import FACE, FACES
+from tessera.functions.text import palette
 
 
 def seeds_of(keys: list[str]) -> np.ndarray:
@@ -78,25 +80,16 @@ def box_reduced(image: np.ndarray, size: int = FACE) -> np.ndarray:
     return out
 
 
-def tinted(faces: np.ndarray, prompt: str) -> np.ndarray:
-    """Faces drawn towards the mean of the palette colours that a normal prompt names, lighter or darker by its words."""
-    padded = rest = f" {prompt} "
-    colours = []
-    for token, *rgb in sorted(PALETTE, key=lambda p: -len(p[0])):
-        if f" {token} " in rest:
-            colours.append(rgb)
-            rest = rest.replace(f" {token} ", " ")
-    shift = 18 * (sum(f" {w} " in padded for w in BRIGHT_WORDS) - sum(f" {w} " in padded for w in DARK_WORDS))
-    if not colours and not shift and not any(f" {w} " in padded for w in (*BRIGHT_WORDS, *DARK_WORDS)):
-        return faces
-    strength = min(70, 25 + 15 * min(4, len(colours))) if colours else 0
-    target = np.sum(colours, axis=0) // len(colours) if colours else np.full(3, 128)
-    return np.clip((faces.astype(np.int32) * (100 - strength) + target * strength) // 100 + shift, 0, 255).astype(np.uint8)
-
-
-def description_vector(prompt: str, lane: str, model: str) -> bytes:
-    """The vector of one prompt; runs where the query is stated."""
-    faces = tinted(render_faces([f"description:{prompt}\nprompt\n{lane}\n{model}"]), prompt)
+def tinted(faces: np.ndarray, colour: tuple[int, int, int], strength: int, shift: int) -> np.ndarray:
+    """Faces drawn towards a colour by strength per cent, then lighter or darker by shift."""
+    mixed = faces.astype(np.int32) * (100 - strength) + np.array(colour) * strength
+    return np.clip(mixed // 100 + shift, 0, 255).astype(np.uint8)
+
+
+def description_vector(spark: SparkSession, prompt: str, lane: str, model: str) -> bytes:
+    """The vector of one stated prompt, tinted as palette() says."""
+    tint = spark.range(1).select(palette(F.lit(prompt)).alias("p")).first().p
+    faces = tinted(render_faces([f"description:{prompt}\nprompt\n{lane}\n{model}"]), (tint.red, tint.green, tint.blue), tint.strength, tint["shift"])
     return (object_vectors if lane == "object" else scene_vectors)(faces)[0].tobytes()
 
 

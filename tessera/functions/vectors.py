@@ -59,3 +59,9 @@ def as_bytes(vector: Column) -> Column:
 
 def signed(byte: Column) -> Column:
     return F.when(byte > 127, byte - 256).otherwise(byte)
+
+
+def output_digest(model_id: Column, asset: Column, capture: Column, lane: Column, model: Column, embedding: Column) -> Column:
+    """SHA-256 of five texts, each with a line feed, and the raw bytes of a vector."""
+    head = F.concat(*[F.encode(F.concat(c, F.lit("\n")), "utf-8") for c in (model_id, asset, capture, lane, model)])
+    return F.sha2(F.concat(head, embedding), 256)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import GENERATIONS
+from tessera.operators.tables import stored
 
 IDENTITY = ("asset_id", "capture", "lane", "model")
 
@@ -22,19 +24,40 @@ def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...] = IDENTITY,
     return table.unionByName(first_wins(rows, keys, position).join(table.select(*keys), list(keys), "left_anti").select(*table.columns))
 
 
-def indexed(rows: DataFrame, order: str, name: str = "row_index") -> DataFrame:
-    """rows with a dense index from 0 in order of a unique column, without a single-task window.
+def _ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows in range partitions of the order, each row with its partition's number in _part."""
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+#: How values before a row combine: within a partition, over partitions, and the two of them.
+_PREFIX = {
+    "sum": (F.sum, lambda own, before: F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "last": (lambda c: F.last(c, ignorenulls=True), F.coalesce),
+}
+
+
+def with_prefix(rows: DataFrame, order: list[Column], how: str, value: Column, name: str) -> DataFrame:
+    """rows with the sum, max, min or last value of all rows before, in an order, without a single-task window.
 
-    Rows are range-partitioned; each partition numbers its own and adds the sizes of those before, of which there are as
-    many as partitions.
+    Rows are range-partitioned; each partition runs its own window and takes in one value for all partitions before it, of
+    which there are as many as partitions.
     """
-    from tessera.operators.tables import stored
+    over, both = _PREFIX[how]
+    ranged = _ranged(rows.withColumn("_value", value), order)
+    w = Window.partitionBy("_part").orderBy(*order)
+    own = ranged.withColumn("_own", over("_value").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    total = F.max_by("_value", "_at") if how == "last" else over("_value")
+    numbered = ranged.withColumn("_at", F.row_number().over(w)).where("_value IS NOT NULL") if how == "last" else ranged
+    parts = ranged.select("_part").distinct().join(numbered.groupBy("_part").agg(total.alias("_total")), "_part", "left")
+    before = parts.select("_part", over("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return own.join(before, "_part").withColumn(name, both(F.col("_own"), F.col("_before"))).drop("_value", "_own", "_before", "_part")
 
-    ranged = stored(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_before", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return ranged.withColumn("_own", own).join(before.drop("n"), "_part").withColumn(name, F.col("_own") - 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_own", "_before")
+
+def indexed(rows: DataFrame, order: str, name: str = "row_index") -> DataFrame:
+    """rows with a dense index from 0 in order of a unique column."""
+    return with_prefix(rows, [F.col(order)], "sum", F.lit(1), name)
 
 
 def shard_manifest(lines: DataFrame, rows_per_shard: int, index: str = "row_index", line: str = "line", pano: str = "pano_id") -> DataFrame:
@@ -87,18 +110,55 @@ def page(rows: DataFrame, after: int, limit: int, key: str = "location_id") -> D
 
 def running_start(rows: DataFrame, count: str, order: str) -> DataFrame:
     """rows with start: the sum of count over the rows before."""
-    return rows.withColumn("start", F.coalesce(F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return with_prefix(rows, [F.col(order)], "sum", F.col(count), "start")
+
+
+def overlaps_before(ranges: DataFrame) -> DataFrame:
+    """Ranges (id, start, stop) that begin before the one before them, in order of start and id, has ended."""
+    return with_prefix(ranges, [F.col("start"), F.col("id")], "last", F.col("stop"), "_prior").where("start < _prior").drop("_prior")
 
 
 def disjoint_ranges(official: DataFrame, offered: DataFrame) -> DataFrame:
-    """Offered ranges [start, stop), in order of start and id, that overlap neither official ones nor accepted ones.
+    """Offered ranges (id, start, stop), in order of start and id, that overlap neither official ones nor accepted ones.
 
-    A registry of index parts, one row each: its size is that of the list of parts.
+    Ranges are not empty. An offered one goes if an official one that starts no later ends after its start, or the next
+    one starts before its end: two running values. The others fall into islands of ranges that touch through one another;
+    an island's ranges are accepted in order, as a stream that remembers one end, so islands run in parallel and none is held.
     """
-    taken = [(r["start"], r["stop"]) for r in official.select("start", "stop").toLocalIterator()]
-    accepted = []
-    for r in offered.orderBy("start", "id").toLocalIterator():
-        if all(r["stop"] <= a or r["start"] >= b for a, b in taken):
-            taken.append((r["start"], r["stop"]))
-            accepted.append((r["id"], r["start"], r["stop"]))
-    return official.sparkSession.createDataFrame(accepted, "id long, start long, stop long")
+    both = official.select(F.lit(None).cast("long").alias("id"), "start", "stop").unionByName(offered.select("id", "start", "stop")).withColumn("_official", F.col("id").isNull())
+    up = [F.col("start"), F.col("_official").desc(), F.col("id")]
+    ended = with_prefix(both, up, "max", F.when(F.col("_official"), F.col("stop")), "_ended")
+    down = [F.col("start").desc(), F.col("_official"), F.col("id").desc()]
+    begun = with_prefix(ended, down, "min", F.when(F.col("_official"), F.col("start")), "_next")
+    free = begun.where(~F.col("_official") & ~F.coalesce(F.col("_ended") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("_next") < F.col("stop"), F.lit(False))).select("id", "start", "stop")
+    order = [F.col("start"), F.col("id")]
+    edge = with_prefix(free, order, "max", F.col("stop"), "_reach").withColumn("_new", F.coalesce(F.col("start") >= F.col("_reach"), F.lit(True)).cast("long"))
+    islands = with_prefix(edge.select("id", "start", "stop", "_new"), order, "sum", F.col("_new"), "_islands").withColumn("island", F.col("_islands") + F.col("_new"))
+
+    def accept(batches):
+        island, end = None, None
+        for batch in batches:
+            keep = []
+            for number, start, stop in zip(*(batch.column(c).to_pylist() for c in ("island", "start", "stop")), strict=True):
+                if number != island:
+                    island, end = number, None
+                keep.append(end is None or start >= end)
+                if keep[-1]:
+                    end = stop
+            yield batch.select(["id", "start", "stop"]).filter(pa.array(keep, pa.bool_()))
+
+    ordered = islands.select("island", "id", "start", "stop").repartition("island").sortWithinPartitions("island", "start", "id")
+    return ordered.mapInArrow(accept, "id long, start long, stop long")
+
+
+def replaced_lane(table: DataFrame, rows: DataFrame, lane: str) -> DataFrame:
+    """table with the rows of one lane replaced; rows of another lane among the new ones are an error."""
+    fit = F.when(F.col("lane") == lane, F.col("lane")).otherwise(F.raise_error(F.lit("a row of another lane")).cast("string"))
+    return table.where(~F.col("lane").eqNullSafe(lane)).unionByName(rows.withColumn("lane", fit).select(*table.columns))
+
+
+def with_first_tag(rows: DataFrame, names: DataFrame, key: str = "location_id", tags: str = "tags", name: str = "country") -> DataFrame:
+    """(key, name): the first non-empty name of a row's tags, or an empty text; names (tag, name) is a table of any size."""
+    each = rows.select(key, F.posexplode_outer(tags).alias("_place", "tag"))
+    named = each.join(names.where(F.col("name") != "").select("tag", "name"), "tag", "left")
+    return named.groupBy(key).agg(F.coalesce(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("_place"))), F.lit("")).alias(name))

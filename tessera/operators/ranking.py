@@ -94,6 +94,12 @@ def cap_by_country(hits: DataFrame, count: int, per_country: int, by: tuple[str,
     return capped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
 
+def best_per_country(hits: DataFrame, count: int, per_country: int) -> DataFrame:
+    """cap_by_country of all hits: a group limit per country before the shuffle, then one ordered take; nothing is ranked as a whole."""
+    order = Window.partitionBy("country").orderBy(F.desc("score"), F.asc("location_id"))
+    return best(hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_country).drop("_n"), count)
+
+
 def thinned(hits: DataFrame, used: DataFrame | None, count: int, per_country: int, prune_m: float = 100.0, used_m: float = 25.0) -> DataFrame:
     """exclude used, prune near ones, cap: the order that results depend on."""
     out = hits if used is None else exclude_used(hits, used, used_m)

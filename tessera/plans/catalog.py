@@ -95,8 +95,8 @@ def bitset_lookup(spark, d):
 )
 def country_from_tags(spark, d):
     tags = W.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("location_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 40).cast("int").alias("tag")))).alias("t"))
-    names = {r.n_nationkey: r.n_name for r in W.table(spark, d, "nation").limit(1000).collect() if r.n_nationkey % 6}  # a tag dictionary, 1,000 names at most
-    return tags.select("location_id", X.first_tag_name(F.col("t.tag"), F.create_map(*[F.lit(x) for kv in names.items() for x in kv])).alias("country"))
+    names = W.table(spark, d, "nation").where("n_nationkey % 6 <> 0").select(F.col("n_nationkey").alias("tag"), F.col("n_name").alias("name"))
+    return C.with_first_tag(tags.select("location_id", F.col("t.tag").alias("tags")), names)
 
 
 @query(

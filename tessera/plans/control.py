@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import FAMILIES
@@ -179,13 +182,9 @@ def audit_lease_mismatch(spark, d):
     return Q.lease_mismatch(loc, leases, items).select("location_id")
 
 
-@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("customer", "events", "embeddings", "supplier")))
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in W.TABLES))
 def table_counts(spark, d):
-    parts = [W.table(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("customer", "events", "embeddings", "supplier")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, (W.table(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in W.TABLES))
 
 
 @query(
@@ -246,15 +245,5 @@ def query_capture_lookup(spark, d):
 
 @query("contiguous_ranges", "WITH r AS (SELECT s_suppkey AS id, s_suppkey * 10 AS start, s_suppkey * 10 + s_suppkey % 13 AS stop FROM supplier), l AS (SELECT *, lag(stop) OVER (ORDER BY start) AS prior FROM r) SELECT id, start, stop FROM l WHERE start < prior")
 def contiguous_ranges(spark, d):
-    from pyspark.sql import Window
-
     k = F.col("s_suppkey")
-    rows = W.table(spark, d, "supplier").select(k.alias("id"), (k * 10).alias("start"), (k * 10 + k % 13).alias("stop"))
-    return rows.withColumn("prior", F.lag("stop").over(Window.orderBy("start"))).where("start < prior").drop("prior")
-
-
-@query("search_authorization", f"""WITH {W.LEDGER}, s AS (SELECT user_id AS account_id, event_type AS idempotency_key, min(event_id) AS search_id, count(*) AS replays, count(DISTINCT props) AS keys FROM events GROUP BY ALL)
-    SELECT account_id, idempotency_key, search_id, replays - 1 AS replays, keys > 1 AS conflict FROM s""")
-def search_authorization(spark, d):
-    e = W.table(spark, d, "events").groupBy(F.col("user_id").alias("account_id"), F.col("event_type").alias("idempotency_key"))
-    return e.agg(F.min("event_id").alias("search_id"), (F.count("*") - 1).alias("replays"), (F.countDistinct("props") > 1).alias("conflict"))
+    return C.overlaps_before(W.table(spark, d, "supplier").select(k.alias("id"), (k * 10).alias("start"), (k * 10 + k % 13).alias("stop")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import GENERATIONS
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SCENE_MODEL, OBJECT_MODEL = "visual-v1", "object-v1"
 
 

@@ -42,14 +42,16 @@ def test_vectors_equal_plain_loops():
         assert vectors[i].tolist() == [v for f in faces[i] for v in scene_by_loops(f)]
 
 
-def test_box_means_and_description():
+def test_box_means_and_description(spark):
     image = np.arange(20 * 33 * 3).reshape(20, 33, 3) % 256
     small = X.box_reduced(image.astype(np.uint8))
     assert small.shape == (16, 16, 3) and small[0, 0].tolist() == (image[0:1, 0:2].reshape(-1, 3).sum(axis=0) // 2).tolist()
     same = X.render_faces(["k"])
     assert (X.box_reduced(same[0, 0]) == same[0, 0]).all()
-    plain, red = (X.description_vector(p, "scene", "m") for p in ("zzz", "red"))
-    assert len(plain) == len(red) == 96 and plain != red and len(X.description_vector("red", "object", "m")) == 128
+    faces = X.render_faces(["description:zzz\nprompt\nscene\nm"])
+    assert X.description_vector(spark, "zzz", "scene", "m") == X.scene_vectors(faces)[0].tobytes() and (X.tinted(faces, (9, 9, 9), 0, 0) == faces).all()
+    plain, red = (X.description_vector(spark, p, "scene", "m") for p in ("zzz", "red"))
+    assert len(plain) == len(red) == 96 and plain != red and len(X.description_vector(spark, "red", "object", "m")) == 128
 
 
 def test_prompt_routes(spark):
@@ -62,15 +64,22 @@ def test_prompt_routes(spark):
     assert got[""] == ("semantic", [], None, "") and got["hair dryer and toothbrushes"] == ("common", [89, 90], None, None)
 
 
-def test_plurals_in_both_forms(spark):
-    names = ["person", "bus", "bench", "toothbrush", "baby", "key", "sheep", "knife", "box", "y"]
-    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.plural(F.col("n")).alias("p")).collect()
-    assert {r.n: r.p for r in rows} == {n: text.plural_of(n) for n in names}
-    assert text.plural_of("baby") == "babies" and text.plural_of("key") == "keys"
+def test_plurals(spark):
+    want = {"person": "people", "bus": "buses", "bench": "benches", "toothbrush": "toothbrushes", "baby": "babies", "key": "keys", "sheep": "sheep", "knife": "knives", "box": "boxes", "y": "ys", "traffic light": "traffic lights"}
+    rows = spark.createDataFrame([(n,) for n in want], "n string").select("n", text.plural(F.col("n")).alias("p")).collect()
+    assert {r.n: r.p for r in rows} == want
+    phrases = dict(text.class_phrases())
+    assert phrases["people"] == 1 and phrases["buses"] == 6 and phrases["skis"] == 35 and phrases["teddy bears"] == 88
 
 
-def test_weights_filters_and_clamps():
-    assert text.snapped_weight(40) == 50 and text.snapped_weight(12.5) == 0 and text.snapped_weight(80, has_map=False) == 100 and text.snapped_weight(80, has_prompt=False) == 0
+def test_weights_filters_and_clamps(spark):
+    cases = [("40", True, True, 50), ("12", True, True, 0), ("37.9", True, True, 25), ("62", True, True, 50), ("63", True, True, 75), ("x", True, True, 50), (None, True, True, 50), ("-9", True, True, 0), ("900", True, True, 100), ("80", False, True, 100), ("80", True, False, 0), ("80", False, False, 100)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, v string, m boolean, p boolean, want int")
+    got = rows.select("i", "want", text.snapped_weight(F.col("v"), F.col("m"), F.col("p")).alias("w"), text.snapped_weight(F.col("v").try_cast("double"), F.lit(True), F.lit(True)).alias("d")).collect()
+    assert all(r.w == r.want for r in got), got
+    assert [r.d for r in got][:3] == [50, 0, 25]
+    refused = spark.createDataFrame([("a" * 400,), ("a  " * 201,), (" " * 500,), ("b" * 401,)], "t string").select(text.prompt_problem(F.col("t")).alias("p")).collect()
+    assert [r.p for r in refused] == [None, "invalid_query", None, "invalid_query"]
     assert normal_filters("exclude", []) == Filters() and normal_filters("include", []) == Filters("include")
     assert normal_filters("include", ["United States", " France", "France"]) == Filters("include", ("France", "USA"))
     assert normal_filters("odd", ["x"], list(GENERATIONS)) == Filters() and normal_filters(None, None, ["gen4", "gen4", "?"]).generations == ("gen4",)

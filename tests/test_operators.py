@@ -97,6 +97,47 @@ def test_renewal_revives_only_held_leases(spark):
     assert {r.lease_id: (r.state, r.expires_at) for r in Q.renewed(leases, held, 100, 50).collect()} == {1: ("active", 150), 2: ("expired", 5), 3: ("submitted", 5), 4: ("active", 150)}
 
 
+def test_prefixes_equal_plain_loops(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(50), rng.choice([None, rng.randrange(100)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, v long").repartition(6)
+    before, want = [], {}
+    for i, k, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        seen = [x for x in before if x is not None]
+        want[i] = {"sum": sum(seen), "max": max(seen, default=None), "min": min(seen, default=None), "last": seen[-1] if seen else None}
+        before.append(v)
+    for how in ("sum", "max", "min", "last"):
+        got = {r.id: r.x for r in C.with_prefix(df, [F.col("k"), F.col("id")], how, F.col("v"), "x").collect()}
+        assert got == {i: w[how] for i, w in want.items()}, how
+
+
+def test_disjoint_ranges_are_greedy_in_order(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        ranges = [(i, a, a + rng.randrange(1, 60)) for i in range(150) for a in [rng.randrange(1500)]]
+        taken, want = [r[1:] for r in ranges[:12]], set()
+        for i, a, b in sorted(ranges[12:], key=lambda r: (r[1], r[0])):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                want.add((i, a, b))
+        df = spark.createDataFrame(ranges, "id long, start long, stop long").repartition(5)
+        assert {tuple(r) for r in C.disjoint_ranges(df.where("id < 12"), df.where("id >= 12")).collect()} == want
+
+
+def test_tags_and_lanes(spark):
+    rows = spark.createDataFrame([(1, [5, 2, 3]), (2, []), (3, None), (4, [9])], "location_id long, tags array<int>")
+    names = spark.createDataFrame([(2, "B"), (3, "C"), (5, ""), (7, None)], "tag int, name string")
+    assert {r.location_id: r.country for r in C.with_first_tag(rows, names).collect()} == {1: "B", 2: "", 3: "", 4: ""}
+    table = spark.createDataFrame([(1, "scene"), (2, "object"), (3, None)], "id long, lane string")
+    fresh = spark.createDataFrame([(9, "scene")], table.schema)
+    assert sorted(r.id for r in C.replaced_lane(table, fresh, "scene").collect()) == [2, 3, 9]
+    try:
+        C.replaced_lane(table, table, "scene").collect()
+        raise AssertionError
+    except Exception as e:
+        assert "another lane" in str(e)
+
+
 def test_every_query_is_searched_in_blocks(spark, sf):
     from pyspark.sql import functions as F
 
