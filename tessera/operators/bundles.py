@@ -22,6 +22,14 @@ def record_is_sound(record: Column) -> Column:
     return (F.octet_length(record) == 12) & (_little_endian(F.crc32(F.substring(record, 1, 8)), 4) == F.substring(record, 9, 4))
 
 
+def restamped_records(records: DataFrame, old_start: int, new_start: int, column: str = "record") -> DataFrame:
+    """Twelve-byte records with their ids moved from one start to another; a record whose checksum doesn't fit is an error."""
+    big = lambda c: F.concat(*[F.substring(F.hex(c), 2 * i + 1, 2) for i in reversed(range(8))])
+    old = F.conv(big(F.col(column)), 16, 10).cast("long")
+    moved = global_id_record(old - old_start + new_start)
+    return records.withColumn(column, F.when(record_is_sound(F.col(column)), moved).otherwise(F.raise_error(F.lit("an unsound record")).cast("binary")))
+
+
 def restamped(lines: DataFrame, shift: int, column: str = "value") -> DataFrame:
     """Twelve-column lines with shift added to the global id in the last one; other widths are an error."""
     c = F.split(column, "\t", -1)
@@ -50,3 +58,11 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 def fixture_problems(rows: DataFrame, generation: str = "gen4") -> DataFrame:
     """(rows, ids, panos, odd): a sound fixture has as many ids and panoramas as rows and none of another generation."""
     return rows.agg(F.count("*").alias("rows"), F.countDistinct("location_id").alias("ids"), F.countDistinct("pano_id").alias("panos"), F.count_if(F.coalesce("camera_generation", F.lit("")) != generation).alias("odd"))
+
+
+def canary_problems(rows: DataFrame, canary: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """(place, problem) for lines of a canary (place, line) that aren't the lines of rows (row_index, line) at ordinals (place, row_index)."""
+    want = ordinals.join(rows.select("row_index", F.col("line").alias("_want")), "row_index", "left")
+    both = canary.select("place", F.col("line").alias("_line")).join(want, "place", "full_outer")
+    problem = F.when(F.col("_line").isNull(), "missing").when(F.col("row_index").isNull(), "surplus").when(~F.col("_line").eqNullSafe(F.col("_want")), "changed")
+    return both.select("place", problem.alias("problem")).where("problem IS NOT NULL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import SEARCH_COST, STEAL_S, UNITS
 from tessera.functions.text import canonical_country, family, family_order, part_label
+from tessera.operators.catalog import with_prefix
 
 
 def lane_status(locations: DataFrame, shards: DataFrame) -> DataFrame:
@@ -36,9 +37,11 @@ def earned(locations: DataFrame) -> DataFrame:
 
 
 def part_numbers(shards: DataFrame) -> DataFrame:
-    """Each shard's number within its lane, by family and id, with its label."""
-    order = Window.partitionBy("lane").orderBy("_order", "shard_id")
-    out = shards.withColumn("_order", family_order(F.col("key"))).withColumn("part", F.row_number().over(order)).withColumn("parts", F.count("*").over(Window.partitionBy("lane")))
+    """Each shard's number within its lane, by family and id, with its label; no lane is gathered in one task."""
+    order = [F.col("lane"), family_order(F.col("key")), F.col("shard_id")]
+    placed = with_prefix(shards, order, "sum", F.lit(1), "_at")
+    lanes = placed.groupBy("lane").agg(F.min("_at").alias("_first"), F.count("*").alias("parts"))
+    out = placed.join(lanes, "lane").withColumn("part", (F.col("_at") - F.col("_first") + 1).cast("int"))
     return out.select(*shards.columns, family(F.col("key")).alias("family"), "part", "parts", part_label(F.col("part"), F.col("parts")).alias("label"), F.greatest(F.lit(0), F.col("row_count") - F.col("next_row")).alias("rows_left"))
 
 

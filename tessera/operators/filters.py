@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import COUNTRY_ALIASES, DIRECTIONS, GENERATIONS, MAX_RESULTS
+from tessera.functions.constants import CONFIDENCE_FLOORS, COUNTRY_ALIASES, GENERATIONS, MAX_RESULTS, SCENE_FLOORS
 from tessera.functions.text import canonical_country
 
 
@@ -50,13 +50,18 @@ def clamped(value, default: int) -> int:
     return min(MAX_RESULTS, max(1, value)) if type(value) is int else default
 
 
-def overfetch(count: int, per_country: int) -> int:
-    """How many hits to take before pruning and capping."""
-    return count if per_country >= count else min(MAX_RESULTS, 4 * count)
+def overfetch(count: int, per_country: int, excluding: bool = False) -> int:
+    """How many hits to take before pruning and capping; with excluding, a list without a cap is overfetched too."""
+    return count if per_country >= count and not excluding else min(MAX_RESULTS, max(count, 4 * count))
 
 
-def faces_allowed(direction: str | None, lane: str) -> tuple[int, ...]:
-    return DIRECTIONS.get(direction or "", DIRECTIONS["bestOfFour"]) if lane == "scene" else DIRECTIONS["bestOfFour"]
+def similarity_floor(lane: str, weight: int = 0, confidence: str = "balanced") -> float:
+    """The smallest score that a search keeps: by description weight for scenes, by confidence for objects."""
+    return SCENE_FLOORS[weight] if lane == "scene" else CONFIDENCE_FLOORS[confidence]
+
+
+def without_road_names(rows: DataFrame, column: str = "road_name_state") -> DataFrame:
+    return rows.where(F.col(column) == "no road name")
 
 
 def claimable(locations: DataFrame, now: int) -> DataFrame:

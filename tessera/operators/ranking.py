@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.constants import PRUNE_M
 from tessera.functions.geo import wrap_heading
-from tessera.operators.filters import Filters, accepted, overfetch
-from tessera.operators.spatial import exclude_used, prune_nearby
+from tessera.functions.text import canonical_country
+from tessera.operators.filters import Filters, accepted, clamped, overfetch, without_road_names
+from tessera.operators.spatial import exclude_used, excluded_points, prune_nearby
 
 
 def scored(index: DataFrame, query: Column, lane: str = "scene", direction: str = "bestOfFour", filters: Filters = Filters(), width: int = 16, regions: int = 8, whole_query: bool = False) -> DataFrame:
@@ -108,12 +110,27 @@ def thinned(hits: DataFrame, used: DataFrame | None, count: int, per_country: in
     return cap_by_country(out, count, per_country)
 
 
-def ranked_search(index: DataFrame, query: Column, lane: str = "scene", count: int = 200, per_country: int = 25, direction: str = "bestOfFour", filters: Filters = Filters(), used: DataFrame | None = None, floor: float | None = None, prune_m: float = 100.0, used_m: float = 25.0, width: int = 16) -> DataFrame:
-    """The whole search: location_id, score, offset, heading, country and the other index columns, by rank."""
+def by_source(hits: DataFrame, k: int, source: str = "source_index") -> DataFrame:
+    """The k best hits and their rank; ties go to the smaller place in their source, a missing one counts as 0."""
+    place = F.coalesce(source, F.lit(0))
+    top = hits.orderBy(F.desc("score"), place, "location_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), place, "location_id")))
+
+
+def ranked_search(index: DataFrame, query: Column, lane: str = "scene", count: int = 200, per_country: int = 25, direction: str = "bestOfFour", filters: Filters = Filters(), used: DataFrame | None = None, floor: float | None = None, prune_m: float = 100.0, used_m: float = 25.0, width: int = 16, reject_road_names: bool = False, overfetch_excluding: bool = False) -> DataFrame:
+    """The whole search: location_id, score, offset, heading, country and the other index columns, by rank.
+
+    count and per_country fall back to their defaults if they are no whole numbers and are held within 1 and 10,000. Of
+    used points with a position the first 10,000 with numeric coordinates count. Floors are similarity_floor()'s or any.
+    """
+    count, per_country = clamped(count, 200), clamped(per_country, 25)
+    used = excluded_points(used) if used is not None and "position" in used.columns else used
+    index = without_road_names(index) if reject_road_names else index
     hits = scored(index, query, lane, direction, filters, width)
     if floor is not None:
         hits = hits.where(F.col("score") >= floor)
-    hits = thinned(best(hits, overfetch(count, per_country)), used, count, per_country, prune_m, used_m)
+    wanted = overfetch(count, per_country, overfetch_excluding and used is not None)
+    hits = thinned(best(hits, wanted), used, count, per_country, prune_m, used_m)
     return hits.withColumn("view_heading", wrap_heading(F.coalesce("heading", F.lit(0.0)) + 90.0 * F.coalesce("offset", F.lit(0))))
 
 
@@ -135,3 +152,36 @@ def result_map(hits: DataFrame, name: str) -> DataFrame:
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", point.alias("point")))), lambda x: x["point"])
     return hits.agg(F.to_json(F.struct(F.lit(name).alias("name"), ordered.alias("customCoordinates"))).alias("document"), F.count("*").alias("n"), F.min("score").alias("min_score"))
+
+
+#: The fields of a result's extra, after tags, in order.
+EXTRA = (
+    "CameraGeneration", "Score", "MinScore", "Rank", "Query", "QueryMode", "HeadingOffset", "SourceIndex", "ProcessedLocations", "Model", "PruneMeters",
+    "ObjectClass", "ObjectClassId", "ObjectLane", "ObjectConfidence", "ObjectSupport", "ObjectBoxArea",
+)
+
+
+def result_extra(query_name: str, mode: str, model: str, min_score: Column, processed: Column, columns: list[str], prefix: str = "", prune_m: float = PRUNE_M) -> Column:
+    """The 18 fields that a result carries: tags and EXTRA, each with the prefix. Columns that hits lack are null.
+
+    Scores have seven decimals, ties away from zero; tags is one canonical country or an empty text.
+    """
+    have = lambda n, kind: F.col(n) if n in columns else F.lit(None).cast(kind)
+    camera = have("camera_generation", "string")
+    values = (
+        F.when(F.coalesce(camera, F.lit("")) == "", "unknown").otherwise(camera), F.round("score", 7), F.round(min_score, 7), F.col("rank").cast("int"), F.lit(query_name), F.lit(mode),
+        (90 * F.coalesce(have("offset", "int"), F.lit(0))).cast("int"), F.coalesce(have("source_index", "int"), F.lit(0)).cast("int"), processed, F.lit(model), F.lit(prune_m),
+        have("object_class", "string"), have("object_class_id", "int"), have("object_lane", "string"), F.round(have("object_confidence", "double"), 7), have("object_support", "int"), F.round(have("object_box_area", "double"), 7),
+    )
+    return F.struct(F.array(canonical_country(F.col("country"))).alias("tags"), *[v.alias(f"{prefix}{n}") for n, v in zip(EXTRA, values, strict=True)])
+
+
+def result_document(hits: DataFrame, name: str, mode: str, model: str, processed: int, prefix: str = "") -> DataFrame:
+    """One map document of ranked hits with the whole extra; its smallest score is that of the last hit."""
+    low = hits.agg(F.coalesce(F.min_by("score", -F.col("rank")), F.lit(0.0)).alias("_low"))
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if n in hits.columns else F.lit(0.0)
+    extra = result_extra(name, mode, model, F.col("_low"), F.lit(processed).cast("long"), hits.columns, prefix)
+    point = F.struct(F.col("lat"), F.col("lon").alias("lng"), F.col("view_heading").alias("heading"), zero("pitch").alias("pitch"), zero("zoom").alias("zoom"), F.col("pano_id").alias("panoId"), extra.alias("extra"))
+    rows = hits.crossJoin(low).select("rank", point.alias("point"))  # low is one row
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "point"))), lambda x: x["point"])
+    return rows.agg(F.to_json(F.struct(F.lit(name).alias("name"), ordered.alias("customCoordinates")), {"ignoreNullFields": "false"}).alias("document"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import DUPLICATE_M, EARTH_RADIUS_M, MAX_EXCLUDED, PRUNE_M, USED_M
+from tessera.functions.constants import DUPLICATE_M, EARTH_RADIUS_M, MAX_EXCLUDED, MAX_RESULTS, PRUNE_M, USED_M
 from tessera.functions.geo import haversine_m, near_cells, own_cell
 
 
@@ -38,7 +38,12 @@ def duplicate_flags(locations: DataFrame, meters: float = DUPLICATE_M) -> DataFr
     """
     keys = ("lane", "capture", "model")
     points = locations.select("location_id", "asset_id", "lat", "lon", *keys)
-    late = within(points, points, meters, keys, "left_semi", (F.col("r_location_id") < F.col("location_id")) & (F.col("r_asset_id") != F.col("asset_id")))
+    # of the rows at one place only two can matter to a later one: the first, and the first of another asset than that
+    place = (*keys, "lat", "lon")
+    first = points.groupBy(*place).agg(F.min(F.struct("location_id", "asset_id")).alias("_first"))
+    other = points.join(first, list(place)).where(F.col("asset_id") != F.col("_first.asset_id")).groupBy(*place).agg(F.min(F.struct("location_id", "asset_id")).alias("_first"))
+    early = first.unionByName(other).select(*place, "_first.location_id", "_first.asset_id")
+    late = within(points, early, meters, keys, "left_semi", (F.col("r_location_id") < F.col("location_id")) & (F.col("r_asset_id") != F.col("asset_id")))
     return locations.join(late.select("location_id", F.lit(True).alias("deferred")), "location_id", "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
 
 
@@ -80,10 +85,13 @@ def _kept(lat: np.ndarray, lon: np.ndarray, pano: list, meters: float) -> np.nda
 def prune_nearby(hits: DataFrame, meters: float = PRUNE_M, by: str = "query_id") -> DataFrame:
     """hits, ranked within each query, without those closer than meters to a better kept one or with its panorama.
 
-    A hit depends on kept hits only, so each query's list (at most 10,000 rows) is walked in order; queries run in parallel.
+    A hit depends on kept hits only, so each query's list is walked in order; queries run in parallel. A list of more than
+    MAX_RESULTS hits, which no search makes, is an error.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_RESULTS:
+            raise ValueError(f"{len(pdf)} hits of one query")
         pdf = pdf.sort_values("rank", kind="stable")
         return pdf[_kept(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["pano_id"].tolist(), meters)]
 

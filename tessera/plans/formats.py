@@ -60,23 +60,35 @@ def sealed_segments(spark, d):
     return out.select("location_id", "lat", "lng", "heading", "pano_id", "capture", "country", "camera_generation", "lane", F.hex("embedding").alias("embedding"))
 
 
-@query("checksum_audit", f"WITH {W.LOCATIONS} SELECT location_id, sha256(asset_id || chr(10) || capture || chr(10) || lane || chr(10) || model) = sha256(asset_id || chr(10) || '2019-06' || chr(10) || lane || chr(10) || model) AS fits FROM locations")
+@query("checksum_audit", f"WITH {W.LOCATIONS}, {W.PUBLISHED} SELECT location_id, output_sha256 = sha256('out' || location_id) AS fits FROM published")
 def checksum_audit(spark, d):
-    own = job_id(F.col("asset_id"), F.col("capture"), F.col("lane"), F.col("model"))
-    return W.locations(spark, d).select("location_id", (own == job_id(F.col("asset_id"), F.lit("2019-06"), F.col("lane"), F.col("model"))).alias("fits"))
+    """The digests of the published outputs, computed anew."""
+    return W.published(spark, d).select("location_id", (F.sha2(F.concat(F.lit("out"), F.col("location_id").cast("string")), 256) == F.col("output_sha256")).alias("fits"))
 
 
 @query("ledger_dedup_stream", f"WITH {W.LEDGER} SELECT account_id, units, reference FROM ledger")
 def ledger_dedup_stream(spark, d):
-    events = T.event_stream(spark, f"{d}/events*.parquet")
+    """Every booking comes twice, in a second stream of the same events."""
+    events = T.event_stream(spark, f"{d}/events*.parquet").unionByName(T.event_stream(spark, f"{d}/events*.parquet"))
     return T.drained(T.credited_once(events), "credits").select("account_id", "units", "reference")
 
 
-@query("lease_state_stream")
+@query(
+    "lease_state_stream",
+    """WITH v AS (SELECT user_id, list({'what': event_type, 'state': 'none', 'generation': CAST(0 AS BIGINT), 'units': CAST(0 AS BIGINT), 'until': epoch(ts)} ORDER BY ts, event_id) AS steps FROM events GROUP BY user_id),
+    r AS (SELECT user_id, list_reduce(steps, lambda s, e: CASE
+        WHEN e.what = 'view' AND NOT (s.state = 'active' AND s.until > e.until) THEN {'what': '', 'state': 'active', 'generation': s.generation + 1, 'units': s.units, 'until': e.until + 1800}
+        WHEN e.what = 'error' AND s.state = 'active' AND s.until > e.until THEN {'what': '', 'state': 'released', 'generation': s.generation, 'units': s.units, 'until': s.until}
+        WHEN e.what = 'signup' AND s.state IN ('active', 'expired') THEN {'what': '', 'state': 'active', 'generation': s.generation, 'units': s.units, 'until': e.until + 1800}
+        WHEN e.what = 'purchase' AND s.state = 'active' AND s.until > e.until THEN {'what': '', 'state': 'submitted', 'generation': s.generation, 'units': s.units + 1, 'until': s.until}
+        WHEN s.state = 'active' AND s.until <= e.until THEN {'what': '', 'state': 'expired', 'generation': s.generation, 'units': s.units, 'until': s.until}
+        ELSE s END, {'what': '', 'state': 'none', 'generation': CAST(0 AS BIGINT), 'units': CAST(0 AS BIGINT), 'until': CAST(0 AS DOUBLE)}) AS s FROM v)
+    SELECT user_id, s.state AS state, s.generation AS generation, s.units AS units, round(s.until, 3) AS until FROM r""",
+)
 def lease_state_stream(spark, d):
     out = T.drained(T.lease_states(T.event_stream(spark, f"{d}/events*.parquet")), "leases", "update")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("state", "generation", "units", "until"), "_batch").alias("s"))
-    return last.select("user_id", "s.*")
+    return last.select("user_id", "s.state", "s.generation", "s.units", F.round("s.until", 3).alias("until"))
 
 
 @query("daily_counts_stream", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, CAST(sum(CAST(trunc(value * CAST(100 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
@@ -100,7 +112,14 @@ def restamp_lines(spark, d):
     return B.restamped(W.table(spark, d, "customer").select("c_custkey", line.alias("value")), 2**32)
 
 
-@query("global_id_records")
+_CRC = "CASE WHEN i % 8 = 0 THEN xor(s, (n >> i) & 255) ELSE s END"
+
+
+@query(
+    "global_id_records",
+    f"""WITH i AS (SELECT c_custkey, c_custkey + 4294967296 AS n FROM customer), c AS (SELECT *, xor(list_reduce(range(0, 64), lambda s, i: xor(({_CRC}) >> 1, CASE WHEN (({_CRC}) & 1) = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM i)
+    SELECT c_custkey, array_to_string(list_transform(range(0, 8), lambda j: printf('%02X', (n >> (8 * j)) & 255)), '') || array_to_string(list_transform(range(0, 4), lambda j: printf('%02X', (crc >> (8 * j)) & 255)), '') AS record, true AS sound FROM c""",
+)
 def global_id_records(spark, d):
     record = B.global_id_record(F.col("c_custkey") + 2**32)
     return W.table(spark, d, "customer").select("c_custkey", F.hex(record).alias("record"), B.record_is_sound(record).alias("sound"))
@@ -148,21 +167,3 @@ def seal_and_search(spark, d):
     first = index.orderBy("location_id").first()
     hits = index.select("location_id", V.best_view(F.array(*map(F.lit, first.vector)), F.col("vector"))["score"].alias("score"))
     return hits.orderBy(F.desc("score"), "location_id").limit(25).withColumn("score", F.round("score", 6))
-
-
-@query("four_view_difference", "SELECT 3 AS locations, 3 AS views, 0 AS scales, 3 AS bytes")
-def four_view_difference(spark, d):
-    """Two files of records that differ in one byte of three records."""
-    import numpy as np
-
-    S.register(spark)
-    raw = np.random.default_rng(1).integers(0, 255, (64, 4, 770), dtype=np.uint8)
-    raw[:, :, :2] = np.frombuffer(np.float16(0.25).tobytes(), np.uint8)
-    changed = raw.copy()
-    changed[[3, 20, 63], [0, 1, 3], [2, 300, 769]] ^= 1
-    frames = []
-    for data in (raw, changed):
-        path = new_path(spark, "views") + "/shard.i8"
-        S.write_bytes(path, data.tobytes())
-        frames.append(spark.read.format("four_view").option("path", path).option("rowsPerPartition", "16").load())
-    return S.byte_difference(*frames)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog, control, formats, scoring, text
+from tessera.plans import catalog, contracts, control, formats, scoring, text
 
-_MODULES = (scoring, catalog, control, text, formats)
+_MODULES = (scoring, catalog, control, text, formats, contracts)
 
 
 def queries() -> dict:

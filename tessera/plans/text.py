@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions import vectors as V
 from tessera.functions.constants import CLASSES, PALETTE, PLURALS
 from tessera.plans import views as W
 
@@ -31,14 +32,20 @@ def bare_words(spark, d):
     return W.table(spark, d, "benchmark").select("item_id", X.bare_words(F.col("text")).alias("words"))
 
 
-_NAMES = ", ".join(f"({i}, '{n}')" for i, n in CLASSES)
 _ODD = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PLURALS.items())
+_NAMED = f"named AS (SELECT c_custkey, {[n for _, n in CLASSES]}[c_custkey % {len(CLASSES)} + 1] AS name, {[i for i, _ in CLASSES]}[c_custkey % {len(CLASSES)} + 1] AS class_id FROM customer)"
 
 
-@query("plural_phrases", f"SELECT id AS class_id, name, CASE name {_ODD} ELSE CASE WHEN regexp_matches(name, '(ch|sh|s|x|z)$') THEN name || 'es' WHEN regexp_matches(name, '[^aeiou]y$') THEN regexp_replace(name, 'y$', 'ies') ELSE name || 's' END END AS plural FROM (VALUES {_NAMES}) t(id, name)")
+def _named(spark, d):
+    """A class per customer."""
+    at = (F.col("c_custkey") % len(CLASSES) + 1).cast("int")
+    pick = lambda j: F.element_at(F.array(*[F.lit(c[j]) for c in CLASSES]), at)
+    return W.table(spark, d, "customer").select("c_custkey", pick(0).alias("class_id"), pick(1).alias("name"))
+
+
+@query("plural_phrases", f"WITH {_NAMED} SELECT c_custkey, name, CASE name {_ODD} ELSE CASE WHEN regexp_matches(name, '(ch|sh|s|x|z)$') THEN name || 'es' WHEN regexp_matches(name, '[^aeiou]y$') THEN regexp_replace(name, 'y$', 'ies') ELSE name || 's' END END AS plural FROM named")
 def plural_phrases(spark, d):
-    rows = spark.createDataFrame(list(CLASSES), "class_id int, name string")
-    return rows.select("class_id", "name", X.plural(F.col("name")).alias("plural"))
+    return _named(spark, d).select("c_custkey", "name", X.plural(F.col("name")).alias("plural"))
 
 
 _SHORT = {i: n for i, n in CLASSES if i in (3, 16, 18, 63, 85)}
@@ -64,8 +71,8 @@ _ID = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerat
     CASE WHEN hot IS NOT NULL OR h = 3 OR n IN (5, 6) THEN '' ELSE array_to_string(list_sort(list_distinct(CASE WHEN tail THEN [id, 85] ELSE [id] END)), ',') END AS class_ids FROM t""",
 )
 def prompt_route(spark, d):
-    out = _prompts(spark, d).select("p_partkey", X.routed(F.col("prompt")).alias("r"))
-    return out.select("p_partkey", "r.route", "r.hot_id", F.array_join(F.col("r.class_ids").cast("array<string>"), ",").alias("class_ids"))
+    out = X.with_routes(_prompts(spark, d))
+    return out.select("p_partkey", "route.route", "route.hot_id", F.array_join(F.col("route.class_ids").cast("array<string>"), ",").alias("class_ids"))
 
 
 _TOKENS = ", ".join(f"'{p[0]}'" for p in PALETTE)
@@ -95,15 +102,18 @@ def prefix_filter(spark, d):
     return W.table(spark, d, "pages").where(~F.col("url").startswith("https://") & ~F.col("url").contains("#")).select("page_id")
 
 
-@query("storage_floors", "SELECT id AS class_id, CASE WHEN id IN (5, 16, 17) THEN CAST(0.01 AS DOUBLE) WHEN id IN (2, 10, 11, 13, 14, 18, 27, 28, 64) OR id BETWEEN 31 AND 61 OR id BETWEEN 73 AND 77 OR id BETWEEN 84 AND 90 THEN CAST(0.03 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS floor FROM (VALUES " + _NAMES + ") t(id, name)")
+@query("storage_floors", f"WITH {_NAMED} SELECT c_custkey, CASE WHEN class_id IN (5, 16, 17) THEN CAST(0.01 AS DOUBLE) WHEN class_id IN (2, 10, 11, 13, 14, 18, 27, 28, 64) OR class_id BETWEEN 31 AND 61 OR class_id BETWEEN 73 AND 77 OR class_id BETWEEN 84 AND 90 THEN CAST(0.03 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS floor FROM named")
 def storage_floors(spark, d):
-    return spark.createDataFrame(list(CLASSES), "class_id int, name string").select("class_id", X.storage_floor(F.col("class_id")).alias("floor"))
+    return _named(spark, d).select("c_custkey", X.storage_floor(F.col("class_id")).alias("floor"))
+
 
+_BYTES = "array_to_string(list_transform(embedding, lambda x: printf('%02X', (CAST(round(CAST(x AS DOUBLE) * 127) AS INTEGER) + 256) % 256)), '')"
 
-@query("hex_base64_round_trip", "SELECT vec_id, hex(encode(CAST(vec_id AS VARCHAR))) AS hexed, to_base64(encode(CAST(vec_id AS VARCHAR))) AS based FROM embeddings")
+
+@query("hex_base64_round_trip", f"SELECT vec_id, {_BYTES} AS hexed, to_base64(unhex({_BYTES})) AS based FROM embeddings")
 def hex_base64_round_trip(spark, d):
-    raw = F.col("vec_id").cast("string")
-    return W.table(spark, d, "embeddings").select("vec_id", F.hex(F.unhex(F.hex(raw))).alias("hexed"), F.base64(F.unbase64(F.base64(F.encode(raw, "utf-8")))).alias("based"))
+    raw = V.as_bytes(V.quantized(F.col("embedding")))
+    return W.table(spark, d, "embeddings").select("vec_id", F.hex(F.unhex(F.hex(raw))).alias("hexed"), X.based64(F.unbase64(X.based64(raw))).alias("based"))
 
 
 @query("json_alternative_keys", "SELECT event_id, CAST(coalesce(json_extract(props, '$.key'), json_extract(props, '$.k')) AS BIGINT) AS k FROM events")
@@ -111,8 +121,6 @@ def json_alternative_keys(spark, d):
     return W.table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.key"), F.get_json_object("props", "$.k")).cast("long").alias("k"))
 
 
-@query("number_format", None)
+@query("number_format", "SELECT s_suppkey, CASE WHEN s_acctbal = 0 THEN '0' ELSE printf('%.15g', s_acctbal / CAST(7 AS DOUBLE)) END AS text FROM supplier")
 def number_format(spark, d):
     return W.table(spark, d, "supplier").select("s_suppkey", X.number_15g(F.col("s_acctbal") / 7).alias("text"))
-
-

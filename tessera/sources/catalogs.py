@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import MAX_EXCLUDED
+from tessera.functions.geo import synthetic_lat_lon
 from tessera.operators.catalog import first_wins
 
 BANNED = ("image", "images", "faces", "jpeg", "png", "url", "tileUrl")
@@ -29,18 +30,21 @@ def missing_as(*names: str, otherwise: float = 0.0) -> Column:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON documents with a list of locations; the first of a repeated identity stays, refused ones are an error."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"persistImagery boolean, locations array<{_RECORD}>, records array<{_RECORD}>").alias("d"))
-    docs = docs.select(F.when(F.coalesce("d.persistImagery", F.lit(False)), F.raise_error(F.lit("persistImagery")).cast("array<string>")).alias("_stop"), F.coalesce("d.locations", "d.records").alias("r"))
-    rows = docs.select("_stop", F.posexplode("r").alias("position", "r")).select("_stop", "position", "r.*")
+    """Records of JSON documents with a list of locations; the first of a repeated identity stays, refused ones are an error.
+
+    First is by the documents' paths, then by the place within the document.
+    """
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", f"persistImagery boolean, locations array<{_RECORD}>, records array<{_RECORD}>").alias("d"))
+    docs = docs.select("_file", F.when(F.coalesce("d.persistImagery", F.lit(False)), F.raise_error(F.lit("persistImagery")).cast("array<string>")).alias("_stop"), F.coalesce("d.locations", "d.records").alias("r"))
+    rows = docs.select("_file", "_stop", F.posexplode("r").alias("position", "r")).select("_file", "_stop", "position", "r.*")
     pano = F.coalesce("panoId", "pano_id", "assetId")
     why = problem(pano, tuple(F.col(b) for b in BANNED))
     rows = rows.withColumn("asset_id", F.when(why.isNull(), pano).otherwise(F.raise_error(why)))
     jobs = rows.select(
         "asset_id", F.coalesce("capture", F.lit("unknown")).alias("capture"), F.coalesce("lane", F.lit("scene")).alias("lane"), F.coalesce("model", F.lit("")).alias("model"), "position",
-        F.coalesce("lat", F.lit(0.0)).alias("lat"), missing_as("lng", "lon").alias("lon"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("heading", "pitch", "zoom")], "country", F.col("cameraGeneration").alias("camera_generation"), F.col("_stop"),
+        F.coalesce("lat", F.lit(0.0)).alias("lat"), missing_as("lng", "lon").alias("lon"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("heading", "pitch", "zoom")], "country", F.col("cameraGeneration").alias("camera_generation"), F.col("_stop"), F.struct("_file", "position").alias("_order"),
     )
-    return first_wins(jobs).drop("_stop")
+    return first_wins(jobs, position="_order").drop("_stop", "_order")
 
 
 def map_points(docs: DataFrame, column: str = "value") -> DataFrame:
@@ -90,6 +94,16 @@ def rights_problem(source: Column, grant: Column) -> Column:
     )
 
 
+def licensed_records(records: DataFrame) -> DataFrame:
+    """Records (source, asset_id, lat, lon, grant and others) with problem: the source's or the asset's, null if neither.
+
+    Records without coordinates get those of their asset's digest.
+    """
+    lat, lon = synthetic_lat_lon(F.col("asset_id"))
+    out = records.withColumn("problem", F.coalesce(rights_problem(F.col("source"), F.col("grant")), asset_problem(F.col("source"), F.col("asset_id"))))
+    return out.withColumn("lat", F.coalesce("lat", lat)).withColumn("lon", F.coalesce("lon", lon))
+
+
 def asset_problem(source: Column, asset: Column) -> Column:
     """Why a record of a gated source is refused, or null."""
     low = F.lower(asset)

@@ -89,7 +89,11 @@ class _Reader(DataSourceReader):
 
 
 class SegmentReader(_Reader):
-    """Options: path; lane, to read one; verify, to check every digest first and fail on a difference."""
+    """Options: path; lane, to read one; verify, to check every digest and fail on a difference.
+
+    The driver reads the registry and the manifests; the files of a segment are checked by the task that reads its first
+    records, as a stream, so segments are verified in parallel, each once and only if it is read.
+    """
 
     def partitions(self):
         root = self.options["path"]
@@ -102,13 +106,15 @@ class SegmentReader(_Reader):
                 raise ValueError("missing or repeated source id")
             seen.add(s["id"])
             folder = f"{root}/{s['path']}"
-            if self.options.get("verify", "true") == "true":
-                verify_segment(folder, s)
             if self.options.get("lane") in (None, s["lane"]):
-                out += _ranges(folder, s["count"], self.step, lane=s["lane"], id=s["id"], width=s["width"])
+                digests = segment_digests(folder, s) if self.options.get("verify", "true") == "true" else {}
+                out += _ranges(folder, s["count"], self.step, lane=s["lane"], id=s["id"], width=s["width"], digests=digests)
         return out
 
     def read(self, part):
+        for name, digest in part.more["digests"].items() if part.start == 0 else ():
+            if streamed_digest(f"{part.path}/{name}.bin") != digest:
+                raise ValueError(f"{part.more['id']}: checksum of {name}.bin")
         n, width = part.stop - part.start, part.more["width"]
         poses = np.frombuffer(read_bytes(f"{part.path}/poses.bin", part.start * POSE.itemsize, n * POSE.itemsize), dtype=POSE)
         vectors = read_bytes(f"{part.path}/embeddings.bin", part.start * width, n * width)
@@ -235,18 +241,23 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _digest(path: str) -> str:
-    return hashlib.sha256(read_bytes(path)).hexdigest()
+def streamed_digest(path: str, step: int = 8 << 20) -> str:
+    """SHA-256 of a file, read piece by piece."""
+    files, place = opened(path)
+    digest = hashlib.sha256()
+    with files.open_input_stream(place) as f:
+        while piece := f.read(step):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
-def verify_segment(folder: str, source: dict) -> None:
+def segment_digests(folder: str, source: dict) -> dict[str, str]:
+    """The digests of a segment's files, from its manifest, which has to fit the registry."""
     text = read_bytes(f"{folder}/segment.json")
     manifest = json.loads(text)
     if hashlib.sha256(text).hexdigest() != source["sha256"] or manifest["id"] != source["id"]:
         raise ValueError(f"{source['id']}: the manifest doesn't fit the registry")
-    for name in ("embeddings", "ids", "poses"):
-        if _digest(f"{folder}/{name}.bin") != manifest[f"{name}Sha256"]:
-            raise ValueError(f"{source['id']}: checksum of {name}.bin")
+    return {name: manifest[f"{name}Sha256"] for name in ("embeddings", "ids", "poses")}
 
 
 def publish_segments(rows: DataFrame, root: str, lane: str, width: int, capacity: int = CAPACITY) -> list[dict]:
@@ -297,11 +308,35 @@ def publish_segments(rows: DataFrame, root: str, lane: str, width: int, capacity
     return done
 
 
-def flat_shard_bytes(rows: list[dict], width: int) -> bytes:
-    """One flat shard; for exports of bounded size."""
-    poses = pack_poses({n: [r.get(n) for r in rows] for n in POSE.names})
-    body = b"".join(p.tobytes() + bytes(r["embedding"]) for p, r in zip(poses, rows, strict=True))
-    return FLAT_MAGIC + np.array([len(rows), width], dtype="<u4").tobytes() + body
+def write_flat_shards(rows: DataFrame, path: str, width: int, capacity: int = CAPACITY, index: str = "row_index") -> DataFrame:
+    """Write rows (pose columns and embedding), by a dense index, as flat shards of at most capacity rows: (file, rows).
+
+    A task takes whole shards and holds one. A vector of another width is an error.
+    """
+
+    def write(batches):
+        shard, size, parts = None, 0, []
+
+        def done():
+            if size:
+                name = f"shard-{shard:06d}.bin"
+                write_bytes(f"{path}/{name}", FLAT_MAGIC + np.array([size, width], dtype="<u4").tobytes() + b"".join(parts))
+                yield pa.RecordBatch.from_pydict({"file": [name], "rows": pa.array([size], pa.int64())})
+
+        for batch in batches:
+            poses = pack_poses({n: batch.column(n).to_pylist() for n in POSE.names})
+            for number, pose, vector in zip(batch.column("_shard").to_pylist(), poses, batch.column("embedding").to_pylist(), strict=True):
+                if len(vector) != width:
+                    raise ValueError("a vector of another width")
+                if number != shard:
+                    yield from done()
+                    shard, size, parts = number, 0, []
+                parts.append(pose.tobytes() + vector)
+                size += 1
+        yield from done()
+
+    placed = rows.select(F.floor(F.col(index) / capacity).alias("_shard"), F.col(index).alias("_at"), *POSE.names, "embedding")
+    return placed.repartition("_shard").sortWithinPartitions("_shard", "_at").mapInArrow(write, "file string, rows long")
 
 
 def byte_difference(left: DataFrame, right: DataFrame) -> DataFrame:

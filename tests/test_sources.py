@@ -37,7 +37,10 @@ def test_segments_round_trip_and_fail_closed(spark, tmp_path):
 def test_flat_shards(spark, tmp_path):
     records.register(spark)
     rows = [r.asDict() for r in poses(spark, 9).collect()]
-    data = records.flat_shard_bytes(rows, 96)
+    placed = poses(spark, 12).withColumn("row_index", F.col("location_id") - 1)
+    files = {r.file: r.rows for r in records.write_flat_shards(placed, str(tmp_path / "flat"), 96, capacity=9).collect()}
+    assert files == {"shard-000000.bin": 9, "shard-000001.bin": 3}
+    data = (tmp_path / "flat" / "shard-000000.bin").read_bytes()
     path = tmp_path / "shard.bin"
     path.write_bytes(data + b"trailing")
     load = lambda: spark.read.format("flat_shard").options(path=str(path), rowsPerPartition="2").load()
@@ -101,6 +104,10 @@ def test_json_catalogs_and_maps(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(doc, indent=1))
     got = {r.asset_id: (r.capture, r.lat, r.lon) for r in catalogs.read_catalog(spark, str(tmp_path / "c.json")).collect()}
     assert got == {"pano1": ("unknown", 1.0, 9.0), "pano2": ("2020", 0.0, 0.0)}
+    (tmp_path / "many").mkdir()
+    for name, lat in (("b", 7), ("a", 8), ("c", 9)):
+        (tmp_path / "many" / f"{name}.json").write_text(json.dumps({"locations": [{"panoId": "other", "lat": 0}] * (3 if name == "a" else 0) + [{"panoId": "pano1", "lat": lat}]}))
+    assert {r.asset_id: r.lat for r in catalogs.read_catalog(spark, str(tmp_path / "many")).collect()} == {"pano1": 8.0, "other": 0.0}
     for broken, why in (({"persistImagery": True, "locations": []}, None), ({"locations": [{"panoId": "abc"}]}, "invalid_pano_id"), ({"locations": [{"panoId": "http://x"}]}, "imagery_url"), ({"locations": [{"panoId": "okay", "jpeg": "x"}]}, "imagery_payload")):
         (tmp_path / "c.json").write_text(json.dumps(broken))
         if why:
