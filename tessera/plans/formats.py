@@ -29,18 +29,50 @@ def _key():
     return F.concat_ws("\n", "asset_id", "capture", "lane", "model")
 
 
-@query("render_faces_digest")
+#: The faces in SQL: a row per asset and pixel, from a 64-bit xorshift in unsigned numbers whose high bits are cut before each shift.
+_SHIFTED = "xor(xor({0}, ({0} & 2251799813685247) << 13), xor({0}, ({0} & 2251799813685247) << 13) >> 7)"
+_STEP = f"xor({_SHIFTED.format('s')}, ({_SHIFTED.format('s')} & 140737488355327) << 17)"
+_PIXELS = f"""k AS (SELECT location_id, sha256(asset_id || chr(10) || capture || chr(10) || lane || chr(10) || model) AS h FROM locations WHERE %s),
+seed AS (SELECT location_id, greatest(CAST('0x' || array_to_string(list_transform(range(8), lambda j: substr(h, 15 - 2 * j, 2)), '') AS UBIGINT), CAST(1 AS UBIGINT)) AS s FROM k),
+walk(location_id, i, s, bias) AS (SELECT location_id, CAST(0 AS UBIGINT), s, CAST(0 AS UBIGINT) FROM seed UNION ALL
+    SELECT location_id, i + 1, {_STEP}, CASE WHEN i % 256 = 0 THEN (s >> (i // 256)) & 255 ELSE bias END FROM walk WHERE i < 1536),
+placed AS (SELECT location_id, CAST(i - 1 AS BIGINT) AS i, s, CAST(bias AS BIGINT) AS bias, CAST((i - 1) // 256 AS BIGINT) AS f, CAST((i - 1) // 16 % 16 AS BIGINT) AS y, CAST((i - 1) % 16 AS BIGINT) AS x FROM walk WHERE i > 0),
+px AS (SELECT location_id, i, f, y, x, (CAST(s & 255 AS BIGINT) + bias + 13 * x + (x - 7) * (x - 7) + (y - 7) * (y - 7)) % 256 AS r, (CAST(s >> 8 & 255 AS BIGINT) + 17 * y + 41 * f) % 256 AS g,
+    (CAST(s >> 16 & 255 AS BIGINT) + x * y + 3 * bias) % 256 AS b FROM placed)"""
+_BYTE = "printf('%02X', (greatest(-127, least(127, {0})) + 256) % 256)"
+
+
+def _pixels(where: str) -> str:
+    return f"WITH RECURSIVE {W.LOCATIONS}, {_PIXELS.replace('WHERE %s', f'WHERE {where}')}"
+
+
+def _bytes_sql(*values: str) -> str:
+    return " || ".join(_BYTE.format(v) for v in values)
+
+
+@query("render_faces_digest", f"{_pixels('true')} SELECT location_id, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY i))) AS faces_sha256 FROM px GROUP BY location_id")
 def render_faces_digest(spark, d):
     return W.locations(spark, d).select("location_id", F.sha2(X.faces_of(_key()), 256).alias("faces_sha256"))
 
 
-@query("scene_embedding")
+_SCENE = f"""{_pixels("lane = 'scene'")}, e AS (SELECT *, CASE WHEN x % 8 > 0 THEN abs(r - lag(r) OVER (PARTITION BY location_id, f, y ORDER BY x)) ELSE 0 END AS dx FROM px),
+q AS (SELECT location_id, f, y // 8 AS qy, x // 8 AS qx, CAST(sum(r) AS BIGINT) // 64 - 128 AS r, CAST(sum(g) AS BIGINT) // 64 - 128 AS g, CAST(sum(b) AS BIGINT) // 64 - 128 AS b, CAST(sum(dx) AS BIGINT) // 56 - 128 AS dx FROM e GROUP BY ALL)"""
+
+
+@query("scene_embedding", f"{_SCENE} SELECT location_id, string_agg({_bytes_sql('r', 'g', 'b', 'dx')}, '' ORDER BY f, qy, qx) AS embedding FROM q GROUP BY location_id")
 def scene_embedding(spark, d):
     rows = W.locations(spark, d).where("lane = 'scene'")
     return rows.select("location_id", F.hex(X.vector_of(_key(), F.col("lane"))).alias("embedding"))
 
 
-@query("object_embedding")
+@query(
+    "object_embedding",
+    f"""{_pixels("lane = 'object'")}, e AS (SELECT *, (r + g + b) // 3 AS gray, CASE WHEN x % 4 > 0 THEN abs(r - lag(r) OVER (PARTITION BY location_id, y ORDER BY x)) ELSE 0 END AS dx,
+        CASE WHEN y % 4 > 0 THEN abs(r - lag(r) OVER (PARTITION BY location_id, x ORDER BY y)) ELSE 0 END AS dy FROM px WHERE f = 0),
+    q AS (SELECT location_id, y // 4 AS qy, x // 4 AS qx, CAST(sum(r) AS BIGINT) // 16 - 128 AS r, CAST(sum(g) AS BIGINT) // 16 - 128 AS g, CAST(sum(b) AS BIGINT) // 16 - 128 AS b, (min(gray) + max(gray)) * 8 // 16 - 128 AS mid, max(gray) - min(gray) - 128 AS span,
+        CAST(sum(dx) AS BIGINT) // 12 - 128 AS dx, CAST(sum(dy) AS BIGINT) // 12 - 128 AS dy FROM e GROUP BY ALL)
+    SELECT location_id, string_agg({_bytes_sql('r', 'g', 'b', 'mid', 'span', 'dx', 'dy', '(qx + 4 * qy) * 8 - 60')}, '' ORDER BY qy, qx) AS embedding FROM q GROUP BY location_id""",
+)
 def object_embedding(spark, d):
     rows = W.locations(spark, d).where("lane = 'object'")
     return rows.select("location_id", F.hex(X.vector_of(_key(), F.col("lane"))).alias("embedding"))
@@ -153,7 +185,14 @@ def thumbnail_query_(spark, d):
     return W.locations(spark, d).select("location_id", thumbnail_query(F.col("asset_id"), F.col("heading"), F.col("pitch"), thumbnail_fov(F.col("zoom"))).alias("query"))
 
 
-@query("seal_and_search")
+_SAW = ", ".join(f"list_cosine_similarity(o[1:16], v[{16 * k + 1}:{16 * k + 16}])" for k in range(4))
+
+
+@query(
+    "seal_and_search",
+    f"""{_SCENE}, c AS (SELECT location_id, f, qy, qx, list_transform([r, g, b, dx], lambda z: CAST(greatest(-127, least(127, z)) AS DOUBLE)) AS z FROM q), v AS (SELECT location_id, flatten(list(z ORDER BY f, qy, qx)) AS v FROM c GROUP BY location_id),
+    o AS (SELECT v AS o FROM v ORDER BY location_id LIMIT 1), t AS (SELECT location_id, list_max([{_SAW}]) AS score FROM v, o) SELECT location_id, round(score, 6) AS score FROM t ORDER BY t.score DESC, location_id LIMIT 25""",
+)
 def seal_and_search(spark, d):
     """Extract, publish as segments, read back and rank against the first row: a location finds itself first."""
     from tessera.functions import vectors as V

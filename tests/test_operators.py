@@ -124,6 +124,21 @@ def test_disjoint_ranges_are_greedy_in_order(spark):
         assert {tuple(r) for r in C.disjoint_ranges(df.where("id < 12"), df.where("id >= 12")).collect()} == want
 
 
+def test_scratch_tables_go(spark):
+    import os
+
+    from tessera.operators.tables import new_path, scratch, stored
+
+    local = lambda p: p.removeprefix("file:")
+    kept = new_path(spark, "kept")
+    with scratch(spark):
+        table = stored(spark.range(5), "inner")
+        inner = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        table.write.parquet(kept)
+        assert os.path.isdir(inner)
+    assert not os.path.isdir(inner) and os.path.isdir(local(kept)) and spark.read.parquet(kept).count() == 5
+
+
 def test_tags_and_lanes(spark):
     rows = spark.createDataFrame([(1, [5, 2, 3]), (2, []), (3, None), (4, [9])], "location_id long, tags array<int>")
     names = spark.createDataFrame([(2, "B"), (3, "C"), (5, ""), (7, None)], "tag int, name string")
