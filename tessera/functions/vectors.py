@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,26 @@ def output_digest(model_id: Column, asset: Column, capture: Column, lane: Column
     """SHA-256 of five texts, each with a line feed, and the raw bytes of a vector."""
     head = F.concat(*[F.encode(F.concat(c, F.lit("\n")), "utf-8") for c in (model_id, asset, capture, lane, model)])
     return F.sha2(F.concat(head, embedding), 256)
+
+
+def best_view_of_bytes(query: bytes, direction: str = "bestOfFour", width: int = 16):
+    """best_view for vectors held as signed bytes: a function of a binary column that gives (score, offset).
+
+    Batches are scored as matrices. Dot products and squares are whole numbers, so the scores are those of cosine(). A
+    null or a vector without the faces scores -1.
+    """
+    faces = list(DIRECTIONS.get(direction, DIRECTIONS["bestOfFour"]))
+    front = np.frombuffer(query[:width], dtype=np.int8).astype(np.float64)
+    norm = np.sqrt(front @ front)
+    need = width * (max(faces) + 1)
+
+    @F.arrow_udf("score double, offset int")
+    def scored(vectors: pa.Array) -> pa.Array:
+        rows = [v[:need] if v is not None and len(v) >= need else bytes(need) for v in vectors.to_pylist()]
+        views = np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1, width)[:, faces].astype(np.float64)
+        norms = np.sqrt(np.einsum("nfw,nfw->nf", views, views)) * norm
+        score = np.where(norms > 0, (views @ front) / np.where(norms > 0, norms, 1.0), -1.0)
+        best = score.argmax(axis=1)
+        return pa.StructArray.from_arrays([pa.array(score[np.arange(len(rows)), best]), pa.array(np.array(faces, dtype=np.int32)[best])], names=["score", "offset"])
+
+    return scored

@@ -35,6 +35,13 @@ def best(hits: DataFrame, k: int, tie: str = "asc") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order))
 
 
+def search_bytes(index: DataFrame, query: bytes, k: int, direction: str = "bestOfFour", width: int = 16, vector: str = "embedding") -> DataFrame:
+    """The k best rows of an index whose vectors are signed bytes, as sealed segments hold them, with score, offset and rank."""
+    best_view = V.best_view_of_bytes(query, direction, width)
+    hits = index.select("location_id", best_view(F.col(vector)).alias("_best")).select("location_id", "_best.score", "_best.offset")
+    return best(hits, k)
+
+
 def best_by_query(hits: DataFrame, k: int) -> DataFrame:
     """The k best hits of each query_id, with rank; a group limit runs before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("location_id"))

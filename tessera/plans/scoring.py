@@ -255,6 +255,17 @@ def multi_query_search(spark, d):
 QUERIES["multi_query_search_whole"], SQL["multi_query_search_whole"] = multi_query_search, SQL["multi_query_search"]
 
 
+_INTS = "q AS (SELECT location_id, list_transform(vector, lambda x: CAST(greatest(-127, least(127, round(x * 127))) AS DOUBLE)) AS v FROM vectors)"
+_INT_VIEWS = ", ".join(f"{{'s': list_cosine_similarity((SELECT v FROM q WHERE location_id = 0)[1:16], v[{16 * k + 1}:{16 * k + 16}]), 'i': {-i}, 'o': {k}}}" for i, k in enumerate(DIRECTIONS["sideAxis"]))
+
+
+@query("byte_search", f"WITH {W.VECTORS}, {_INTS}, s AS (SELECT location_id, list_max([{_INT_VIEWS}]) AS b FROM q) SELECT location_id, round(b.s, 6) AS score, CAST(b.o AS INTEGER) AS view_offset, CAST(row_number() OVER (ORDER BY b.s DESC, location_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 25")
+def byte_search(spark, d):
+    index = W.vectors(spark, d).select("location_id", V.as_bytes(V.quantized(F.col("vector"))).alias("embedding"))
+    asked = bytes(index.where("location_id = 0").first().embedding)
+    return R.search_bytes(index, asked, 25, "sideAxis").select("location_id", F.round("score", 6).alias("score"), F.col("offset").alias("view_offset"), "rank")
+
+
 @query("evenly_sample", f"WITH {W.LOCATIONS}, n AS (SELECT count(*) AS n FROM locations) SELECT location_id FROM locations, n WHERE location_id IN (SELECT CAST(round_even(i * CAST(n.n - 1 AS DOUBLE) / 99, 0) AS BIGINT) FROM n, range(0, 100) t(i))")
 def evenly_sample(spark, d):
     return R.evenly_sampled(W.locations(spark, d).select("location_id"), 100, "location_id")
