@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import new_path, scratch, stored
+
+__all__ = ["LOWER_SQL", "as_bytes", "batched", "bounded_sample", "fold_of", "fold_of_id", "mix64", "new_path", "others", "pin", "read_table", "scratch", "stored"]
 
 #: SQL: a text with A-Z lower-cased, null as empty.
 LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -21,34 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df; Python functions on whole texts get at most rows of them at once, unless the session sets its own number."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

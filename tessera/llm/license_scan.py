@@ -4,7 +4,8 @@ A text is split into sentences at line ends, semicolons and at full stops, quest
 space. A sentence is normalised (lower case, everything but letters and digits becomes one space) and looked up among
 known licence sentences, which gives a short identifier. A rule is an ordered list of identifiers; it matches if the
 identifiers occur in that order in the text's sequence, with other sentences allowed between. Sentences split off a
-known one by its own full stop ("version 2.0") are not cut, as no white space follows the stop.
+known one by its own full stop ("version 2.0") are not cut, as no white space follows the stop. "All rights reserved"
+alone is proprietary; beside a sentence of a known notice it says nothing.
 
 A known sentence may also be wrapped: it is found in every run of whole lines with one line end, and any comment or list
 marks, between two of them, as long as neither a blank line, a semicolon nor a full stop cuts the run. SENTENCES and
@@ -56,6 +57,9 @@ RULES = [
     ("proprietary", ["all-rights"], False),
 ]
 
+#: Sentences of a notice's own text. Beside one of these a copyright line is part of the notice and no licence.
+NOTICES = ("mit-notice", "bsd-redistribute", "apache2-terms", "gpl-free", "gpl3-free")
+
 #: Whole sentences of the standard notices; * stands for one to twelve words.
 WHOLE_SENTENCES = {
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
@@ -124,7 +128,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules=(*RULES, *WHOLE_
     out = pin(docs, _parts=F.filter(F.split(F.coalesce(text_col, F.lit("")), _SPLIT, -1), lambda s: F.trim(s) != ""))
     out = pin(out, _ids=_sentence_ids(F.coalesce(text_col, F.lit(""))), _n=F.size("_parts").cast("long"))
     line = F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(","))
-    hits = [F.when(line.rlike(".*?".join(f",{i}," for i in ids)), F.struct(F.lit(name).alias("name"), F.lit(free).alias("free"))) for name, ids, free in rules]
+    alone = ~line.rlike(f",({'|'.join(NOTICES)}),")
+    hits = [F.when(line.rlike(".*?".join(f",{i}," for i in ids)) & (alone if ids == ["all-rights"] else F.lit(True)), F.struct(F.lit(name).alias("name"), F.lit(free).alias("free"))) for name, ids, free in rules]
     out = pin(out.drop("_parts"), _hits=F.filter(F.array(*hits), lambda x: x.isNotNull()))
     return out.select(
         *others(docs, "n_sentences", "sentence_ids", "licenses", "permissive"), F.col("_n").alias("n_sentences"), F.col("_ids").alias("sentence_ids"), F.array_sort(F.array_distinct(F.col("_hits.name"))).alias("licenses"),
@@ -140,7 +145,8 @@ def op8_license_scan(spark, sf_dir):
 
 def _sql() -> str:
     known = ",".join(f"('{t}','{name}')" for name, texts in SENTENCES.items() for t in texts)
-    cases = ",".join(f"CASE WHEN regexp_matches(line, '{'.*?'.join(f',{i},' for i in ids)}') THEN '{name}' END" for name, ids, _ in RULES)
+    alone = lambda ids: f" AND NOT regexp_matches(line, ',({'|'.join(NOTICES)}),')" if ids == ["all-rights"] else ""
+    cases = ",".join(f"CASE WHEN regexp_matches(line, '{'.*?'.join(f',{i},' for i in ids)}'){alone(ids)} THEN '{name}' END" for name, ids, _ in RULES)
     bad = ",".join(f"'{name}'" for name, _, free in RULES if not free)
     return f"""
 WITH k(s, id) AS (VALUES {known}),

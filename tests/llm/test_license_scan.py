@@ -84,5 +84,10 @@ def test_standard_notices_as_they_are_wrapped(spark):
     assert [licenses for licenses, _ in scan(spark, *texts)] == want
 
 
+def test_a_copyright_line_is_neutral_beside_a_notice(spark):
+    line = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    assert scan(spark, line + BSD3, line + MIT, line, line + "Released under the MIT License.") == [(["BSD-2-Clause", "BSD-3-Clause"], True), (["MIT"], True), (["proprietary"], False), (["MIT", "proprietary"], False)]
+
+
 def test_runs_end_at_blank_lines_and_stops(spark):
     assert scan(spark, "Released under\n\nthe MIT license", "Released under; the MIT license", "Not\nreleased under the MIT\nlicense", "We are not released under the MIT\nlicense", "Released under the MIT license or not") == [([], None), ([], None), (["MIT"], True), ([], None), ([], None)]
