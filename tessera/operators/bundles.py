@@ -50,9 +50,9 @@ def file_audit(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of the files below path."""
+    """(path, name, bytes, sha256) of the files below path; Spark's reader passes over empty ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def fixture_problems(rows: DataFrame, generation: str = "gen4") -> DataFrame:

@@ -55,6 +55,14 @@ def with_prefix(rows: DataFrame, order: list[Column], how: str, value: Column, n
     return own.join(before, "_part").withColumn(name, both(F.col("_own"), F.col("_before"))).drop("_value", "_own", "_before", "_part")
 
 
+def synthetic_import(table: DataFrame, records: DataFrame, limit: int = 100_000, prefix: str = "synthetic:") -> DataFrame:
+    """table and the records whose identity it lacks; invented assets only, and no more than limit of them, else an error."""
+    if records.count() > limit:
+        raise ValueError("too many records")
+    fit = F.when(F.col("asset_id").startswith(prefix), F.col("asset_id")).otherwise(F.raise_error(F.lit("synthetic_prefix_required")).cast("string"))
+    return upsert(table, records.withColumn("asset_id", fit))
+
+
 def indexed(rows: DataFrame, order: str, name: str = "row_index") -> DataFrame:
     """rows with a dense index from 0 in order of a unique column."""
     return with_prefix(rows, [F.col(order)], "sum", F.lit(1), name)

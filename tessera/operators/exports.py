@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.bundles import file_digests
 from tessera.operators.catalog import indexed, with_prefix
-from tessera.sources.records import FOUR_VIEW_BYTES, VIEW_BYTES, read_bytes, write_bytes
+from tessera.operators.tables import stored
+from tessera.sources.records import FOUR_VIEW_BYTES, VIEW_BYTES, opened, read_bytes, write_bytes
 
 #: Records of a four-view shard, bytes of an index file that is listed, bytes that a slice reads at least and per row.
 SHARD_RECORDS, LISTED_BYTES, SLICE_BYTES, ROW_BYTES = 50_000, 32 << 20, 8192, 256
@@ -25,8 +30,7 @@ def write_line_shards(lines: DataFrame, path: str, rows_per_shard: int, index: s
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
     """(shard_id, bytes, sha256) of written line shards, from the bytes of the files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.regexp_extract("path", "shard_id=([0-9]+)", 1).cast("long").alias("shard_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return file_digests(spark, path, "*.txt").select(F.regexp_extract("path", "shard_id=([0-9]+)", 1).cast("long").alias("shard_id"), "bytes", "sha256")
 
 
 def queue_lines(rows: DataFrame, map_id: str, order: str = "location_id", road: str = "no road name") -> DataFrame:
@@ -192,6 +196,49 @@ def bundle_line_problems(lines: DataFrame, items: DataFrame, global_start: int)
     return both.select("row_index", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Write (name, content) as files below path, each by a task and under a temporary name first, and list what is there.
+
+    A name that would leave the folder is an error. Returns (name, bytes, sha256) of the files, read back.
+    """
+    from tessera.functions.checks import safe_key
+
+    def write(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                write_bytes(f"{path}/{name}", content or b"")
+                there = read_bytes(f"{path}/{name}")
+                rows.append((name, len(there), hashlib.sha256(there).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["name", "bytes", "sha256"])
+
+    name = F.when(safe_key(F.col("name")), F.col("name")).otherwise(F.raise_error(F.lit("unsafe name")).cast("string"))
+    return stored(files.select(name.alias("name"), "content").mapInArrow(write, "name string, bytes long, sha256 string"), "written-files")
+
+
+class Artifacts:
+    """A store of named blobs below a folder that all executors reach; keys may not leave it."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+
+    def _path(self, key: str) -> str:
+        if not key or key.startswith("/") or ".." in key.split("/"):
+            raise ValueError("invalid key")
+        return f"{self.root}/{key}"
+
+    def put(self, key: str, data: bytes, content_type: str = "application/octet-stream") -> None:
+        write_bytes(self._path(key), data)
+        write_bytes(f"{self._path(key)}.meta.json", json.dumps({"contentType": content_type, "bytes": len(data)}).encode())
+
+    def get(self, key: str) -> bytes:
+        return read_bytes(self._path(key))
+
+    def exists(self, key: str) -> bool:
+        files, place = opened(self._path(key))
+        return files.get_file_info(place).is_file
+
+
 def backed_up(tables: dict[str, DataFrame], path: str, audits: dict) -> dict[str, int]:
     """Copy tables below path and run audits on the copies; a finding is an error. Returns the copies' row counts.
 

@@ -375,6 +375,20 @@ def canary_check(spark, d):
     return B.canary_problems(rows, canary, chosen.select("place", "row_index"))
 
 
+@query("file_sink", "SELECT 'page-' || page_id || '.bin' AS name, CAST(strlen(html) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
+def file_sink(spark, d):
+    """Files written from rows, listed from their bytes."""
+    files = W.table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".bin")).alias("name"), F.encode("html", "utf-8").alias("content"))
+    return E.write_files(files, new_path(spark, "files"))
+
+
+@query("synthetic_import", "WITH a AS (SELECT p_partkey AS k, 'synthetic:' || (p_partkey % 97) AS asset_id FROM part), old AS (SELECT asset_id, min(k) AS position FROM a WHERE k % 3 = 0 GROUP BY ALL), new AS (SELECT asset_id, min(k) AS position FROM a WHERE k % 2 = 0 GROUP BY ALL) SELECT * FROM old UNION ALL SELECT * FROM new WHERE asset_id NOT IN (SELECT asset_id FROM old)")
+def synthetic_import(spark, d):
+    k = F.col("p_partkey")
+    rows = W.table(spark, d, "part").select(F.concat(F.lit("synthetic:"), (k % 97).cast("string")).alias("asset_id"), F.lit("c").alias("capture"), F.lit("scene").alias("lane"), F.lit("m").alias("model"), k.alias("position"))
+    return C.synthetic_import(C.first_wins(rows.where("position % 3 = 0")), rows.where("position % 2 = 0")).select("asset_id", "position")
+
+
 _PATHS = "CASE s_suppkey % 5 WHEN 0 THEN 'job' || s_suppkey || '/index/manifest.json' WHEN 1 THEN 'job' || s_suppkey || '/manifest.json' WHEN 2 THEN 'a/b' || s_suppkey || '/index/manifest.json' WHEN 3 THEN 'job' || s_suppkey || '/index/shard.i8' ELSE 'index/manifest.json' END"
 
 

@@ -75,7 +75,8 @@ def test_arrow_catalog_with_side_file(spark, tmp_path):
     with pa.OSFile(str(tmp_path / "t.arrow"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
         w.write_table(table, max_chunksize=2)
     (tmp_path / "m.bin").write_bytes(bytes([4, 0, 13]))
-    rows = spark.read.format("arrow_catalog").options(path=str(tmp_path / "t.arrow"), metadata=str(tmp_path / "m.bin")).load().where("trim(pano_id) <> ''")
+    rows = spark.read.format("arrow_catalog").options(path=str(tmp_path / "t.arrow"), metadata=str(tmp_path / "m.bin")).load()
+    rows = records.street_rows(rows)
     got = rows.select("id", decoded_flags(F.col("flags")).alias("f"), "tags").orderBy("id").collect()
     assert [(r.id, r.f.camera_generation, r.f.road_name_state) for r in got] == [(5, "gen4", "no road name"), (7, "trekker", "has road name")]
     (tmp_path / "m.bin").write_bytes(b"\0")
@@ -135,3 +136,36 @@ def test_streamed_leases(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     out = queue.drained(queue.lease_states(queue.event_stream(spark, f"{tmp_path}/events*.parquet")), "t", "update")
     assert {r.user_id: (r.state, r.generation, r.units) for r in out.collect()} == {1: ("submitted", 1, 1), 2: ("active", 1, 0), 3: ("active", 2, 0), 4: ("none", 0, 0), 5: ("expired", 1, 0)}
+
+
+def test_artifacts_and_files(spark, tmp_path):
+    from tessera.functions.checks import model_identity
+    from tessera.operators import exports
+
+    store = exports.Artifacts(str(tmp_path / "store"))
+    store.put("a/b.bin", b"xyz", "text/plain")
+    assert store.get("a/b.bin") == b"xyz" and store.exists("a/b.bin") and not store.exists("a/c.bin")
+    assert json.loads(store.get("a/b.bin.meta.json")) == {"contentType": "text/plain", "bytes": 3}
+    for key in ("../x", "/x", "a/../../x", ""):
+        with pytest.raises(ValueError, match="invalid key"):
+            store.put(key, b"")
+    files = spark.createDataFrame([("x.bin", b"1"), ("sub/y.bin", b"")], "name string, content binary")
+    assert sorted((r.name, r.bytes) for r in exports.write_files(files, str(tmp_path / "out")).collect()) == [("sub/y.bin", 0), ("x.bin", 1)]
+    with pytest.raises(Exception, match="unsafe name"):
+        exports.write_files(spark.createDataFrame([("../z", b"")], files.schema), str(tmp_path / "out"))
+    assert model_identity({"b": 1, "a": [2]})["sha256"] == model_identity({"a": [2], "b": 1})["sha256"] != model_identity({"a": 2})["sha256"]
+
+
+def test_four_view_shards(spark, tmp_path):
+    from tessera.operators import exports
+
+    one = b"\x00\x38" + bytes(768)
+    rows = spark.createDataFrame([(i, (one * 3) + (b"\x00\x80" if i == 4 else b"\x00\x38") + bytes([i]) * 768) for i in range(7)], "row_index long, record binary")
+    path = str(tmp_path / "views")
+    assert sorted(map(tuple, exports.write_four_view_shards(rows, path, 3).collect())) == [(0, 3), (1, 3), (2, 1)]
+    assert {r.row_index: bytes(r.record)[-1] for r in exports.records_at(spark.createDataFrame([(6,), (0,), (4,)], "row_index long"), path, 3).collect()} == {6: 6, 0: 0, 4: 4}
+    assert [tuple(r) for r in exports.mask_problems(spark, path).collect()] == [(1, "incomplete")]
+    (tmp_path / "views" / "shard-000002.mask").unlink()
+    assert sorted(map(tuple, exports.mask_problems(spark, path).collect())) == [(1, "incomplete"), (2, "missing")]
+    with pytest.raises(Exception, match="no such record|No such file|shard-"):
+        exports.records_at(spark.createDataFrame([(99,)], "row_index long"), path, 3).collect()
