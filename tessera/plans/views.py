@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.constants import GENERATIONS
 
@@ -11,8 +12,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SCENE_MODEL, OBJECT_MODEL = "visual-v1", "object-v1"
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; its footers are read for the schema once per application."""
+    path = f"{d}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _pick(key: Column, values) -> Column:

@@ -39,17 +39,22 @@ def credited_once(events: DataFrame, delay: str = "30 days") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["reference"])
 
 
-def lease_states(events: DataFrame, seconds: int = 1800) -> DataFrame:
+def lease_states(events: DataFrame, seconds: int = 1800, keep: str = "365 days") -> DataFrame:
     """Per account the state of its lease after its events in order of time: (user_id, state, generation, units, until).
 
     A view leases, or resumes a live lease; an error releases; a signup renews; a purchase submits once per lease. A lease
-    that its time has passed is expired and a renewal revives it.
+    that its time has passed is expired and a renewal revives it. An account's state is dropped when the watermark, which
+    trails the newest event by keep, has passed its last event and its lease.
     """
     schema = "user_id long, state string, generation long, units long, until double"
 
     def advance(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kind, generation, units, until = state.get if state.exists else ("none", 0, 0, 0.0)
         rows = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
+        now = 0.0
         for ts, what in zip(rows["ts"], rows["event_type"], strict=True):
             now = ts.timestamp()
             if kind == "active" and until <= now:
@@ -63,9 +68,11 @@ def lease_states(events: DataFrame, seconds: int = 1800) -> DataFrame:
             elif what == "purchase" and kind == "active":
                 kind, units = "submitted", units + 1
         state.update((kind, int(generation), int(units), float(until)))
+        state.setTimeoutTimestamp(max(int(max(now, until) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "state": [kind], "generation": [generation], "units": [units], "until": [until]})
 
-    return events.groupBy("user_id").applyInPandasWithState(advance, schema, "state string, generation long, units long, until double", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", keep)
+    return timed.groupBy("user_id").applyInPandasWithState(advance, schema, "state string, generation long, units long, until double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
