@@ -86,3 +86,19 @@ def test_edges_and_rounds(spark, field, monkeypatch):
     whole = [p for _, p in X.label_words(field, [b"the and", b"", b"le la des"])]
     monkeypatch.setattr(X, "ROUND", 3)
     assert all(np.allclose(a, b) for a, b in zip(whole, [p for _, p in X.label_words(field, [b"the and", b"", b"le la des"])]))
+
+
+def test_query_equals_unbroken_chains(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = X.train(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = X.op3_language_id(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = X.words_of((texts[r.doc_id] or "").encode())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        post, _ = X.forward_backward(own.potentials(words)[None], own.move, np.array([len(words)]))
+        mean = post[0].mean(axis=0)
+        assert abs(r.score - mean.max()) < 1e-5 and r.lang_pred == own.labels[int(mean.argmax())]

@@ -68,3 +68,43 @@ def test_passages_cover_what_chunks_find(spark, sf):
     for r in out:
         assert all(before[r.doc_id][i] in kept for i in r.removed)
         assert {i for i in chunks[r.doc_id][0] if before[r.doc_id][i].strip()} <= set(r.removed)
+
+
+def test_one_line_of_many_words_and_a_line_of_many_copies(spark):
+    huge = " ".join(f"h{i}" for i in range(300_000))
+    rows = [(1, f"top\n{huge}"), (2, f"{huge}\nbottom"), (3, "\n".join([LONG] * 3000)), *((100 + i, f"own {i}\n{LONG}") for i in range(500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for dedup in (L.line_dedup, L.passage_dedup):
+        got = {r.doc_id: r.text for r in dedup(docs).collect()}
+        assert len(got) == len(rows) and got[1] == f"top\n{huge}" and got[2] == "bottom", dedup
+        assert got[3] == LONG and all(got[100 + i] == f"own {i}" for i in range(500)), dedup
+
+
+def plain_passages(rows):
+    """The lines that passage_dedup takes out, by plain loops over rows with distinct ids."""
+    anchors = {}
+    for i, text in rows:
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        words = [x.count(" ") + 1 for x in lines]
+        spans = [(a, b + 1) for a, b in zip(full, full[1:])] + [(k, k + 1) for k in full if words[k] > L.MIN_WORDS]
+        for k in range(len(lines) - 1):
+            long = [j for j in (k, k + 1) if lines[j].strip() and words[j] >= L.LONG_WORDS]
+            if long and not lines[2 * k + 1 - long[0]].strip():
+                spans.append((k, k + 2))
+        for a, b in spans:
+            anchors.setdefault("\n".join(lines[a:b]), []).append((i, a, b))
+    gone = {}
+    for places in anchors.values():
+        first = min((i, a) for i, a, _ in places)
+        for i, a, b in places:
+            if (i, a) != first:
+                gone.setdefault(i, set()).update(range(a, b))
+    return gone
+
+
+def test_passages_equal_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null")
+    gone = plain_passages([(r.doc_id, r.text) for r in docs.collect()])
+    rows = L.passage_dedup(docs).collect()
+    assert any(gone.values()) and all(set(r.removed) == gone.get(r.doc_id, set()) for r in rows)

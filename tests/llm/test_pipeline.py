@@ -28,6 +28,8 @@ def test_each_stage_on_its_own_input(spark, sf):
             assert (rows[4][i].text == r.text) == (not bad)
     coder = bpe.coder(bpe.default_path())
     assert rows[5].keys() == rows[4].keys()
+    whole = {r.doc_id: r for r in C.run(spark, sf).collect()}
+    assert whole == rows[5]
     assert all(coder.decode(np.array(r.ids, "<u4").tobytes()) == rows[4][i].text and len(r.ids) == r.n_tokens for i, r in rows[5].items())
 
 

@@ -102,3 +102,34 @@ def test_quality_edges(spark):
     assert len(rows) == 7 and {round(r.score, 6) for r in rows} == {0.5} and Q.quality(docs.limit(0), vectors, net).count() == 0
     vectors, net = Q.train(docs.limit(0), spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
     assert not vectors.any()
+
+
+def test_toxicity_query_equals_a_plain_formula(spark, sf):
+    import math
+    import re
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = X.train(docs, labels, min_g=5.0)
+    assert len(model.vocabulary) > 5
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in X.severity(docs, model).collect():
+        words = [w.encode() for w in re.findall("[a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in texts[r.doc_id] or ""))]
+        z = sum(model.weights[i] * math.log(1 + words.count(w)) for w, i in model.vocabulary.items())
+        above = [1 / (1 + math.exp(min(60, c - z))) for c in model.cuts]
+        assert abs(r.severity - sum(above)) < 1e-6 and abs(r.p_toxic - above[0]) < 1e-6 and r.rejected == (r.p_toxic >= X.REJECT)
+    assert X.op5_toxicity(spark, sf).count() == len(texts)
+
+
+def test_quality_query_equals_plain_pooling(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").where("crc32(cast(doc_id as string)) % 4 <> 2")
+    sketch, net = Q.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = Q.op6_quality(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = Q._TOKEN.findall((texts[r.doc_id] or "").encode())
+        v = Q.vectors_of(sketch, words).astype(np.float64) if words else np.zeros((1, Q.DIMS))
+        x = np.concatenate([v.mean(axis=0), v.std(axis=0)])
+        hidden = np.tanh((x - net.middle) / net.scale @ net.w1 + net.b1)
+        assert abs(r.score - 1 / (1 + np.exp(-(hidden @ net.w2 + net.b2) / net.temperature))) < 1e-4 and r.predicted == (r.score >= 0.7)
