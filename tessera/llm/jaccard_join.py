@@ -335,19 +335,21 @@ def _signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, salt: int,
 
 def _with_salts(keys: DataFrame) -> DataFrame:
     """keys by signature, once for each salt that rows of a signature have."""
-    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
     """(sig, salt, node, members) of the signatures that several nodes share; of buckets with the same members one stays.
 
-    The holders of a signature are dealt out by a salt; only counts and hash sums of their parts meet.
+    Most signatures have one holder, so all rows are dealt out by signature once; the rows that are left are narrow and
+    few, and from there on a signature's holders are dealt out by a salt.
     """
-    rows = signatures.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("long"))).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
-    parts = rows.groupBy("sig", "salt").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x0"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x1"))
-    whole = parts.groupBy("sig").agg(F.sum("members").alias("members"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")).where("members > 1")
-    one = whole.groupBy("members", "x0", "x1").agg(F.min("sig").alias("sig"))
-    return rows.join(_with_salts(one.select("sig", "members")), ["sig", "salt"]).select("sig", "salt", "node", "members")
+    rows = signatures.repartition("sig").dropDuplicates(["sig", "node"])
+    w = Window.partitionBy("sig")
+    rows = rows.select("sig", "node", F.count("*").over(w).alias("members"), F.bit_xor(F.xxhash64("node")).over(w).alias("x0"), F.bit_xor(F.xxhash64("node", F.lit(7))).over(w).alias("x1")).where("members > 1")
+    rows = stored(rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS).cast("long"))), "buckets")
+    one = rows.groupBy("members", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(_with_salts(one), ["sig", "salt"], "left_semi").select("sig", "salt", "node", "members")
 
 
 def _by_bucket(rows: DataFrame, columns: list[str], close, schema: str, blocks) -> DataFrame:
@@ -471,7 +473,8 @@ def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_c
         found, checked = _joined(found, also.where("linked").select("a", "b")), checked.union(also)
     failed = stored(edges.join(checked.where("not linked").select("a", "b"), ["a", "b"]).select("sig").distinct(), "failed")
     if not failed.isEmpty():
-        found = _joined(found, _exact_links(buckets.join(_with_salts(failed), ["sig", "salt"], "left_semi"), nodes, texts, found, n, bands, salt))
+        # the one pair of a bucket of two is decided by now
+        found = _joined(found, _exact_links(buckets.where("members > 2").join(_with_salts(failed), ["sig", "salt"], "left_semi"), nodes, texts, found, n, bands, salt))
     rows = rows.select("id", "t", "size", F.col("h0").alias("node"))
     if one_per_id:
         shared = rows.where("size > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
