@@ -85,10 +85,13 @@ class Counter:
                 end += 1
             out += self.many(texts[begin:end])
             begin = end
-        if self.own:
-            self.own.forget()  # the worker may go on with other stages
         return out
 
+    def forget(self) -> None:
+        """Drop remembered words; the worker may go on with other stages."""
+        if self.own:
+            self.own.forget()
+
 
 def walkable(doc: dict) -> bool:
     """Whether bpe.Coder reads this file: byte-level BPE with the usual pattern and nothing else."""
@@ -149,6 +152,7 @@ def missing_counts(docs: DataFrame, path: str, known: DataFrame, text_col: str =
         for batch in batches:
             texts = [unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(own.counts(texts), pa.int64())], names=["content", "n_tokens"])
+        own.forget()
 
     return once.mapInArrow(count, "content binary, n_tokens long")
 
