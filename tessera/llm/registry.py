@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, quality, token_counts, toxicity, vp_search, warc
+from tessera.llm import bpe, conversation_repair, decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, quality, token_counts, toxicity, vp_search, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_vp_search": vp_search.op7_vp_search,
         "op9_warc": warc.op9_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_token_counts": token_counts.op13_token_counts,
     }
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_vp_search": vp_search.SQL,
         "op9_warc": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_conversation_repair": conversation_repair.SQL,
         "op12_filter_audit": filter_audit.SQL,
     }
