@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog, contracts, control, formats, scoring, text
+from tessera.plans import catalog, contracts, control, formats, scoring, streams, text
 
-_MODULES = (scoring, catalog, control, text, formats, contracts)
+_MODULES = (scoring, catalog, control, text, formats, contracts, streams)
 
 
 def queries() -> dict:

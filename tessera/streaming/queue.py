@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,30 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(path)
 
 
-def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and read what it wrote. Offsets, state and output are in the shared folder."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def large_state(spark: SparkSession):
+    """Queries that start within keep their state in RocksDB, which named states and timers need; the session's own choice holds again afterwards."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over what there is and read what it wrote.
+
+    Offsets, state and output are in the shared folder: in one of their own, or below at, where a later call goes on.
+    """
     spark = stream.sparkSession
-    path, log = new_path(spark, label), new_path(spark, f"{label}-log")
+    path, log = (f"{at}/out", f"{at}/log") if at else (new_path(spark, label), new_path(spark, f"{label}-log"))
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+        with large_state(spark):
+            query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
     else:  # each batch's changed rows; the last batch of a key holds
         def put(df: DataFrame, number: int) -> None:
             df.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
