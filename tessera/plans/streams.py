@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import exports as E
+from tessera.operators.tables import new_path
+from tessera.plans import views as W
+from tessera.sources import byte_lines
+from tessera.sources.records import opened, write_bytes
+from tessera.streaming import imports as I
 from tessera.streaming import leases as L
 from tessera.streaming import queue as T
 
@@ -84,3 +90,87 @@ def lease_events(events):
 @query("lease_outcomes_stream", LEASE_SQL)
 def lease_outcomes_stream(spark, d):
     return T.drained(L.lease_stream(lease_events(T.event_stream(spark, f"{d}/events*.parquet")), **SIZES), "lease-outcomes")
+
+
+_CUSTOMER_LINES = "lines AS (SELECT c_custkey // 120 AS shard_id, c_custkey AS row_index, c_custkey || chr(9) || c_name || chr(9) || c_mktsegment AS line FROM customer)"
+
+
+def customer_lines(spark, d):
+    """(row_index, line): a line per customer."""
+    key = F.col("c_custkey")
+    return W.table(spark, d, "customer").select(key.alias("row_index"), F.concat_ws("\t", key.cast("string"), "c_name", "c_mktsegment").alias("line"))
+
+
+@query("byte_cursor_stream", f"WITH {_CUSTOMER_LINES}, b AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY shard_id ORDER BY row_index) AS BIGINT) AS stop FROM lines) SELECT shard_id, stop - strlen(line) - 1 AS start, stop, line FROM b")
+def byte_cursor_stream(spark, d):
+    """Line shards read by a stream in two starts; at the first one every second shard is there only up to the middle of a line."""
+    byte_lines.register(spark)
+    made, path, run = new_path(spark, "made"), new_path(spark, "cursor-shards"), new_path(spark, "cursor")
+    E.write_line_shards(customer_lines(spark, d), made, 120)
+
+    def lay(rows):  # as an uploader would: a task copies the shards it is given
+        for batch in rows:
+            for shard, half in zip(batch.column("shard").to_pylist(), batch.column("half").to_pylist(), strict=True):
+                files, place = opened(f"{made}/{shard}")
+                with files.open_input_file(place) as f:
+                    data = f.read(f.size() * 2 // 3 if half else f.size())
+                write_bytes(f"{path}/{shard.split('/')[0]}.tsv", data)
+            yield batch
+
+    listed = spark.createDataFrame([(s, k % 2 == 1) for k, s in enumerate(byte_lines.shards_of(made, ".txt"))], "shard string, half boolean")
+    stream = spark.readStream.format("byte_lines").option("path", path).option("bytesPerPartition", 4096).load()
+    for half in (F.col("half"), F.lit(False)):
+        listed.select("shard", half.alias("half")).mapInArrow(lay, listed.schema).write.format("noop").mode("overwrite").save()
+        out = T.drained(stream, "cursor", at=run)
+    return out.select(F.regexp_extract("shard", "shard_id=([0-9]+)", 1).cast("long").alias("shard_id"), "start", "stop", "line")
+
+
+_JOB_LINE = "'m' || chr(9) || k || chr(9) || lat || chr(9) || lon || chr(9) || '0' || chr(9) || '0' || chr(9) || '0' || chr(9) || asset || chr(9) || c_mktsegment"
+_JOBS = """jobs AS (SELECT k, (k // 150) AS f, 'pano-' || (k * 7 % 900) AS asset, CAST(k % 170 - 85 AS BIGINT) AS lat, CAST(k * 3 % 350 - 175 AS BIGINT) AS lon, c_mktsegment FROM (SELECT c_custkey AS k, c_mktsegment FROM customer))"""
+
+
+def job_lines(spark, d):
+    """(k, f, line): a 9-column line per customer, in files of 150; identities repeat."""
+    k = F.col("c_custkey")
+    cells = [F.lit("m"), k, k % 170 - 85, k * 3 % 350 - 175, F.lit("0"), F.lit("0"), F.lit("0"), F.concat(F.lit("pano-"), (k * 7 % 900).cast("string")), F.col("c_mktsegment")]
+    return W.table(spark, d, "customer").select(k.alias("row_index"), F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("line"))
+
+
+@query(
+    "resumed_import",
+    f"""WITH {_JOBS}, first AS (SELECT asset, min(k) AS k FROM jobs GROUP BY asset)
+    SELECT asset AS asset_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, c_mktsegment AS country, f AS file FROM first JOIN jobs USING (asset, k)""",
+)
+def resumed_import(spark, d):
+    """Shards imported three files at a time by a run that is stopped twice, once before its batch is recorded, and started again."""
+    lines, path, to = new_path(spark, "job-shards"), new_path(spark, "job-files"), new_path(spark, "import")
+    E.write_line_shards(job_lines(spark, d), lines, 150)
+
+    def named(rows):  # files that arrive in the order of their names
+        for batch in rows:
+            for shard in batch.column("shard").to_pylist():
+                files, place = opened(f"{lines}/{shard}")
+                with files.open_input_file(place) as f:
+                    write_bytes(f"{path}/{int(shard.split('/')[0].split('=')[1]):06d}.tsv", f.read())
+            yield batch
+
+    spark.createDataFrame([(s,) for s in byte_lines.shards_of(lines, ".txt")], "shard string").coalesce(1).mapInArrow(named, "shard string").write.format("noop").mode("overwrite").save()
+    for batches in (1, 1, None):
+        I.Import(spark, to).run(path, files_per_batch=3, batches=batches)
+    out = I.Import(spark, to)
+    where = spark.read.parquet(f"{to}/jobs").select("asset_id", F.element_at(F.split("shard", "/"), -1).alias("name"))
+    return out.jobs().join(where, "asset_id").select("asset_id", "lat", "lon", "country", F.substring("name", 1, 6).cast("long").alias("file"))
+
+
+_LIMITED = """o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, 'c' || o_custkey AS asset_id, o_custkey FROM orders),
+t AS (SELECT *, k // 500 AS b, k = min(k) OVER (PARTITION BY asset_id) AND o_custkey % 5 <> 0 AS fresh FROM o),
+s AS (SELECT b, count(*) AS size, count(*) FILTER (fresh) AS n FROM t GROUP BY b), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM s)"""
+
+
+@query("import_limit", f"WITH {_LIMITED} SELECT k AS position, asset_id FROM t JOIN c USING (b) WHERE fresh AND CASE WHEN size = 500 THEN earlier < 60 OR b = 0 ELSE earlier < 60 AND k - 500 * b < 60 - earlier END")
+def import_limit(spark, d):
+    from tessera.operators.catalog import indexed
+
+    orders = indexed(W.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "position")
+    jobs = orders.select("position", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("asset_id"), F.lit("unknown").alias("capture"), F.lit("scene").alias("lane"), F.lit("visual-v1").alias("model"), "o_custkey")
+    return I.limited(jobs, jobs.where("o_custkey % 5 = 0"), 60).select("position", "asset_id")

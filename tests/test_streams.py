@@ -1,8 +1,14 @@
 """Streams that are stopped and started again, and what they have emitted by then."""
 
+import os
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import streams as P
+from tessera.sources import byte_lines as B
+from tessera.streaming import imports as I
 from tessera.streaming import leases as L
 from tessera.streaming import queue as T
 
@@ -37,3 +43,104 @@ def test_expiry_needs_no_later_event_of_its_queue(spark, tmp_path):
     table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = lease_run(spark, tmp_path, tmp_path / "run").where("kind = 'expired'").select("queue", "account", "at_ms").collect()
     assert sorted(map(tuple, got)) == [(0, 8, 1_000_000 + P.SIZES["lease"]), (1, 9, 1_001_000 + P.SIZES["lease"])]
+
+
+def test_byte_ranges_give_each_whole_line_once(spark, tmp_path):
+    text = "".join(f"{'x' * (k * 7 % 40)}{k}\n" for k in range(200)) + "\n\nnot ended"
+    (tmp_path / "a.tsv").write_text(text)
+    want, at = [], 0
+    for line in text.split("\n")[:-1]:
+        want.append((at, at + len(line) + 1, line.encode()))
+        at += len(line) + 1
+    for step in (1, 7, 100, 10**6):
+        for block in (3, 1 << 20):
+            got = [r for i in range(0, len(text), step) for rows in B.lines_between(str(tmp_path / "a.tsv"), i, min(len(text), i + step), block) for r in rows]
+            assert got == want
+    assert B.last_line_end(str(tmp_path / "a.tsv"), len(text), block=4) == at
+    B.register(spark)
+    table = spark.read.format("byte_lines").option("path", str(tmp_path)).option("bytesPerPartition", 500).load()
+    assert table.rdd.getNumPartitions() > 5 and sorted((r.start, r.stop, r.line.encode()) for r in table.collect()) == want
+
+
+def test_a_line_in_the_making_waits_for_the_next_start(spark, tmp_path):
+    B.register(spark)
+    shard = tmp_path / "in" / "s.tsv"
+    shard.parent.mkdir()
+    stream = spark.readStream.format("byte_lines").option("path", str(shard.parent)).load()
+    seen = []
+    for more in ("a\nb\nhal", "f", "\n", "", "c\n"):
+        with open(shard, "a") as f:
+            f.write(more)
+        seen.append(sorted((r.start, r.line) for r in T.drained(stream, "t", at=str(tmp_path / "run")).collect()))
+    assert seen == [[(0, "a"), (2, "b")], [(0, "a"), (2, "b")], *[[(0, "a"), (2, "b"), (4, "half")]] * 2, [(0, "a"), (2, "b"), (4, "half"), (9, "c")]]
+
+
+def line(k, asset):
+    return f"m\t{k}\t{k}\t{k}\t0\t0\t0\t{asset}\tUSA\n"
+
+
+def imported(spark, path):
+    own = I.Import(spark, path)
+    return sorted((r.asset_id, r.lat) for r in own.jobs().collect()), sorted((r.name, r.jobs) for r in own.files().collect())
+
+
+def test_an_import_that_breaks_anywhere_equals_one_run(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    contents = [line(1, "a") + line(2, "b"), line(3, "b") + line(4, "c"), line(1, "a") + line(2, "b"), "bad\n" + line(5, "d") + line(6, "d")]
+    for k, text in enumerate(contents):
+        (folder / f"{k}.tsv").write_text(text)
+        os.utime(folder / f"{k}.tsv", (1000 + k, 1000 + k))
+    I.Import(spark, str(tmp_path / "once")).run(str(folder), files_per_batch=1)
+    want = imported(spark, str(tmp_path / "once"))
+    assert want == ([("a", 1.0), ("b", 2.0), ("c", 4.0), ("d", 5.0)], [("0.tsv", 2), ("1.tsv", 1), ("3.tsv", 1)])  # the third file's bytes are known
+
+    path, plain = str(tmp_path / "broken"), I.Import.take
+    for bad in (0, 1, 3):
+
+        def breaks(self, listed, number, bad=bad):
+            plain(self, listed, number)
+            if number == bad:  # the registry of this batch is lost, its rows are not
+                shutil.rmtree(f"{path}/files/batch={number}")
+                raise OSError("lost")
+
+        monkeypatch.setattr(I.Import, "take", breaks)
+        with pytest.raises(Exception, match="lost"):
+            I.Import(spark, path).run(str(folder), files_per_batch=1)
+        if bad:
+            assert set(imported(spark, path)[0]) < set(want[0])
+    monkeypatch.setattr(I.Import, "take", plain)
+    I.Import(spark, path).run(str(folder), files_per_batch=1)
+    assert imported(spark, path) == want
+    assert I.Import(spark, path).run(str(folder), files_per_batch=1) == 0
+
+
+def test_the_limit_rule(spark):
+    names = "asset_id string, capture string, lane string, model string"
+    jobs = [(f"a{k % 9}" if k < 12 else f"b{k}", "c", "scene", "m", k) for k in range(27)]
+    have = spark.createDataFrame([("a0", "c", "scene", "m")], names)
+    table = spark.createDataFrame(jobs, f"{names}, position long").repartition(3)
+
+    def plain(limit, batch):
+        known, total, out, pending = {"a0"}, 0, [], []
+
+        def insert(rows):
+            fresh = [r for i, r in enumerate(rows) if r[0] not in known and r[0] not in {x[0] for x in rows[:i]}]
+            known.update(r[0] for r in fresh)
+            out.extend(r[4] for r in fresh)
+            return len(fresh)
+
+        for job in jobs:
+            pending.append(job)
+            if len(pending) == batch:
+                total += insert(pending)
+                pending = []
+                if total >= limit:
+                    break
+        if pending and total < limit:
+            insert(pending[: limit - total])
+        return out
+
+    for limit in (0, 1, 5, 14, 19, 100):
+        got = sorted(r.position for r in I.limited(table, have, limit, batch=5).collect())
+        assert got == plain(limit, 5), limit
