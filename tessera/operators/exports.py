@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,18 +103,34 @@ def write_four_view_shards(records: DataFrame, path: str, shard_records: int = S
     return rows.repartition("shard").sortWithinPartitions("shard", "row_index").select("shard", "record").mapInArrow(write, "shard long, records long")
 
 
+#: Records that may lie between two wanted ones which one read takes together, and records that one read takes at most.
+GAP_RECORDS, READ_RECORDS = 16, 4096
+
+
 def records_at(wanted: DataFrame, path: str, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """(row_index, record) of the wanted records, each read by its shard and offset; one that isn't there whole is an error."""
+    """(row_index, record) of the wanted records, read by shard and offset; one that isn't there whole is an error.
+
+    Wanted records are dealt out in order of their place, and a task reads neighbours together.
+    """
 
     def read(batches):
         for batch in batches:
-            at = batch.column("row_index").to_pylist()
-            found = [read_bytes(f"{path}/shard-{i // shard_records:06d}.i8", i % shard_records * FOUR_VIEW_BYTES, FOUR_VIEW_BYTES) if i >= 0 else b"" for i in at]
+            at = batch.column("row_index").to_numpy()
+            if len(at) and at[0] < 0:
+                raise ValueError("no such record")
+            breaks = np.flatnonzero((np.diff(at) > GAP_RECORDS) | (np.diff(at // shard_records) > 0)) + 1
+            found: list[bytes] = []
+            for run in np.split(at, breaks):
+                for own in (run[k : k + READ_RECORDS // GAP_RECORDS] for k in range(0, len(run), READ_RECORDS // GAP_RECORDS)):
+                    first, n = int(own[0]), int(own[-1] - own[0]) + 1
+                    data = read_bytes(f"{path}/shard-{first // shard_records:06d}.i8", first % shard_records * FOUR_VIEW_BYTES, n * FOUR_VIEW_BYTES)
+                    found += [data[int(i - first) * FOUR_VIEW_BYTES : int(i - first + 1) * FOUR_VIEW_BYTES] for i in own]
             if any(len(r) != FOUR_VIEW_BYTES for r in found):
                 raise ValueError("no such record")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found, pa.binary())], names=["row_index", "record"])
 
-    return wanted.select(F.col("row_index").cast("long").alias("row_index")).mapInArrow(read, "row_index long, record binary")
+    placed = wanted.select(F.col("row_index").cast("long").alias("row_index")).repartitionByRange("row_index").sortWithinPartitions("row_index")
+    return placed.mapInArrow(read, "row_index long, record binary")
 
 
 def mask_problems(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.operators import exports as E
 from tessera.operators.tables import new_path
 from tessera.plans import views as W
-from tessera.sources import byte_lines
+from tessera.sources import byte_lines, shards
+from tessera.sources import records as S
 from tessera.sources.records import opened, write_bytes
 from tessera.streaming import imports as I
 from tessera.streaming import leases as L
@@ -174,3 +175,47 @@ def import_limit(spark, d):
     orders = indexed(W.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "position")
     jobs = orders.select("position", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("asset_id"), F.lit("unknown").alias("capture"), F.lit("scene").alias("lane"), F.lit("visual-v1").alias("model"), "o_custkey")
     return I.limited(jobs, jobs.where("o_custkey % 5 = 0"), 60).select("position", "asset_id")
+
+
+@query("stream_shards", f"WITH {_CUSTOMER_LINES} SELECT line, (SELECT count(*) FROM lines) AS total_rows, (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM lines) AS total_bytes FROM lines")
+def stream_shards(spark, d):
+    """Lines that arrive in five files, a micro-batch each, in shards of 90 that are filled over the micro-batches; in two runs."""
+    shards.register(spark)
+    come, path = new_path(spark, "arrivals"), new_path(spark, "filled")
+    customer_lines(spark, d).repartition(5, "row_index").write.parquet(come)
+    arrivals = spark.readStream.schema("row_index long, line string").option("maxFilesPerTrigger", 1).parquet(come).select("line")
+    for _ in range(2):
+        arrivals.repartition(3).writeStream.format("record_shards").option("path", path).option("rowsPerShard", 90).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    report = shards.close_shards(path)
+    out = spark.read.format("record_shards").option("path", path).load()
+    return out.select("line", F.lit(report["rows"]).cast("long").alias("total_rows"), F.lit(report["bytes"]).cast("long").alias("total_bytes"))
+
+
+def _poses(spark, d, width=8):
+    rows = W.locations(spark, d)
+    return rows.select("location_id", "lat", F.col("lon").alias("lng"), "heading", "pitch", "zoom", F.col("asset_id").alias("pano_id"), "capture", "country", "camera_generation", "lane", F.substring(F.unhex(F.sha2("asset_id", 256)), 1, width).alias("embedding"))
+
+
+@query(
+    "flat_shard_replace",
+    f"""WITH {W.LOCATIONS} SELECT location_id, lat, lon AS lng, asset_id AS pano_id, upper(substr(sha256(asset_id), 1, 16)) AS embedding, lane FROM locations WHERE lane = 'object' OR location_id % 2 = 0""",
+)
+def flat_shard_replace(spark, d):
+    """Flat shards by lane; the scene lane is written twice, and its second rows replace the first."""
+    shards.register(spark)
+    path, rows = new_path(spark, "flat"), _poses(spark, d)
+    for lane, some in (("scene", "true"), ("object", "true"), ("scene", "location_id % 2 = 0")):
+        own = rows.where((F.col("lane") == lane) & F.expr(some)).drop("lane")
+        own.write.format("record_shards").option("path", path).option("kind", "flat").option("width", 8).option("rowsPerShard", 100).option("key", lane).mode("append").save()
+    read = lambda lane: spark.read.format("record_shards").option("path", path).option("kind", "flat").option("width", 8).option("key", lane).load().withColumn("lane", F.lit(lane))
+    return read("scene").unionByName(read("object")).select("location_id", "lat", "lng", "pano_id", F.hex("embedding").alias("embedding"), "lane")
+
+
+@query("segments_pruned", f"WITH {W.LOCATIONS} SELECT location_id, lane, country, upper(substr(sha256(asset_id), 1, 16)) AS embedding FROM locations WHERE lane = 'object' AND location_id > 40 AND location_id <= 120 AND country < 'J'")
+def segments_pruned(spark, d):
+    """Sealed segments under filters that the source takes over; the country is left to Spark."""
+    root, rows = new_path(spark, "pruned"), _poses(spark, d)
+    for lane in ("scene", "object"):
+        S.publish_segments(rows.where(F.col("lane") == lane).drop("lane"), root, lane, 8, capacity=150)
+    index = spark.read.format("sealed_segments").option("path", root).load()
+    return index.where("lane = 'object' AND location_id > 40 AND location_id <= 120 AND country < 'J'").select("location_id", "lane", "country", F.hex("embedding").alias("embedding"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: Fixed values of the formats.
 POSE = np.dtype([("location_id", "<u8"), ("lat", "<f8"), ("lng", "<f8"), ("heading", "<f8"), ("pitch", "<f8"), ("zoom", "<f8"), ("pano_id", "S64"), ("capture", "S16"), ("country", "S32"), ("camera_generation", "S16")])
@@ -92,9 +92,32 @@ class SegmentReader(_Reader):
     """Options: path; lane, to read one; verify, to check every digest and fail on a difference.
 
     The driver reads the registry and the manifests; the files of a segment are checked by the task that reads its first
-    records, as a stream, so segments are verified in parallel, each once and only if it is read.
+    records, as a stream, so segments are verified in parallel, each once and only if it is read. Filters on lane and on
+    the range of location_id are taken over: the registry's lane and bounds leave out whole segments, whose manifests and
+    files stay unopened, and a task looks the ids up first and reads the poses and vectors between the first and last fit.
     """
 
+    def pushFilters(self, filters):
+        self.lanes, self.low, self.high = None, -(1 << 63), (1 << 63) - 1
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("lane",) and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(value)
+                self.lanes = own if self.lanes is None else self.lanes & own
+            elif column == ("location_id",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, value - isinstance(f, LessThan))
+            elif not (isinstance(f, IsNotNull) and column in (("lane",), ("location_id",))):  # neither is ever null
+                yield f
+
+    lanes, low, high = None, -(1 << 63), (1 << 63) - 1
+
+    def _wanted(self, source: dict) -> bool:
+        lane = self.options.get("lane") in (None, source["lane"]) and (self.lanes is None or source["lane"] in self.lanes)
+        return lane and source.get("low", self.low) <= self.high and source.get("high", self.high) >= self.low
+
     def partitions(self):
         root = self.options["path"]
         registry = json.loads(read_bytes(f"{root}/registry.json"))
@@ -106,7 +129,7 @@ class SegmentReader(_Reader):
                 raise ValueError("missing or repeated source id")
             seen.add(s["id"])
             folder = f"{root}/{s['path']}"
-            if self.options.get("lane") in (None, s["lane"]):
+            if self._wanted(s):
                 digests = segment_digests(folder, s) if self.options.get("verify", "true") == "true" else {}
                 out += _ranges(folder, s["count"], self.step, lane=s["lane"], id=s["id"], width=s["width"], digests=digests)
         return out
@@ -115,10 +138,16 @@ class SegmentReader(_Reader):
         for name, digest in part.more["digests"].items() if part.start == 0 else ():
             if streamed_digest(f"{part.path}/{name}.bin") != digest:
                 raise ValueError(f"{part.more['id']}: checksum of {name}.bin")
-        n, width = part.stop - part.start, part.more["width"]
-        poses = np.frombuffer(read_bytes(f"{part.path}/poses.bin", part.start * POSE.itemsize, n * POSE.itemsize), dtype=POSE)
-        vectors = read_bytes(f"{part.path}/embeddings.bin", part.start * width, n * width)
-        columns = [*pose_columns(poses), pa.array([vectors[i * width : (i + 1) * width] for i in range(n)], pa.binary()), pa.array([part.more["lane"]] * n), pa.array([part.more["id"]] * n)]
+        width = part.more["width"]
+        ids = np.frombuffer(read_bytes(f"{part.path}/ids.bin", part.start * 8, (part.stop - part.start) * 8), dtype="<u8").astype(np.int64)
+        fit = np.flatnonzero((ids >= self.low) & (ids <= self.high))
+        if not len(fit):
+            return
+        start, n = part.start + int(fit[0]), int(fit[-1] - fit[0]) + 1
+        fit = fit - fit[0]
+        poses = np.frombuffer(read_bytes(f"{part.path}/poses.bin", start * POSE.itemsize, n * POSE.itemsize), dtype=POSE)[fit]
+        vectors, n = read_bytes(f"{part.path}/embeddings.bin", start * width, n * width), len(fit)
+        columns = [*pose_columns(poses), pa.array([vectors[i * width : (i + 1) * width] for i in fit.tolist()], pa.binary()), pa.array([part.more["lane"]] * n), pa.array([part.more["id"]] * n)]
         yield pa.RecordBatch.from_arrays(columns, names=[*POSE.names, "embedding", "lane", "segment_id"])
 
 
@@ -243,6 +272,8 @@ def street_rows(rows: DataFrame, pano: str = "pano_id") -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources known. Spark hands filters to a Python source only if the session allows it, so this allows it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (SealedSegments, FlatShard, FourView, ArrowCatalog):
         spark.dataSource.register(source)
 
@@ -296,7 +327,8 @@ def publish_segments(rows: DataFrame, root: str, lane: str, width: int, capacity
                 write_bytes(f"{root}/{name}/{part}.bin", raw)
             text = json.dumps({"id": name, "lane": lane, "count": len(poses)} | {f"{p}Sha256": hashlib.sha256(d).hexdigest() for p, d in data.items()}, sort_keys=True).encode()
             write_bytes(f"{root}/{name}/segment.json", text)
-            return pa.RecordBatch.from_pydict({"id": [name], "count": [len(poses)], "sha256": [hashlib.sha256(text).hexdigest()]})
+            ids = poses["location_id"].astype(np.int64)
+            return pa.RecordBatch.from_pydict({"id": [name], "count": [len(poses)], "sha256": [hashlib.sha256(text).hexdigest()], "low": [int(ids.min())], "high": [int(ids.max())]})
 
         for batch in batches:
             pending.append(batch)
@@ -309,7 +341,7 @@ def publish_segments(rows: DataFrame, root: str, lane: str, width: int, capacity
             yield flush(pa.Table.from_batches(pending))
 
     ordered = rows.select(*POSE.names, "embedding").repartitionByRange(-(-max(1, total) // capacity), "location_id").sortWithinPartitions("location_id")
-    done = [r.asDict() | {"path": r.id, "lane": lane, "width": width} for r in ordered.mapInArrow(write, "id string, count long, sha256 string").collect()]  # a row per segment
+    done = [r.asDict() | {"path": r.id, "lane": lane, "width": width} for r in ordered.mapInArrow(write, "id string, count long, sha256 string, low long, high long").collect()]  # a row per segment
     write_bytes(f"{root}/registry.json", json.dumps({"version": 1, "sources": [*old["sources"], *sorted(done, key=lambda s: s["id"])]}).encode())
     return done
 
