@@ -92,7 +92,7 @@ def test_filters_leave_segments_unread(spark, tmp_path, capsys):
     assert index.where("lane IN ('object', 'other') AND location_id >= 103 AND location_id < 107").count() == 4
     assert index.where("location_id > 14 AND location_id <= 16 AND pano_id <> 'p16'").select("location_id").collect()[0][0] == 15
     one.explain()
-    index.where("lane = 'scene' AND country = 'USA'").explain()
+    index.where("lane = 'object' AND country = 'USA'").explain()
     plans = capsys.readouterr().out.split("== Physical Plan ==")[1:]
     assert [bool(re.search(r"\bFilter \(", p)) for p in plans] == [False, True]  # the source has taken the first ones over
     with pytest.raises(Exception, match="registry|JSON|Expecting"):
