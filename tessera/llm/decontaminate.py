@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def op10_decontaminate(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    out = contamination(docs, read_table(spark, sf_dir, "benchmark"), unnamed=True)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
@@ -237,14 +237,14 @@ _WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\
 
 SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({N}, len(w)) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({N}, len(w)) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
 g AS (SELECT DISTINCT item, n, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) AS gram FROM i),
 s AS (SELECT DISTINCT n FROM g),
 p AS (SELECT doc_id, n, range(len(w) - n + 1) AS ks, list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' ')) AS grams FROM d JOIN s ON len(w) >= n),
 q AS (SELECT doc_id, n, unnest(ks) AS k, unnest(grams) AS gram FROM p),
 h AS (SELECT doc_id, n, k, item FROM q JOIN g USING (n, gram)),
 c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
-m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)

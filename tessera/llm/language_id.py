@@ -270,4 +270,4 @@ def op3_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     field = train(docs.where(fold_of("doc_id") != HELD_OUT))
     out = identify(docs.select("doc_id", "text"), field)
-    return out.select("doc_id", (fold_of("doc_id") == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold_of("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -223,4 +223,4 @@ def op6_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold_of("doc_id") != HELD_OUT)
     vectors, net = train(docs, labels)
-    return quality(docs, vectors, net).select("doc_id", (fold_of("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
+    return quality(docs, vectors, net).select("doc_id", F.coalesce(fold_of("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")

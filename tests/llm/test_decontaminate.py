@@ -83,3 +83,19 @@ def test_query_matches_brute_force(spark, sf):
     for r in rows:
         if r.contaminated or r.doc_id % 4 == 0:
             assert (r.n_words, r.n_hit, r.items_sha256, r.contaminated) == D.brute(texts[r.doc_id], bench)
+
+
+def test_items_without_an_id_hit_but_are_not_named(spark, tmp_path):
+    import duckdb
+
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[:15])), (2, " ".join(words[20:38])), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(words[2:13])), (7, " ".join(words[20:31])), (None, None)], "item_id long, text string")
+    for name, table in (("documents", docs), ("benchmark", bench)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: r for r in D.op10_decontaminate(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(11, 0, True), (11, 1, True), (0, 0, False)]
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({D.SQL})").fetchall()) == sorted(tuple(r) for r in got.values())
