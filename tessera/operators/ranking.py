@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.canonical import canonical_json
 from tessera.functions.constants import PRUNE_M
 from tessera.functions.geo import wrap_heading
 from tessera.functions.text import canonical_country
@@ -184,11 +185,12 @@ def result_extra(query_name: str, mode: str, model: str, min_score: Column, proc
 
 
 def result_document(hits: DataFrame, name: str, mode: str, model: str, processed: int, prefix: str = "") -> DataFrame:
-    """One map document of ranked hits with the whole extra; its smallest score is that of the last hit."""
+    """One map document of ranked hits with the whole extra, keys in order; its smallest score is that of the last hit."""
     low = hits.agg(F.coalesce(F.min_by("score", -F.col("rank")), F.lit(0.0)).alias("_low"))
     zero = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if n in hits.columns else F.lit(0.0)
     extra = result_extra(name, mode, model, F.col("_low"), F.lit(processed).cast("long"), hits.columns, prefix)
     point = F.struct(F.col("lat"), F.col("lon").alias("lng"), F.col("view_heading").alias("heading"), zero("pitch").alias("pitch"), zero("zoom").alias("zoom"), F.col("pano_id").alias("panoId"), extra.alias("extra"))
     rows = hits.crossJoin(low).select("rank", point.alias("point"))  # low is one row
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "point"))), lambda x: x["point"])
-    return rows.agg(F.to_json(F.struct(F.lit(name).alias("name"), ordered.alias("customCoordinates")), {"ignoreNullFields": "false"}).alias("document"), F.count("*").alias("n"))
+    one = rows.agg(F.struct(F.lit(name).alias("name"), ordered.alias("customCoordinates")).alias("map"), F.count("*").alias("n"))
+    return one.select(canonical_json(one, "map").alias("document"), "n")

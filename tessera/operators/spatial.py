@@ -47,6 +47,30 @@ def duplicate_flags(locations: DataFrame, meters: float = DUPLICATE_M) -> DataFr
     return locations.join(late.select("location_id", F.lit(True).alias("deferred")), "location_id", "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
 
 
+#: Fixed value: meters a degree of the box that stored rows are looked up in; it is a little narrower than the distance.
+BOX_METERS = 111_320.0
+
+
+def import_flags(arrivals: DataFrame, stored: DataFrame, meters: float = DUPLICATE_M) -> DataFrame:
+    """arrivals (asset_id, lat, lon, lane, capture, model, position) with deferred: whether a near row of another asset was there first.
+
+    Stored rows count within a box of meters around the arrival that also lie within the distance; the box has BOX_METERS
+    to a degree, so the last few centimeters north and south are out of it, and it doesn't go around the date line.
+    Arrivals at a smaller position count by the distance alone, deferred or not.
+    """
+    keys = ("lane", "capture", "model")
+    north = F.lit(meters / BOX_METERS)
+    east = F.lit(meters) / F.greatest(F.lit(1.0), BOX_METERS * F.abs(F.cos(F.radians("lat"))))
+    box = F.col("r_lat").between(F.col("lat") - north, F.col("lat") + north) & F.col("r_lon").between(F.col("lon") - east, F.col("lon") + east)
+    points = arrivals.select("position", "asset_id", "lat", "lon", *keys)
+    # of the stored rows at one place two assets are enough
+    places = stored.groupBy(*keys, "lat", "lon").agg(F.min("asset_id").alias("a"), F.max("asset_id").alias("b")).select(*keys, "lat", "lon", F.explode(F.array_distinct(F.array("a", "b"))).alias("asset_id"))
+    old = within(points, places, meters, keys, "left_semi", box & (F.col("r_asset_id") != F.col("asset_id"))).select("position")
+    own = duplicate_flags(points.withColumnRenamed("position", "location_id"), meters).where("deferred").select(F.col("location_id").alias("position"))
+    flagged = old.union(own).distinct().withColumn("deferred", F.lit(True))
+    return arrivals.join(flagged, "position", "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
+
+
 def excluded_points(points: DataFrame, limit: int = MAX_EXCLUDED) -> DataFrame:
     """At most limit used points with numeric coordinates, the first by position."""
     return points.where("lat IS NOT NULL AND lon IS NOT NULL").orderBy("position").limit(limit)

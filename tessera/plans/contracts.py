@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from tessera.functions import checks as K
@@ -115,9 +117,27 @@ def number_format_16g(spark, d):
     return W.table(spark, d, "supplier").select("s_suppkey", X.number_16g(value).alias("text"))
 
 
-@query("folded_text", r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS folded_sha256 FROM documents")
+#: The folding in SQL, by the rule that gives it: letters whose folding is one other letter, those that fold to several, and white space.
+_LETTERS = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)]
+_SINGLE = [c for c in _LETTERS if len(c.casefold()) == 1]
+_SPACES = "".join(f"\\x{{{i:X}}}" for i in range(0x110000) if chr(i).isspace())
+
+
+def _folded_sql(text: str) -> str:
+    out = f"translate({text}, '{string.ascii_uppercase}{''.join(_SINGLE)}', '{string.ascii_lowercase}{''.join(c.casefold() for c in _SINGLE)}')"
+    for c in _LETTERS:
+        if len(c.casefold()) > 1:
+            out = f"replace({out}, '{c}', '{c.casefold()}')"
+    return f"trim(regexp_replace({out}, '[{_SPACES}]+', ' ', 'g'))"
+
+
+#: Letters that fold unlike lower case, beside each text.
+_ODD = " ςΣ ﬁ ŉ ẞß İ ǰ ᾳ Ⓐ\u2003K "
+
+
+@query("folded_text", f"SELECT doc_id, sha256({_folded_sql(f"coalesce(text, '') || '{_ODD}' || doc_id")}) AS folded_sha256 FROM documents")
 def folded_text(spark, d):
-    return W.table(spark, d, "documents").select("doc_id", F.sha2(X.folded(F.col("text")), 256).alias("folded_sha256"))
+    return W.table(spark, d, "documents").select("doc_id", F.sha2(X.folded(F.concat(F.coalesce("text", F.lit("")), F.lit(_ODD), F.col("doc_id").cast("string"))), 256).alias("folded_sha256"))
 
 
 @query("prompt_limits", r"SELECT doc_id, turn_problem FROM (SELECT doc_id, CASE WHEN length(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+', ' ', 'g'))) > 400 THEN 'invalid_query' END AS turn_problem FROM documents)")
@@ -545,3 +565,21 @@ def result_extra(spark, d):
         F.col("panoId").alias("pano_id"), F.get("tags", F.lit(0)).alias("tag"), F.col("xCameraGeneration").alias("camera"), F.round("xScore", 5).alias("score"), F.round("xMinScore", 5).alias("min_score"), F.col("xRank").alias("rank"), F.col("xQuery").alias("query"),
         F.col("xQueryMode").alias("mode"), F.col("xHeadingOffset").alias("heading_offset"), F.col("xProcessedLocations").alias("processed"), F.col("xPruneMeters").alias("prune_m"), empty.alias("object_fields_are_null"),
     )
+
+
+_EXTRA_SQL = {
+    "CameraGeneration": "CASE WHEN coalesce(camera_generation, '') = '' THEN 'unknown' ELSE camera_generation END", "Score": "round(b.s, 7)", "MinScore": "round(low, 7)", "Rank": "CAST(place AS INTEGER)", "Query": "'barn'", "QueryMode": "'scene'",
+    "HeadingOffset": "CAST(90 * b.o AS INTEGER)", "SourceIndex": "0", "ProcessedLocations": "77", "Model": "'m'", "PruneMeters": "CAST(100 AS DOUBLE)",
+}
+_EXTRA_JSON = ", ".join(f"'{k}': {v}" for k, v in sorted(({"tags": "[country]"} | {f"x{n}": _EXTRA_SQL.get(n, "NULL") for n in R.EXTRA}).items()))
+
+
+@query(
+    "map_document",
+    f"""{_OPTIONS}, low AS (SELECT min(b.s) AS low FROM final)
+    SELECT CAST(to_json({{'customCoordinates': list({{'extra': {{{_EXTRA_JSON}}}, 'heading': (heading + 90 * b.o) % 360, 'lat': round(lat, 3), 'lng': round(lon, 3), 'panoId': pano_id, 'pitch': CAST(0 AS DOUBLE), 'zoom': CAST(0 AS DOUBLE)}} ORDER BY place), 'name': 'barn'}}) AS VARCHAR) AS document, count(*) AS n FROM final, low""",
+)
+def map_document(spark, d):
+    """The whole document of a result, byte by byte, with its keys in order."""
+    hits = _optional(spark, d).withColumn("lat", F.round("lat", 3)).withColumn("lon", F.round("lon", 3)).drop("pitch", "zoom")
+    return R.result_document(hits, "barn", "scene", "m", 77, "x")

@@ -1,13 +1,18 @@
-"""Queries that run as streams: leases with timers, byte cursors, resumed imports, shards that micro-batches fill."""
+"""Queries on streams, files and audits: leases with timers, byte cursors, resumed imports, shards that micro-batches fill."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import features as X
+from tessera.functions.vectors import output_digest
+from tessera.operators import audit as A
 from tessera.operators import exports as E
+from tessera.operators import spatial
 from tessera.operators.tables import new_path
+from tessera.plans import formats
 from tessera.plans import views as W
-from tessera.sources import byte_lines, shards
+from tessera.sources import byte_lines, json_records, shards
 from tessera.sources import records as S
 from tessera.sources.records import opened, write_bytes
 from tessera.streaming import imports as I
@@ -219,3 +224,92 @@ def segments_pruned(spark, d):
         S.publish_segments(rows.where(F.col("lane") == lane).drop("lane"), root, lane, 8, capacity=150)
     index = spark.read.format("sealed_segments").option("path", root).load()
     return index.where("lane = 'object' AND location_id > 40 AND location_id <= 120 AND country < 'J'").select("location_id", "lane", "country", F.hex("embedding").alias("embedding"))
+
+
+@query("file_tail", "WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey AS k, c_name AS name FROM customer, n WHERE c_custkey >= n - 120 AND c_custkey < n - 20")
+def file_tail(spark, d):
+    """The last 120 lines but 20 of one file, read from its end."""
+    byte_lines.register(spark)
+    path = new_path(spark, "tail")
+    E.write_line_shards(customer_lines(spark, d), path, 1 << 40)
+    file = next(iter(byte_lines.shards_of(path, ".txt")))
+    lines = spark.read.format("byte_lines").option("path", f"{path}/{file}").option("tail", 120).option("skipLast", 20).load()
+    c = F.split("line", "\t")
+    return lines.select(c[0].cast("long").alias("k"), c[1].alias("name"))
+
+
+@query("json_records", "SELECT 'n' || o_custkey % 4 || '.json' AS document, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS position, o_orderkey AS id, o_orderstatus || '\"{[' || o_orderpriority AS label FROM orders")
+def json_records_(spark, d):
+    """Four documents of orders, each in the array "records" beside another one, read in blocks of 20,000 bytes."""
+    path = new_path(spark, "json")
+    rows = W.table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("n"), "o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit('"{['), "o_orderpriority").alias("label"))).alias("r"))
+
+    def write(batches):  # a task streams the rows of its documents in order
+        state = {"n": None, "out": None}
+
+        def end():
+            if state["out"]:
+                state["out"].write(b'], "other": [{"id": 1}, [2]]}')
+                state["out"].close()
+
+        for batch in batches:
+            for n, r in zip(batch.column("n").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                if n != state["n"]:
+                    end()
+                    files, place = opened(f"{path}/n{n}.json")
+                    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    state |= {"n": n, "out": files.open_output_stream(place)}
+                    state["out"].write(b'{"source": "a [{ \\" ", "first": [{"id": 0}], "records": [' + r.encode())
+                else:
+                    state["out"].write(b",\n " + r.encode())
+            yield batch
+        end()
+
+    rows.repartition("n").sortWithinPartitions("n", "o_orderkey").mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
+    return json_records.parsed(json_records.read_records(spark, path, "records", 20_000), "id long, label string")
+
+
+_ARRIVALS = "arrivals AS (SELECT location_id AS position, 'new-' || location_id AS asset_id, CASE location_id % 3 WHEN 0 THEN lat + CAST(0.00022465 AS DOUBLE) WHEN 1 THEN lat + CAST(0.000224 AS DOUBLE) ELSE lat - CAST(0.0003 AS DOUBLE) END AS lat, lon, lane, capture, model FROM locations)"
+_METERS = "2 * CAST(6371000 AS DOUBLE) * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query(
+    "import_duplicates",
+    f"""WITH {W.LOCATIONS}, {_ARRIVALS}, old AS (SELECT * FROM locations WHERE location_id % 2 = 0)
+    SELECT position, asset_id, EXISTS (SELECT 1 FROM old b WHERE b.lane = a.lane AND b.capture = a.capture AND b.model = a.model AND b.asset_id <> a.asset_id
+            AND abs(b.lat - a.lat) <= CAST(25 AS DOUBLE) / 111320 AND abs(b.lon - a.lon) <= CAST(25 AS DOUBLE) / greatest(1, 111320 * abs(cos(radians(a.lat)))) AND {_METERS} <= 25)
+        OR EXISTS (SELECT 1 FROM arrivals b WHERE b.position < a.position AND b.lane = a.lane AND b.capture = a.capture AND b.model = a.model AND b.asset_id <> a.asset_id AND {_METERS} <= 25) AS deferred FROM arrivals a""",
+)
+def import_duplicates(spark, d):
+    """Arrivals of which every third lies 24.98 m north of a stored row: within the distance and outside the box."""
+    rows, k = W.locations(spark, d), F.col("location_id")
+    moved = F.when(k % 3 == 0, F.col("lat") + 0.00022465).when(k % 3 == 1, F.col("lat") + 0.000224).otherwise(F.col("lat") - 0.0003)
+    arrivals = rows.select(k.alias("position"), F.concat(F.lit("new-"), k.cast("string")).alias("asset_id"), moved.alias("lat"), "lon", "lane", "capture", "model")
+    return spatial.import_flags(arrivals, rows.where("location_id % 2 = 0")).select("position", "asset_id", "deferred")
+
+
+_CHECKED = f"""true_vectors AS (SELECT * FROM ({formats.SQL["scene_embedding"]}) UNION ALL SELECT * FROM ({formats.SQL["object_embedding"]})),
+rows AS (SELECT location_id, location_id // 10 AS lease_id, asset_id, capture, lane, model, embedding, NOT starts_with(asset_id, 'Prototype') AS street FROM locations JOIN true_vectors USING (location_id)),
+taken AS (SELECT *, NOT street OR location_id = min(location_id) FILTER (street) OVER (PARTITION BY lease_id) AS sampled FROM rows)"""
+_WRONG = "CASE WHEN {k} % 13 = 5 THEN '7F' || substr({v}, 3) ELSE {v} END"
+
+
+@query(
+    "recomputed_audit",
+    f"""WITH {W.LOCATIONS}, {_CHECKED}, e AS (SELECT *, CASE WHEN lane = 'scene' THEN sha256(CAST('{W.SCENE_MODEL}' || chr(10) || asset_id || chr(10) || capture || chr(10) || lane || chr(10) || model || chr(10) AS BLOB)
+            || unhex(CASE WHEN sampled THEN embedding ELSE {_WRONG.format(k="location_id", v="embedding")} END)) END AS expected_sha256,
+        substr(embedding, 1, 2) <> '7F' AND location_id % 13 = 5 AS changed FROM taken)
+    SELECT lease_id, location_id, sampled, CASE WHEN lane = 'scene' THEN expected_sha256 END AS expected_sha256,
+        CASE WHEN lane <> 'scene' THEN 'model' WHEN location_id % 29 = 7 THEN 'length' WHEN location_id % 17 = 3 OR (NOT sampled AND changed) THEN 'digest' WHEN sampled AND changed THEN 'embedding' END AS problem FROM e
+    WHERE NOT (location_id % 29 = 7 AND NOT sampled)""",
+)
+def recomputed_audit(spark, d):
+    """Submissions of which some have a wrong vector, digest, length or model; sampled ones are computed anew."""
+    rows, k = W.locations(spark, d), F.col("location_id")
+    key = F.concat_ws("\n", "asset_id", "capture", "lane", "model")
+    true = rows.withColumn("v", X.vector_of(key, F.col("lane")))
+    digest = output_digest(F.lit(W.SCENE_MODEL), F.col("asset_id"), F.col("capture"), F.col("lane"), F.col("model"), F.col("v"))
+    wrong = F.when(k % 13 == 5, F.concat(F.unhex(F.lit("7F")), F.substring("v", 2, 1000))).otherwise(F.col("v"))
+    given = true.select((F.floor(k / 10)).alias("lease_id"), "location_id", "asset_id", "capture", "lane", "model", F.when(k % 29 == 7, F.substring("v", 1, 5)).otherwise(wrong).alias("embedding"), F.when(k % 17 == 3, F.sha2(digest, 256)).otherwise(digest).alias("output_sha256"))
+    out = A.audited(given, W.SCENE_MODEL).where("NOT (location_id % 29 = 7 AND NOT sampled)")
+    return out.select("lease_id", "location_id", "sampled", F.when(F.col("lane") == "scene", F.col("expected_sha256")).alias("expected_sha256"), "problem")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -57,6 +58,21 @@ def last_line_end(path: str, size: int, least: int = 0, block: int = 1 << 16) ->
     return least
 
 
+def tail_range(path: str, tail: int, skip_last: int = 0, block: int = 1 << 16) -> tuple[int, int, int]:
+    """(start, stop, bytes read) of a file's last tail whole lines without the last skip_last ones, read backwards from its end."""
+    files, place = opened(path)
+    with files.open_input_file(place) as f:
+        ends: list[int] = []  # bytes after line breaks, the last first
+        at, read = f.size(), 0
+        while at and len(ends) <= tail:
+            start = max(0, at - block)
+            found = np.flatnonzero(np.frombuffer(f.read_at(at - start, start), np.uint8) == 0x0A)
+            ends += (found[::-1] + start + 1).tolist()
+            at, read = start, read + at - start
+    ends.append(0)
+    return ends[min(max(tail, skip_last), len(ends) - 1)], ends[min(skip_last, len(ends) - 1)], read
+
+
 def lines_between(path: str, start: int, stop: int, block: int = BLOCK) -> Iterator[list[tuple[int, int, bytes]]]:
     """(first byte, byte after the line break, line) of the whole lines whose first byte is from start to stop."""
     files, place = opened(path)
@@ -95,7 +111,7 @@ def _batches(path: str, part: ByteRange) -> Iterator[pa.RecordBatch]:
 
 class _Options:
     def __init__(self, options):
-        self.path, self.pattern, self.step = options["path"], options.get("endsWith", ""), int(options.get("bytesPerPartition", RANGE_BYTES))
+        self.options, self.path, self.pattern, self.step = options, options["path"], options.get("endsWith", ""), int(options.get("bytesPerPartition", RANGE_BYTES))
 
     def ranges(self, start: dict, end: dict) -> list[ByteRange]:
         return [ByteRange(s, i, min(stop, i + self.step)) for s, stop in sorted(end.items()) for i in range(start.get(s, 0), stop, self.step)]
@@ -103,6 +119,9 @@ class _Options:
 
 class ByteLinesReader(_Options, DataSourceReader):
     def partitions(self):
+        if "tail" in self.options:
+            start, stop, _ = tail_range(self.path, int(self.options["tail"]), int(self.options.get("skipLast", 0)))
+            return self.ranges({"": start}, {"": stop}) or [ByteRange("", 0, 0)]
         return self.ranges({}, shards_of(self.path, self.pattern)) or [ByteRange("", 0, 0)]
 
     def read(self, part):
@@ -132,7 +151,7 @@ class ByteLinesStreamReader(_Options, DataSourceStreamReader):
 
 
 class ByteLines(DataSource):
-    """Options: path (a file or folder), endsWith, bytesPerPartition."""
+    """Options: path (a file or folder), endsWith, bytesPerPartition; tail and skipLast, to read a file's end only."""
 
     @classmethod
     def name(cls):
