@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import features as X
+from tessera.functions.checks import class_file
+from tessera.functions.text import storage_floor
 from tessera.functions.vectors import output_digest
 from tessera.operators import audit as A
 from tessera.operators import exports as E
+from tessera.operators import manifests as M
 from tessera.operators import spatial
 from tessera.operators.tables import new_path
 from tessera.plans import formats
@@ -216,14 +219,14 @@ def flat_shard_replace(spark, d):
     return read("scene").unionByName(read("object")).select("location_id", "lat", "lng", "pano_id", F.hex("embedding").alias("embedding"), "lane")
 
 
-@query("segments_pruned", f"WITH {W.LOCATIONS} SELECT location_id, lane, country, upper(substr(sha256(asset_id), 1, 16)) AS embedding FROM locations WHERE lane = 'object' AND location_id > 40 AND location_id <= 120 AND country < 'J'")
+@query("segments_pruned", f"WITH {W.LOCATIONS} SELECT location_id, lane, country, upper(substr(sha256(asset_id), 1, 16)) AS embedding FROM locations WHERE lane = 'object' AND location_id > 40 AND location_id <= 120 AND zoom > 0")
 def segments_pruned(spark, d):
-    """Sealed segments under filters that the source takes over; the country is left to Spark."""
+    """Sealed segments under filters that the source takes over; the zoom is left to Spark."""
     root, rows = new_path(spark, "pruned"), _poses(spark, d)
     for lane in ("scene", "object"):
         S.publish_segments(rows.where(F.col("lane") == lane).drop("lane"), root, lane, 8, capacity=150)
     index = spark.read.format("sealed_segments").option("path", root).load()
-    return index.where("lane = 'object' AND location_id > 40 AND location_id <= 120 AND country < 'J'").select("location_id", "lane", "country", F.hex("embedding").alias("embedding"))
+    return index.where("lane = 'object' AND location_id > 40 AND location_id <= 120 AND zoom > 0").select("location_id", "lane", "country", F.hex("embedding").alias("embedding"))
 
 
 @query("file_tail", "WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey AS k, c_name AS name FROM customer, n WHERE c_custkey >= n - 120 AND c_custkey < n - 20")
@@ -297,11 +300,10 @@ _WRONG = "CASE WHEN {k} % 13 = 5 THEN '7F' || substr({v}, 3) ELSE {v} END"
 @query(
     "recomputed_audit",
     f"""WITH {W.LOCATIONS}, {_CHECKED}, e AS (SELECT *, CASE WHEN lane = 'scene' THEN sha256(CAST('{W.SCENE_MODEL}' || chr(10) || asset_id || chr(10) || capture || chr(10) || lane || chr(10) || model || chr(10) AS BLOB)
-            || unhex(CASE WHEN sampled THEN embedding ELSE {_WRONG.format(k="location_id", v="embedding")} END)) END AS expected_sha256,
+            || unhex(CASE WHEN sampled THEN embedding WHEN location_id % 29 = 7 THEN substr(embedding, 1, 10) ELSE {_WRONG.format(k="location_id", v="embedding")} END)) END AS expected_sha256,
         substr(embedding, 1, 2) <> '7F' AND location_id % 13 = 5 AS changed FROM taken)
     SELECT lease_id, location_id, sampled, CASE WHEN lane = 'scene' THEN expected_sha256 END AS expected_sha256,
-        CASE WHEN lane <> 'scene' THEN 'model' WHEN location_id % 29 = 7 THEN 'length' WHEN location_id % 17 = 3 OR (NOT sampled AND changed) THEN 'digest' WHEN sampled AND changed THEN 'embedding' END AS problem FROM e
-    WHERE NOT (location_id % 29 = 7 AND NOT sampled)""",
+        CASE WHEN lane <> 'scene' THEN 'model' WHEN location_id % 29 = 7 THEN 'length' WHEN location_id % 17 = 3 OR (NOT sampled AND changed) THEN 'digest' WHEN sampled AND changed THEN 'embedding' END AS problem FROM e""",
 )
 def recomputed_audit(spark, d):
     """Submissions of which some have a wrong vector, digest, length or model; sampled ones are computed anew."""
@@ -311,5 +313,56 @@ def recomputed_audit(spark, d):
     digest = output_digest(F.lit(W.SCENE_MODEL), F.col("asset_id"), F.col("capture"), F.col("lane"), F.col("model"), F.col("v"))
     wrong = F.when(k % 13 == 5, F.concat(F.unhex(F.lit("7F")), F.substring("v", 2, 1000))).otherwise(F.col("v"))
     given = true.select((F.floor(k / 10)).alias("lease_id"), "location_id", "asset_id", "capture", "lane", "model", F.when(k % 29 == 7, F.substring("v", 1, 5)).otherwise(wrong).alias("embedding"), F.when(k % 17 == 3, F.sha2(digest, 256)).otherwise(digest).alias("output_sha256"))
-    out = A.audited(given, W.SCENE_MODEL).where("NOT (location_id % 29 = 7 AND NOT sampled)")
+    out = A.audited(given, W.SCENE_MODEL)
     return out.select("lease_id", "location_id", "sampled", F.when(F.col("lane") == "scene", F.col("expected_sha256")).alias("expected_sha256"), "problem")
+
+
+_IDENTITY = {n: f"{n} of the test" for n in M.IDENTITY}
+_CODEBOOK = "codebook of the test"
+_RULES = M.rules(_IDENTITY, _CODEBOOK)
+_RULE_NAMES = "[" + ", ".join(f"'{n}'" for n in _RULES) + "]"
+
+
+@query("manifest_rules", f"SELECT c_custkey AS lease_id, CASE WHEN c_custkey % {len(_RULES) + 1} < {len(_RULES)} THEN {_RULE_NAMES}[c_custkey % {len(_RULES) + 1} + 1] ELSE '' END AS problems FROM customer")
+def manifest_rules(spark, d):
+    """A manifest per customer, as JSON; the customer's number says which rule, if any, its manifest breaks."""
+    k = F.col("c_custkey")
+    at = {name: i for i, name in enumerate(_RULES)}
+    broken = lambda name: k % (len(_RULES) + 1) == at[name]
+    pick = lambda name, good, bad: F.when(broken(name), bad).otherwise(good)
+    total, start = (k % 5 + 1), F.lit(2**32) + k
+    digest = lambda name: F.sha2(F.concat(k.cast("string"), name), 256)
+
+    def entry(rule, name, records, size, *more):
+        whole = records * size
+        return F.struct(*more, name.alias("file"), records.cast("long").alias("records"), F.lit(size).cast("long").alias("recordBytes"), pick(rule, whole, whole + 1).cast("long").alias("bytes"), digest(name).alias("sha256")), F.struct(name.alias("key"), F.struct(whole.cast("long").alias("bytes"), digest(name).alias("sha256")).alias("value"))
+
+    def listed(rule, kind, numbered, floors):
+        rows = [entry(rule, class_file(kind, F.lit(n), F.lit(name)), (k + n) % 3, M.RECORD_BYTES, F.lit(n).alias("id"), F.lit(name).alias("name"), floor.alias("storageFloor")) for (n, name), floor in zip(numbered, floors, strict=True)]
+        return F.array(*[e for e, _ in rows]), [f for _, f in rows]
+
+    singles = {n: entry(n, F.lit(name), total, size) for n, (name, size) in M.PER_LOCATION.items()}
+    classes, class_files = listed("classes", "class", M.CLASSES, [storage_floor(F.lit(n)) for n, _ in M.CLASSES])
+    hot, hot_files = listed("hotConcepts", "hot", [(i, p[0]) for i, p in enumerate(M.HOT_PHRASES)], list(map(F.lit, M.HOT_FLOORS)))
+    own = [pick(f"semantic.{n}", F.lit(v), F.lit("x" if isinstance(v, str) else v + 1)).alias(n) for n, v in M.SEMANTIC.items()] + [pick("semantic.codebookSha256", F.lit(_CODEBOOK), F.lit("x")).alias("codebookSha256")]
+    semantic, semantic_file = entry("semantic", F.lit(M.SEMANTIC_FILE), total * M.SEMANTIC["proposalsPerLocation"], M.SEMANTIC_BYTES, *own)
+    quality, quality_file = entry("viewQuality", F.lit("view-quality.bin"), total, M.QUALITY_BYTES)
+    with_quality = ((k % 2 == 0) | broken("viewQuality")) & ~broken("permanentlyInvalidLocations")
+    files = [*(f for _, f in singles.values()), *class_files, *hot_files, semantic_file]
+    all_files = F.concat(F.array(*files), F.when(with_quality, F.array(quality_file)).otherwise(F.slice(F.array(quality_file), 1, 0)))
+    countries = F.array(F.lit("Chile"), F.lit("Japan"))
+    numbers = {
+        "totalLocations": total, "indexedLocations": total, "globalStart": start, "minimumGlobalLocation": start, "maximumGlobalLocation": start + total - 1, "sourceBytes": k * 100,
+    }
+    manifest = F.struct(
+        F.map_from_arrays(F.array(*map(F.lit, M.VERSIONS)), F.array(*[pick(f"contractVersions.{n}", F.lit(v), F.lit(v + 1)) for n, v in M.VERSIONS.items()])).alias("contractVersions"),
+        *[pick(n, F.lit(v), F.lit(v + 1)).alias(n) for n, v in M.NUMBERS.items()], *[pick(n, F.lit(v), F.lit(v + 0.001)).alias(n) for n, v in M.ABOUT.items()], *[pick(n, F.lit(v), F.lit(None)).alias(n) for n, v in _IDENTITY.items()],
+        pick("completed", F.lit(True), F.lit(False)).alias("completed"), pick("viewStrategy", F.lit(M.VIEW_STRATEGY), F.lit("flat")).alias("viewStrategy"), pick("sourceId", digest(F.lit("id")), F.lit("x")).alias("sourceId"),
+        *[pick(n, v, v + 1).alias(n) for n, v in numbers.items()], pick("sourceSha256", digest(F.lit("lines")), F.lit("x")).alias("sourceSha256"), pick("permanentlyInvalidLocations", F.lit(None).cast("long"), F.lit(3)).alias("permanentlyInvalidLocations"),
+        pick("countries", countries, F.array(F.lit("Chile"), F.lit("Japan"), F.lit("Chile"))).alias("countries"), *[e.alias(n) for n, (e, _) in singles.items()], classes.alias("classes"), hot.alias("hotConcepts"), semantic.alias("semantic"), F.when(with_quality, quality).alias("viewQuality"),
+    )
+    came = F.map_from_entries(F.concat(all_files, F.when(broken("file names"), F.array(F.struct(F.lit("surplus.bin").alias("key"), F.struct(F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256")).alias("value")))).otherwise(F.slice(all_files, 1, 0))))
+    facts = F.struct(total.alias("total"), start.alias("global_start"), (k * 100).alias("source_bytes"), digest(F.lit("lines")).alias("source_sha256"), digest(F.lit("id")).alias("source_id"), F.array(F.lit("Japan"), F.lit("Chile"), F.lit("Japan")).alias("countries"), came.alias("files"))
+    rows = W.table(spark, d, "customer").select(k.alias("lease_id"), F.to_json(manifest).alias("text"), facts.alias("facts"))
+    read = rows.select("lease_id", F.from_json("text", M.SCHEMA).alias("m"), "facts")
+    return read.select("lease_id", F.array_join(M.manifest_problems(F.col("m"), F.col("facts"), _RULES), ",").alias("problems"))
