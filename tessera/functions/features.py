@@ -72,12 +72,9 @@ def box_reduced(image: np.ndarray, size: int = FACE) -> np.ndarray:
     """An image (height x width x 3) as size x size whole-number means of its boxes."""
     rows = np.arange(size + 1) * image.shape[0] // size
     columns = np.arange(size + 1) * image.shape[1] // size
-    out = np.empty((size, size, 3), dtype=np.uint8)
-    for y in range(size):
-        for x in range(size):
-            box = image[rows[y] : max(rows[y] + 1, rows[y + 1]), columns[x] : max(columns[x] + 1, columns[x + 1])].reshape(-1, 3).astype(np.int64)
-            out[y, x] = box.sum(axis=0) // len(box)
-    return out
+    sums = np.add.reduceat(np.add.reduceat(image.astype(np.int64), rows[:-1], axis=0), columns[:-1], axis=1)  # an empty box takes the pixel at its start
+    sizes = np.maximum(1, np.diff(rows))[:, None] * np.maximum(1, np.diff(columns))[None, :]
+    return (sums // sizes[..., None]).astype(np.uint8)
 
 
 def tinted(faces: np.ndarray, colour: tuple[int, int, int], strength: int, shift: int) -> np.ndarray:

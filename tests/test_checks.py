@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import canonical, features
 from tessera.functions.text import folded
 from tessera.functions.vectors import output_digest
-from tessera.operators import audit, spatial
+from tessera.operators import audit, manifests, spatial
 from tessera.sources import byte_lines
 
 
@@ -75,3 +75,10 @@ def test_planted_wrong_vectors_are_found(spark):
     assert tell(true.withColumn("embedding", F.lit(None).cast("binary"))) == {1: (True, None), 2: (True, None), 3: (False, "length"), 4: (True, None), 5: (True, None)}
     assert tell(true.withColumn("output_sha256", F.lit(None).cast("string")))[3] == (False, "digest")
     assert tell(true.withColumn("model", F.lit("other")))[4] == (True, "model")
+
+
+def test_an_empty_manifest_breaks_every_rule_that_asks_for_a_value(spark):
+    table = manifests.rules({n: n for n in manifests.IDENTITY}, "book")
+    rows = spark.createDataFrame([("{}",), ("no json",), (None,)], "t string").select(F.from_json("t", manifests.SCHEMA).alias("m"), F.from_json(F.lit('{"total": 0, "files": {"../x.bin": {"bytes": 1}}}'), manifests.FACTS).alias("f"))
+    got = [set(r.p) for r in rows.select(manifests.manifest_problems(F.col("m"), F.col("f"), table).alias("p")).collect()]
+    assert got == [table.keys() - {"permanentlyInvalidLocations", "viewQuality"}] * 3  # both may be left out
