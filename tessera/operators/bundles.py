@@ -60,6 +60,11 @@ def fixture_problems(rows: DataFrame, generation: str = "gen4") -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.countDistinct("location_id").alias("ids"), F.countDistinct("pano_id").alias("panos"), F.count_if(F.coalesce("camera_generation", F.lit("")) != generation).alias("odd"))
 
 
+def fixture_counts(rows: DataFrame) -> DataFrame:
+    """(country, rows, headings, generations): a fixture's rows and distinct headings and generations per country."""
+    return rows.groupBy(F.coalesce("country", F.lit("")).alias("country")).agg(F.count("*").alias("rows"), F.countDistinct("heading").alias("headings"), F.countDistinct("camera_generation").alias("generations"))
+
+
 def canary_problems(rows: DataFrame, canary: DataFrame, ordinals: DataFrame) -> DataFrame:
     """(place, problem) for lines of a canary (place, line) that aren't the lines of rows (row_index, line) at ordinals (place, row_index)."""
     want = ordinals.join(rows.select("row_index", F.col("line").alias("_want")), "row_index", "left")

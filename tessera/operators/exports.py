@@ -7,12 +7,13 @@ import json
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.bundles import file_digests
 from tessera.operators.catalog import indexed, with_prefix
-from tessera.operators.tables import stored
+from tessera.operators.tables import drop_path, stored
 from tessera.sources.records import FOUR_VIEW_BYTES, VIEW_BYTES, opened, read_bytes, write_bytes
 
 #: Records of a four-view shard, bytes of an index file that is listed, bytes that a slice reads at least and per row.
@@ -256,16 +257,32 @@ class Artifacts:
         return files.get_file_info(place).is_file
 
 
+def audit_findings(tables: dict[str, DataFrame], audits: dict) -> dict[str, int]:
+    """Numbers of findings by audit; audits maps a name to a function of the tables that gives the rows with a problem."""
+    return {name: audit(tables).count() for name, audit in audits.items()}
+
+
 def backed_up(tables: dict[str, DataFrame], path: str, audits: dict) -> dict[str, int]:
-    """Copy tables below path and run audits on the copies; a finding is an error. Returns the copies' row counts.
+    """Copy tables below path and run audits on the copies; a finding is an error and the copies go. Returns the copies' row counts.
 
-    audits maps a name to a function of the copies (a dict of DataFrames) that gives the rows with a problem.
+    A path where something is already is refused and left as it is.
     """
+    spark = next(iter(tables.values())).sparkSession
+    files, place = opened(path)
+    if files.get_file_info(place).type != FileType.NotFound:
+        raise ValueError("there is something at the backup's path")
     copies = {}
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
-        copies[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
-    for name, audit in audits.items():
-        if not audit(copies).isEmpty():
-            raise ValueError(f"the backup fails its audit: {name}")
+        copies[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    found = [name for name, n in audit_findings(copies, audits).items() if n]
+    if found:
+        drop_path(spark, path)
+        raise ValueError(f"the backup fails its audit: {', '.join(found)}")
     return {name: df.count() for name, df in copies.items()}
+
+
+def restored(spark: SparkSession, archive: str, names, path: str, audits: dict) -> dict[str, DataFrame]:
+    """The tables of a backup copied to a new path, audited there as a backup is; the archive stays as it is."""
+    backed_up({name: spark.read.parquet(f"{archive}/{name}") for name in names}, path, audits)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

@@ -49,8 +49,8 @@ def best_by_query(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Queries of a block and rows of a shard: one task scores a block against a shard.
-QUERY_BLOCK, SHARD_ROWS = 256, 4096
+#: Queries scored at once and index rows of a shard: what one task holds.
+QUERY_BLOCK, SHARD_ROWS = 256, 16_384
 
 
 def _matrix(vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,19 +69,17 @@ def _matrix(vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def search_all(queries: DataFrame, index: DataFrame, k: int, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k best index rows (location_id, vector) of every row of queries (query_id, query), by cosine, with rank.
 
-    Bounded blocks of queries meet bounded shards of the index by an equi-join, so any number of either is searched. Sums
-    go from left to right as in cosine(), so copies of a vector tie and the smaller location_id is first.
+    The index is shuffled once, into shards of about shard_rows; only queries are repeated, once per shard. A shard's rows
+    come before its queries, so a task holds one shard and streams any number of queries past it. Sums go from left to
+    right as in cosine(), so copies of a vector tie and the smaller location_id is first.
     """
-    blocks, shards = 1 + queries.count() // query_block, 1 + index.count() // shard_rows
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(shards))
-    rows = index.select("location_id", "vector", F.pmod(F.xxhash64("location_id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", each(blocks))
-
-    def score(q, v):
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "location_id": [], "score": []})
-        v = v.sort_values("location_id")
-        (a, a_size, a_norm), (b, b_size, b_norm) = _matrix(q["query"]), _matrix(v["vector"])
+    shards = 1 + index.count() // shard_rows
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").cast("long").alias("id"), F.lit(True).alias("asks"), F.col("query").alias("vector"))
+    rows = index.select(F.pmod(F.xxhash64("location_id"), F.lit(shards)).cast("int").alias("shard"), F.col("location_id").cast("long").alias("id"), F.lit(False).alias("asks"), "vector")
+    both = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks", "id")
+
+    def hits_of(q, ids, held):
+        (a, a_size, a_norm), (b, b_size, b_norm) = _matrix(q["vector"]), held
         total = np.zeros((len(a), len(b)))
         for d in range(min(a.shape[1], b.shape[1])):
             total += np.multiply.outer(a[:, d], b[:, d])
@@ -89,10 +87,27 @@ def search_all(queries: DataFrame, index: DataFrame, k: int, query_block: int =
         fit = (a_size[:, None] == b_size[None, :]) & (norms > 0)
         total = np.where(fit, total / np.where(fit, norms, 1.0), -1.0)
         top = np.argsort(-total, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), top.shape[1]), "location_id": v["location_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(total, top, axis=1).ravel()})
-
-    hits = asked.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInPandas(score, "query_id long, location_id long, score double")
-    return best_by_query(hits, k)
+        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), top.shape[1]), "location_id": ids[top.ravel()], "score": np.take_along_axis(total, top, axis=1).ravel()})
+
+    def score(batches):
+        shard, parts, ids, held = None, [], None, None
+        for batch in batches:
+            for number, part in batch.groupby("shard", sort=True):
+                if number != shard:
+                    shard, parts, held = number, [], None
+                own, q = part[~part["asks"]], part[part["asks"]]
+                if len(own):
+                    parts.append(own)
+                if not len(q) or not parts:
+                    continue
+                if held is None:
+                    whole = pd.concat(parts)
+                    ids, held = whole["id"].to_numpy(), _matrix(whole["vector"])
+                    parts = [whole.iloc[:0]]
+                for start in range(0, len(q), query_block):
+                    yield hits_of(q.iloc[start : start + query_block], ids, held)
+
+    return best_by_query(both.mapInPandas(score, "query_id long, location_id long, score double"), k)
 
 
 def cap_by_country(hits: DataFrame, count: int, per_country: int, by: tuple[str, ...] = ()) -> DataFrame:

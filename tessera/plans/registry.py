@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog, contracts, control, formats, scoring, streams, text
+from tessera.plans import catalog, contracts, control, formats, readers, scoring, streams, text
 
-_MODULES = (scoring, catalog, control, text, formats, contracts, streams)
+_MODULES = (scoring, catalog, control, text, formats, contracts, streams, readers)
 
 
 def queries() -> dict:

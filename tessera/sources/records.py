@@ -265,10 +265,11 @@ class ArrowCatalog(_Source):
         return "id long, lat double, lng double, heading double, pitch double, zoom double, pano_id string, tags array<int>, flags int, row_index long"
 
 
-def street_rows(rows: DataFrame, pano: str = "pano_id") -> DataFrame:
-    """Catalogue rows with a panorama id that is neither blank nor a URL; row_index still counts the others."""
+def street_rows(rows: DataFrame, pano: str = "pano_id", limit: int | None = None) -> DataFrame:
+    """Catalogue rows with a panorama id that is neither blank nor a URL, all or the first limit; row_index still counts the others."""
     p = F.trim(F.coalesce(pano, F.lit("")))
-    return rows.where((p != "") & ~p.startswith("http") & ~p.contains("maps.googleapis.com"))
+    kept = rows.where((p != "") & ~p.startswith("http") & ~p.contains("maps.googleapis.com"))
+    return kept if limit is None else kept.orderBy("row_index").limit(limit)
 
 
 def register(spark: SparkSession) -> None:

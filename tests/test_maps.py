@@ -55,3 +55,27 @@ def test_tag_names(spark):
 def test_empty_tables(spark):
     none = docs(spark, "[]").where("false")
     assert maps.query_maps(none).count() == maps.exclude_maps(none).count() == maps.tag_names(none).count() == 0
+
+
+def test_backup_and_restore(spark, tmp_path):
+    from tessera.operators import exports
+
+    tables = {"a": spark.range(5), "b": spark.range(3)}
+    audits = {"ids": lambda t: t["b"].join(t["a"], "id", "left_anti")}
+    path = str(tmp_path / "backup")
+    assert exports.backed_up(tables, path, audits) == {"a": 5, "b": 3}
+    with pytest.raises(ValueError, match="something at"):
+        exports.backed_up(tables, path, audits)
+    back = exports.restored(spark, path, ["a", "b"], str(tmp_path / "new"), audits)
+    assert {n: t.count() for n, t in back.items()} == {"a": 5, "b": 3}
+    with pytest.raises(ValueError, match="fails its audit: ids"):
+        exports.backed_up({"a": spark.range(2), "b": spark.range(3)}, str(tmp_path / "bad"), audits)
+    assert not (tmp_path / "bad").exists() and (tmp_path / "backup").exists()
+
+
+def test_first_rows_of_a_catalogue(spark):
+    from tessera.sources.records import street_rows
+
+    rows = spark.createDataFrame([(0, " "), (1, "a"), (2, None), (3, "http://x"), (4, "b"), (5, "c")], "row_index long, pano_id string")
+    assert [r.row_index for r in street_rows(rows, limit=2).orderBy("row_index").collect()] == [1, 4]
+    assert street_rows(rows).count() == 3 and street_rows(rows, limit=0).count() == 0
