@@ -7,10 +7,13 @@ identifiers occur in that order in the text's sequence, with other sentences all
 known one by its own full stop ("version 2.0") are not cut, as no white space follows the stop. "All rights reserved"
 alone is proprietary; beside a sentence of a known notice it says nothing.
 
-A known sentence may also be wrapped: it is found in every run of whole lines with one line end, and any comment or list
-marks, between two of them, as long as neither a blank line, a semicolon nor a full stop cuts the run. SENTENCES and
-RULES are what the SQL states; WHOLE_SENTENCES and WHOLE_RULES add the wording of the standard notices, which the SQL
-doesn't know, and wrapped sentences are outside it too. n_sentences counts the unjoined sentences.
+A known sentence may also be wrapped over lines: a run of lines is what neither a blank line, a semicolon nor a full stop
+cuts, and from each of its lines the joined lines are looked up, the longest known sentence first; the search goes on
+behind it. Comment and list marks and a list number before a sentence don't count. Few sentences have free words in them
+(one to twelve); these have a pattern each, tried on joined lines only. Runs in which no line begins as a known sentence
+does are dropped at once. SENTENCES and RULES are what the SQL states; WHOLE_SENTENCES and WHOLE_RULES add the wording of
+the standard notices and identifier lines, which the SQL doesn't know, and wrapped sentences are outside it too.
+n_sentences counts the unjoined sentences.
 
 Null and empty texts have no sentences and match nothing. The work is per row: no shuffle, no Python, and texts of any
 length are read whole. Other columns pass through, those named like a result are replaced, and names that begin with an
@@ -19,6 +22,8 @@ underscore are kept for the work.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +80,15 @@ WHOLE_SENTENCES = {
     "cc-by4": ["this work is licensed under a creative commons attribution 4 0 international license", "this work is licensed under the creative commons attribution 4 0 international license"],
     "cc-by-nc4": ["this work is licensed under the creative commons attribution noncommercial 4 0 international license"],
     "bsd-endorse": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "mpl2-name": ["mozilla public license version 2 0", "licensed under the mozilla public license version 2 0"],
+    "mpl-form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl-2-0": ["2 0"],
+    "cc0": ["cc0 1 0 universal", "licensed under cc0 1 0", "this work is licensed under cc0 1 0", "to the extent possible under law * has waived all copyright and related or neighboring rights to *"],
+    "cc-by-sa4": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "this work is licensed under the creative commons attribution sharealike 4 0 international license"],
+    "lgpl-free": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version * of the license or at your option any later version"],
+    "agpl-free": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "* is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "* is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version * of the license or at your option any later version"],
     "bsd-as-is": ["this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
 }
 
@@ -83,8 +97,30 @@ WHOLE_RULES = [
     ("GPL-3.0", ["gpl3-free", "gpl-warranty"], False),
     ("GPL-3.0", ["gpl-free", "gpl3-version", "gpl-warranty"], False),
     ("GPL-notice", ["gpl3-free", "gpl-warranty"], False),
+    ("AGPL", ["agpl-free", "gpl-warranty"], False),
+    ("CC-BY-SA-4.0", ["cc-by-sa4"], False),
+    ("CC0-1.0", ["cc0"], True),
+    ("ISC", ["isc-grant"], True),
+    ("LGPL", ["lgpl-free", "gpl-warranty"], False),
+    ("MPL-2.0", ["mpl2-name"], False),
+    ("MPL-2.0", ["mpl-form", "mpl-2-0"], False),
+    ("Unlicense", ["unlicense"], True),
 ]
 
+#: Names of an identifier line, the licence that they mean, whether it allows use.
+TAGS = [
+    ("MIT", "MIT", True), ("Apache-2.0", "Apache-2.0", True), ("BSD-2-Clause", "BSD-2-Clause", True), ("BSD-3-Clause", "BSD-3-Clause", True), ("ISC", "ISC", True), ("Unlicense", "Unlicense", True), ("CC0-1.0", "CC0-1.0", True),
+    ("CC-BY-4.0", "CC-BY-4.0", True), ("CC-BY-SA-4.0", "CC-BY-SA-4.0", False), ("CC-BY-NC-4.0", "CC-BY-NC-4.0", False), ("MPL-2.0", "MPL-2.0", False), ("GPL-3.0-only", "GPL-3.0", False), ("GPL-3.0-or-later", "GPL-3.0", False),
+]
+
+
+def _tag(name: str) -> str:
+    return "spdx-" + name.lower()
+
+
+WHOLE_SENTENCES |= {_tag(name): ["spdx license identifier " + " ".join(re.findall("[a-z0-9]+", name.lower()))] for name, _, _ in TAGS}
+WHOLE_RULES += [(licence, [_tag(name)], free) for name, licence, free in TAGS]
+
 _SPLIT = r"[\n\r;]+|(?<=[.!?])\s+"
 
 
@@ -104,20 +140,50 @@ def _known() -> list[tuple[str, str]]:
     return sorted(pairs.items(), key=lambda x: (-len(x[0]), x[0]))
 
 
+def _begins(known: list[tuple[str, str]]) -> str:
+    """A pattern of the runs that may hold a known sentence: its first two words at a line, or what follows leading free words."""
+    first = sorted({" ".join(t.split()[:2]) for t, _ in known if t[0] != "*"})
+    after = sorted({" ".join(t.split()[1:4]) for t, _ in known if t[0] == "*"})
+    gapped = lambda words: "|".join(_pattern(w) for w in words)
+    return rf"(?:^|\n)(?:\p{{N}}{{1,2}} )?(?:{gapped(first)})(?=[ \n]|$)|[ \n](?:{gapped(after)})[ \n]"
+
+
 def _sentence_ids(text: Column) -> Column:
     """Identifiers of the recognised sentences, in order; a sentence begins and ends with a line or at a stop."""
     lines = F.replace(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     norm = F.regexp_replace(F.regexp_replace(lines, r";+|(?<=[.!?])\s+", _STOP), rf"[^\p{{L}}\p{{N}}\n{_STOP}]+", " ")
+    norm = F.replace(F.replace(norm, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     known = _known()
-    # a list number of its own ("1) ...") may stand before a sentence
-    every = rf"(?:^|[\n{_STOP}]) ?(?:\p{{N}}{{1,2}} )?({'|'.join(_pattern(t) for t, _ in known)})(?= ?(?:[\n{_STOP}]|$))"
-    found = F.transform(F.regexp_extract_all(norm, F.lit(every), F.lit(1)), lambda m: F.regexp_replace(m, r"\s+", " "))
+    runs = F.filter(F.transform(F.split(norm, rf"{_STOP}|\n\n+"), lambda r: F.trim(r, F.lit(" \n"))), lambda r: r.rlike(_begins(known)))
+    plain = F.create_map(*[F.lit(x) for t, i in known if "*" not in t for x in (t, i)])
+    # no sentence has more lines than words
+    most = max(len(t.split()) + 11 * t.split().count("*") for t, _ in known)
+
+    def name(joined):
+        free = [F.when(joined.rlike(f"^{_pattern(t, ' ')}$"), i) for t, i in known if "*" in t]
+        return F.coalesce(F.try_element_at(plain, joined), F.coalesce(*free))
+
+    def ids_of(run):
+        rows = F.split(run, "\n")
+
+        def longest(line, at):
+            """(lines, identifier) of the longest known sentence that begins with a line."""
+            def ending(n):
+                joined = F.array_join(F.slice(rows, at + 1, n), " ")
+                return F.struct(n.alias("n"), F.coalesce(name(F.regexp_replace(joined, r"^\p{N}{1,2} ", "")), name(joined)).alias("id"))
+
+            return F.try_element_at(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(rows) - at, F.lit(most)), F.lit(1)), ending), lambda x: x["id"].isNotNull()), F.lit(-1))
+
+        found = F.transform(rows, lambda line, at: F.struct(at.alias("at"), F.when(F.concat(F.lit("\n"), F.array_join(F.slice(rows, at + 1, most), "\n")).rlike(_begins(known)), longest(line, at)).alias("hit")))
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("ids"))
+
+        def take(state, row):
+            fits = row["hit"].isNotNull() & (row["at"] >= state["next"])
+            return F.struct(F.when(fits, row["at"] + row["hit"]["n"]).otherwise(state["next"]).alias("next"), F.when(fits, F.concat(state["ids"], F.array(row["hit"]["id"]))).otherwise(state["ids"]).alias("ids"))
 
-    def name(m):
-        plain = F.create_map(*[F.lit(x) for t, i in known if "*" not in t for x in (t, i)])
-        return F.coalesce(F.try_element_at(plain, m), *[F.when(m.rlike(f"^{_pattern(t, ' ')}$"), i) for t, i in known if "*" in t])
+        return F.aggregate(found, start, take, lambda state: state["ids"])
 
-    return F.transform(found, name)
+    return F.flatten(F.transform(runs, ids_of))
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", rules=(*RULES, *WHOLE_RULES)) -> DataFrame:

@@ -1,4 +1,7 @@
-from tessera.llm.license_scan import license_scan
+import random
+import re
+
+from tessera.llm.license_scan import _known, license_scan
 
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
 SRC = "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
@@ -91,3 +94,47 @@ def test_a_copyright_line_is_neutral_beside_a_notice(spark):
 
 def test_runs_end_at_blank_lines_and_stops(spark):
     assert scan(spark, "Released under\n\nthe MIT license", "Released under; the MIT license", "Not\nreleased under the MIT\nlicense", "We are not released under the MIT\nlicense", "Released under the MIT license or not") == [([], None), ([], None), (["MIT"], True), ([], None), ([], None)]
+
+
+def test_more_notices_and_identifier_lines(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    lesser = GPL.format(";", ";", "2.1").replace("General", "Lesser General")
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+    cc0 = "To the extent possible under law, Some Body has\nwaived all copyright and related or neighboring rights to\nthis work."
+    texts = [isc, lesser, lesser.replace("Lesser", "Affero"), mpl, cc0, "This is free and unencumbered software released into the public domain.", "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: MITx", "Licensed under CC BY-SA 4.0."]
+    assert [licenses for licenses, _ in scan(spark, *texts)] == [["ISC"], ["LGPL"], ["AGPL"], ["MPL-2.0"], ["CC0-1.0"], ["Unlicense"], ["MIT"], ["GPL-3.0"], [], ["CC-BY-SA-4.0"]]
+
+
+def brute(text):
+    """Identifiers by trying every run of lines in plain Python."""
+    known = _known()
+    text = text.lower().replace("\r\n", "\n").replace("\r", "\n")
+    out = []
+    for piece in re.split(r";+|(?<=[.!?])\s+", text):
+        lines = [" ".join(re.findall(r"[^\W_]+", line)) for line in piece.split("\n")]
+        at = 0
+        while at < len(lines):
+            for n in range(len(lines) - at, 0, -1):
+                run = lines[at : at + n]
+                joined = " ".join(run)
+                tries = [j for j in (re.sub(r"^[0-9]{1,2} ", "", joined), joined) if all(run)]
+                name = next((i for j in tries for t, i in known if re.fullmatch(" ".join(w if w != "*" else r"\w+(?: \w+){0,11}?" for w in t.split()), j)), None)
+                if name:
+                    out.append(name)
+                    at += n - 1
+                    break
+            at += 1
+    return out
+
+
+def test_equal_to_every_run_of_lines(spark):
+    rng = random.Random(1)
+    pool = [t.replace("*", "some body") for t, _ in _known()] + ["a line of its own", "", "2 0", "this program", "you may"]
+    texts = []
+    for _ in range(300):
+        words = "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 4))).split(" ")
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", " \n * ", ". ", "; ", "\n\n"] if rng.random() < 0.12 else [" "]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.sentence_ids for r in license_scan(docs).collect()}
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 150
