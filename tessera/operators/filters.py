@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import CONFIDENCE_FLOORS, COUNTRY_ALIASES, GENERATIONS, MAX_RESULTS, SCENE_FLOORS
-from tessera.functions.text import canonical_country
+from tessera.functions.text import canonical_country, is_street_pano
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,8 @@ def without_road_names(rows: DataFrame, column: str = "road_name_state") -> Data
     return rows.where(F.col(column) == "no road name")
 
 
-def claimable(locations: DataFrame, now: int) -> DataFrame:
-    """Pending rows and leased ones that have expired, unless they were set aside."""
+def claimable(locations: DataFrame, now: int, drop_invented: bool = False) -> DataFrame:
+    """Pending rows and leased ones that have expired, unless they were set aside; with drop_invented, street panoramas only."""
     fit = F.coalesce("queue_state", F.lit("pending")) == "pending"
+    fit &= is_street_pano(F.col("asset_id")) if drop_invented else F.lit(True)
     return locations.where(fit & ((F.col("state") == "pending") | ((F.col("state") == "leased") & (F.col("lease_until") <= now))))

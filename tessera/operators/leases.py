@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import SEARCH_COST, UNITS
 from tessera.functions.text import is_street_pano
+from tessera.operators.catalog import with_prefix
 from tessera.operators.control import part_numbers
 
 #: Columns of a lease item in order, with what stands for a missing value.
@@ -86,8 +87,11 @@ def debits(requests: DataFrame, accounts: DataFrame, cost: int = SEARCH_COST) ->
     the first one's, else a conflict. Search ids are the ids of the paying requests.
     """
     first = requests.groupBy("account_id", "key").agg(F.min(F.struct("request_id", "query")).alias("first"))
-    order = Window.partitionBy("account_id").orderBy("first.request_id")
-    paid = first.withColumn("_n", F.row_number().over(order)).join(accounts.select("account_id", F.col("units").alias("_have")), "account_id", "left")
+    # a key's place within its account: its place among all keys less that of the account's first, so no account is one task's
+    placed = with_prefix(first, [F.col("account_id"), F.col("first.request_id"), F.col("key")], "sum", F.lit(1), "_at")
+    starts = placed.groupBy("account_id").agg(F.min("_at").alias("_start"))
+    accounts = starts.join(accounts.select("account_id", F.col("units").alias("_have")), "account_id", "left")
+    paid = placed.join(accounts, "account_id").withColumn("_n", F.col("_at") - F.col("_start") + 1)
     paid = paid.withColumn("_paid", F.col("_n") * F.lit(cost) <= F.col("_have"))
     out = requests.join(paid, ["account_id", "key"], "left")
     outcome = (

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.functions.canonical import canonical_json
-from tessera.functions.constants import PRUNE_M
+from tessera.functions.constants import MAX_RESULTS, PRUNE_M
 from tessera.functions.geo import wrap_heading
-from tessera.functions.text import canonical_country
+from tessera.functions.text import canonical_country, is_street_pano
 from tessera.operators.filters import Filters, accepted, clamped, overfetch, without_road_names
 from tessera.operators.spatial import exclude_used, excluded_points, prune_nearby
 
@@ -140,19 +140,23 @@ def by_source(hits: DataFrame, k: int, source: str = "source_index") -> DataFram
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), place, "location_id")))
 
 
-def ranked_search(index: DataFrame, query: Column, lane: str = "scene", count: int = 200, per_country: int = 25, direction: str = "bestOfFour", filters: Filters = Filters(), used: DataFrame | None = None, floor: float | None = None, prune_m: float = 100.0, used_m: float = 25.0, width: int = 16, reject_road_names: bool = False, overfetch_excluding: bool = False) -> DataFrame:
+def ranked_search(index: DataFrame, query: Column, lane: str = "scene", count: int = 200, per_country: int = 25, direction: str = "bestOfFour", filters: Filters = Filters(), used: DataFrame | None = None, floor: float | None = None, prune_m: float = 100.0, used_m: float = 25.0, width: int = 16, reject_road_names: bool = False, overfetch_excluding: bool = False, drop_invented: bool = False, canonical: bool = False, overfetching: bool = True) -> DataFrame:
     """The whole search: location_id, score, offset, heading, country and the other index columns, by rank.
 
     count and per_country fall back to their defaults if they are no whole numbers and are held within 1 and 10,000. Of
     used points with a position the first 10,000 with numeric coordinates count. Floors are similarity_floor()'s or any.
+    drop_invented leaves out panoramas that no street has, canonical caps and shows countries by their canonical names, and
+    without overfetching the thinning goes through the best 10,000, the largest result there is.
     """
     count, per_country = clamped(count, 200), clamped(per_country, 25)
     used = excluded_points(used) if used is not None and "position" in used.columns else used
     index = without_road_names(index) if reject_road_names else index
+    index = index.where(is_street_pano(F.col("pano_id"))) if drop_invented else index
+    index = index.withColumn("country", canonical_country(F.col("country"))) if canonical else index
     hits = scored(index, query, lane, direction, filters, width)
     if floor is not None:
         hits = hits.where(F.col("score") >= floor)
-    wanted = overfetch(count, per_country, overfetch_excluding and used is not None)
+    wanted = overfetch(count, per_country, overfetch_excluding and used is not None) if overfetching else MAX_RESULTS
     hits = thinned(best(hits, wanted), used, count, per_country, prune_m, used_m)
     return hits.withColumn("view_heading", wrap_heading(F.coalesce("heading", F.lit(0.0)) + 90.0 * F.coalesce("offset", F.lit(0))))
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.constants import COUNTRY_ALIASES, INVENTED
 from tessera.operators import bundles as B
 from tessera.operators import control as Q
 from tessera.operators import exports as E
+from tessera.operators import ranking as R
+from tessera.operators.filters import claimable
 from tessera.operators.tables import new_path
+from tessera.plans import scoring as S
 from tessera.plans import views as W
 from tessera.sources import catalogs, maps, text_lines
 
@@ -171,3 +175,29 @@ def restored_backup(spark, d):
 @query("fixture_counts", f"WITH {W.VECTORS} SELECT country, count(*) AS rows, count(DISTINCT heading) AS headings, count(DISTINCT camera_generation) AS generations FROM vectors GROUP BY country")
 def fixture_counts(spark, d):
     return B.fixture_counts(W.vectors(spark, d))
+
+
+# options
+
+
+_RAW, _NAMED = next(iter(COUNTRY_ALIASES.items()))
+
+
+@query(
+    "search_streets_only",
+    S._SEARCH.replace("'country ' || label AS country", f"CASE WHEN vec_id % 3 = 0 THEN '{_NAMED}' ELSE 'country ' || label END AS country").replace("country NOT IN ('country 3')", "country NOT IN ('country 3') AND location_id % 4 <> 1")
+    + " SELECT location_id, CAST(place AS INTEGER) AS rank, round(b.s, 6) AS score, country FROM final",
+)
+def search_streets_only(spark, d):
+    """The whole search without invented panoramas, with countries canonical before they are capped."""
+    k = F.col("location_id")
+    index = W.vectors(spark, d).withColumn("pano_id", F.when(k % 4 == 1, F.concat(F.lit(INVENTED[0]), k.cast("string"))).otherwise(F.col("pano_id")))
+    index = index.withColumn("country", F.when(k % 3 == 0, _RAW).otherwise(F.col("country")))
+    hits = R.ranked_search(index, W.query_vector(spark, d), count=30, per_country=5, filters=S._FILTERS, used=W.used(spark, d), drop_invented=True, canonical=True)
+    return hits.select("location_id", "rank", F.round("score", 6).alias("score"), "country")
+
+
+@query("claimable_streets", f"WITH {W.LOCATIONS} SELECT location_id FROM locations WHERE location_id % 10 <> 0 AND queue_state IS NULL AND (state = 'pending' OR (state = 'leased' AND lease_until <= 50000))")
+def claimable_streets(spark, d):
+    """Claimable rows of street panoramas only."""
+    return claimable(W.locations(spark, d), 50_000, drop_invented=True).select("location_id")
