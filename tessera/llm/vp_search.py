@@ -187,19 +187,33 @@ def query_blocks(queries: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def search(index: DataFrame, blocks: DataFrame, k: int, factor: float = FACTOR) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query."""
-    sizes = index.select("dim", "shards").distinct()
-    pairs = blocks.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards").join(index.drop("shards"), ["dim", "shard"])
+    """(query_id, rank, vec_id, score): the k nearest found of each query.
+
+    Every block is repeated for each shard, and a tree only as often as tasks would be idle otherwise: there are at most
+    as many copies as shards and tasks together. A tree comes before its blocks, which stream past it.
+    """
+    spark = index.sparkSession
+    tasks = spark.sparkContext.defaultParallelism * 2
+    shards = index.agg(F.max("shards")).first()[0] or 1
+    lanes = -(-tasks // shards)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    trees = index.select("dim", "shard", each(lanes).alias("lane"), "tree", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("vectors"))
+    asked = blocks.select("dim", each(shards).alias("shard"), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.lit(None).cast("binary").alias("tree"), "ids", "vectors")
+    rows = trees.unionByName(asked).repartition(tasks, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", F.col("tree").isNull())
 
     def walk(batches):
+        place, tree = None, None
         for batch in batches:
-            for dim, ids, flat, tree in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors", "tree")), strict=True):
-                q = np.array(ids, dtype=np.int64)
-                found, best, keep, _ = VPTree.load(tree).search(q, np.array(flat, dtype=np.float64).reshape(-1, dim), k, factor)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, k)[keep.ravel()], "vec_id": found[keep], "score": best[keep]})
-
-    spark = index.sparkSession
-    near = pairs.select("dim", "ids", "vectors", "tree").repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(walk, "query_id long, vec_id long, score double")
+            for dim, shard, lane, data, ids, flat in zip(*(batch.column(c) for c in ("dim", "shard", "lane", "tree", "ids", "vectors")), strict=True):
+                here = (dim.as_py(), shard.as_py(), lane.as_py())
+                if data.is_valid:
+                    place, tree = here, VPTree.load(data.as_py())
+                elif place == here:
+                    q = ids.values.to_numpy()
+                    found, best, keep, _ = tree.search(q, flat.values.to_numpy().reshape(-1, here[0]), k, factor)
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, k)[keep.ravel()], "vec_id": found[keep], "score": best[keep]})
+
+    near = rows.mapInArrow(walk, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
