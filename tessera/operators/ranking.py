@@ -73,10 +73,11 @@ def search_all(queries: DataFrame, index: DataFrame, k: int, query_block: int =
     come before its queries, so a task holds one shard and streams any number of queries past it. Sums go from left to
     right as in cosine(), so copies of a vector tie and the smaller location_id is first.
     """
-    shards = 1 + index.count() // shard_rows
+    tasks, n = index.sparkSession.sparkContext.defaultParallelism, index.count()
+    shards = 1 + n // min(shard_rows, max(1024, n // tasks))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").cast("long").alias("id"), F.lit(True).alias("asks"), F.col("query").alias("vector"))
     rows = index.select(F.pmod(F.xxhash64("location_id"), F.lit(shards)).cast("int").alias("shard"), F.col("location_id").cast("long").alias("id"), F.lit(False).alias("asks"), "vector")
-    both = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks", "id")
+    both = rows.unionByName(asked).repartition(max(tasks, shards), "shard").sortWithinPartitions("shard", "asks", "id")
 
     def hits_of(q, ids, held):
         (a, a_size, a_norm), (b, b_size, b_norm) = _matrix(q["vector"]), held

@@ -171,3 +171,25 @@ def test_every_query_is_searched_in_blocks(spark, sf):
     assert got == want
     ids = {r.query_id for r in registry.queries()["multi_query_search_whole"](spark, sf).collect()}
     assert ids == {r.location_id for r in W.vectors(spark, sf).where("location_id % 50 = 0").collect()}
+
+
+def test_no_overfetch(spark, sf):
+    from tessera.operators import ranking as R
+    from tessera.plans import views as W
+
+    index, asked = W.vectors(spark, sf), W.query_vector(spark, sf)
+    search = lambda **o: [r.location_id for r in R.ranked_search(index, asked, count=20, per_country=1, prune_m=0, **o).orderBy("rank").collect()]
+    countries = index.select("country").distinct().count()
+    assert len(search(overfetching=False)) == min(20, countries) >= len(search())
+    some = search()
+    assert some == search(overfetching=False)[: len(some)]
+
+
+def test_an_account_with_most_keys_pays_in_order(spark):
+    from tessera.operators.leases import debits
+
+    asked = spark.createDataFrame([(i, 1 if i % 3 else None if i == 0 else 2, f"k{i // 2}", 0) for i in range(60)], "request_id long, account_id long, key string, query int")
+    rows = debits(asked, spark.createDataFrame([(1, 70), (2, 0)], "account_id long, units long"), 10).orderBy("request_id").collect()
+    paid = [r.key for r in rows if r.outcome == "debited"]
+    first = list(dict.fromkeys(r.key for r in rows if r.account_id == 1))
+    assert paid == first[:7] and {r.outcome for r in rows if r.account_id == 2} == {"insufficient_credit"} and rows[0].outcome == "unauthorized"
