@@ -39,7 +39,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.passage_dedup(_keyed(docs), id_col="_id")
+    out = line_dedup.line_dedup(_keyed(docs), id_col="_id")
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"\S")
     return _with_length(out.where(~F.coalesce(emptied, F.lit(False))))
 
