@@ -1,20 +1,22 @@
-"""Removal of line chunks that repeat across a corpus, with DataFrame functions only.
-
-A text is a list of lines. A rolling hash over the hashes of the last two lines chooses the chunk boundaries, so an
-insertion moves no boundary beyond the next two lines; a line of at least ``long_words`` words is a chunk of its own.
-Of chunks with the same key the first, by (id, line number), stays; from each other one goes the chunk together with the
-line before and the line after it where these equal those of the first, if the whole region is, byte by byte, what stands
-in the first's text. A removed region has two lines or more, or over ``min_words`` words.
-Every removed line therefore equals a line at a smaller position, so one copy of everything stays.
-
-Null texts stay null, an empty text is one empty line, chunks without two non-blank lines or a long line are never
-removed. Rows without an id lose nothing and rows that share an id count as one place: equal chunks at the same line of
-them all stay. Other columns pass through unchanged; n_lines and removed replace columns of the same name, and names
-that begin with an underscore are kept for the work.
-
-Chunks find only the passages that hold two boundaries. ``passage_dedup``, which the pipeline uses, finds every repeated
-passage: each pair of neighbouring non-blank lines (with the blank lines between) is looked up, so a passage goes whole,
-whatever its length and its hosts. ``op1_line_dedup`` keeps to chunks, as its SQL states them.
+"""Removal of line passages that repeat across a corpus, with DataFrame functions only.
+
+A text is a list of lines. A rolling hash runs over the hashes of two neighbouring non-blank lines (and the blank ones
+between). It makes a boundary wherever it is not above both of its neighbours, so of any two neighbouring places one at least
+is a boundary, and an insertion moves no boundary beyond the next two lines. The chunk of a boundary is the two lines about
+it; a line of more than half of ``min_words`` words is a chunk of its own besides. Three repeated lines in a row therefore
+hold the same chunk in all texts, and so does any passage of over ``min_words`` words, whatever stands about them. Two short
+lines that repeat without their neighbours are found only where their boundary stands in both texts.
+
+Of chunks with the same key the first, by (id, line number), stays. Every other one is grown by the non-blank line before and
+the one after it where these equal those of the first; more isn't needed, as a line further on is in the next chunk. Grown
+chunks that continue each other beside the same first text are one region. It goes if each of its chunks has two lines or
+more, or over ``min_words`` words, and it is, byte by byte, what stands in the first text. Every removed line equals a
+line at a smaller position, so one copy of everything stays.
+
+Null texts stay null, an empty text is one empty line, blank lines go only between removed ones. Rows without an id lose
+nothing and rows that share an id count as one place: equal chunks at the same line of them all stay, and each text of a
+shared id is compared by itself. Other columns pass through unchanged; n_lines and removed replace columns of the same name,
+and names that begin with an underscore are kept for the work.
 """
 
 from __future__ import annotations
@@ -24,78 +26,105 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import others, pin, stored
 
-LONG_WORDS = 25
 MIN_WORDS = 50
-#: Last hexadecimal digits of a rolling hash that make a boundary: one in four.
-CUT_DIGITS = ("0", "4", "8", "c")
+#: A line with anything but white space.
+FILLED = r"[^\x20\x09-\x0D]"
+#: Keys with more than this share of all chunks are at most so many; their first copies are broadcast.
+HOT_KEYS = 1000
+#: So many repeats of one chunk at most meet the kept text in one key.
+COPIES = 1000
 
 
 def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
-def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(id, start, end, key, words, before, after) for each chunk of the texts that may be removed.
+def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, start, end, begin, finish, key, before, after, single, words) for each chunk of the texts.
 
-    Lines [start, end); key, before and after are hashes of the chunk and of the lines beside it (null at an end).
+    Lines [start, end), or [begin, finish) with the non-blank line on both sides (null at an end). key, before and after are
+    hashes of the chunk and of what it may grow by; single says that it is one line, of so many words.
     """
     d = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.split(text_col, "\n", -1).alias("lines"))
-    d = pin(d, "_id", "lines", h=F.transform("lines", lambda x: F.md5(x)), words=F.transform("lines", _words))
+    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(FILLED))
+    d = pin(d, "_id", h=F.transform("lines", lambda x: F.md5(x)), words=F.transform("lines", _words), full=filled)
 
-    def big(i):
-        return F.get("words", i) >= long_words
+    def part(start, end):
+        return F.slice("h", start + 1, end - start)
 
-    def cut(i):
-        rolled = F.md5(F.concat(F.when(i >= 2, F.get("h", i - 2)).otherwise(""), F.get("h", i - 1)))
-        return (i == 0) | big(i) | big(i - 1) | F.substring(rolled, 32, 1).isin(*CUT_DIGITS)
+    rolled = F.transform(F.slice("full", 2, F.size("full")), lambda j, k: F.md5(F.array_join(part(F.get("full", k), j + 1), "")))
+    d = pin(d, "_id", "h", "words", "full", rolled=rolled)
 
-    d = pin(d, "_id", "lines", "h", "words", cuts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut))
-    spans = F.transform("cuts", lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get("cuts", k + 1), F.size("lines")).alias("end")))
-    d = pin(d, "_id", "lines", "h", "words", spans=spans)
+    def boundary(c):
+        left, right = F.get("rolled", c["at"] - 1), F.get("rolled", c["at"] + 1)
+        return F.coalesce(c["key"] <= left, F.lit(False)) | F.coalesce(c["key"] <= right, F.lit(False)) | (left.isNull() & right.isNull())
 
-    def worth(c):
-        filled = F.size(F.filter(F.slice("lines", c["start"] + 1, c["end"] - c["start"]), lambda x: F.trim(x) != ""))
-        return big(c["start"]) | (filled >= 2)
-
-    keyed = F.transform(
-        F.filter("spans", worth),
+    pairs = F.filter(F.transform("rolled", lambda r, k: F.struct(k.alias("at"), (k + 1).alias("last"), r.alias("key"))), boundary)
+    lines = F.filter(F.transform("full", lambda i, k: F.struct(k.alias("at"), k.alias("last"), F.get("h", i).alias("key"))), lambda c: F.get("words", F.get("full", c["at"])) > min_words // 2)
+    spans = F.transform(
+        F.concat(pairs, lines),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.slice("h", c["start"] + 1, c["end"] - c["start"])).alias("key"),
-            F.aggregate(F.slice("words", c["start"] + 1, c["end"] - c["start"]), F.lit(0), lambda a, x: a + x).alias("words"),
-            F.when(c["start"] > 0, F.xxhash64(F.get("h", c["start"] - 1))).alias("before"), F.when(c["end"] < F.size("h"), F.xxhash64(F.get("h", c["end"]))).alias("after"),
+            F.get("full", c["at"]).alias("start"), (F.get("full", c["last"]) + 1).alias("end"), F.get("full", c["at"] - 1).alias("begin"),
+            (F.get("full", c["last"] + 1) + 1).alias("finish"), F.unhex(c["key"]).alias("key"), (c["at"] == c["last"]).alias("single"),
         ),
     )
-    return d.select("_id", F.inline(keyed))
+    d = pin(d, "_id", "h", "words", spans=spans)
+    before = lambda c: F.when(c["begin"].isNotNull(), F.xxhash64(part(c["begin"], c["start"])))
+    after = lambda c: F.when(c["finish"].isNotNull(), F.xxhash64(part(c["end"], c["finish"])))
+    names = ("start", "end", "begin", "finish", "key", "single")
+    return d.select("_id", F.inline(F.transform("spans", lambda c: F.struct(*[c[k].alias(k) for k in names], before(c).alias("before"), after(c).alias("after"), F.get("words", c["start"]).alias("words")))))
 
 
-def removed_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, regions): for each text the lines [begin, finish) that should go, each with the kept copy's bytes to compare with.
+def _with_first(chunks: DataFrame) -> DataFrame:
+    """Each chunk of a key that stands more than once, with the number and the first of its kind.
 
-    The candidates come from narrow rows of hashes; only the text of kept copies moves, once per removed region.
+    A key with over a HOT_KEYS-th of all chunks is one of less than HOT_KEYS, so the first copies of those are broadcast
+    and their chunks aren't shuffled; the other keys are joined by an exchange.
+    """
+    place = F.struct("_id", "start", "end", "begin", "finish", "before", "after")
+    first = stored(chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "line-firsts")
+    bound = chunks.count() / HOT_KEYS
+    hot = F.broadcast(first.where(F.col("n") > bound))
+    return chunks.join(hot, "key").unionByName(chunks.join(hot, "key", "left_anti").join(first.where(F.col("n") <= bound), "key"))
+
+
+def _regions(chunks: DataFrame, min_words: int) -> DataFrame:
+    """(id, from_id, shift, lo, hi, salts): lines [lo, hi) of a text should equal the lines at lo - shift of from_id's text."""
+    back = F.coalesce(F.col("before") == F.col("first.before"), F.lit(False))
+    on = F.coalesce(F.col("after") == F.col("first.after"), F.lit(False))
+    again = _with_first(chunks).where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
+    again = again.where(~F.col("single") | back | on | (F.col("words") > min_words))
+    span = F.struct(F.when(back, F.col("begin")).otherwise(F.col("start")).alias("lo"), F.when(on, F.col("finish")).otherwise(F.col("end")).alias("hi"))
+    again = again.groupBy("_id", F.col("first._id").alias("from_id"), (F.col("start") - F.col("first.start")).alias("shift"))
+    again = again.agg(F.collect_set(span).alias("spans"), F.ceil(F.max("n") / COPIES).cast("int").alias("salts"))
+    keys = ("_id", "from_id", "shift", "salts")
+    again = pin(again, *keys, at=F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda c: F.sequence(c["lo"], c["hi"] - 1))))))
+    lows = F.filter("at", lambda x, k: F.coalesce(F.get("at", k - 1) != x - 1, F.lit(True)))
+    highs = F.filter("at", lambda x, k: F.coalesce(F.get("at", k + 1) != x + 1, F.lit(True)))
+    again = pin(again, *keys, lows=lows, highs=highs)
+    return again.select(*keys, F.inline(F.transform("lows", lambda x, k: F.struct(x.alias("lo"), (F.get("highs", k) + 1).alias("hi")))))
+
+
+def removed_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, regions): for each text the lines [lo, hi) that should go, each with the kept copy's bytes to compare with.
+
+    The candidates come from narrow rows of hashes; only the text of kept copies moves, once per removed region. A copy that
+    very many regions ask for is dealt out under several salts.
     """
-    chunks = stored(line_chunks(docs, id_col, text_col, long_words), "line-chunks")
-    first = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start", "end", "before", "after")).alias("first")).where("n > 1").drop("n")
-    again = chunks.join(first, "key").where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    back = F.coalesce(F.col("before") == F.col("first.before"), F.lit(False)).cast("int")
-    on = F.coalesce(F.col("after") == F.col("first.after"), F.lit(False)).cast("int")
-    again = again.select("_id", "start", "end", back.alias("back"), on.alias("on"), "words", F.col("first._id").alias("from_id"), F.col("first.start").alias("from"), F.col("first.end").alias("to"))
-    again = again.where((F.col("end") + F.col("on") - F.col("start") + F.col("back") >= 2) | (F.col("words") > min_words)).drop("words")
-    wanted = again.groupBy("from_id", "from", "to").agg(F.max("back").alias("_back"), F.max("on").alias("_on"))
-    wanted = wanted.groupBy("from_id").agg(F.collect_list(F.struct("from", "to", "_back", "_on")).alias("wanted"))
+    regions = stored(_regions(stored(line_chunks(docs, id_col, text_col, min_words), "line-chunks"), min_words), "line-regions")
+    regions = regions.select("_id", "from_id", "lo", "hi", (F.col("lo") - F.col("shift")).alias("from"), (F.col("hi") - F.col("shift")).alias("to"), "salts")
+    wanted = regions.groupBy("from_id", "from", "to").agg(F.max("salts").alias("salts"))
+    wanted = wanted.groupBy("from_id").agg(F.collect_list(F.struct("from", "to", "salts")).alias("wanted"))
     # the same rows and columns that line_dedup joins later, so that one exchange of the texts serves both
-    texts = docs.select(id_col, text_col)
-    kept = pin(texts.join(wanted, F.col(id_col) == F.col("from_id")), "from_id", "wanted", _lines=F.split(text_col, "\n", -1))
-
-    def piece(c):
-        line = lambda i: F.get("_lines", i)
-        chunk = F.array_join(F.slice("_lines", c["from"] + 1, c["to"] - c["from"]), "\n")
-        return F.struct(c["from"].alias("from"), chunk.alias("chunk"), F.when(c["_back"] == 1, line(c["from"] - 1)).alias("line_before"), F.when(c["_on"] == 1, line(c["to"])).alias("line_after"))
-
-    kept = kept.select("from_id", F.inline(F.transform("wanted", piece)))
-    found = again.join(kept, ["from_id", "from"])
-    copy = F.concat_ws("\n", F.when(F.col("back") == 1, F.col("line_before")), "chunk", F.when(F.col("on") == 1, F.col("line_after")))
-    region = F.struct((F.col("start") - F.col("back")).alias("begin"), (F.col("end") + F.col("on")).alias("finish"), copy.alias("copy"))
-    return found.groupBy("_id").agg(F.collect_list(region).alias("regions"))
+    kept = pin(docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("from_id")), "from_id", "wanted", _lines=F.split(text_col, "\n", -1))
+    piece = lambda c: F.struct(c["from"].alias("from"), c["to"].alias("to"), c["salts"].alias("salts"), F.array_join(F.slice("_lines", c["from"] + 1, c["to"] - c["from"]), "\n").alias("copy"))
+    kept = kept.select("from_id", F.inline(F.transform(F.filter("wanted", lambda c: c["to"] <= F.size("_lines")), piece)))
+    # equal rows of an id give one copy
+    kept = kept.groupBy("from_id", "from", "to", F.md5("copy")).agg(F.first("copy").alias("copy"), F.first("salts").alias("salts"))
+    kept = kept.select("from_id", "from", "to", "copy", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salt = F.pmod(F.xxhash64("_id", "lo"), F.col("salts")).cast("int")
+    found = regions.withColumn("salt", salt).join(kept, ["from_id", "from", "to", "salt"])
+    return found.groupBy("_id").agg(F.collect_list(F.struct("lo", "hi", "copy")).alias("regions"))
 
 
 def _without(docs: DataFrame, out: DataFrame, text_col: str, gone: Column) -> DataFrame:
@@ -107,60 +136,21 @@ def _without(docs: DataFrame, out: DataFrame, text_col: str, gone: Column) -> Da
     return out.select(*rest, F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"), F.col("_removed").alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated chunks taken out of text_col, and the columns n_lines and removed (their numbers).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the repeated passages taken out of text_col, and the columns n_lines and removed (their numbers).
 
     n_lines is 0 for a null text. Removing nothing leaves a text byte for byte as it was.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    gone = removed_regions(named, id_col, text_col, long_words, min_words).withColumnsRenamed({"_id": "_gone_id", "regions": "_regions"})
+    gone = removed_regions(named, id_col, text_col, min_words).withColumnsRenamed({"_id": "_gone_id", "regions": "_regions"})
     out = named.join(gone, F.col(id_col) == F.col("_gone_id"), "left")
     out = out.unionByName(docs.where(F.col(id_col).isNull()), allowMissingColumns=True)
     out = pin(out, _lines=F.split(text_col, "\n", -1))
-    same = F.filter("_regions", lambda r: F.array_join(F.slice("_lines", r["begin"] + 1, r["finish"] - r["begin"]), "\n") == r["copy"])
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda r: F.sequence(r["begin"], r["finish"] - 1)))))
+    same = F.filter("_regions", lambda r: F.array_join(F.slice("_lines", r["lo"] + 1, r["hi"] - r["lo"]), "\n") == r["copy"])
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda r: F.sequence(r["lo"], r["hi"] - 1)))))
     return _without(docs, out, text_col, gone)
 
 
-def line_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, t, start, end, key): the lines [start, end) of every anchor of the texts; t is a hash of the text.
-
-    Anchors are two neighbouring non-blank lines with the blank ones between, a line of at least long_words words with the
-    blank line beside it, and a line of over min_words words. Keys are 128 bits of SHA-256, so equal keys are equal lines.
-    """
-    d = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.split(text_col, "\n", -1).alias("lines"))
-    d = pin(d, "_id", "_t", h=F.transform("lines", lambda x: F.sha2(x, 256)), words=F.transform("lines", _words), filled=F.transform("lines", lambda x: x.rlike(r"\S")))
-    every = F.sequence(F.lit(0), F.size("h") - 1)
-    d = pin(d, "_id", "_t", "h", "words", "filled", full=F.filter(every, lambda i: F.get("filled", i)))
-
-    def span(start, end):
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-    pairs = F.filter(F.transform("full", lambda i, k: span(i, F.coalesce(F.get("full", k + 1), F.lit(-1)) + 1)), lambda c: c["end"] > 0)
-    long_line = lambda i: F.get("filled", i) & (F.get("words", i) >= long_words)
-    beside = F.filter(every, lambda i: (long_line(i) & ~F.get("filled", i + 1)) | (~F.get("filled", i) & long_line(i + 1)))
-    alone = F.filter("full", lambda i: F.get("words", i) > min_words)
-    d = pin(d, "_id", "_t", "h", spans=F.concat(pairs, F.transform(beside, lambda i: span(i, i + 2)), F.transform(alone, lambda i: span(i, i + 1))))
-    digest = lambda c: F.unhex(F.substring(F.sha2(F.array_join(F.slice("h", c["start"] + 1, c["end"] - c["start"]), ""), 256), 1, 32))
-    return d.select("_id", "_t", F.inline(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), digest(c).alias("key")))))
-
-
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Like line_dedup, for every repeated passage of two non-blank lines or more, or over min_words words in a line.
-
-    Of equal anchors the first, by (id, line number), stays; the lines of the others go. Each of them therefore equals a
-    line at a smaller position, so one copy of every line stays.
-    """
-    anchors = stored(line_anchors(docs, id_col, text_col, long_words, min_words), "line-anchors")
-    first = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start")).alias("first")).where("n > 1").drop("n")
-    again = anchors.join(first, "key").where((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    gone = again.groupBy("_id", "_t").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnsRenamed({"_id": "_gone_id", "_t": "_gone_t"})
-    # rows that share an id are told apart by the hash of their text
-    out = docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_t")), "left")
-    out = pin(out, _lines=F.split(text_col, "\n", -1))
-    return _without(docs, out, text_col, F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda c: F.sequence(c["start"], c["end"] - 1))))))
-
-
 def op1_line_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = line_dedup(docs)
@@ -172,19 +162,18 @@ def op1_line_dedup(spark, sf_dir):
 
 SQL = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-e AS (SELECT doc_id, lines, list_transform(lines, lambda x: md5(x)) AS h,
-        list_transform(lines, lambda x: length(x) - length(replace(x, ' ', '')) + 1 >= {LONG_WORDS}) AS big FROM d),
-f AS (SELECT *, list_filter(range(0, len(lines)), lambda i: i = 0 OR big[i + 1] OR big[i]
-        OR right(md5(CASE WHEN i >= 2 THEN h[i - 1] ELSE '' END || h[i]), 1) IN ('0', '4', '8', 'c')) AS cuts FROM e),
-g AS (SELECT *, list_transform(cuts, lambda s, k: {{'s': s, 'e': coalesce(cuts[k + 1], len(lines))}}) AS spans FROM f),
-c AS (SELECT doc_id, lines, h, big, unnest(spans) AS c FROM g),
-k AS (SELECT doc_id, c.s AS s, c.e AS e, md5(array_to_string(h[c.s + 1:c.e], '')) AS key, array_to_string(lines[c.s + 1:c.e], chr(10)) AS chunk,
-        CASE WHEN c.s > 0 THEN lines[c.s] END AS b, lines[c.e + 1] AS a FROM c
-        WHERE big[c.s + 1] OR len(list_filter(lines[c.s + 1:c.e], lambda x: trim(x) <> '')) >= 2),
-o AS (SELECT *, first_value({{'d': doc_id, 's': s, 'b': b, 'a': a}}) OVER (PARTITION BY key, chunk ORDER BY doc_id, s) AS f FROM k),
-r AS (SELECT doc_id, s - CASE WHEN b = f.b THEN 1 ELSE 0 END AS lo, e + CASE WHEN a = f.a THEN 1 ELSE 0 END AS hi,
-        length(chunk) - length(replace(replace(chunk, chr(10), ' '), ' ', '')) + 1 AS w FROM o WHERE doc_id <> f.d OR s <> f.s),
-p AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(lo, hi))))) AS gone FROM r WHERE hi - lo >= 2 OR w > {MIN_WORDS} GROUP BY doc_id),
+e AS (SELECT doc_id, lines, list_filter(range(0, len(lines)), lambda i: regexp_matches(lines[i + 1], '{FILLED}')) AS f FROM d),
+g AS (SELECT *, list_transform(range(1, len(f)), lambda k: md5(array_to_string(list_transform(lines[f[k] + 1:f[k + 1] + 1], lambda x: md5(x)), ''))) AS r FROM e),
+c AS (SELECT doc_id, lines, f, unnest(list_filter(range(1, len(r) + 1), lambda k: coalesce(r[k] <= CASE WHEN k > 1 THEN r[k - 1] END, false)
+        OR coalesce(r[k] <= r[k + 1], false) OR len(r) = 1)) AS a, a + 1 AS z FROM g
+    UNION ALL SELECT doc_id, lines, f, unnest(list_filter(range(1, len(f) + 1), lambda k: length(lines[f[k] + 1]) - length(replace(lines[f[k] + 1], ' ', '')) + 1 > {MIN_WORDS // 2})) AS a, a AS z FROM g),
+k AS (SELECT doc_id, a = z AS single, f[a] AS s, f[z] + 1 AS e, CASE WHEN a > 1 THEN f[a - 1] END AS lo, f[z + 1] + 1 AS hi, array_to_string(lines[f[a] + 1:f[z] + 1], chr(10)) AS chunk,
+        CASE WHEN a > 1 THEN array_to_string(lines[f[a - 1] + 1:f[a]], chr(10)) END AS b, CASE WHEN z < len(f) THEN array_to_string(lines[f[z] + 2:f[z + 1] + 1], chr(10)) END AS n FROM c),
+o AS (SELECT *, first_value({{'d': doc_id, 's': s, 'b': b, 'n': n}}) OVER (PARTITION BY single, chunk ORDER BY doc_id, s) AS head FROM k),
+q AS (SELECT doc_id, single, coalesce(b = head.b, false) AS back, coalesce(n = head.n, false) AS onward, s, e, lo, hi, length(chunk) - length(replace(chunk, ' ', '')) + 1 AS w
+    FROM o WHERE doc_id <> head.d OR s <> head.s),
+p AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(CASE WHEN back THEN lo ELSE s END, CASE WHEN onward THEN hi ELSE e END))))) AS gone
+    FROM q WHERE NOT single OR back OR onward OR w > {MIN_WORDS} GROUP BY doc_id),
 t AS (SELECT x.doc_id, coalesce(len(d.lines), 0) AS n_lines, coalesce(gone, []) AS gone, d.lines, x.text FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN p USING (doc_id))
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed, array_to_string(gone, ',') AS removed_lines,
     sha256(CASE WHEN len(gone) = 0 THEN coalesce(text, '')
