@@ -1,7 +1,7 @@
 """Corpus cleaning in five stages, each written as Parquet and read again as the next one's documents.
 
 toxicity: documents that the ordinal model rejects go.
-line dedup: repeated passages go; a document that had text and loses all of it goes too, as its lines stand elsewhere.
+line dedup: passages that repeat go, by the chunks of op1_line_dedup; a document that had text and loses all of it goes too, as its lines stand elsewhere.
 n-gram Jaccard join: of documents linked at 0.8 or more over five-word shingles the smallest doc_id stays, and of rows with
 the same doc_id and text one. Each text of a shared doc_id is decided by itself. Rows without a doc_id are decided by their
 text, in this stage and in line dedup: they come after all others, in order of a hash of the text.
