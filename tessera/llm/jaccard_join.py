@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, read_table, stored
+from tessera.llm.common import LOWER_SQL, as_bytes, batched, mix64, new_path, read_table, scratch, stored
 from tessera.llm.components import components
 
 RATIO = 1.5
@@ -241,6 +241,13 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def _near(i: int, rest: np.ndarray, sizes: np.ndarray, words: np.ndarray, bands: Bands) -> np.ndarray:
+    """Those of the positions rest whose sketches allow a link with position i."""
+    far = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype=np.int64)
+    a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+    return rest[(far <= bands.difference(a, b)) & (b * bands.num <= a * bands.den)]
+
+
 def forest(sizes: np.ndarray, words: np.ndarray, bands: Bands, component: np.ndarray, sets: list[np.ndarray] | None = None):
     """Pairs of positions that join different components, one for each two components that meet.
 
@@ -252,16 +259,24 @@ def forest(sizes: np.ndarray, words: np.ndarray, bands: Bands, component: np.nda
         rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         if not len(rest):
             continue
-        far = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype=np.int64)
-        a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        near = rest[(far <= bands.difference(a, b)) & (b * bands.num <= a * bands.den)]
-        for j in near.tolist():
+        for j in _near(i, rest, sizes, words, bands).tolist():
             if comp[j] != comp[i] and (sets is None or bands.linked(sets[i], sets[j])):
                 out.append((i, j))
                 comp[comp == comp[j]] = comp[i]
     return out
 
 
+def may_link(sizes: np.ndarray, words: np.ndarray, bands: Bands, component: np.ndarray) -> np.ndarray:
+    """Positions whose sketches allow a link with one of another component."""
+    open_ = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes) - 1):
+        rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        near = _near(i, rest, sizes, words, bands) if len(rest) else rest
+        open_[near] = True
+        open_[i] |= len(near) > 0
+    return np.flatnonzero(open_)
+
+
 _DOCS = "id long, t long, size long, h0 long, h1 long, sketch binary, instance int, segment int, " + ", ".join(f"c{i} long" for i in range(2 + 2 * SIGNS))
 
 
@@ -390,23 +405,45 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame
     return _by_bucket(rows, ["id", "size", "sketch"], close, "sig long, a long, b long", F.ceil(F.col("members") / BLOCK))
 
 
+def _components_of(rows: list) -> np.ndarray:
+    """Numbers of the components of rows (id, .., component); one without a component is its own."""
+    number: dict[int, int] = {}
+    return np.array([number.setdefault(r[-1] if r[-1] is not None else r[0], len(number)) for r in rows])
+
+
+def _open_members(buckets: DataFrame, nodes: DataFrame, found: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, id) of the members that by their sketches may link with one of another component: narrow rows, no texts."""
+
+    def close(key, rows):
+        rows.sort(key=lambda r: r[0])
+        at = may_link(np.array([r[1] for r in rows], dtype=np.int64), _folded([r[2] for r in rows]), bands, _components_of(rows))
+        return [(key[0], rows[i][0]) for i in at.tolist()]
+
+    rows = buckets.join(nodes.select("node", "id", "size", "sketch"), "node").join(found, "id", "left")
+    return _by_bucket(rows, ["id", "size", "sketch", "component"], close, "sig long, id long", F.ceil(F.col("members") / BLOCK)).distinct()
+
+
 def _exact_links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, found: DataFrame, n: int, bands: Bands, salt: int) -> DataFrame:
-    """(a, b): links between different components of found within the buckets, decided on whole sets."""
+    """(a, b): links between different components of found within the buckets, decided on whole sets.
+
+    Texts move only for members that the sketches leave open, and of buckets with the same ones once.
+    """
 
     def close(_, rows):
         rows.sort(key=lambda r: r[0])
         sets = [shingles((r[1] or "").encode(), n, salt) for r in rows]
-        number: dict[int, int] = {}
-        comp = np.array([number.setdefault(r[2] if r[2] is not None else r[0], len(number)) for r in rows])
-        if len(number) < 2:
+        comp = _components_of(rows)
+        if comp.max() == 0:
             return []
         bits = min(1 << 16, 1 << (64 * bands.h(max(1, bands.of(max(map(len, sets))))) - 1).bit_length())
         words = _folded([sketch(s, max(64, bits)) for s in sets])
         return [(rows[i][0], rows[j][0]) for i, j in forest(np.array(list(map(len, sets))), words, bands, comp, sets)]
 
-    rows = buckets.join(nodes.select("node", "id", "size"), "node").join(found, "id", "left")
-    open_ = rows.groupBy("sig").agg(F.sum("size").alias("elements"), F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y")).where("x <> y").select("sig", "elements")
-    rows = rows.join(_with_salts(open_), ["sig", "salt"]).join(texts, "id")
+    rows = stored(_open_members(buckets, nodes, found, bands), "open").join(nodes.select("id", "size"), "id")
+    per = rows.groupBy("sig").agg(F.count("*").alias("members"), F.sum("size").alias("elements"), F.bit_xor(F.xxhash64("id")).alias("x0"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x1"))
+    # two that are left open are a candidate, and one that has failed
+    one = per.where("members > 2").groupBy("members", "elements", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", "members", "elements")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS).cast("long"))).join(_with_salts(one), ["sig", "salt"]).join(found, "id", "left").join(texts, "id")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS))
     return _by_bucket(rows, ["id", "text", "component"], close, "a long, b long", blocks)
 
@@ -439,29 +476,16 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return stored(up.union(over.join(found.select("id"), "id", "left_anti").select("id", "component")), "components")
 
 
-def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = False) -> DataFrame:
-    """(id, t, size, first) per row; t is xxhash64 of the text, first the smallest (id, t) that links reach from the row.
-
-    The vertices of the links are sets, so each text of a shared id has its own links; with one_per_id all texts of an id
-    are linked besides. Rows without an id have a null first.
-    """
-    bands, salt = Bands(num, den), 0
-    while True:
-        described = stored(_described(docs, id_col, text_col, n, bands, salt), "described")
-        rows = described.where("instance is null")
-        nodes = rows.where("size > 0").groupBy("h0").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("first"), F.max("size").alias("size"), F.min("size").alias("least"), F.max("sketch").alias("sketch"), F.max("h1").alias("h1"), F.min("h1").alias("other"))
-        nodes = stored(nodes.withColumnRenamed("h0", "node"), "nodes")
-        if nodes.where("h1 <> other or size <> least").isEmpty():
-            break
-        salt += 1
-    nodes = nodes.where("first is not null").select("node", "first", F.col("node").alias("id"), "size", "sketch")
-    plans = _plans(described.where("instance is not null"))
+def _components(docs: DataFrame, nodes: DataFrame, plans: dict, n: int, bands: Bands, salt: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, component) of the nodes that links join."""
     buckets = _buckets(_signatures(docs.where(F.col(text_col).isNotNull()), text_col, n, bands, salt, plans))
     buckets = stored(buckets, "buckets")
     edges = stored(_candidates(buckets, nodes, bands), "candidates")
-    members = buckets.select("node").distinct().join(nodes, "node").select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "node")
+    # only ends of candidates are compared by their sets: a member that sketches leave open is one
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    members = ends.join(nodes, "node").select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("id is not null").join(members, ["id", "t"])
-    texts = stored(texts.dropDuplicates(["node"]).select(F.col("node").alias("id"), "text"), "texts")
+    texts = stored(texts.dropDuplicates(["id", "t"]).select(F.col("node").alias("id"), "text"), "texts")
     # first the smallest partner of each node, then the pairs that still join different components
     checked = stored(_verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, n, bands, salt), "checked")
     found = components(checked.where("linked").select("a", "b"))
@@ -475,6 +499,30 @@ def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_c
     if not failed.isEmpty():
         # the one pair of a bucket of two is decided by now
         found = _joined(found, _exact_links(buckets.where("members > 2").join(_with_salts(failed), ["sig", "salt"], "left_semi"), nodes, texts, found, n, bands, salt))
+    return found
+
+
+def near_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = False) -> DataFrame:
+    """(id, t, size, first) per row; t is xxhash64 of the text, first the smallest (id, t) that links reach from the row.
+
+    The vertices of the links are sets, so each text of a shared id has its own links; with one_per_id all texts of an id
+    are linked besides. Rows without an id have a null first.
+    """
+    bands, salt = Bands(num, den), 0
+    while True:
+        described = stored(_described(docs, id_col, text_col, n, bands, salt), "described")
+        rows = described.where("instance is null")
+        nodes = rows.where("size > 0").groupBy("h0").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("first"), F.max("size").alias("size"), F.min("size").alias("least"), F.max("sketch").alias("sketch"), F.max("h1").alias("h1"), F.min("h1").alias("other"))
+        nodes = stored(nodes.withColumnRenamed("h0", "node"), "nodes")
+        if nodes.where("h1 <> other or size <> least").isEmpty():
+            break
+        salt += 1
+    nodes = nodes.where("first is not null").select("node", "first", F.col("node").alias("id"), "size", "sketch")
+    kept = new_path(docs.sparkSession, "components")
+    with scratch(docs.sparkSession):  # signatures, texts and pairs go before the documents move again
+        plans = _plans(described.where("instance is not null"))
+        _components(docs, nodes, plans, n, bands, salt, id_col, text_col).write.parquet(kept)
+    found = docs.sparkSession.read.schema("id long, component long").parquet(kept)
     rows = rows.select("id", "t", "size", F.col("h0").alias("node"))
     if one_per_id:
         shared = rows.where("size > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -103,3 +104,26 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_only_members_that_sketches_leave_open_are_compared_exactly():
+    rng, bands = np.random.default_rng(5), J.Bands(80, 100)
+    near = rng.integers(1, 1 << 63, 200, dtype=np.uint64)
+    sets = [rng.integers(1, 1 << 63, 200, dtype=np.uint64) for _ in range(60)] + [near, np.concatenate([near[:198], near[:2] + np.uint64(1)]), np.concatenate([near[:177], near[:23] + np.uint64(3)])]
+    sizes, words = np.full(63, 200), J._folded([J.sketch(np.sort(s), bands.sketch_bits(200)) for s in sets])
+    component = np.array([*range(60), 60, 60, 61])
+    assert J.may_link(sizes, words, bands, component).tolist() == [60, 61, 62]
+    assert not len(J.may_link(sizes, words, bands, np.array([*range(60), 60, 60, 60])))
+
+
+def test_groups_leave_no_texts_behind(spark):
+    from tessera.llm.common import new_path, scratch
+
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "a b c d")], "doc_id long, text string")
+    with scratch(spark):
+        path = new_path(spark, "groups").rsplit("/", 1)[0]
+        before = {n for n in os.listdir(path.removeprefix("file:"))}
+        assert [r["first"].id for r in J.near_groups(docs).orderBy("id").collect()] == [1, 1, 3]
+        left = {n.rsplit("-", 1)[0] for n in set(os.listdir(path.removeprefix("file:"))) - before}
+    assert left <= {"described", "nodes", "components"}
