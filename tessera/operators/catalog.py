@@ -55,9 +55,13 @@ def with_prefix(rows: DataFrame, order: list[Column], how: str, value: Column, n
     return own.join(before, "_part").withColumn(name, both(F.col("_own"), F.col("_before"))).drop("_value", "_own", "_before", "_part")
 
 
-def synthetic_import(table: DataFrame, records: DataFrame, limit: int = 100_000, prefix: str = "synthetic:") -> DataFrame:
-    """table and the records whose identity it lacks; invented assets only, and no more than limit of them, else an error."""
-    if records.count() > limit:
+def synthetic_import(table: DataFrame, records: DataFrame, limit: int = 100_000, prefix: str = "synthetic:", request: Column | None = None) -> DataFrame:
+    """table and the records whose identity it lacks; invented assets only, and no more than limit of them in a request, else an error.
+
+    request numbers the requests in which records come, in order of their position; without it they are one.
+    """
+    sizes = records.groupBy((F.lit(0) if request is None else request).alias("request")).agg(F.count("*").alias("n"))
+    if not sizes.where(F.col("n") > limit).isEmpty():
         raise ValueError("too many records")
     fit = F.when(F.col("asset_id").startswith(prefix), F.col("asset_id")).otherwise(F.raise_error(F.lit("synthetic_prefix_required")).cast("string"))
     return upsert(table, records.withColumn("asset_id", fit))

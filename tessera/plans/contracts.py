@@ -406,7 +406,7 @@ def file_sink(spark, d):
 def synthetic_import(spark, d):
     k = F.col("p_partkey")
     rows = W.table(spark, d, "part").select(F.concat(F.lit("synthetic:"), (k % 97).cast("string")).alias("asset_id"), F.lit("c").alias("capture"), F.lit("scene").alias("lane"), F.lit("m").alias("model"), k.alias("position"))
-    return C.synthetic_import(C.first_wins(rows.where("position % 3 = 0")), rows.where("position % 2 = 0")).select("asset_id", "position")
+    return C.synthetic_import(C.first_wins(rows.where("position % 3 = 0")), rows.where("position % 2 = 0"), request=F.floor(F.col("position") / 100_000)).select("asset_id", "position")
 
 
 _PATHS = "CASE s_suppkey % 5 WHEN 0 THEN 'job' || s_suppkey || '/index/manifest.json' WHEN 1 THEN 'job' || s_suppkey || '/manifest.json' WHEN 2 THEN 'a/b' || s_suppkey || '/index/manifest.json' WHEN 3 THEN 'job' || s_suppkey || '/index/shard.i8' ELSE 'index/manifest.json' END"

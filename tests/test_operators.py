@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import EARTH_RADIUS_M
@@ -193,3 +194,15 @@ def test_an_account_with_most_keys_pays_in_order(spark):
     paid = [r.key for r in rows if r.outcome == "debited"]
     first = list(dict.fromkeys(r.key for r in rows if r.account_id == 1))
     assert paid == first[:7] and {r.outcome for r in rows if r.account_id == 2} == {"insufficient_credit"} and rows[0].outcome == "unauthorized"
+
+
+def test_the_limit_of_a_synthetic_import_holds_per_request(spark):
+    from tessera.operators.catalog import synthetic_import
+
+    names = "asset_id string, capture string, lane string, model string, position long"
+    rows = lambda n: spark.createDataFrame([(f"synthetic:{k % 7}", "c", "scene", "m", k) for k in range(n)], names)
+    got = synthetic_import(rows(3), rows(40), limit=10, request=F.floor(F.col("position") / 10))
+    assert sorted((r.asset_id, r.position) for r in got.collect()) == [(f"synthetic:{k}", k) for k in range(7)]
+    for request in (None, F.floor(F.col("position") / 20)):
+        with pytest.raises(ValueError, match="too many"):
+            synthetic_import(rows(3), rows(40), limit=10, request=request)
