@@ -80,3 +80,9 @@ def view_plan(lane: Column, heading: Column, pitch: Column, zoom: Column) -> Col
     return F.array(*turns, view(4, heading, F.lit(90.0), F.lit(90.0)), view(5, heading, F.lit(-90.0), F.lit(90.0)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals: the scaled value goes to the nearest whole number, halves away from zero.
+
+    round(x, digits) goes by the decimal text of x instead, which is another number where the scaled value falls short of a half.
+    """
+    return F.round(x * float(10**digits), 0) / float(10**digits)

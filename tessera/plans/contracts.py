@@ -10,6 +10,7 @@ from tessera.functions import checks as K
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.functions.constants import CONFIDENCE_FLOORS, SCENE_FLOORS, SEARCH_COST, UNITS
+from tessera.functions.geo import rounded
 from tessera.operators import bundles as B
 from tessera.operators import catalog as C
 from tessera.operators import exports as E
@@ -295,7 +296,7 @@ _QUEUE = """q AS (SELECT lane, location_id, 'm' || chr(9) || row_number() OVER (
 
 
 def _queue(spark, d):
-    return W.locations(spark, d).withColumn("lat", F.round("lat", 3)).withColumn("lon", F.round("lon", 3))
+    return W.locations(spark, d).withColumn("lat", rounded(F.col("lat"), 3)).withColumn("lon", rounded(F.col("lon"), 3))
 
 
 @query("queue_lines", f"WITH {W.LOCATIONS}, {_QUEUE} SELECT row_index, line FROM q WHERE lane = 'scene'")

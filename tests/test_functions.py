@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -108,3 +109,11 @@ def test_global_id_records(spark):
     raw = (2**32 + 5).to_bytes(8, "little")
     assert record == raw + zlib.crc32(raw).to_bytes(4, "little")
     assert one(spark, bundles.record_is_sound(F.lit(record))) and not one(spark, bundles.record_is_sound(F.lit(record[:-1] + b"?")))
+
+
+def test_rounded_goes_by_the_scaled_value(spark):
+    from tessera.functions.geo import rounded
+
+    values = [65.0015, -65.0015, 12.3015, 0.0005, 65.2, -70.0, 2.5e-7] + [k * 0.1 - 180.0 + (k * 104729 % 1000) * 0.000003 for k in range(3600)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 3).alias("r")).collect()
+    assert [r.r for r in rows] == [math.copysign(math.floor(abs(r.v * 1000.0) + 0.5), r.v) / 1000.0 for r in rows]
