@@ -15,7 +15,9 @@ micro-batch.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,10 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 COUNT, SHARD_ROWS, LEASE_MS, STEAL_MS = 16, 40, 1_800_000, 21_600_000
 
+#: Events after which outcomes are handed on.
+FRAME_ROWS = 50_000
+_KINDS = pd.CategoricalDtype(["ask", "release", "renew", "submit"], ordered=True)
+
 OUTCOMES = "queue long, account long, kind string, at_ms long, shard long, generation long, until long, n_items long, first_item long"
 
 
@@ -46,16 +52,38 @@ class LeaseProcessor(StatefulProcessor):
         self.held: dict[int, list[int]] = {}
         for account, item in self.items.get():
             self.held.setdefault(account, []).append(item)
-        self.back = sorted(item for (item,) in self.returned.get())
+        self.back: dict[int, list[int]] = {}  # items that came back, by shard
+        for (item,) in sorted(self.returned.get()):
+            self.back.setdefault(item // self.shard_rows, []).append(item)
         self.out: list[tuple] = []
         self.touched: tuple[set, set] = (set(), set())
+        # heaps whose entries count only if they still hold when they come up
+        self.ends = [(lease[2], a) for a, lease in self.lease_of.items() if lease[3]]
+        self.aging = [(claim[1], s) for s, claim in self.claim_of.items()]
+        self.idle: list[int] = []  # shards that may be taken over
+        heapify(self.ends)
+        heapify(self.aging)
+        self.open_of: dict[int, set[int]] = {}  # unfinished shards by account
+        for s in self.claim_of:
+            self._place(s)
+
+    def _is_open(self, s: int) -> bool:
+        return self.claim_of[s][2] < self.shard_rows or s in self.back
+
+    def _is_live(self, account: int) -> bool:
+        return account in self.lease_of and self.lease_of[account][3]
+
+    def _place(self, s: int) -> None:
+        """Note whether a shard is unfinished, after a change."""
+        own = self.open_of.setdefault(self.claim_of[s][0], set())
+        (own.add if self._is_open(s) else own.discard)(s)
 
     def _store(self) -> None:
         for shard in self.touched[0]:
             self.claims.updateValue((shard,), tuple(self.claim_of[shard]))
         for account in self.touched[1]:
             self.leases.updateValue((account,), tuple(self.lease_of[account]))
-        for state, rows in ((self.items, [(a, i) for a in sorted(self.held) for i in self.held[a]]), (self.returned, [(i,) for i in self.back])):
+        for state, rows in ((self.items, [(a, i) for a in sorted(self.held) for i in self.held[a]]), (self.returned, [(i,) for s in sorted(self.back) for i in self.back[s]])):
             if rows:
                 state.put(rows)
             else:
@@ -67,29 +95,43 @@ class LeaseProcessor(StatefulProcessor):
         self.out.append((self.queue, account, kind, at, shard, generation, until, len(own), own[0] if own else None))
 
     def _end(self, account: int) -> None:
-        self.back = sorted(self.back + self.held.pop(account, []))
+        for item in self.held.pop(account, []):
+            s = item // self.shard_rows
+            insort(self.back.setdefault(s, []), item)
+            self._place(s)
+            heappush(self.idle, s)
         self.lease_of[account][3] = False
         self.touched[1].add(account)
+        for s in self.open_of.get(account, ()):
+            heappush(self.idle, s)
 
     def _expire(self, now: int) -> None:
-        for until, account in sorted((lease[2], a) for a, lease in self.lease_of.items() if lease[3] and lease[2] <= now):
-            self._tell(account, "expired", until)
-            self._end(account)
+        while self.ends and self.ends[0][0] <= now:
+            until, account = heappop(self.ends)
+            if self._is_live(account) and self.lease_of[account][2] == until:
+                self._tell(account, "expired", until)
+                self._end(account)
 
     def _shard_for(self, account: int, now: int) -> int:
-        waiting = {item // self.shard_rows for item in self.back}
-        open_ = sorted(s for s, (_, _, following) in self.claim_of.items() if following < self.shard_rows or s in waiting)
-        for s in open_:
-            if self.claim_of[s][0] == account:
-                return s
-        idle = lambda a: not (a in self.lease_of and self.lease_of[a][3])
-        for s in open_:
-            if self.claim_of[s][1] < now - self.steal and idle(self.claim_of[s][0]):
-                self.claim_of[s][:2] = [account, now]
-                return s
-        fresh = len(self.claim_of)
-        self.claim_of[fresh] = [account, now, 0]
-        return fresh
+        own = self.open_of.get(account)
+        if own:
+            return min(own)
+        while self.aging and self.aging[0][0] < now - self.steal:
+            heappush(self.idle, heappop(self.aging)[1])
+        while self.idle:
+            s = self.idle[0]
+            claim = self.claim_of[s]
+            if self._is_open(s) and claim[1] < now - self.steal and not self._is_live(claim[0]):
+                self.open_of[claim[0]].discard(s)
+                claim[:2] = [account, now]
+                break
+            heappop(self.idle)
+        else:
+            s = len(self.claim_of)
+            self.claim_of[s] = [account, now, 0]
+        heappush(self.aging, (now, s))
+        self._place(s)
+        return s
 
     def _ask(self, account: int, now: int) -> None:
         lease = self.lease_of.get(account)
@@ -97,13 +139,17 @@ class LeaseProcessor(StatefulProcessor):
             self._tell(account, "resumed", now)
             return
         shard = self._shard_for(account, now)
-        given = [i for i in self.back if i // self.shard_rows == shard][: self.count]
+        back = self.back.pop(shard, [])
+        given, rest = back[: self.count], back[self.count :]
+        if rest:
+            self.back[shard] = rest
         begin = self.claim_of[shard][2]
         end = min(self.shard_rows, begin + self.count - len(given))
-        self.back = [i for i in self.back if i not in set(given)]
         self.held[account] = given + [shard * self.shard_rows + i for i in range(begin, end)]
         self.claim_of[shard][2] = end
+        self._place(shard)
         self.lease_of[account] = [shard, (lease[1] if lease else 0) + 1, now + self.length, True]
+        heappush(self.ends, (now + self.length, account))
         self.touched[0].add(shard)
         self.touched[1].add(account)
         self._tell(account, "leased", now)
@@ -119,6 +165,7 @@ class LeaseProcessor(StatefulProcessor):
         self.touched[1].add(account)
         if kind == "renew":
             lease[2] = now + self.length
+            heappush(self.ends, (lease[2], account))
             self._tell(account, "renewed", now)
         elif kind == "submit":
             del self.held[account][0]
@@ -138,18 +185,22 @@ class LeaseProcessor(StatefulProcessor):
             self.handle.registerTimer(min(ends))
 
     def _frame(self) -> pd.DataFrame:
+        """The outcomes since the last frame."""
         names = [c.split(" ")[0] for c in OUTCOMES.split(", ")]
-        return pd.DataFrame(self.out, columns=names).astype({"first_item": "Int64"})
+        out, self.out = self.out, []
+        return pd.DataFrame(out, columns=names).astype({"first_item": "Int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         self.queue = key[0]
         self._load()
-        events = sorted((at, event_id, account, kind) for f in rows for at, event_id, account, kind in zip(f["at"].tolist(), f["event_id"].tolist(), f["account"].tolist(), f["kind"].tolist(), strict=True))
-        for at, _, account, kind in events:
-            self._step(account, kind, at)
+        events = pd.concat([f[["at", "event_id", "account", "kind"]].astype({"kind": _KINDS}) for f in rows]).sort_values(["at", "event_id", "account", "kind"], ignore_index=True)
+        for i in range(0, len(events), FRAME_ROWS):
+            part = events.iloc[i : i + FRAME_ROWS]
+            for at, account, kind in zip(part["at"].tolist(), part["account"].tolist(), part["kind"].tolist(), strict=True):
+                self._step(account, kind, at)
+            yield self._frame()
         self._store()
         self._set_timers()
-        yield self._frame()
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.queue = key[0]

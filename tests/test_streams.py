@@ -3,6 +3,7 @@
 import os
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,38 @@ def test_the_limit_rule(spark):
     for limit in (0, 1, 5, 14, 19, 100):
         got = sorted(r.position for r in I.limited(table, have, limit, batch=5).collect())
         assert got == plain(limit, 5), limit
+
+
+class _Handle:
+    """States of a queue in plain memory."""
+
+    class Map(dict):
+        iterator = dict.items
+        updateValue = dict.__setitem__
+
+    class List(list):
+        get = list.copy
+        put = lambda self, rows: self.__setitem__(slice(None), rows)
+
+    def __init__(self):
+        self.timers = set()
+        self.getMapState = lambda *_: self.Map()
+        self.getListState = lambda *_: self.List()
+        self.listTimers, self.registerTimer, self.deleteTimer = (lambda: self.timers), self.timers.add, self.timers.discard
+
+
+def test_a_step_of_a_queue_does_not_go_through_all_its_accounts():
+    processor, n, looked = L.LeaseProcessor(3, 7, 10**9, 2 * 10**9), 4000, [0]
+    processor.init(_Handle())
+
+    class Leases(dict):  # counts the leases that are gone through
+        def items(self):
+            looked[0] += len(self)
+            return dict.items(self)
+
+    load = processor._load
+    processor._load = lambda: (load(), setattr(processor, "lease_of", Leases(processor.lease_of)))
+    frames = [pd.DataFrame({"at": range(n), "event_id": range(n), "account": range(n), "kind": ["ask"] * n}), pd.DataFrame({"at": range(n, 2 * n), "event_id": range(n), "account": range(n), "kind": ["submit"] * n})]
+    out = pd.concat(processor.handleInputRows((1,), iter(frames), None))
+    assert out["kind"].tolist() == ["leased"] * n + ["submitted"] * n and out["shard"].tolist() == [*range(n)] * 2
+    assert looked[0] <= n
