@@ -26,22 +26,23 @@ def seeds_of(keys: list[str]) -> np.ndarray:
     return state
 
 
-def render_faces(keys: list[str]) -> np.ndarray:
-    """n x 6 x 16 x 16 x 3 bytes for job keys (asset, capture, lane and model, one per line)."""
-    state = seeds_of(keys)
-    out = np.empty((len(keys), FACES, FACE, FACE, 3), dtype=np.uint8)
-    u = np.uint64
-    for f in range(FACES):
-        bias = (state >> u(f)) & u(255)
-        for y in range(FACE):
-            for x in range(FACE):
-                state ^= state << u(13)
-                state ^= state >> u(7)
-                state ^= state << u(17)
-                pixel = out[:, f, y, x]
-                pixel[:, 0] = (state + bias + u(13 * x + (x - 7) ** 2 + (y - 7) ** 2)).astype(np.uint8)
-                pixel[:, 1] = ((state >> u(8)) + u(17 * y + 41 * f)).astype(np.uint8)
-                pixel[:, 2] = ((state >> u(16)) + u(x * y) + u(3) * bias).astype(np.uint8)
+def render_faces(keys: list[str], faces: int = FACES) -> np.ndarray:
+    """n x faces x 16 x 16 x 3 bytes for job keys (asset, capture, lane and model, one per line); faces are drawn in order."""
+    state, u = seeds_of(keys), np.uint64
+    out = np.empty((len(keys), faces, FACE, FACE, 3), dtype=np.uint8)
+    y, x = (np.arange(FACE * FACE, dtype=np.int64) // FACE)[:, None], (np.arange(FACE * FACE, dtype=np.int64) % FACE)[:, None]
+    plus = [(v % 256).astype(np.uint8) for v in (13 * x + (x - 7) ** 2 + (y - 7) ** 2, 17 * y, x * y)]
+    low, moved = np.empty((FACE * FACE, len(keys)), dtype="<u4"), np.empty_like(state)
+    for f in range(faces):
+        bias = (state >> u(f)).astype(np.uint8)
+        for pixel in range(FACE * FACE):
+            for shift, by in ((np.left_shift, u(13)), (np.right_shift, u(7)), (np.left_shift, u(17))):
+                shift(state, by, out=moved)
+                np.bitwise_xor(state, moved, out=state)
+            low[pixel] = state  # bytes are all that colours need, and their sums wrap
+        colour = low.view(np.uint8).reshape(FACE * FACE, len(keys), 4)
+        for c, add in enumerate((bias, np.uint8(41 * f % 256), np.uint8(3) * bias)):
+            out[:, f, :, :, c] = (colour[:, :, c] + add + plus[c]).T.reshape(len(keys), FACE, FACE)
     return out
 
 
@@ -98,11 +99,11 @@ def faces_of(key: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def vector_of(key: pd.Series, lane: pd.Series) -> pd.Series:
     """The vector of a job key, by its lane; faces stay within the task."""
-    out = pd.Series([b""] * len(key), dtype=object)
-    for name, make in (("scene", scene_vectors), ("object", object_vectors)):
+    out = np.full(len(key), b"", dtype=object)
+    for name, make, faces in (("scene", scene_vectors, FACES), ("object", object_vectors, 1)):
         at = np.flatnonzero((lane == name).to_numpy())
         for i in range(0, len(at), 2048):
             rows = at[i : i + 2048]
-            for j, v in zip(rows, make(render_faces(key.iloc[rows].tolist())), strict=True):
-                out.iloc[j] = v.tobytes()
-    return out
+            vectors = make(render_faces(key.iloc[rows].tolist(), faces))
+            out[rows] = np.array([v.tobytes() for v in vectors], dtype=object)
+    return pd.Series(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import features as X
 from tessera.functions.text import job_id, thumbnail_query
 from tessera.operators import bundles as B
-from tessera.operators.tables import new_path
+from tessera.operators.tables import new_path, spread, stored
 from tessera.plans import views as W
 from tessera.sources import records as S
 from tessera.streaming import queue as T
@@ -198,11 +198,10 @@ def seal_and_search(spark, d):
     from tessera.functions import vectors as V
 
     root = new_path(spark, "sealed")
-    rows = _poses(spark, d, "scene").drop("embedding").join(W.locations(spark, d).select("location_id", X.vector_of(_key(), F.col("lane")).alias("embedding")), "location_id")
-    S.publish_segments(rows, root, "scene", 96)
-    hexed = F.hex("embedding")
-    byte = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: V.signed(F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int")).cast("double"))
-    index = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").load().select("location_id", byte.alias("vector"))
-    first = index.orderBy("location_id").first()
-    hits = index.select("location_id", V.best_view(F.array(*map(F.lit, first.vector)), F.col("vector"))["score"].alias("score"))
+    rows = spread(W.locations(spark, d).where("lane = 'scene'"), "location_id").withColumn("embedding", X.vector_of(_key(), F.col("lane")))
+    S.publish_segments(stored(rows.select("location_id", "lat", F.col("lon").alias("lng"), "heading", "pitch", "zoom", F.col("asset_id").alias("pano_id"), "capture", "country", "camera_generation", "embedding"), "scene-rows"), root, "scene", 96)
+    index = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").load().select("location_id", "embedding")
+    least = index.agg(F.min("location_id")).first()[0]
+    first = index.where(F.col("location_id") == least).first()
+    hits = index.select("location_id", V.best_view_of_bytes(bytes(first.embedding))(F.col("embedding"))["score"].alias("score"))
     return hits.orderBy(F.desc("score"), "location_id").limit(25).withColumn("score", F.round("score", 6))

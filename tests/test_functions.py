@@ -117,3 +117,20 @@ def test_rounded_goes_by_the_scaled_value(spark):
     values = [65.0015, -65.0015, 12.3015, 0.0005, 65.2, -70.0, 2.5e-7] + [k * 0.1 - 180.0 + (k * 104729 % 1000) * 0.000003 for k in range(3600)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 3).alias("r")).collect()
     assert [r.r for r in rows] == [math.copysign(math.floor(abs(r.v * 1000.0) + 0.5), r.v) / 1000.0 for r in rows]
+
+
+def test_faces_are_drawn_as_far_as_they_are_wanted(spark):
+    keys = ["a\n1", "b\n2", ""]
+    assert np.array_equal(X.render_faces(keys, 1), X.render_faces(keys)[:, :1])
+
+
+def test_spread_and_rules_that_share_their_facts(spark):
+    from tessera.operators import manifests as M
+    from tessera.operators.tables import spread
+
+    assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    facts = F.struct(F.map_from_entries(F.array(F.struct(F.lit("k"), F.sha2(F.col("id").cast("string"), 256)))).alias("files"))
+    table = {f"rule {i}": lambda m, f, i=i: f["files"]["k"] != str(i) for i in range(4)} | {"no": lambda m, f: m["x"] == 1}
+    df = spark.range(2).select(M.manifest_problems(F.struct(F.col("id").alias("x")), facts, table).alias("p"))
+    assert [r.p for r in df.collect()] == [["no"], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
