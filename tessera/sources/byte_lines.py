@@ -8,6 +8,7 @@ the stream's own log, so a second start goes on at the byte where the first one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from tessera.sources.records import opened
 
 BLOCK = 4 << 20
 RANGE_BYTES = 64 << 20
+#: Tasks that the ranges are dealt to at most, and files whose ends are looked for at once.
+MOST_TASKS, LOOKED_AT = 256, 16
 SCHEMA = "shard string, start long, stop long, line string"
 _TYPES = pa.schema([("shard", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("line", pa.string())])
 
@@ -29,6 +32,20 @@ class ByteRange(InputPartition):
         self.shard, self.start, self.stop = shard, start, stop
 
 
+class ByteRanges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+
+    def __init__(self, parts: list[ByteRange]):
+        super().__init__((parts[0].shard, parts[0].start))
+        self.parts = parts
+
+
+def dealt(ranges: list[ByteRange], tasks: int = 0) -> list[ByteRanges]:
+    """Ranges by task: one each, and where there are more of them than tasks neighbours share one."""
+    each = -(-len(ranges) // (tasks or MOST_TASKS)) or 1
+    return [ByteRanges(ranges[i : i + each]) for i in range(0, len(ranges), each)]
+
+
 def shards_of(path: str, pattern: str = "") -> dict[str, int]:
     """Name and size of the files below path, hidden ones left out; pattern is an ending."""
     files, place = opened(path)
@@ -121,11 +138,11 @@ class ByteLinesReader(_Options, DataSourceReader):
     def partitions(self):
         if "tail" in self.options:
             start, stop, _ = tail_range(self.path, int(self.options["tail"]), int(self.options.get("skipLast", 0)))
-            return self.ranges({"": start}, {"": stop}) or [ByteRange("", 0, 0)]
-        return self.ranges({}, shards_of(self.path, self.pattern)) or [ByteRange("", 0, 0)]
+            return dealt(self.ranges({"": start}, {"": stop}) or [ByteRange("", 0, 0)])
+        return dealt(self.ranges({}, shards_of(self.path, self.pattern)) or [ByteRange("", 0, 0)])
 
     def read(self, part):
-        return _batches(self.path, part) if part.stop else iter(())
+        return (batch for own in part.parts if own.stop for batch in _batches(self.path, own))
 
 
 class ByteLinesStreamReader(_Options, DataSourceStreamReader):
@@ -138,16 +155,21 @@ class ByteLinesStreamReader(_Options, DataSourceStreamReader):
 
     def latestOffset(self):
         known, self.known = self.known, {}
-        for shard, size in shards_of(self.path, self.pattern).items():
+
+        def ended(shard: str, size: int) -> tuple[int, int]:
             before, end = known.get(shard, (0, 0))
-            self.known[shard] = (size, end if before == size else last_line_end(joined(self.path, shard), size, end))
+            return size, end if before == size else last_line_end(joined(self.path, shard), size, end)
+
+        found = shards_of(self.path, self.pattern)
+        with ThreadPoolExecutor(LOOKED_AT) as pool:
+            self.known = dict(zip(found, pool.map(ended, found.keys(), found.values()), strict=True))
         return {s: end for s, (_, end) in self.known.items() if end}
 
     def partitions(self, start, end):
-        return self.ranges(start, end)
+        return dealt(self.ranges(start, end))
 
     def read(self, part):
-        return _batches(self.path, part)
+        return (batch for own in part.parts for batch in _batches(self.path, own))
 
 
 class ByteLines(DataSource):

@@ -169,3 +169,11 @@ def test_four_view_shards(spark, tmp_path):
     assert sorted(map(tuple, exports.mask_problems(spark, path).collect())) == [(1, "incomplete"), (2, "missing")]
     with pytest.raises(Exception, match="no such record|No such file|shard-"):
         exports.records_at(spark.createDataFrame([(99,)], "row_index long"), path, 3).collect()
+
+
+def test_ranges_beyond_the_tasks_share_them():
+    from tessera.sources import byte_lines
+
+    ranges = [byte_lines.ByteRange("s", i, i + 1) for i in range(10)]
+    assert [len(t.parts) for t in byte_lines.dealt(ranges, 4)] == [3, 3, 3, 1]
+    assert [len(t.parts) for t in byte_lines.dealt(ranges[:3], 4)] == [1, 1, 1] and not byte_lines.dealt([], 4)
