@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import features as X
@@ -256,7 +257,10 @@ def json_records_(spark, d):
                 state["out"].close()
 
         for batch in batches:
-            for n, r in zip(batch.column("n").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            numbers = batch.column("n").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else [0]
+            for i, j in zip(edges, edges[1:], strict=False):
+                n, r = int(numbers[i]), ",\n ".join(batch.column("r").slice(i, j - i).to_pylist())
                 if n != state["n"]:
                     end()
                     files, place = opened(f"{path}/n{n}.json")

@@ -89,8 +89,8 @@ def top_arrays(path: str, start: int, size: int, inside: bool, depth: int) -> li
     return out
 
 
-def record_starts(path: str, start: int, size: int, inside: bool, depth: int, begin: int, level: int) -> tuple[np.ndarray, bytes]:
-    """Places of the objects that begin in a block at level, after the array's bracket at begin."""
+def record_spans(path: str, start: int, size: int, inside: bool, depth: int, begin: int, level: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Places of the objects that begin in a block at level, after the array's bracket at begin, the places after them (0: not in the block), and its bytes."""
     raw, escaped = read_block(path, start, size)
     data = np.frombuffer(raw, np.uint8)
     quoted, own = depths(data, escaped, inside)
@@ -98,7 +98,9 @@ def record_starts(path: str, start: int, size: int, inside: bool, depth: int, be
     closed = np.flatnonzero((data == 0x5D) & ~quoted & (after == level - 1) & (np.arange(len(data)) + start > begin))
     stop = int(closed[0]) if len(closed) else len(data)
     at = np.flatnonzero((data[:stop] == 0x7B) & ~quoted[:stop] & (after[:stop] == level + 1))
-    return at[at + start > begin], raw
+    at = at[at + start > begin]
+    ends = np.append(np.flatnonzero((data == 0x7D) & ~quoted & (after == level)) + 1, 0)
+    return at, ends[np.searchsorted(ends[:-1], at, side="right")], raw
 
 
 def read_records(spark: SparkSession, path: str, name: str = "", block: int = BLOCK, pattern: str = ".json") -> DataFrame:
@@ -112,8 +114,11 @@ def read_records(spark: SparkSession, path: str, name: str = "", block: int = BL
         return spark.createDataFrame([], "document string, position long, start long, record string")
     full = lambda shard: f"{path.rstrip('/')}/{shard}" if shard else path
 
+    cores = spark.sparkContext.defaultParallelism
+    tasks = lambda rows: min(len(rows), 4096, max(4 * cores, -(-len(rows) * block // BLOCK)))  # noqa: E731  # small blocks share a task
+
     def per_block(of, schema: str, rows: list, given: str) -> list:
-        table = spark.createDataFrame(rows, given).repartition(min(len(rows), 4096), "document", "at")
+        table = spark.createDataFrame(rows, given).repartition(tasks(rows), "document", "at")
         return table.mapInArrow(of, schema).collect()  # a few numbers per block
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,7 @@ def read_records(spark: SparkSession, path: str, name: str = "", block: int = BL
     def counted(batches):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("document", "at", "inside", "depth", "begin")), strict=True):
-                yield pa.RecordBatch.from_pydict({"document": [row[0]], "at": [row[1]], "n": [len(record_starts(full(row[0]), row[1], block, *row[2:], level)[0])]})
+                yield pa.RecordBatch.from_pydict({"document": [row[0]], "at": [row[1]], "n": [len(record_spans(full(row[0]), row[1], block, *row[2:], level)[0])]})
 
     counts = {(r.document, r.at): r.n for r in per_block(counted, "document string, at long, n long", wanted, wanted_type)}
     placed, first = [], {}
@@ -171,14 +176,14 @@ def read_records(spark: SparkSession, path: str, name: str = "", block: int = BL
     def records(batches):
         for batch in batches:
             for shard, at, inside, depth, begin, position in zip(*(batch.column(c).to_pylist() for c in ("document", "at", "inside", "depth", "begin", "first")), strict=True):
-                starts, raw = record_starts(full(shard), at, block, inside, depth, begin, level)
-                texts = [record_at(full(shard), raw, at, int(i)) for i in starts]
+                starts, stops, raw = record_spans(full(shard), at, block, inside, depth, begin, level)
+                texts = [raw[i:j].decode("utf-8", "replace") if j else record_at(full(shard), raw, at, i) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
                 for k in range(0, len(texts), 2000):
                     own = texts[k : k + 2000]
                     columns = [pa.array([shard] * len(own)), pa.array(range(position + k, position + k + len(own)), pa.int64()), pa.array((starts[k : k + 2000] + at).astype(np.int64)), pa.array(own)]
                     yield pa.RecordBatch.from_arrays(columns, names=["document", "position", "start", "record"])
 
-    table = spark.createDataFrame(placed, f"{wanted_type}, first long").repartition(min(len(placed), 4096), "document", "at")
+    table = spark.createDataFrame(placed, f"{wanted_type}, first long").repartition(tasks(placed), "document", "at")
     return table.mapInArrow(records, "document string, position long, start long, record string")
 
 

@@ -47,3 +47,10 @@ def test_a_cut_off_document_is_an_error(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"locations": [{"id": 1}, {"id": ')
     with pytest.raises(Exception, match="within a record"):
         J.read_records(spark, str(tmp_path), "locations").collect()
+
+
+def test_ends_of_records_come_with_their_places(tmp_path):
+    text = b'[{"a": {"b": "}"}}, {"c": [{}]}, {"d": 1}]'
+    (tmp_path / "x.json").write_bytes(text)
+    starts, stops, raw = J.record_spans(str(tmp_path / "x.json"), 0, len(text) - 3, False, 0, 0, 1)
+    assert [raw[i:j] if j else None for i, j in zip(starts.tolist(), stops.tolist(), strict=True)] == [b'{"a": {"b": "}"}}', b'{"c": [{}]}', None]
