@@ -311,7 +311,7 @@ _WRONG = "CASE WHEN {k} % 13 = 5 THEN '7F' || substr({v}, 3) ELSE {v} END"
 )
 def recomputed_audit(spark, d):
     """Submissions of which some have a wrong vector, digest, length or model; sampled ones are computed anew."""
-    rows, k = W.locations(spark, d), F.col("location_id")
+    rows, k = spread(W.locations(spark, d), "location_id"), F.col("location_id")
     key = F.concat_ws("\n", "asset_id", "capture", "lane", "model")
     true = rows.withColumn("v", X.vector_of(key, F.col("lane")))
     digest = output_digest(F.lit(W.SCENE_MODEL), F.col("asset_id"), F.col("capture"), F.col("lane"), F.col("model"), F.col("v"))
