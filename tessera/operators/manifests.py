@@ -100,6 +100,13 @@ def rules(identity: dict[str, str], codebook: str) -> dict[str, Rule]:
 
 
 def manifest_problems(m: Column, facts: Column, table: dict[str, Rule]) -> Column:
-    """Names of the rules that a parsed manifest (SCHEMA) breaks, given the facts (FACTS)."""
-    told = [F.when(~F.coalesce(rule(m, facts), F.lit(False)), name) for name, rule in table.items()]
-    return F.filter(F.array(*told), lambda n: n.isNotNull())
+    """Names of the rules that a parsed manifest (SCHEMA) breaks, given the facts (FACTS).
+
+    Both are bound by a lambda, so that they are computed once per row and not once for each rule that looks at them.
+    """
+
+    def told(x: Column) -> Column:
+        names = [F.when(~F.coalesce(rule(x["m"], x["facts"]), F.lit(False)), name) for name, rule in table.items()]
+        return F.filter(F.array(*names), lambda n: n.isNotNull())
+
+    return F.get(F.transform(F.array(F.struct(m.alias("m"), facts.alias("facts"))), told), F.lit(0))

@@ -13,7 +13,7 @@ from tessera.operators import audit as A
 from tessera.operators import exports as E
 from tessera.operators import manifests as M
 from tessera.operators import spatial
-from tessera.operators.tables import new_path
+from tessera.operators.tables import new_path, spread
 from tessera.plans import formats
 from tessera.plans import views as W
 from tessera.sources import byte_lines, json_records, shards
@@ -365,8 +365,9 @@ def manifest_rules(spark, d):
         *[pick(n, v, v + 1).alias(n) for n, v in numbers.items()], pick("sourceSha256", digest(F.lit("lines")), F.lit("x")).alias("sourceSha256"), pick("permanentlyInvalidLocations", F.lit(None).cast("long"), F.lit(3)).alias("permanentlyInvalidLocations"),
         pick("countries", countries, F.array(F.lit("Chile"), F.lit("Japan"), F.lit("Chile"))).alias("countries"), *[e.alias(n) for n, (e, _) in singles.items()], classes.alias("classes"), hot.alias("hotConcepts"), semantic.alias("semantic"), F.when(with_quality, quality).alias("viewQuality"),
     )
-    came = F.map_from_entries(F.concat(all_files, F.when(broken("file names"), F.array(F.struct(F.lit("surplus.bin").alias("key"), F.struct(F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256")).alias("value")))).otherwise(F.slice(all_files, 1, 0))))
+    surplus = F.array(F.struct(F.lit("surplus.bin").alias("key"), F.struct(F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256")).alias("value")))
+    came = F.map_from_entries(F.concat(all_files, F.when(broken("file names"), surplus).otherwise(F.slice(surplus, 1, 0))))
     facts = F.struct(total.alias("total"), start.alias("global_start"), (k * 100).alias("source_bytes"), digest(F.lit("lines")).alias("source_sha256"), digest(F.lit("id")).alias("source_id"), F.array(F.lit("Japan"), F.lit("Chile"), F.lit("Japan")).alias("countries"), came.alias("files"))
-    rows = W.table(spark, d, "customer").select(k.alias("lease_id"), F.to_json(manifest).alias("text"), facts.alias("facts"))
+    rows = spread(W.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("lease_id"), F.to_json(manifest).alias("text"), facts.alias("facts"))
     read = rows.select("lease_id", F.from_json("text", M.SCHEMA).alias("m"), "facts")
     return read.select("lease_id", F.array_join(M.manifest_problems(F.col("m"), F.col("facts"), _RULES), ",").alias("problems"))
