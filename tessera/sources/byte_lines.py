@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tessera.sources.records import opened
@@ -120,10 +120,23 @@ def lines_between(path: str, start: int, stop: int, block: int = BLOCK) -> Itera
                 return
 
 
-def _batches(path: str, part: ByteRange) -> Iterator[pa.RecordBatch]:
-    for rows in lines_between(joined(path, part.shard), part.start, part.stop):
+def _batches(path: str, shard: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    for rows in lines_between(path, start, stop):
         starts, stops, lines = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([part.shard] * len(rows)), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines])], schema=_TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows)), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines])], schema=_TYPES)
+
+
+def lines_of(spark: SparkSession, sizes: dict[str, int], step: int = RANGE_BYTES) -> DataFrame:
+    """The whole lines of files that the caller has listed, by path and size; shard is the path. Small files share a task, a large one is read by many."""
+    ranges = [(p, i, min(size, i + step)) for p, size in sorted(sizes.items()) for i in range(0, size, step)]
+    tasks = min(MOST_TASKS, len(ranges), max(spark.sparkContext.defaultParallelism, sum(sizes.values()) // BLOCK)) or 1
+
+    def read(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _batches(r["shard"], r["shard"], r["start"], r["stop"])
+
+    return spark.createDataFrame(ranges, "shard string, start long, stop long").repartition(tasks).mapInArrow(read, SCHEMA)
 
 
 class _Options:
@@ -133,6 +146,9 @@ class _Options:
     def ranges(self, start: dict, end: dict) -> list[ByteRange]:
         return [ByteRange(s, i, min(stop, i + self.step)) for s, stop in sorted(end.items()) for i in range(start.get(s, 0), stop, self.step)]
 
+    def batches(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        return _batches(joined(self.path, part.shard), part.shard, part.start, part.stop)
+
 
 class ByteLinesReader(_Options, DataSourceReader):
     def partitions(self):
@@ -142,7 +158,7 @@ class ByteLinesReader(_Options, DataSourceReader):
         return dealt(self.ranges({}, shards_of(self.path, self.pattern)) or [ByteRange("", 0, 0)])
 
     def read(self, part):
-        return (batch for own in part.parts if own.stop for batch in _batches(self.path, own))
+        return (batch for own in part.parts if own.stop for batch in self.batches(own))
 
 
 class ByteLinesStreamReader(_Options, DataSourceStreamReader):
@@ -169,7 +185,7 @@ class ByteLinesStreamReader(_Options, DataSourceStreamReader):
         return dealt(self.ranges(start, end))
 
     def read(self, part):
-        return (batch for own in part.parts for batch in _batches(self.path, own))
+        return (batch for own in part.parts for batch in self.batches(own))
 
 
 class ByteLines(DataSource):

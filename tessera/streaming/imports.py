@@ -1,36 +1,49 @@
 """Imports of location shards that can be stopped anywhere and started again.
 
-A stream lists files; each micro-batch takes a bounded number of them, leaves out those whose bytes (SHA-256) an earlier
-batch has recorded, and adds the jobs whose identity the table lacks. Table and registry are written by batch number, the
-registry last: a batch that is run again after a failure writes the same rows to the same places, and the rows of a batch
-that the registry doesn't name are not read by anyone else.
+A stream lists files, which are imported in batches of a bounded number of files, in the order in which they came. A
+micro-batch of the stream is a step of many batches: one job reads their digests (SHA-256), one writes their jobs, and then
+each batch is recorded, in order. A step that is run again after a failure or a stop has the same files; batches that
+have been recorded stay as they are, the others follow. Rows of files that the registry doesn't name are not read by anyone.
+
+A step looks at nothing that earlier ones have written, so its cost does not grow with the import. Who reads the tables
+leaves out files whose bytes an earlier batch has recorded, and jobs whose identity has come before.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import IDENTITY, first_wins, with_prefix
 from tessera.sources import byte_lines
-from tessera.sources.records import streamed_digest
+from tessera.sources.records import opened, read_bytes, streamed_digest, write_bytes
 
 #: Fixed value: jobs that are inserted together.
 BATCH_JOBS = 500
+#: Batches that a step begins with at most; a batch's number is its step's number times STEP, and its place in the step.
+STEP_BATCHES, STEP = 256, 1 << 32
 JOBS = "asset_id string, capture string, lane string, model string, lat double, lon double, country string"
-_FILES = "sha256 string, name string, jobs long, batch long"
+_PLACED = f"{JOBS}, shard string, start long"
+_FILES = "sha256 string, shard string"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
 
 
 def file_digests(files: DataFrame) -> DataFrame:
-    """(path, sha256) of (path); tasks read the files as streams."""
+    """files (path and more) with sha256; tasks read the files as streams."""
 
     def digest(batches):
         for batch in batches:
-            paths = batch.column("path").to_pylist()
-            yield pa.RecordBatch.from_pydict({"path": paths, "sha256": [streamed_digest(p) for p in paths]})
+            digests = pa.array([streamed_digest(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, "sha256"])
 
-    return files.select("path").mapInArrow(digest, "path string, sha256 string")
+    return files.mapInArrow(digest, files.withColumn("sha256", F.lit("")).schema)
 
 
 def jobs_of_lines(lines: DataFrame, lane: str, model: str) -> DataFrame:
@@ -47,53 +60,74 @@ class Import:
 
     def __init__(self, spark: SparkSession, path: str, lane: str = "scene", model: str = "visual-v1"):
         self.spark, self.path, self.lane, self.model = spark, path, lane, model
-        byte_lines.register(spark)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, kind: str, schema: str) -> DataFrame:
         where = f"{self.path}/{name}"
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(schema).parquet(where) if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("pathGlobFilter", f"*.{kind}").format(kind).load(where) if there else self.spark.createDataFrame([], schema)
+
+    def _recorded(self) -> DataFrame:
+        """(sha256, batch, shard): the first file of each content that the registry has."""
+        first = self._read("files", "json", f"{_FILES}, batch long").groupBy("sha256").agg(F.min(F.struct("batch", "shard")).alias("f"))
+        return first.select("sha256", "f.batch", "f.shard")
 
     def files(self) -> DataFrame:
         """Recorded files: (sha256, name, jobs, batch)."""
-        return self._read("files", _FILES)
+        counts = self.jobs().groupBy("batch", "shard").agg(F.count("*").alias("jobs"))
+        out = self._recorded().join(counts, ["batch", "shard"], "left")
+        return out.select("sha256", F.element_at(F.split("shard", "/"), -1).alias("name"), F.coalesce("jobs", F.lit(0)).alias("jobs"), "batch")
 
     def jobs(self) -> DataFrame:
-        """Imported jobs; batches that the registry doesn't have are left out."""
-        done = self.files().select("batch").distinct()
-        return self._read("jobs", f"{JOBS}, batch long").join(done, "batch", "left_semi")
-
-    def take(self, listed: DataFrame, number: int) -> None:
-        """One micro-batch of files (path); the same number gives the same tables however often it is run."""
-        digests = file_digests(listed).groupBy("sha256").agg(F.min("path").alias("path"))
-        fresh = digests.join(self.files().where(F.col("batch") != number).select("sha256"), "sha256", "left_anti").collect()  # as many as a micro-batch takes
-        name_of = {r.path: r.sha256 for r in fresh}
-        if not name_of:
-            return
-        parts = [self.spark.read.format("byte_lines").option("path", p).load().withColumn("shard", F.lit(p)) for p in sorted(name_of)]
-        lines = parts[0]
-        for part in parts[1:]:
-            lines = lines.unionByName(part)
-        rows = first_wins(jobs_of_lines(lines, self.lane, self.model).withColumn("position", F.struct("shard", "start")))
-        earlier = self.jobs().where(F.col("batch") != number).select(*IDENTITY)
-        new = rows.join(earlier, list(IDENTITY), "left_anti")
-        new.select(*[c.split(" ")[0] for c in JOBS.split(", ")], "shard").write.mode("overwrite").parquet(f"{self.path}/jobs/batch={number}")
-        counts = self.spark.read.parquet(f"{self.path}/jobs/batch={number}").groupBy("shard").agg(F.count("*").alias("jobs"))
-        recorded = self.spark.createDataFrame([(s, p) for p, s in sorted(name_of.items())], "sha256 string, shard string").join(counts, "shard", "left")
-        recorded.select("sha256", F.element_at(F.split("shard", "/"), -1).alias("name"), F.coalesce("jobs", F.lit(0)).alias("jobs")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/files/batch={number}")
+        """Imported jobs with their batch and shard, the first of each identity; files that the registry doesn't have are left out."""
+        recorded = self._recorded().select("batch", "shard", F.expr(f"batch div {STEP}").alias("step"))
+        rows = self._read("jobs", "parquet", f"{_PLACED}, step long").join(recorded, ["step", "shard"]).drop("step")
+        return first_wins(rows.withColumn("position", F.struct("batch", "shard", "start"))).select("batch", *_names(JOBS), "shard")
+
+    def _place(self, number: int) -> str:
+        return f"{self.path}/files/batch={number}/files.json"
+
+    def take(self, listed: list[Row], number: int) -> None:
+        """Records one batch of files (path, sha256) whose jobs have been written; it is there whole or not at all."""
+        write_bytes(self._place(number), "".join(json.dumps({"sha256": r.sha256, "shard": r.path}) + "\n" for r in listed).encode())
+
+    def _taken(self, step: int) -> list[list[str]]:
+        """Paths of the batches of a step that have been recorded; they are recorded in their order."""
+        out, system = [], opened(self.path)[0]
+        while system.get_file_info(opened(self._place(step * STEP + len(out)))[1]).is_file:
+            out.append([json.loads(x)["shard"] for x in read_bytes(self._place(step * STEP + len(out))).splitlines()])
+        return out
+
+    def batches(self, listed: DataFrame, step: int, files_per_batch: int) -> Iterator[tuple[int, list[Row]]]:
+        """The batches of a step of files (path, at, length) that are to be recorded, by number; their jobs are written before the first of them comes."""
+        files = sorted(file_digests(listed).collect(), key=lambda r: (r.at, r.path))  # as many as a step takes
+        taken = self._taken(step)
+        if not taken:  # else the rows of the step are whole
+            rows = jobs_of_lines(byte_lines.lines_of(self.spark, {r.path: r.length for r in files}), self.lane, self.model)
+            rows.select(*_names(_PLACED)).write.mode("overwrite").parquet(f"{self.path}/jobs/step={step}")
+        known = {p for paths in taken for p in paths}
+        rest = [r for r in files if r.path not in known]
+        for i in range(0, len(rest), files_per_batch):
+            yield step * STEP + len(taken) + i // files_per_batch, rest[i : i + files_per_batch]
 
     def run(self, folder: str, files_per_batch: int = 100, batches: int | None = None) -> int:
-        """Import what lies in folder and hasn't been; stop after so many micro-batches if batches says so. Gives the number of batches run."""
+        """Import what lies in folder and hasn't been; stop after so many batches if batches says so. Gives the number of batches run."""
         ran = 0
-        listing = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(folder).select("path")
+        most = files_per_batch * (STEP_BATCHES if batches is None else max(1, min(STEP_BATCHES, batches)))
+        files = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", most).option("recursiveFileLookup", "true").load(folder)
+        listing = files.select("path", F.unix_micros("modificationTime").alias("at"), "length")
 
-        def step(listed: DataFrame, number: int) -> None:
-            nonlocal ran
+        def ended() -> None:
             if batches is not None and ran >= batches:
                 raise StopImport
-            self.take(listed, number)
-            ran += 1
+
+        def step(listed: DataFrame, number: int) -> None:
+            nonlocal ran
+            ended()
+            for own, files in self.batches(listed, number, files_per_batch):
+                ended()
+                self.take(files, own)
+                ran += 1
 
         query = listing.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.path}/log").trigger(availableNow=True).start()
         try:
@@ -105,7 +139,7 @@ class Import:
 
 
 class StopImport(Exception):
-    """Ends a bounded run before its next micro-batch is done; the log takes that one up again."""
+    """Ends a bounded run before its next batch is recorded; the log takes its step up again."""
 
 
 def limited(jobs: DataFrame, table: DataFrame, limit: int, order: str = "position", batch: int = BATCH_JOBS) -> DataFrame:

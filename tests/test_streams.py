@@ -116,6 +116,52 @@ def test_an_import_that_breaks_anywhere_equals_one_run(spark, tmp_path, monkeypa
     assert I.Import(spark, path).run(str(folder), files_per_batch=1) == 0
 
 
+def lines_by_file(folder, n):
+    """n files of a line each, in the order of their names; every second one repeats an identity."""
+    folder.mkdir()
+    for k in range(n):
+        (folder / f"{k:02d}.tsv").write_text(line(k, f"a{k // 2}"))
+        os.utime(folder / f"{k:02d}.tsv", (1000 + k, 1000 + k))
+    return [(f"a{k}", 2.0 * k) for k in range(n // 2)], [(f"{k:02d}.tsv", 1 - k % 2) for k in range(n)]
+
+
+def test_batches_of_few_files_share_a_micro_batch(spark, tmp_path):
+    jobs, files = lines_by_file(tmp_path / "files", 20)
+    assert I.Import(spark, str(tmp_path / "to")).run(str(tmp_path / "files"), files_per_batch=1) == 20
+    assert imported(spark, str(tmp_path / "to")) == (sorted(jobs), files)
+    assert [r.batch for r in I.Import(spark, str(tmp_path / "to")).files().orderBy("name").collect()] == [*range(20)]
+    assert len([p for p in (tmp_path / "to/log/commits").iterdir() if p.name.isdigit()]) == 1
+
+
+def test_a_step_that_broke_goes_on_in_bounded_runs_and_other_batches(spark, tmp_path, monkeypatch):
+    jobs, files = lines_by_file(tmp_path / "files", 12)
+    plain = I.Import.take
+
+    def breaks(self, listed, number):
+        if number == 2:
+            raise OSError("lost")
+        plain(self, listed, number)
+
+    own = I.Import(spark, str(tmp_path / "to"))
+    monkeypatch.setattr(I.Import, "take", breaks)
+    with pytest.raises(Exception, match="lost"):
+        own.run(str(tmp_path / "files"), files_per_batch=2)
+    monkeypatch.setattr(I.Import, "take", plain)
+    for done, (size, batches) in zip((5, 7, 10), ((1, 1), (1, 2), (3, 1)), strict=True):
+        assert own.run(str(tmp_path / "files"), files_per_batch=size, batches=batches) == batches
+        assert imported(spark, str(tmp_path / "to"))[1] == files[:done]
+    assert own.run(str(tmp_path / "files"), files_per_batch=5) == 1
+    assert imported(spark, str(tmp_path / "to")) == (sorted(jobs), files)
+
+
+def test_files_are_imported_in_the_order_of_their_numbers(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("c_custkey"), F.lit("FURNITURE").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    first = {}
+    for k in range(2000):
+        first.setdefault(f"pano-{k * 7 % 900}", k // 150)
+    assert {r.asset_id: r.file for r in P.resumed_import(spark, str(tmp_path)).collect()} == first
+
+
 def test_the_limit_rule(spark):
     names = "asset_id string, capture string, lane string, model string"
     jobs = [(f"a{k % 9}" if k < 12 else f"b{k}", "c", "scene", "m", k) for k in range(27)]
