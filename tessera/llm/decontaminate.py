@@ -134,7 +134,7 @@ def _hits_udf(windows: Windows):
         rows = (scan_text(windows, t) for t in as_bytes(text))
         return pa.array([{"spans": [{"start": a, "end": b} for a, b in spans], "items": items} for _, spans, items in rows], type=kind)
 
-    return hits
+    return hits.asNondeterministic()  # else a filter on the result would be pushed below and scan all texts once more, in a second worker
 
 
 def _final_udf(windows: Windows, cut: bool):
@@ -153,7 +153,7 @@ def _final_udf(windows: Windows, cut: bool):
         columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.string())]
         return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "items", "text"])
 
-    return final
+    return final.asNondeterministic()  # as above
 
 
 def window_pairs(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:

@@ -69,6 +69,21 @@ def test_spans_and_documents_go(spark):
     assert kept == {1, 3, 4, 5, 6, 8}
 
 
+def test_filters_on_the_result_scan_no_text_twice(spark, monkeypatch):
+    docs, bench = frames(spark)
+    scans, store = [], D.stored
+    times = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    def noted(df, name):
+        scans.extend([times(df)] * (name == "benchmark-hits"))
+        return store(df, name)
+
+    monkeypatch.setattr(D, "stored", noted)
+    one, many = (D.decontaminate(docs, bench, drop_share=0.5, block_windows=n) for n in (D.BLOCK_WINDOWS, 8))
+    assert [times(one), times(many)] == [1, 1] and set(scans) == {1}
+    assert sorted(one.collect(), key=str) == sorted(many.collect(), key=str)
+
+
 def test_empty_tables(spark):
     docs, bench = frames(spark)
     assert D.contamination(docs.limit(0), bench).count() == 0
