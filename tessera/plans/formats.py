@@ -88,7 +88,7 @@ def sealed_segments(spark, d):
     root = new_path(spark, "segments")
     S.publish_segments(_poses(spark, d, "scene"), root, "scene", 96)
     S.publish_segments(_poses(spark, d, "object"), root, "object", 96)
-    out = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").load()
+    out = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").option("pushdown", "false").load()
     return out.select("location_id", "lat", "lng", "heading", "pano_id", "capture", "country", "camera_generation", "lane", F.hex("embedding").alias("embedding"))
 
 
@@ -200,8 +200,7 @@ def seal_and_search(spark, d):
     root = new_path(spark, "sealed")
     rows = spread(W.locations(spark, d).where("lane = 'scene'"), "location_id").withColumn("embedding", X.vector_of(_key(), F.col("lane")))
     S.publish_segments(stored(rows.select("location_id", "lat", F.col("lon").alias("lng"), "heading", "pitch", "zoom", F.col("asset_id").alias("pano_id"), "capture", "country", "camera_generation", "embedding"), "scene-rows"), root, "scene", 96)
-    index = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").load().select("location_id", "embedding")
-    least = index.agg(F.min("location_id")).first()[0]
-    first = index.where(F.col("location_id") == least).first()
-    hits = index.select("location_id", V.best_view_of_bytes(bytes(first.embedding))(F.col("embedding"))["score"].alias("score"))
+    index = spark.read.format("sealed_segments").option("path", root).option("lane", "scene").option("pushdown", "false").load().select("location_id", "embedding")  # read twice
+    first = index.agg(F.min_by("embedding", "location_id")).first()[0]
+    hits = index.select("location_id", V.best_view_of_bytes(bytes(first or bytes(96)))(F.col("embedding"))["score"].alias("score"))
     return hits.orderBy(F.desc("score"), "location_id").limit(25).withColumn("score", F.round("score", 6))

@@ -89,15 +89,21 @@ class _Reader(DataSourceReader):
 
 
 class SegmentReader(_Reader):
-    """Options: path; lane, to read one; verify, to check every digest and fail on a difference.
+    """Options: path; lane, to read one; verify, to check every digest and fail on a difference; pushdown, to take filters over.
 
     The driver reads the registry and the manifests; the files of a segment are checked by the task that reads its first
     records, as a stream, so segments are verified in parallel, each once and only if it is read. Filters on lane and on
     the range of location_id are taken over: the registry's lane and bounds leave out whole segments, whose manifests and
     files stay unopened, and a task looks the ids up first and reads the poses and vectors between the first and last fit.
+    Spark (4.1) keeps one read plan for a loaded table, and each filtered scan replaces it, for unfiltered scans as well:
+    a table that is read more than once, under different filters or none, is loaded with the option pushdown=false, which
+    leaves filters to Spark, or anew for each scan.
     """
 
     def pushFilters(self, filters):
+        if self.options.get("pushdown", "true") != "true":
+            yield from filters
+            return
         self.lanes, self.low, self.high = None, -(1 << 63), (1 << 63) - 1
         for f in filters:
             column, value = getattr(f, "attribute", None), getattr(f, "value", None)
@@ -135,6 +141,8 @@ class SegmentReader(_Reader):
         return out
 
     def read(self, part):
+        if part is None:  # Spark's one task of a table without partitions
+            return
         for name, digest in part.more["digests"].items() if part.start == 0 else ():
             if streamed_digest(f"{part.path}/{name}.bin") != digest:
                 raise ValueError(f"{part.more['id']}: checksum of {name}.bin")

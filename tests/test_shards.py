@@ -99,6 +99,28 @@ def test_filters_leave_segments_unread(spark, tmp_path, capsys):
         index.where("lane = 'scene'").collect()
 
 
+def test_a_table_without_pushdown_is_read_more_than_once(spark, tmp_path):
+    S.publish_segments(poses(spark, range(0, 40)), str(tmp_path), "scene", 8, capacity=10)
+    index = spark.read.format("sealed_segments").option("path", str(tmp_path)).option("pushdown", "false").load()
+    few, rest = index.where("lane = 'scene' AND location_id < 3"), index.where("location_id >= 38")
+    assert [d.count() for d in (few, index, rest, index)] == [3, 40, 2, 40]
+    assert sorted(r.location_id for r in few.union(rest).collect()) == [0, 1, 2, 38, 39]
+    assert index.join(few, "location_id", "left_anti").count() == 37
+    taken_over = spark.read.format("sealed_segments").option("path", str(tmp_path)).load()
+    assert taken_over.where("lane = 'object'").count() == 0  # no segment is left to read
+
+
+@pytest.mark.parametrize("n", [0, 12, 80])
+def test_seal_and_search_ranks_every_row_of_the_index(spark, sf, tmp_path, n):
+    from tessera.plans import formats
+
+    spark.read.parquet(f"{sf}/customer.parquet").where(f"c_custkey < {n}").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = [r.location_id for r in formats.seal_and_search(spark, str(tmp_path)).collect()]
+    scene = [k for k in range(n) if k % 7 < 4]
+    assert len(got) == len(set(got)) == min(25, len(scene)) and set(got) <= set(scene) and got[:1] == scene[:1]
+
+
 def test_records_read_by_place_in_runs(spark, tmp_path, monkeypatch):
     rows = spark.range(200).select(F.col("id").alias("row_index"), F.unhex(F.repeat(F.lpad(F.hex("id"), 2, "0"), 3080)).alias("record"))
     E.write_four_view_shards(rows, str(tmp_path), 60).collect()
